@@ -1,4 +1,4 @@
-"""Canonical text of a value, and equality across types.
+"""Canonical text of a value, and equality across types. Functions take a SQL expression and return one.
 
 Two values are equal when their canonical texts are equal. The text carries a family tag: ``n:`` number,
 ``s:`` string, ``t:`` date or time, ``b:`` bytes that are not text, ``j:`` nested.
@@ -6,113 +6,99 @@ Two values are equal when their canonical texts are equal. The text carries a fa
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions import types as ty
 from twinframe.functions.text import as_double, nested_text, strip_ws, timestamp_text
 
 # Which texts count as an integer or a decimal number. No exponents, no bare leading point.
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
-DECIMAL_TEXT = r"^[+-]?[0-9]+[.][0-9]*$"
+INTEGER_TEXT = "^[+-]?[0-9]+$"
+DECIMAL_TEXT = "^[+-]?[0-9]+[.][0-9]*$"
 
-_LONG_LIMIT = float(2**63)
-_SPLIT = 2**62
-_SPLIT_LIMIT = float(2**115)
+_LONG_LIMIT = f"{float(2**63)!r}D"
+_SPLIT = f"{float(2**62)!r}D"
+_SPLIT_LIMIT = f"{float(2**115)!r}D"
 
 
-def _tag(tag: str, text: Column) -> Column:
-    return F.concat(F.lit(f"{tag}:"), text)
-
-
-def _integer_digits(text: Column) -> Column:
+def integer_canon(digits: str) -> str:
     """Integer text of any length without plus sign and leading zeros."""
-    digits = F.regexp_replace(text, "^[+]?(-?)0*(?=[0-9])", "$1")
-    return F.when(digits == "-0", "0").otherwise(digits)
+    bare = f"regexp_replace({digits}, '^[+]?(-?)0*(?=[0-9])', '$1')"
+    return f"concat('n:', CASE WHEN {bare} = '-0' THEN '0' ELSE {bare} END)"
 
 
-def _double_digits(col: Column) -> Column:
+def number_canon(x: str) -> str:
     """Exact digits of a whole double, else its shortest text."""
-    size = F.abs(col)
+    size = f"abs({x})"
     # Beyond the long range a double is still top * 2^62 + rest with both parts exact.
-    top = F.floor(col / float(_SPLIT)).cast("bigint")
-    rest = (col - top.cast("double") * float(_SPLIT)).cast("bigint")
-    wide = top.cast("decimal(18,0)") * F.lit(_SPLIT).cast("decimal(19,0)") + rest.cast("decimal(19,0)")
-    return (
-        F.when((size < _LONG_LIMIT) & (col == F.rint(col)), col.try_cast("bigint").cast("string"))
-        .when((size >= _LONG_LIMIT) & (size < _SPLIT_LIMIT), wide.cast("decimal(38,0)").cast("string"))
-        .otherwise(col.cast("string"))
-    )
-
-
-def _number_from_text(text: Column) -> Column:
-    return _tag("n", _double_digits(text.try_cast("double")))
+    top = f"CAST(floor({x} / {_SPLIT}) AS BIGINT)"
+    rest = f"CAST({x} - CAST({top} AS DOUBLE) * {_SPLIT} AS BIGINT)"
+    wide = f"CAST({top} AS DECIMAL(18,0)) * CAST({2**62} AS DECIMAL(19,0)) + CAST({rest} AS DECIMAL(19,0))"
+    return f"""concat('n:', CASE
+      WHEN {size} < {_LONG_LIMIT} AND {x} = rint({x}) THEN CAST(TRY_CAST({x} AS BIGINT) AS STRING)
+      WHEN {size} >= {_LONG_LIMIT} AND {size} < {_SPLIT_LIMIT} THEN CAST(CAST({wide} AS DECIMAL(38,0)) AS STRING)
+      ELSE CAST({x} AS STRING) END)"""
 
 
-def canon_text(text: Column) -> Column:
+def canon_text(x: str) -> str:
     """Canonical form of a string: numbers by value, everything else as stripped text."""
-    bare = strip_ws(text)
-    return (
-        F.when(bare.rlike(INTEGER_TEXT), _tag("n", _integer_digits(bare)))
-        .when(bare.rlike(DECIMAL_TEXT), _number_from_text(bare))
-        .otherwise(_tag("s", bare))
-    )
+    bare = strip_ws(x)
+    return f"""CASE
+      WHEN {bare} RLIKE '{INTEGER_TEXT}' THEN {integer_canon(bare)}
+      WHEN {bare} RLIKE '{DECIMAL_TEXT}' THEN {number_canon(f"TRY_CAST({bare} AS DOUBLE)")}
+      ELSE concat('s:', {bare}) END"""
 
 
-def canon(col: Column, dtype: T.DataType) -> Column:
+def canon(x: str, dtype: T.DataType) -> str:
     kind = ty.family(dtype)
     if kind == ty.STRING:
-        return canon_text(col.cast("string"))
+        return canon_text(f"CAST({x} AS STRING)")
     if kind == ty.BOOLEAN:
-        return F.when(col, "n:1").when(~col, "n:0")
+        return f"CASE WHEN {x} THEN 'n:1' WHEN NOT {x} THEN 'n:0' END"
     if kind == ty.DATETIME:
-        return _tag("t", timestamp_text(col))
+        return f"concat('t:', {timestamp_text(x)})"
     if kind == ty.BINARY:
-        return F.coalesce(canon_text(F.try_validate_utf8(col.cast("string"))), _tag("b", F.hex(col)))
+        text = f"try_validate_utf8(CAST({x} AS STRING))"
+        return f"coalesce({canon_text(text)}, concat('b:', hex({x})))"
     if kind == ty.NESTED:
-        return _tag("j", nested_text(col, dtype))
-    if ty.is_integral(dtype):
-        return _tag("n", col.cast("string"))
+        return f"concat('j:', {nested_text(x, dtype)})"
+    if ty.is_integral(dtype) or (isinstance(dtype, T.DecimalType) and dtype.scale == 0):
+        return f"concat('n:', CAST({x} AS STRING))"
     if isinstance(dtype, T.DecimalType):
-        if dtype.scale == 0:
-            return _tag("n", col.cast("string"))
-        return F.when(col == F.floor(col), _tag("n", F.floor(col).cast("string"))).otherwise(
-            _tag("n", _double_digits(col.cast("double")))
-        )
-    number = as_double(col, dtype)
-    return F.when(~F.isnan(number), _tag("n", _double_digits(number)))
+        fraction = number_canon(f"CAST({x} AS DOUBLE)")
+        return f"CASE WHEN {x} = floor({x}) THEN concat('n:', CAST(floor({x}) AS STRING)) ELSE {fraction} END"
+    number = as_double(x, dtype)
+    return f"CASE WHEN NOT isnan({number}) THEN {number_canon(number)} END"
 
 
-def canon_strict(col: Column, dtype: T.DataType) -> Column:
+def canon_strict(x: str, dtype: T.DataType) -> str:
     """Canonical form that leaves strings as they are: the text ``1`` never equals the number 1."""
-    return _tag("s", col.cast("string")) if ty.family(dtype) == ty.STRING else canon(col, dtype)
+    return f"concat('s:', CAST({x} AS STRING))" if ty.family(dtype) == ty.STRING else canon(x, dtype)
 
 
-def nan_as_null(col: Column, dtype: T.DataType) -> Column:
-    return F.when(~F.isnan(col), col) if ty.is_floating(dtype) else col
+def nan_as_null(x: str, dtype: T.DataType) -> str:
+    return f"CASE WHEN NOT isnan({x}) THEN {x} END" if ty.is_floating(dtype) else x
 
 
-def is_missing(col: Column, dtype: T.DataType) -> Column:
-    return (col.isNull() | F.isnan(col)) if ty.is_floating(dtype) else col.isNull()
+def is_missing(x: str, dtype: T.DataType) -> str:
+    return f"({x} IS NULL OR isnan({x}))" if ty.is_floating(dtype) else f"({x} IS NULL)"
 
 
-def values_equal(source: Column, target: Column, source_type: T.DataType, target_type: T.DataType) -> Column:
+def values_equal(s: str, t: str, source_type: T.DataType, target_type: T.DataType) -> str:
     """Equality under canonicalisation; never NULL.
 
     Columns of one type are compared natively, so the canonical text is only built where the types differ
     or where two strings differ as written.
     """
     kinds = {ty.family(source_type), ty.family(target_type)}
-    if ty.is_integral(source_type) and ty.is_integral(target_type):
-        return source.eqNullSafe(target)
-    if source_type == target_type and ty.is_floating(source_type):
-        nan = F.lit(float("nan")).cast(source_type)
-        return F.coalesce(source, nan) == F.coalesce(target, nan)
+    same = source_type == target_type
+    if same and ty.is_floating(source_type):
+        nan = f"CAST('NaN' AS {source_type.simpleString()})"
+        return f"(coalesce({s}, {nan}) = coalesce({t}, {nan}))"
     if kinds == {ty.STRING} or kinds == {ty.BINARY}:
-        return source.eqNullSafe(target) | canon(source, source_type).eqNullSafe(canon(target, target_type))
-    if kinds == {ty.DATETIME} and source_type != target_type:
-        return source.cast("timestamp_ntz").eqNullSafe(target.cast("timestamp_ntz"))
-    if source_type == target_type and not ty.contains_map(source_type):
-        return source.eqNullSafe(target)
-    return canon(source, source_type).eqNullSafe(canon(target, target_type))
+        return f"({s} <=> {t} OR {canon(s, source_type)} <=> {canon(t, target_type)})"
+    if kinds == {ty.DATETIME} and not same:
+        return f"(CAST({s} AS TIMESTAMP_NTZ) <=> CAST({t} AS TIMESTAMP_NTZ))"
+    both_integral = ty.is_integral(source_type) and ty.is_integral(target_type)
+    if both_integral or (same and not ty.contains_map(source_type)):
+        return f"({s} <=> {t})"
+    return f"({canon(s, source_type)} <=> {canon(t, target_type)})"

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from twinframe.functions import types as ty
-from twinframe.functions.text import strip_ws
+from twinframe.functions.text import ident, strip_ws
 
 
 @dataclass
@@ -143,7 +144,7 @@ def normalize_strings(df: DataFrame) -> DataFrame:
     """Strip white space from every string column."""
     return df.select(
         *[
-            strip_ws(df[f.name]).alias(f.name) if ty.family(f.dataType) == ty.STRING else df[f.name]
+            F.expr(strip_ws(ident(f.name)) if ty.family(f.dataType) == ty.STRING else ident(f.name)).alias(f.name)
             for f in df.schema.fields
         ]
     )

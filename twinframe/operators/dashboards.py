@@ -61,7 +61,7 @@ def allowlist_violations(
 
     A font family must mention an allowed font; sizes and hex colours must be listed. Blanks are not judged.
     """
-    font, size, colour = F.col("font_family"), F.col("font_size"), colour_text(F.col("color"))
+    font, size, colour = F.col("font_family"), F.col("font_size"), F.expr(colour_text("color"))
 
     def rule(kind: str, broken: Column, allowed: list[str], found: Column) -> Column:
         return F.when(

@@ -44,32 +44,33 @@ class KeyShape:
         """Normalised key columns of one side, then the null mask."""
         raw = [self._normal(schema[k].dataType, k, t) for k, t in zip(self.keys, self.types)]
         filled = [
-            F.coalesce(c, _filler(t)).alias(n) for c, t, n in zip(raw, self.types, key_names(self.keys))
+            F.expr(f"coalesce({x}, {_filler(t)})").alias(n) for x, t, n in zip(raw, self.types, key_names(self.keys))
         ]
-        mask = sum((F.when(c.isNull(), 1 << i).otherwise(0) for i, c in enumerate(raw)), F.lit(0))
-        return [*filled, mask.cast("long").alias(NULL_MASK)]
+        mask = " + ".join(f"CASE WHEN {x} IS NULL THEN {1 << i}L ELSE 0L END" for i, x in enumerate(raw))
+        return [*filled, F.expr(mask).alias(NULL_MASK)]
 
-    def _normal(self, dtype: T.DataType, name: str, shared: T.DataType) -> Column:
-        col = F.col(f"`{name}`")
+    def _normal(self, dtype: T.DataType, name: str, shared: T.DataType) -> str:
+        x = tx.ident(name)
         if shared is _TAGGED:
-            return cn.canon(col, dtype) if self.mode == "coerce" else cn.canon_strict(col, dtype)
+            return cn.canon(x, dtype) if self.mode == "coerce" else cn.canon_strict(x, dtype)
         if ty.is_floating(dtype):
-            return cn.nan_as_null(tx.as_double(col, dtype), T.DoubleType())
-        return col.cast(shared)
+            return cn.nan_as_null(tx.as_double(x, dtype), T.DoubleType())
+        return f"CAST({x} AS {shared.simpleString()})"
 
     def display(self) -> Column:
         """``a=1, b='x'`` from the normalised columns."""
         pairs = []
-        for i, (key, dtype) in enumerate(zip(self.keys, self.types)):
-            col = F.col(key_names(self.keys)[i])
+        for i, (key, dtype, x) in enumerate(zip(self.keys, self.types, key_names(self.keys))):
             if dtype is _TAGGED:
-                body = F.substring(col, 3, 2**31 - 1)
-                shown = F.when(col.startswith("s:"), tx.quoted(body)).otherwise(body)
+                body = f"substring({x}, 3)"
+                shown = f"CASE WHEN startswith({x}, 's:') THEN {tx.quoted(body)} ELSE {body} END"
             else:
-                shown = tx.display(col, dtype)
-            is_null = F.col(NULL_MASK).bitwiseAND(F.lit(1 << i)) != 0
-            pairs.append(F.concat(F.lit(f"{key}="), F.when(is_null, tx.MISSING_TEXT).otherwise(shown)))
-        return F.concat_ws(", ", *pairs)
+                shown = tx.display(x, dtype)
+            missing = f"({NULL_MASK} & {1 << i}) <> 0"
+            pairs.append(
+                f"concat({tx.literal(key + '=')}, CASE WHEN {missing} THEN '{tx.MISSING_TEXT}' ELSE {shown} END)"
+            )
+        return F.expr(f"concat_ws(', ', {', '.join(pairs)})")
 
     def order(self) -> list[Column]:
         return [F.col(n) for n in (NULL_MASK, *key_names(self.keys))]
@@ -90,12 +91,11 @@ def _shared_type(source: T.DataType, target: T.DataType, mode: str) -> T.DataTyp
     return _TAGGED
 
 
-def _filler(dtype: T.DataType) -> Column:
+def _filler(dtype: T.DataType) -> str:
     if dtype is _TAGGED or isinstance(dtype, T.StringType):
-        return F.lit("")
-    if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
-        return F.lit("1970-01-01").cast(dtype)
-    return F.lit(0).cast(dtype)
+        return "''"
+    value = "'1970-01-01'" if isinstance(dtype, (T.DateType, T.TimestampNTZType)) else "0"
+    return f"CAST({value} AS {dtype.simpleString()})"
 
 
 def keyed(df: DataFrame, shape: KeyShape, *payload: Column) -> DataFrame:
@@ -156,7 +156,7 @@ def restrict_to_keys(df: DataFrame, other: DataFrame, keys: list[str], mode: str
 def sample_keys(df: DataFrame, shape: KeyShape, size: int, seed: int) -> DataFrame:
     """``size`` distinct keys in the order of a seeded hash of the key text: the same keys on every run."""
     parts = [
-        tx.present_text(F.col(n), T.StringType() if t is _TAGGED else t)
+        F.expr(tx.present_text(n, T.StringType() if t is _TAGGED else t))
         for n, t in zip(key_names(shape.keys), shape.types)
     ]
     token = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))

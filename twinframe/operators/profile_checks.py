@@ -27,48 +27,45 @@ GROUP_WIDTH = 64
 LONG_TEXT = 64
 
 
-def parsed_date(col: Column, dtype: T.DataType) -> Column | None:
-    """The value as a timestamp, NULL where it is none; no Column for types that hold no dates."""
+def parsed_date(x: str, dtype: T.DataType) -> str | None:
+    """The value as a timestamp, NULL where it is none; None for types that hold no dates."""
     kind = ty.family(dtype)
     if kind == ty.DATETIME:
-        return col.cast("timestamp_ntz")
+        return f"CAST({x} AS TIMESTAMP_NTZ)"
     if kind != ty.STRING:
         return None
-    text = col.cast("string")
-    tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(F.trim(text), F.lit(p)).cast("timestamp_ntz") for p in DATE_PATTERNS]
-    return F.when(text.rlike(DATE_LIKE), F.coalesce(*tries))
+    tries = [f"TRY_CAST({x} AS TIMESTAMP_NTZ)"]
+    tries += [f"CAST(try_to_timestamp(trim({x}), '{p}') AS TIMESTAMP_NTZ)" for p in DATE_PATTERNS]
+    return f"CASE WHEN {x} RLIKE r'{DATE_LIKE}' THEN coalesce({', '.join(tries)}) END"
 
 
 def _side_profile(df: DataFrame, columns: list[str], wanted: list[str], dates: list[bool]) -> DataFrame:
     """One row: an array per statistic, in the order of ``columns``."""
-    empty_number, empty_date = F.lit(0).cast("long"), F.lit(None).cast("timestamp_ntz")
-    aggregates = []
+    aggregates = {}
     for i, (name, is_date) in enumerate(zip(columns, dates)):
-        dtype, col = df.schema[name].dataType, F.col(f"`{name}`")
+        dtype, x = df.schema[name].dataType, tx.ident(name)
         if "nulls" in wanted:
-            aggregates.append(F.count_if(cn.is_missing(col, dtype)).alias(f"n{i}"))
+            aggregates[f"n{i}"] = f"count_if({cn.is_missing(x, dtype)})"
         if "dates" in wanted and is_date:
-            day = parsed_date(col, dtype)
-            aggregates += [F.min(day).alias(f"lo{i}"), F.max(day).alias(f"hi{i}")]
-    if not aggregates:
-        aggregates = [F.lit(0).alias("none")]
-    row = df.agg(*aggregates)
-    width = range(len(columns))
-
-    def collected(mark: str, fallback: Column) -> Column:
-        return F.array(*[F.col(f"{mark}{i}") if f"{mark}{i}" in row.columns else fallback for i in width])
-
-    return row.select(
-        collected("n", empty_number).alias("nulls"),
-        collected("lo", empty_date).alias("lows"),
-        collected("hi", empty_date).alias("highs"),
+            day = parsed_date(x, dtype)
+            aggregates |= {f"lo{i}": f"min({day})", f"hi{i}": f"max({day})"}
+    row = df.selectExpr(*[f"{a} AS {n}" for n, a in aggregates.items()] or ["count(*) AS none"])
+
+    def collected(mark: str, fallback: str) -> str:
+        found = [f"{mark}{i}" if f"{mark}{i}" in aggregates else fallback for i in range(len(columns))]
+        return f"array({', '.join(found)})"
+
+    no_date = "CAST(NULL AS TIMESTAMP_NTZ)"
+    return row.selectExpr(
+        f"{collected('n', '0L')} AS nulls",
+        f"{collected('lo', no_date)} AS lows",
+        f"{collected('hi', no_date)} AS highs",
     )
 
 
 def _profile_group(pair: Pair, columns: list[str], wanted: list[str]) -> DataFrame:
     """One row holding both sides' arrays."""
-    dates = [all(parsed_date(F.lit(None), t) is not None for t in pair.types(c)) for c in columns]
+    dates = [all(parsed_date("x", t) for t in pair.types(c)) for c in columns]
     sides = []
     for mark, df in (("s", pair.source), ("t", pair.target)):
         sides.append(_side_profile(df, columns, wanted, dates).withColumn("side", F.lit(mark)))
@@ -131,8 +128,8 @@ def profile_checks(pair: Pair, checks: tuple[str, ...] = ("nulls", "dates")) ->
     if "dates" in checks:
         low, high = (F.col("s_lows"), F.col("t_lows")), (F.col("s_highs"), F.col("t_highs"))
         shown = [
-            F.format_string(m.DATE_RANGE_TEXT, tx.timestamp_text(a), tx.timestamp_text(b))
-            for a, b in zip(low, high)
+            F.format_string(m.DATE_RANGE_TEXT, *[F.expr(tx.timestamp_text(f"{mark}_{end}")) for end in ("lows", "highs")])
+            for mark in ("s", "t")
         ]
         differs = F.coalesce((low[0] != low[1]) | (high[0] != high[1]), F.lit(False))
         row = row_columns(
@@ -231,32 +228,30 @@ def _empty_cells(pair: Pair, df: DataFrame, positioned: DataFrame | None):
     texts = [(i, c) for i, c in enumerate(pair.common) if ty.family(df.schema[c].dataType) == ty.STRING]
     if not texts:
         return None, None
-    cells = [F.col(f"`{c}`") for _, c in texts]
+    held = [F.col(tx.ident(c)) for _, c in texts]
     if pair.keys:
-        located, names = df.select(*pair.shape.columns(df.schema), *cells), pair.shape.order()
+        located, names = df.select(*pair.shape.columns(df.schema), *held), pair.shape.order()
         keep = pair.shape.names
     else:
-        located, names, keep = positioned.select(POSITION, *cells), [F.col(POSITION)], [POSITION]
-    empties = [F.when(F.col(f"`{c}`") == "", F.lit(i)) for i, c in texts]
-    any_empty = F.lit(False)
-    for _, c in texts:
-        any_empty = any_empty | (F.col(f"`{c}`") == "")
-    found = located.where(any_empty).select(*keep, F.explode(F.array(*empties)).alias("c"))
+        located, names, keep = positioned.select(POSITION, *held), [F.col(POSITION)], [POSITION]
+    empties = ", ".join(f"CASE WHEN {tx.ident(c)} = '' THEN {i} END" for i, c in texts)
+    any_empty = " OR ".join(f"{tx.ident(c)} = ''" for _, c in texts)
+    found = located.where(any_empty).selectExpr(*keep, f"explode(array({empties})) AS c")
     return found.where("c IS NOT NULL"), names
 
 
-def _distinct_value(col: Column, dtype: T.DataType) -> Column:
+def _distinct_value(x: str, dtype: T.DataType) -> str:
     """A value in a form that groups exactly like the value but stays short.
 
     Long text is replaced by its SHA-256, which no short text can equal because of its length.
     """
     kind = ty.family(dtype)
     if kind in (ty.STRING, ty.BINARY):
-        text = col.cast("string")
-        return F.when(F.octet_length(text) <= LONG_TEXT, text).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
+        text = f"CAST({x} AS STRING)"
+        return f"CASE WHEN octet_length({text}) <= {LONG_TEXT} THEN {text} ELSE concat('#', sha2({text}, 256)) END"
     if kind == ty.NESTED:
-        return F.sha2(tx.nested_text(col, dtype), 256)
-    return col
+        return f"sha2({tx.nested_text(x, dtype)}, 256)"
+    return cn.nan_as_null(x, dtype)
 
 
 def _distinct_family(dtype: T.DataType) -> str:
@@ -287,12 +282,11 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         groups.setdefault(_distinct_family(df.schema[name].dataType), []).append(i)
     frames = []
     for shared, members in groups.items():
-        cells = []
+        stacked = []
         for i in members:
-            dtype = df.schema[columns[i]].dataType
-            value = cn.nan_as_null(_distinct_value(F.col(f"`{columns[i]}`"), dtype), dtype)
-            cells.append(F.struct(F.lit(i).alias("c"), value.cast(shared).alias("v")))
-        pairs = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+            value = _distinct_value(tx.ident(columns[i]), df.schema[columns[i]].dataType)
+            stacked.append(f"named_struct('c', {i}, 'v', CAST({value} AS {shared}))")
+        pairs = df.selectExpr(f"inline(array({', '.join(stacked)}))").where("v IS NOT NULL")
         frames.append(pairs.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")))
     return union_all(frames)
 
@@ -332,8 +326,8 @@ def distinct_check(pair: Pair) -> DataFrame:
 def source_profile(df: DataFrame) -> DataFrame:
     """One row per column: name, type, null count, and the frame's row and column counts."""
     columns = df.columns
-    nulls = [F.count_if(cn.is_missing(F.col(f"`{c}`"), df.schema[c].dataType)) for c in columns]
-    one = df.agg(F.count(F.lit(1)).alias("row_count"), F.array(*nulls).alias("nulls"))
+    nulls = [f"count_if({cn.is_missing(tx.ident(f.name), f.dataType)})" for f in df.schema.fields]
+    one = df.selectExpr("count(*) AS row_count", f"array({', '.join(nulls)}) AS nulls")
     named = F.arrays_zip(
         F.array(*[F.lit(c) for c in columns]).alias("name"),
         F.array(*[F.lit(df.schema[c].dataType.simpleString()) for c in columns]).alias("dtype"),

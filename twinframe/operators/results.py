@@ -53,6 +53,16 @@ def row_columns(
     return shaped + [(v if isinstance(v, Column) else F.lit(v)).cast("string").alias(n) for n, v in values.items()]
 
 
+def row_sql(check_no: str | int, validation: str, result: str, **fields: str) -> list[str]:
+    """One result row for ``selectExpr``; every argument is a SQL expression."""
+    order = {"check_no": check_no, "part": fields.get("part", 0), "example": fields.get("example", 0)}
+    texts = {"validation": validation, "result": result}
+    texts |= {c: fields.get(c, "''") for c in RESULT_COLUMNS[2:]}
+    return [f"CAST({x} AS INT) AS {n}" for n, x in order.items()] + [
+        f"CAST({x} AS STRING) AS {n}" for n, x in texts.items()
+    ]
+
+
 def fixed_rows(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
     """Result rows known without reading data, such as schema checks; kept inside the plan."""
     records = [

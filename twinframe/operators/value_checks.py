@@ -7,36 +7,29 @@ are then counted per check and column, and the first few per check and column ar
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twinframe.functions import canon as cn
+from twinframe.functions import cells
 from twinframe.functions import text as tx
-from twinframe.functions import types as ty
 from twinframe.operators import messages as m
 from twinframe.operators.ordinal import POSITION
-from twinframe.operators.results import FAIL, INFO, PASS, SKIP, fixed_rows, row_columns
+from twinframe.operators.results import FAIL, INFO, PASS, SKIP, fixed_rows, row_sql
 from twinframe.plans.pair import Pair
 
 VALUE, CASING, ZERO, SPECIAL, HASH = 7, 12, 13, 14, 15
+CHECK_NAMES = {VALUE: m.DATA, CASING: m.CASE, ZERO: m.LEADING_ZERO, SPECIAL: m.SPECIAL_CHAR, HASH: m.CHECKSUM}
 EXAMPLES = {VALUE: m.VALUE_EXAMPLES, CASING: 1, ZERO: 1, SPECIAL: 1, HASH: m.CHECKSUM_EXAMPLES}
 ROW_LEVEL = -1  # column number of findings about a whole row
 SEED = -2  # column number of the row that stands for "this check ran"
 
 
-def row_hash(columns: list[Column], dtypes: list) -> Column:
+def row_hash(schema: T.StructType, columns: list[str]) -> Column:
     """MD5 of the row's value texts joined by a bar."""
-    return F.md5(F.concat_ws("|", *[tx.present_text(c, t) for c, t in zip(columns, dtypes)]))
-
-
-def _text_differs(s: Column, t: Column, s_type, t_type) -> Column:
-    if s_type == t_type and ty.is_floating(s_type):
-        return ~cn.values_equal(s, t, s_type, t_type)
-    if s_type == t_type and ty.family(s_type) != ty.STRING and not ty.contains_map(s_type):
-        return ~s.eqNullSafe(t)
-    return tx.present_text(s, s_type) != tx.present_text(t, t_type)
+    texts = [tx.present_text(tx.ident(c), schema[c].dataType) for c in columns]
+    return F.expr(f"md5(concat_ws('|', {', '.join(texts)}))")
 
 
 class RowChecks:
@@ -61,216 +54,189 @@ class RowChecks:
             self.source_columns += [c for c in pair.source_schema.names if c not in pair.common]
             self.target_columns += [c for c in pair.target_schema.names if c not in pair.common]
 
-    def _types(self, i: int):
-        return self.pair.types(self.columns[i])
-
-    def _compared(self) -> list[int]:
-        """Columns whose values are compared: all but the key, which is equal by the join."""
-        return [i for i, c in enumerate(self.columns) if c not in self.pair.keys]
-
-    def _textual(self) -> list[int]:
-        """Columns where a text difference can show: at least one side is a string or nested."""
-        texts = (ty.STRING, ty.BINARY, ty.NESTED)
-        return [i for i in range(len(self.columns)) if any(ty.family(t) in texts for t in self._types(i))]
-
-    def _value_flags(self, s: Column, t: Column, i: int) -> Column:
-        return ~cn.values_equal(s, t, *self._types(i))
+    def matched(self) -> tuple[DataFrame, list[str]]:
+        rows, names = self.pair.matched(self.source_columns, self.target_columns)
+        if self.sample_rows:
+            rows = rows.orderBy(*names).limit(self.sample_rows)
+        return rows, names
 
-    def _suspect(self, s: Column, t: Column, i: int) -> Column:
-        """Cheap superset of every finding about a column."""
-        s_type, t_type = self._types(i)
-        if s_type == t_type and not ty.contains_map(s_type):
-            return ~s.eqNullSafe(t)
-        return _text_differs(s, t, s_type, t_type) | self._value_flags(s, t, i)
+    def _cells(self) -> list[tuple]:
+        """Column pairs that can differ; key columns only where the join compares them by value."""
+        skipped = self.pair.keys if self.pair.shape and self.pair.shape.mode == "strict" else []
+        return [
+            (i, f"s_{i}", f"t_{i}", *self.pair.types(c)) for i, c in enumerate(self.columns) if c not in skipped
+        ]
 
-    def _hashes(self) -> tuple[Column, Column]:
-        def side(mark: str, names: list[str], own: list[str], schema) -> Column:
-            chosen = [c for c in (own if self.hash_all else self.pair.common) if c not in self.pair.keys]
-            return row_hash(
-                [F.col(f"{mark}_{names.index(c)}") for c in chosen], [schema[c].dataType for c in chosen]
-            )
+    def _hash(self, mark: str, names: list[str], schema: T.StructType, own: list[str]) -> str:
+        """Row hash written over an array of cells, so that its code does not grow with the columns."""
+        chosen = [c for c in (own if self.hash_all else self.columns) if c not in self.pair.keys]
+        if not chosen:
+            return "md5('')"
+        types = [schema[c].dataType for c in chosen]
+        texts = ", ".join(cells.raw(f"{mark}_{names.index(c)}", t) for c, t in zip(chosen, types))
+        kinds = ", ".join(f"'{cells.kind_of(t)}'" for t in types)
+        spelled = f"zip_with(array({texts}), array({kinds}), (cell, kind) -> {cells.plain_text('cell', 'kind')})"
+        return f"md5(array_join({spelled}, '|'))"
 
+    def _hashes(self) -> tuple[str, str]:
         pair = self.pair
         return (
-            side("s", self.source_columns, pair.source_schema.names, pair.full_source.schema),
-            side("t", self.target_columns, pair.target_schema.names, pair.full_target.schema),
+            self._hash("s", self.source_columns, pair.full_source.schema, pair.source_schema.names),
+            self._hash("t", self.target_columns, pair.full_target.schema, pair.target_schema.names),
         )
 
-    def _finding(self, flag: Column, check: int, column: int, s: Column, t: Column, texts: bool) -> Column:
-        fields = [F.lit(check).alias("f"), F.lit(column).alias("c")]
-        if texts:
-            fields += [s.alias("sv"), t.alias("tv")]
-        return F.when(flag, F.struct(*fields))
-
-    def _column_findings(self, i: int, texts: bool) -> list[Column]:
-        s, t = F.col(f"s_{i}"), F.col(f"t_{i}")
-        s_type, t_type = self._types(i)
-        found = []
-        if VALUE in self.checks and i in self._compared():
-            shown = (tx.clipped(tx.display(s, s_type)), tx.clipped(tx.display(t, t_type)))
-            found.append(self._finding(self._value_flags(s, t, i), VALUE, i, *shown, texts))
-        if i not in self._textual():
-            return found
-        st, tt = tx.present_text(s, s_type), tx.present_text(t, t_type)
-        if CASING in self.checks:
-            found.append(self._finding((F.lower(st) == F.lower(tt)) & (st != tt), CASING, i, st, tt, texts))
-        if ZERO in self.checks:
-            bare = tx.drop_leading_zeros if self.robust_zeros else tx.drop_first_zero
-            flag = (st.startswith("0") != tt.startswith("0")) & (bare(st) == bare(tt))
-            found.append(self._finding(flag, ZERO, i, st, tt, texts))
-        if SPECIAL in self.checks:
-            shown = (tx.clipped(tx.quoted(st)), tx.clipped(tx.quoted(tt)))
-            found.append(self._finding(tx.is_ascii(st) != tx.is_ascii(tt), SPECIAL, i, *shown, texts))
-        return found
-
-    def matched(self) -> tuple[DataFrame, list[str]]:
-        rows, names = self.pair.matched(self.source_columns, self.target_columns)
-        if self.sample_rows:
-            rows = rows.orderBy(*names).limit(self.sample_rows)
-        return rows, names
-
     def findings(self, texts: bool) -> tuple[DataFrame, list[str]]:
-        """One row per finding: row names, check, column number and, if asked for, the two value texts."""
+        """One row per finding: row names, check ``f``, column number ``c`` and the two cells ``sv``, ``tv``.
+
+        Rows equal in every cell are dropped first. What is left is taken apart into differing cells, and the
+        checks look at cells, not at columns.
+        """
         rows, names = self.matched()
-        width = range(len(self.columns))
-        suspects = [self._suspect(F.col(f"s_{i}"), F.col(f"t_{i}"), i) for i in width]
-        if self.hash_all:
-            s_hash, t_hash = self._hashes()
-            suspects.append(s_hash != t_hash)
-        found = [f for i in width for f in self._column_findings(i, texts)]
+        pairs = self._cells()
+        flags = [cells.may_differ(*p[1:]) for p in pairs]
+        parts = [cells.differing_cell(*p) for p in pairs]
         if HASH in self.checks:
-            s_hash, t_hash = self._hashes()
-            short = [F.substring(h, 1, m.HASH_DIGITS) for h in (s_hash, t_hash)]
-            found.append(self._finding(s_hash != t_hash, HASH, ROW_LEVEL, *short, texts))
-        if not found:
-            found = [F.lit(None).cast("struct<f:int,c:int,sv:string,tv:string>")]
-        if suspects:
-            rows = rows.where(reduce(or_, suspects))
-        return rows.select(*names, F.inline(F.array(*found))).where("f IS NOT NULL"), names
+            s_hash, t_hash = self._hashes() if texts or self.hash_all else ("''", "''")
+            spelled = [cells.text_differs(*p[1:]) for p in pairs if self.columns[p[0]] not in self.pair.keys]
+            differs = f"{s_hash} <> {t_hash}" if self.hash_all else " OR ".join(spelled) or "false"
+            row = f"named_struct('c', {ROW_LEVEL}, 'sv', {s_hash}, 'tv', {t_hash})"
+            parts.append(f"CASE WHEN {differs} THEN {row} END")
+            if self.hash_all:
+                flags.append(differs)
+        if not parts:
+            parts, flags = ["CAST(NULL AS STRUCT<c: INT, sv: STRING, tv: STRING>)"], ["false"]
+        taken = rows.where(" OR ".join(flags)).selectExpr(*names, f"inline(array({', '.join(parts)}))")
+        tests = ", ".join(f"CASE WHEN {test} THEN {check} END" for check, test in self._tests())
+        found = self._described(taken.where("c IS NOT NULL"))
+        return found.selectExpr(*names, f"explode(array({tests})) AS f", "c", "sv", "tv").where("f IS NOT NULL"), names
+
+    def _described(self, cell_rows: DataFrame) -> DataFrame:
+        """Cells with their kinds ``sk`` and ``tk`` and the texts the checks compare."""
+        kinds = {}
+        for side, name in enumerate(("sk", "tk")):
+            listed = ", ".join(f"'{cells.kind_of(self.pair.types(c)[side])}'" for c in self.columns)
+            kinds[name] = F.expr(f"get(array({listed or repr('')}), c)")
+        return cells.described(cell_rows.withColumns(kinds), {"sv": "sk", "tv": "tk"})
+
+    def _tests(self) -> list[tuple[int, str]]:
+        # Case, zeros and characters can only differ where at least one side is a text.
+        texty = f"c >= 0 AND ({cells.is_texty('sk')} OR {cells.is_texty('tk')})"
+        s, t = "sv_plain", "tv_plain"
+        bare = tx.drop_leading_zeros if self.robust_zeros else tx.drop_first_zero
+        value_cell = " AND ".join(["c >= 0", *[f"c <> {i}" for i, n in enumerate(self.columns) if n in self.pair.keys]])
+        tests = {
+            VALUE: f"{value_cell} AND {cells.differs('sk', 'tk', 'sv_canon', 'tv_canon')}",
+            CASING: f"{texty} AND lower({s}) = lower({t}) AND {s} <> {t}",
+            ZERO: f"{texty} AND startswith({s}, '0') <> startswith({t}, '0') AND {bare(s)} = {bare(t)}",
+            SPECIAL: f"{texty} AND {tx.is_ascii(s)} <> {tx.is_ascii(t)}",
+            HASH: f"c = {ROW_LEVEL}",
+        }
+        return [(check, tests[check]) for check in self.checks]
 
     def report(self) -> DataFrame:
         """Counts, examples and one seed row per check, seen together; every input row is one of a few."""
-        spark = self.pair.spark
         counted, _ = self.findings(texts=False)
         counts = counted.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"))
-        seeds = spark.range(1).select(
-            F.explode(F.array(*[F.lit(f) for f in self.checks])).alias("f"),
-            F.lit(SEED).alias("c"),
-            F.lit(0).cast("long").alias("n"),
-        )
-        totals = counts.unionByName(seeds).select(
-            "f",
-            "c",
-            "n",
-            F.lit(0).alias("i"),
-            F.lit("").alias("pk"),
-            F.lit("").alias("sv"),
-            F.lit("").alias("tv"),
+        seeds = self.pair.spark.range(1).selectExpr(
+            f"explode(array({', '.join(map(str, self.checks))})) AS f", f"{SEED} AS c", "0L AS n"
         )
+        totals = counts.unionByName(seeds).selectExpr("f", "c", "n", "0 AS i", "'' AS pk", "'' AS sv", "'' AS tv")
         found, names = self.findings(texts=True)
         if self.pair.comparable_by_key or VALUE not in self.checks:
             examples = self._first_per_column(found, names)
         else:
             # Keyless value examples are capped over all columns together, in row order.
-            rowwise = found.where(F.col("f") == VALUE).orderBy(POSITION, "c").limit(m.POSITION_EXAMPLES)
+            rowwise = found.where(f"f = {VALUE}").orderBy(POSITION, "c").limit(m.POSITION_EXAMPLES)
             examples = rowwise.withColumn("i", F.row_number().over(Window.orderBy(POSITION, "c")))
             if len(self.checks) > 1:
-                examples = examples.unionByName(self._first_per_column(found.where(F.col("f") != VALUE), names))
-        examples = examples.select(
-            "f", "c", F.lit(None).cast("long").alias("n"), "i", self.pair.row_label().alias("pk"), "sv", "tv"
+                examples = examples.unionByName(self._first_per_column(found.where(f"f <> {VALUE}"), names))
+        examples = self._described(examples).select(
+            "f",
+            "c",
+            F.lit(None).cast("long").alias("n"),
+            "i",
+            self.pair.row_label().alias("pk"),
+            self._shown("sv", "sk"),
+            self._shown("tv", "tk"),
         )
-        both = totals.unionByName(examples)
-        per_column = Window.partitionBy("f", "c")
-        per_check = Window.partitionBy("f")
-        both = both.withColumn("n", F.max("n").over(per_column)).withColumn(
-            "total", F.sum(F.when(F.col("i") == 0, F.col("n"))).over(per_check)
+        both = totals.unionByName(examples).selectExpr(
+            "f", "c", "i", "pk", "sv", "tv", "max(n) OVER (PARTITION BY f, c) AS n",
+            "sum(CASE WHEN i = 0 THEN n END) OVER (PARTITION BY f) AS total",
         )
-        return both.where(self._kept()).select(*self._row())
+        return both.where(self._kept()).selectExpr(*self._row())
+
+    def _shown(self, x: str, kind: str) -> Column:
+        """How the report spells a cell of an example."""
+        plain = f"{x}_plain"
+        return F.expr(
+            f"""CASE f
+              WHEN {HASH} THEN substring({x}, 1, {m.HASH_DIGITS})
+              WHEN {VALUE} THEN {tx.clipped(cells.shown(x, kind, plain))}
+              WHEN {SPECIAL} THEN {tx.clipped(tx.quoted(plain))}
+              ELSE {plain} END"""
+        ).alias(x)
 
     def _first_per_column(self, found: DataFrame, names: list[str]) -> DataFrame:
         """First findings per check and column; each task keeps its own first few before the shuffle."""
-        limit = max(EXAMPLES.values())
         place = F.row_number().over(Window.partitionBy("f", "c").orderBy(*names))
-        allowed = reduce(
-            lambda acc, item: acc.when(F.col("f") == item[0], item[1]), EXAMPLES.items(), F.when(F.lit(False), 0)
-        )
-        return found.withColumn("i", place).where(F.col("i") <= limit).where(F.col("i") <= allowed)
+        limits = " ".join(f"WHEN {check} THEN {limit}" for check, limit in EXAMPLES.items())
+        kept = found.withColumn("i", place).where(f"i <= {max(EXAMPLES.values())}")
+        return kept.where(f"i <= CASE f {limits} END")
 
-    def _kept(self) -> Column:
-        """Which bookkeeping rows become result rows; examples always do."""
-        f, c, i, total = F.col("f"), F.col("c"), F.col("i"), F.col("total")
-        keyed = self.pair.comparable_by_key
-        passed = (c == SEED) & (total == 0)
-        column_summary = (f == VALUE) & (c >= 0) & F.lit(keyed)
-        overflow = (f == HASH) & (c == ROW_LEVEL) & (total > m.CHECKSUM_EXAMPLES)
-        if not keyed:
-            overflow = overflow | ((f == VALUE) & (c == SEED) & (total > m.POSITION_EXAMPLES))
-        return (i > 0) | passed | column_summary | overflow
+    def _overflow(self) -> str:
+        """Rows that say how many findings are not shown."""
+        overflow = f"(f = {HASH} AND c = {ROW_LEVEL} AND total > {m.CHECKSUM_EXAMPLES})"
+        if not self.pair.comparable_by_key:
+            overflow += f" OR (f = {VALUE} AND c = {SEED} AND total > {m.POSITION_EXAMPLES})"
+        return f"(i = 0 AND ({overflow}))"
 
-    def _row(self) -> list[Column]:
-        f, c, i, n, total = (F.col(x) for x in ("f", "c", "i", "n", "total"))
-        sv, tv = F.col("sv"), F.col("tv")
-        pair, keyed = self.pair, self.pair.comparable_by_key
-        names = F.array(*[F.lit(x) for x in self.columns]) if self.columns else F.array(F.lit(""))
-        column = F.when(c >= 0, F.get(names, c)).otherwise("")
-        is_example, is_seed = i > 0, c == SEED
-        validation = F.element_at(
-            F.create_map(
-                *[
-                    F.lit(x)
-                    for pairs in (
-                        (VALUE, m.DATA),
-                        (CASING, m.CASE),
-                        (ZERO, m.LEADING_ZERO),
-                        (SPECIAL, m.SPECIAL_CHAR),
-                        (HASH, m.CHECKSUM),
-                    )
-                    for x in pairs
-                ]
-            ),
-            f,
-        )
-        overflow = (i == 0) & (total > 0) & ((f == HASH) | is_seed)
-        result = F.when(is_seed & (total == 0), PASS).when(overflow, INFO).otherwise(FAIL)
+    def _kept(self) -> str:
+        """Which bookkeeping rows become result rows; examples always do."""
+        summary = f"f = {VALUE} AND c >= 0" if self.pair.comparable_by_key else "false"
+        return f"i > 0 OR (c = {SEED} AND total = 0) OR ({summary}) OR {self._overflow()}"
 
-        width = len(self.columns)
+    def _row(self) -> list[str]:
+        pair, keyed, width = self.pair, self.pair.comparable_by_key, len(self.columns)
+        names = ", ".join(tx.literal(c) for c in self.columns) or "''"
+        column = f"CASE WHEN c >= 0 THEN get(array({names}), c) ELSE '' END"
+        passed, overflow = f"(c = {SEED} AND total = 0)", self._overflow()
         if keyed:
-            value_passed = m.ALL_VALUES_MATCH.format(k=pair.stats.common, c=width)
-            value_example = F.format_string(m.VALUE_MISMATCH, i, n)
+            all_match = m.ALL_VALUES_MATCH.format(k=pair.stats.common, c=width)
+            example = f"format_string('{m.VALUE_MISMATCH}', i, n)"
         else:
             rows = min(pair.stats.source_rows, pair.stats.target_rows)
-            value_passed = m.ALL_POSITIONS_MATCH.format(n=rows, c=width)
-            value_example = F.lit(m.POSITION_MISMATCH)
-        detail = (
-            F.when(is_seed & (total == 0) & (f == VALUE), value_passed)
-            .when(is_seed & (total == 0) & (f == CASING), m.CASE_MATCHES)
-            .when(is_seed & (total == 0) & (f == ZERO), m.ZERO_MATCHES)
-            .when(is_seed & (total == 0) & (f == SPECIAL), m.SPECIAL_MATCHES)
-            .when(is_seed & (total == 0) & (f == HASH), m.CHECKSUMS_MATCH.format(n=pair.stats.common))
-            .when(overflow & (f == HASH), F.format_string(m.MORE_CHECKSUMS, total - m.CHECKSUM_EXAMPLES))
-            .when(overflow, F.format_string(m.MORE_POSITIONS, total - m.POSITION_EXAMPLES))
-            .when((f == VALUE) & is_example, value_example)
-            .when(f == VALUE, F.format_string(m.COLUMN_MISMATCHES, n, column))
-            .when(f == CASING, F.format_string(m.CASE_DIFFERS, sv, tv))
-            .when(f == ZERO, F.format_string(m.ZERO_DIFFERS, sv, tv))
-            .when(f == SPECIAL, m.SPECIAL_DIFFERS)
-            .otherwise(m.CHECKSUM_DIFFERS)
-        )
-        shows_key = is_example & f.isin(VALUE, HASH)
+            all_match = m.ALL_POSITIONS_MATCH.format(n=rows, c=width)
+            example = f"'{m.POSITION_MISMATCH}'"
+        passes = {
+            VALUE: all_match,
+            CASING: m.CASE_MATCHES,
+            ZERO: m.ZERO_MATCHES,
+            SPECIAL: m.SPECIAL_MATCHES,
+            HASH: m.CHECKSUMS_MATCH.format(n=pair.stats.common),
+        }
+        detail = f"""CASE
+          WHEN {passed} THEN CASE f {' '.join(f"WHEN {f} THEN '{text}'" for f, text in passes.items())} END
+          WHEN {overflow} AND f = {HASH} THEN format_string('{m.MORE_CHECKSUMS}', total - {m.CHECKSUM_EXAMPLES})
+          WHEN {overflow} THEN format_string('{m.MORE_POSITIONS}', total - {m.POSITION_EXAMPLES})
+          WHEN f = {VALUE} AND i > 0 THEN {example}
+          WHEN f = {VALUE} THEN format_string('{m.COLUMN_MISMATCHES}', n, {column})
+          WHEN f = {CASING} THEN format_string({tx.literal(m.CASE_DIFFERS)}, sv, tv)
+          WHEN f = {ZERO} THEN format_string({tx.literal(m.ZERO_DIFFERS)}, sv, tv)
+          WHEN f = {SPECIAL} THEN '{m.SPECIAL_DIFFERS}'
+          ELSE '{m.CHECKSUM_DIFFERS}' END"""
         # Value rows follow the key match rows of check 7; an overflow row follows its examples.
-        place = F.greatest(c, F.lit(0))
-        part = F.when(f == VALUE, 10 + (place if keyed else 0)).otherwise(place)
-        return row_columns(
-            f,
-            validation,
-            result,
-            part=part,
-            example=F.when(overflow, 2**31 - 1).otherwise(i),
+        return row_sql(
+            "f",
+            f"CASE f {' '.join(f'WHEN {f} THEN {name!r}' for f, name in CHECK_NAMES.items())} END",
+            f"CASE WHEN {passed} THEN '{PASS}' WHEN {overflow} THEN '{INFO}' ELSE '{FAIL}' END",
+            part=f"CASE WHEN f = {VALUE} THEN 10 ELSE 0 END + "
+            + ("greatest(c, 0)" if keyed else f"CASE WHEN f = {VALUE} THEN 0 ELSE greatest(c, 0) END"),
+            example=f"CASE WHEN {overflow} THEN {2**31 - 1} ELSE i END",
             column=column,
-            pk=F.when(shows_key, F.col("pk")).otherwise(""),
+            pk=f"CASE WHEN i > 0 AND f IN ({VALUE}, {HASH}) THEN pk ELSE '' END",
             detail=detail,
-            source_value=sv,
-            target_value=tv,
+            source_value="sv",
+            target_value="tv",
         )
 
 

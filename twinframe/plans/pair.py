@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions import types as ty
-from twinframe.functions.text import nested_text
+from twinframe.functions.text import ident, nested_text
 from twinframe.operators import keys as ks
 from twinframe.operators.align import common_columns
 from twinframe.operators.ordinal import POSITION, with_position
@@ -39,7 +39,7 @@ def _comparable(df: DataFrame) -> DataFrame:
         return df
     return df.select(
         *[
-            nested_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
+            F.expr(nested_text(ident(f.name), f.dataType)).alias(f.name)
             if ty.contains_map(f.dataType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields

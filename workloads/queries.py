@@ -120,7 +120,7 @@ def _text_sides(df: DataFrame) -> DataFrame:
         "o_orderstatus",
         "o_orderpriority",
         "code",
-        tx.timestamp_text(F.col("o_orderdate")).alias("o_orderdate"),
+        F.expr(tx.timestamp_text("o_orderdate")).alias("o_orderdate"),
     )
 
 
@@ -772,7 +772,7 @@ def column_specs(spark: SparkSession, d: str) -> DataFrame:
 @query("canonical_values", f"SELECT o_orderkey, {canon('spelled')} AS canonical FROM ({plain(pairs.SPELLINGS)})")
 def canonical_values(spark: SparkSession, d: str) -> DataFrame:
     rows = derive(spark, d, pairs.SPELLINGS)
-    return rows.select("o_orderkey", cn.canon(F.col("spelled"), rows.schema["spelled"].dataType).alias("canonical"))
+    return rows.select("o_orderkey", F.expr(cn.canon("spelled", rows.schema["spelled"].dataType)).alias("canonical"))
 
 
 @query(
@@ -787,8 +787,7 @@ def canonical_values(spark: SparkSession, d: str) -> DataFrame:
 def row_hash(spark: SparkSession, d: str) -> DataFrame:
     rows = derive(spark, d, pairs.LINEITEM_TARGET)
     names = ["l_partkey", "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate"]
-    digest = value_checks.row_hash([F.col(n) for n in names], [rows.schema[n].dataType for n in names])
-    return rows.select(*LINE_KEYS, digest.alias("row_md5"))
+    return rows.select(*LINE_KEYS, value_checks.row_hash(rows.schema, names).alias("row_md5"))
 
 
 @query(
@@ -800,9 +799,9 @@ def float_text(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
     return rows.select(
         *LINE_KEYS,
-        tx.float_text(F.col("l_extendedprice") * 1000000000000).alias("large"),
-        tx.float_text(F.col("l_extendedprice") * 1000).alias("middle"),
-        tx.float_text(F.col("l_discount") / 1048576).alias("small"),
+        F.expr(tx.float_text("(l_extendedprice * 1000000000000)")).alias("large"),
+        F.expr(tx.float_text("(l_extendedprice * 1000)")).alias("middle"),
+        F.expr(tx.float_text("(l_discount / 1048576)")).alias("small"),
     )
 
 
@@ -813,9 +812,9 @@ def float_text(spark: SparkSession, d: str) -> DataFrame:
        ELSE substr(p_name || p_type, 1, 13) || '...' END AS truncated FROM part""",
 )
 def text_forms(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat("p_type", F.lit(" / "), "p_name", F.lit("!"))
-    return table(spark, d, "part").select(
-        "p_partkey", tx.slug(name).alias("slug"), tx.truncated(F.concat("p_name", "p_type"), 16).alias("truncated")
+    name = "concat(p_type, ' / ', p_name, '!')"
+    return table(spark, d, "part").selectExpr(
+        "p_partkey", f"{tx.slug(name)} AS slug", f"{tx.truncated('concat(p_name, p_type)', 16)} AS truncated"
     )
 
 
