@@ -226,7 +226,7 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "events").select("event_id", "event_type", "props")
     records.groupBy(F.floor(F.col("event_id") / 1000)).agg(
         F.to_json(F.collect_list(F.struct("event_id", "event_type", "props"))).alias("value")
-    ).select("value").write.text(path)
+    ).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return load_source(spark, {"type": "file", "format": "json", "path": path}).select("event_id", "event_type", "props")
 
 
@@ -245,9 +245,14 @@ def xlsx_rows(spark: SparkSession, d: str) -> DataFrame:
     return xlsx.xlsx_table(containers.xlsx_files(rows, "c_custkey"), "data")
 
 
-@query("workbook_extract", "SELECT p_partkey, p_name, p_brand, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
+@query(
+    "workbook_extract",
+    "SELECT p_partkey, p_name || ', ' || p_type AS p_name, p_brand, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
+)
 def workbook_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    """Commas inside names show in tab separated members that the comma is not their separator."""
+    name = F.concat("p_name", F.lit(", "), "p_type").alias("p_name")
+    rows = table(spark, d, "part").select("p_partkey", name, "p_brand", "p_size", "p_retailprice")
     return workbook.workbook_extract(containers.embedded_workbooks(rows, "p_partkey"))
 
 
