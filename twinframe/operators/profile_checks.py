@@ -1,12 +1,12 @@
 """Per-column statistics of both sides: nulls, empty strings, date ranges and distinct values.
 
-Each side is scanned once for nulls, empties and date ranges; the statistics of all columns travel as arrays
-in one row, so the two sides meet without a join.
+Each side is scanned once for nulls, empty strings and date ranges. The statistics of all columns travel as
+arrays in one row, so the two sides meet without a join, and one row per column comes back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from twinframe.functions import text as tx
 from twinframe.functions import types as ty
 from twinframe.operators import messages as m
 from twinframe.operators.ordinal import POSITION
-from twinframe.operators.results import ALL_COLUMNS, FAIL, PASS, fixed_rows, row_columns, union_all
+from twinframe.operators.results import FAIL, PASS, fixed_rows, row_columns, row_sql, union_all
 from twinframe.plans.pair import Pair
 
 # How a date inside text may be written, besides the ISO form.
@@ -39,28 +39,32 @@ def parsed_date(x: str, dtype: T.DataType) -> str | None:
     return f"CASE WHEN {x} RLIKE r'{DATE_LIKE}' THEN coalesce({', '.join(tries)}) END"
 
 
+STATISTICS = ("nulls", "empties", "lows", "highs")
+
+
 def _side_profile(df: DataFrame, columns: list[str], wanted: list[str], dates: list[bool]) -> DataFrame:
     """One row: an array per statistic, in the order of ``columns``."""
     aggregates = {}
     for i, (name, is_date) in enumerate(zip(columns, dates)):
         dtype, x = df.schema[name].dataType, tx.ident(name)
         if "nulls" in wanted:
-            aggregates[f"n{i}"] = f"count_if({cn.is_missing(x, dtype)})"
+            aggregates[f"nulls{i}"] = f"count_if({cn.is_missing(x, dtype)})"
+        if "empties" in wanted and ty.family(dtype) == ty.STRING:
+            aggregates[f"empties{i}"] = f"count_if({x} = '')"
         if "dates" in wanted and is_date:
             day = parsed_date(x, dtype)
-            aggregates |= {f"lo{i}": f"min({day})", f"hi{i}": f"max({day})"}
+            aggregates |= {f"lows{i}": f"min({day})", f"highs{i}": f"max({day})"}
     row = df.selectExpr(*[f"{a} AS {n}" for n, a in aggregates.items()] or ["count(*) AS none"])
 
-    def collected(mark: str, fallback: str) -> str:
-        found = [f"{mark}{i}" if f"{mark}{i}" in aggregates else fallback for i in range(len(columns))]
-        return f"array({', '.join(found)})"
+    def collected(mark: str) -> str:
+        names = [f"{mark}{i}" for i in range(len(columns))]
+        if mark in ("lows", "highs"):
+            cells = [tx.timestamp_text(n) if n in aggregates else "CAST(NULL AS STRING)" for n in names]
+        else:
+            cells = [n if n in aggregates else "0L" for n in names]
+        return f"array({', '.join(cells)}) AS {mark}"
 
-    no_date = "CAST(NULL AS TIMESTAMP_NTZ)"
-    return row.selectExpr(
-        f"{collected('n', '0L')} AS nulls",
-        f"{collected('lo', no_date)} AS lows",
-        f"{collected('hi', no_date)} AS highs",
-    )
+    return row.selectExpr(*[collected(mark) for mark in STATISTICS])
 
 
 def _profile_group(pair: Pair, columns: list[str], wanted: list[str]) -> DataFrame:
@@ -69,175 +73,111 @@ def _profile_group(pair: Pair, columns: list[str], wanted: list[str]) -> DataFra
     sides = []
     for mark, df in (("s", pair.source), ("t", pair.target)):
         sides.append(_side_profile(df, columns, wanted, dates).withColumn("side", F.lit(mark)))
-    both = sides[0].unionByName(sides[1])
-
-    def of(mark: str, name: str) -> Column:
-        return F.any_value(F.when(F.col("side") == mark, F.col(name)), ignoreNulls=True).alias(f"{mark}_{name}")
-
-    return both.agg(*[of(mark, name) for name in ("nulls", "lows", "highs") for mark in ("s", "t")])
+    picks = [
+        f"any_value(CASE WHEN side = '{mark}' THEN {name} END, true) AS {mark}_{name}"
+        for name in STATISTICS
+        for mark in ("s", "t")
+    ]
+    return sides[0].unionByName(sides[1]).selectExpr(*picks)
 
 
 def column_profile(pair: Pair, wanted: list[str]) -> DataFrame:
-    """One row per common column with both sides' statistics: place, column, s_/t_ nulls, lows, highs."""
+    """One row per common column: place, column, and nulls, empties, lows and highs of both sides."""
     frames = []
     for start in range(0, len(pair.common), GROUP_WIDTH):
         group = pair.common[start : start + GROUP_WIDTH]
-        names = F.array(*[F.lit(c) for c in group]).alias("column")
-        arrays = [f"{mark}_{name}" for name in ("nulls", "lows", "highs") for mark in ("s", "t")]
-        zipped = F.arrays_zip(names, *arrays)
-        row = _profile_group(pair, group, wanted).select(F.posexplode(zipped).alias("place", "z"))
-        frames.append(row.select((F.col("place") + start).alias("place"), "z.*"))
+        names = ", ".join(tx.literal(c) for c in group)
+        arrays = ", ".join(f"{mark}_{name}" for name in STATISTICS for mark in ("s", "t"))
+        row = _profile_group(pair, group, wanted).selectExpr(f"array({names}) AS column", "*")
+        row = row.selectExpr(f"posexplode(arrays_zip(column, {arrays})) AS (place, z)")
+        frames.append(row.selectExpr(f"place + {start} AS place", "z.*"))
     return union_all(frames)
 
 
-def _or_passed(rows: DataFrame, found: Column, passed: list[Column], row: list[Column]) -> DataFrame:
-    """Result rows for the columns in ``found``; when there is none, the single PASS row."""
-    total = F.count_if(found).over(Window.partitionBy())  # as many rows as there are columns
-    first = F.row_number().over(Window.partitionBy().orderBy("place")) == 1
-    marked = rows.select("*", total.alias("_found"), first.alias("_first")).where(
-        found | ((F.col("_found") == 0) & F.col("_first"))
-    )
-    none = F.col("_found") == 0
-    return marked.select(*[F.when(none, p).otherwise(r).alias(n) for p, r, n in zip(passed, row, ALL_COLUMNS)])
-
-
-def profile_checks(pair: Pair, checks: tuple[str, ...] = ("nulls", "dates")) -> DataFrame:
-    """Null counts (check 5) and date ranges (check 11) from one scan per side."""
-    if not pair.common:
-        return fixed_rows(
-            pair.spark,
-            [r for c, r in (("nulls", _no_nulls()), ("dates", _dates_match())) if c in checks],
-        )
-    rows = column_profile(pair, list(checks))
-    column, place = F.col("column"), F.col("place")
-    frames = []
-    if "nulls" in checks:
-        s, t = F.col("s_nulls"), F.col("t_nulls")
-        row = row_columns(
-            5,
-            m.NULLS,
-            F.when(s == t, PASS).otherwise(FAIL),
-            part=place,
-            column=column,
-            detail=F.format_string(m.NULL_COUNTS, s, t),
-            source_value=s,
-            target_value=t,
-        )
-        passed = row_columns(5, m.NULLS, PASS, detail=m.NO_NULLS, source_value="0", target_value="0")
-        frames.append(_or_passed(rows, (s > 0) | (t > 0), passed, row))
-    if "dates" in checks:
-        low, high = (F.col("s_lows"), F.col("t_lows")), (F.col("s_highs"), F.col("t_highs"))
-        shown = [
-            F.format_string(m.DATE_RANGE_TEXT, *[F.expr(tx.timestamp_text(f"{mark}_{end}")) for end in ("lows", "highs")])
-            for mark in ("s", "t")
+class Profile:
+    """Checks answered by column statistics; the statistics come from one job over both sides."""
+
+    def __init__(self, pair: Pair, wanted: list[str]) -> None:
+        self.pair = pair
+        # As many rows as there are common columns.
+        self.rows = column_profile(pair, wanted).orderBy("place").collect() if pair.common else []
+
+    def nulls(self) -> DataFrame:
+        found = [
+            {
+                "check_no": 5,
+                "part": r.place,
+                "validation": m.NULLS,
+                "result": PASS if r.s_nulls == r.t_nulls else FAIL,
+                "column": r.column,
+                "detail": m.NULL_COUNTS % (r.s_nulls, r.t_nulls),
+                "source_value": r.s_nulls,
+                "target_value": r.t_nulls,
+            }
+            for r in self.rows
+            if r.s_nulls or r.t_nulls
         ]
-        differs = F.coalesce((low[0] != low[1]) | (high[0] != high[1]), F.lit(False))
-        row = row_columns(
-            11,
-            m.DATE_RANGE,
-            FAIL,
-            part=place,
-            column=column,
-            detail=m.DATES_DIFFER,
-            source_value=shown[0],
-            target_value=shown[1],
-        )
-        passed = row_columns(11, m.DATE_RANGE, PASS, detail=m.DATES_MATCH)
-        frames.append(_or_passed(rows, differs, passed, row))
-    return union_all(frames)
-
-
-def _no_nulls() -> dict:
-    return {
-        "check_no": 5,
-        "validation": m.NULLS,
-        "result": PASS,
-        "detail": m.NO_NULLS,
-        "source_value": "0",
-        "target_value": "0",
-    }
-
-
-def _dates_match() -> dict:
-    return {"check_no": 11, "validation": m.DATE_RANGE, "result": PASS, "detail": m.DATES_MATCH}
-
-
-def empty_strings(pair: Pair, all_columns: bool = False) -> DataFrame:
-    """Exactly empty strings, per side: the first column holding any, with up to three rows."""
-    seed = fixed_rows(pair.spark, [{"check_no": 6, "validation": m.EMPTY_STRING, "detail": m.NO_EMPTY}])
-    bookkeeping = [
-        seed.select(
-            F.lit(-1).alias("side"),
-            F.lit(-1).alias("c"),
-            F.lit(0).cast("long").alias("n"),
-            F.lit(0).alias("i"),
-            F.lit("").alias("pk"),
-        )
-    ]
-    for side, df in enumerate((pair.source, pair.target)):
-        positioned = None if pair.keys else (pair.positioned_source, pair.positioned_target)[side]
-        found, names = _empty_cells(pair, df, positioned)
-        if found is None:
-            continue
-        counts = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-        bookkeeping.append(
-            counts.select(F.lit(side).alias("side"), "c", "n", F.lit(0).alias("i"), F.lit("").alias("pk"))
-        )
-        place = F.row_number().over(Window.partitionBy("c").orderBy(*names))
-        examples = found.withColumn("i", place).where(F.col("i") <= m.EMPTY_EXAMPLES)
-        bookkeeping.append(
-            examples.select(
-                F.lit(side).alias("side"), "c", F.lit(None).cast("long").alias("n"), "i", pair.row_label().alias("pk")
+        passed = {"check_no": 5, "validation": m.NULLS, "result": PASS, "detail": m.NO_NULLS}
+        return fixed_rows(self.pair.spark, found or [passed | {"source_value": 0, "target_value": 0}])
+
+    def date_ranges(self) -> DataFrame:
+        """Columns where both sides hold dates and the first or last date differs."""
+        found = [
+            {
+                "check_no": 11,
+                "part": r.place,
+                "validation": m.DATE_RANGE,
+                "result": FAIL,
+                "column": r.column,
+                "detail": m.DATES_DIFFER,
+                "source_value": m.DATE_RANGE_TEXT % (r.s_lows, r.s_highs),
+                "target_value": m.DATE_RANGE_TEXT % (r.t_lows, r.t_highs),
+            }
+            for r in self.rows
+            if r.s_lows and r.t_lows and (r.s_lows, r.s_highs) != (r.t_lows, r.t_highs)
+        ]
+        passed = {"check_no": 11, "validation": m.DATE_RANGE, "result": PASS, "detail": m.DATES_MATCH}
+        return fixed_rows(self.pair.spark, found or [passed])
+
+    def empty_strings(self, all_columns: bool = False) -> DataFrame:
+        """Exactly empty strings, per side: the first column holding any, with up to three rows.
+
+        Only columns known to hold some are read again, and the filter goes down into the scan.
+        """
+        frames = []
+        for side in (0, 1):
+            counts = [(r.place, r.column, (r.s_empties, r.t_empties)[side]) for r in self.rows]
+            holding = [c for c in counts if c[2] > 0]
+            frames += [self._empty_rows(side, *c) for c in (holding if all_columns else holding[:1])]
+        passed = {"check_no": 6, "validation": m.EMPTY_STRING, "result": PASS, "detail": m.NO_EMPTY}
+        return union_all(frames) if frames else fixed_rows(self.pair.spark, [passed])
+
+    def _empty_rows(self, side: int, place: int, column: str, count: int) -> DataFrame:
+        pair, name = self.pair, ("Source", "Target")[side]
+        empty = f"{tx.ident(column)} = ''"
+        if pair.keys:
+            df = (pair.source, pair.target)[side].where(empty)
+            first = df.select(*pair.shape.columns(df.schema)).orderBy(*pair.shape.order())
+        else:
+            df = (pair.positioned_source, pair.positioned_target)[side].where(empty)
+            first = df.select(POSITION).orderBy(POSITION)
+        return (
+            first.limit(m.EMPTY_EXAMPLES)
+            .select("*", pair.row_label().alias("pk"))
+            .select(
+                *row_columns(
+                    6,
+                    m.EMPTY_STRING,
+                    FAIL,
+                    part=side * len(pair.common) + place,
+                    example=F.row_number().over(Window.orderBy("pk")),
+                    column=column,
+                    pk=F.col("pk"),
+                    detail=m.EMPTY_FOUND % (name, count),
+                    **{f"{name.lower()}_value": "''"},
+                )
             )
         )
-    rows = union_all(bookkeeping)
-    rows = rows.select(
-        "side",
-        "c",
-        "i",
-        "pk",
-        F.max("n").over(Window.partitionBy("side", "c")).alias("n"),
-        F.min("c").over(Window.partitionBy("side")).alias("first"),
-        F.sum("n").over(Window.partitionBy()).alias("total"),
-    )
-    shown = (F.col("i") > 0) if all_columns else (F.col("i") > 0) & (F.col("c") == F.col("first"))
-    passed = (F.col("side") == -1) & (F.col("total") == 0)
-    side = F.col("side")
-    names = F.array(*[F.lit(c) for c in pair.common]) if pair.common else F.array(F.lit(""))
-    quote = F.lit("''")
-    return rows.where(shown | passed).select(
-        *row_columns(
-            6,
-            m.EMPTY_STRING,
-            F.when(passed, PASS).otherwise(FAIL),
-            part=F.greatest(side * len(pair.common) + F.col("c"), F.lit(0)),
-            example=F.col("i"),
-            column=F.when(F.col("c") >= 0, F.get(names, F.col("c"))).otherwise(""),
-            pk=F.col("pk"),
-            detail=F.when(passed, m.NO_EMPTY).otherwise(
-                F.format_string(m.EMPTY_FOUND, F.when(side == 0, "Source").otherwise("Target"), F.col("n"))
-            ),
-            source_value=F.when(side == 0, quote).otherwise(""),
-            target_value=F.when(side == 1, quote).otherwise(""),
-        )
-    )
-
-
-def _empty_cells(pair: Pair, df: DataFrame, positioned: DataFrame | None):
-    """One row per empty cell of a common string column: row names, column number."""
-    texts = [(i, c) for i, c in enumerate(pair.common) if ty.family(df.schema[c].dataType) == ty.STRING]
-    if not texts:
-        return None, None
-    held = [F.col(tx.ident(c)) for _, c in texts]
-    if pair.keys:
-        located, names = df.select(*pair.shape.columns(df.schema), *held), pair.shape.order()
-        keep = pair.shape.names
-    else:
-        located, names, keep = positioned.select(POSITION, *held), [F.col(POSITION)], [POSITION]
-    empties = ", ".join(f"CASE WHEN {tx.ident(c)} = '' THEN {i} END" for i, c in texts)
-    any_empty = " OR ".join(f"{tx.ident(c)} = ''" for _, c in texts)
-    found = located.where(any_empty).selectExpr(*keep, f"explode(array({empties})) AS c")
-    return found.where("c IS NOT NULL"), names
 
 
 def _distinct_value(x: str, dtype: T.DataType) -> str:
@@ -254,73 +194,73 @@ def _distinct_value(x: str, dtype: T.DataType) -> str:
     return cn.nan_as_null(x, dtype)
 
 
-def _distinct_family(dtype: T.DataType) -> str:
-    """Columns that can share one value column without losing anything."""
+# Value columns that every type fits into without loss: whole numbers, doubles, texts, dates and times.
+_SLOTS = {"i": "BIGINT", "d": "DOUBLE", "s": "STRING", "t": "TIMESTAMP_NTZ"}
+
+
+def _slot(x: str, dtype: T.DataType) -> tuple[str, str]:
     if ty.is_integral(dtype) or isinstance(dtype, T.BooleanType):
-        return "bigint"
-    if isinstance(dtype, T.FloatType):
-        return "float"
-    if isinstance(dtype, T.DoubleType):
-        return "double"
-    if isinstance(dtype, (T.DecimalType, T.DateType)):
-        return dtype.simpleString()
-    if isinstance(dtype, T.TimestampNTZType):
-        return "timestamp_ntz"
+        return "i", x
     if isinstance(dtype, T.TimestampType):
-        return "timestamp"
-    return "string"
+        return "i", f"unix_micros({x})"
+    if ty.is_floating(dtype):
+        return "d", x
+    if isinstance(dtype, (T.DateType, T.TimestampNTZType)):
+        return "t", x
+    return "s", x
+
+
+def distinct_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every non-null cell as column number and value, from one scan."""
+    stacked = []
+    for i, name in enumerate(columns):
+        dtype = df.schema[name].dataType
+        value = _distinct_value(tx.ident(name), dtype)
+        slot, value = _slot(value, dtype)
+        cells = ", ".join(
+            f"'{n}', CAST({value if n == slot else 'NULL'} AS {kind})" for n, kind in _SLOTS.items()
+        )
+        stacked.append(f"CASE WHEN {value} IS NOT NULL THEN named_struct('c', {i}, {cells}) END")
+    return df.selectExpr(f"inline(array({', '.join(stacked)}))").where("c IS NOT NULL")
 
 
-def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact distinct count per column, nulls left out: rows ``c`` (column number) and ``n``.
+def distinct_counts(pair: Pair) -> DataFrame:
+    """Exact distinct counts per common column and side, nulls left out: rows ``c``, ``s``, ``t``.
 
-    Columns of one type are stacked into (column, value) pairs; pairs are made unique inside each task before
-    the shuffle, and spread by pair, so neither a frequent value nor a wide column lands in one task.
+    Both sides are stacked into (side, column, value) and made unique inside each task before the one
+    shuffle, which spreads them by value: neither a frequent value nor one column lands in one task.
     """
-    groups: dict[str, list[int]] = {}
-    for i, name in enumerate(columns):
-        groups.setdefault(_distinct_family(df.schema[name].dataType), []).append(i)
-    frames = []
-    for shared, members in groups.items():
-        stacked = []
-        for i in members:
-            value = _distinct_value(tx.ident(columns[i]), df.schema[columns[i]].dataType)
-            stacked.append(f"named_struct('c', {i}, 'v', CAST({value} AS {shared}))")
-        pairs = df.selectExpr(f"inline(array({', '.join(stacked)}))").where("v IS NOT NULL")
-        frames.append(pairs.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")))
-    return union_all(frames)
+    sides = [
+        distinct_pairs(df, pair.common).withColumn("side", F.lit(mark))
+        for mark, df in (("s", pair.source), ("t", pair.target))
+    ]
+    unique = sides[0].unionByName(sides[1]).distinct()
+    return unique.groupBy("c").agg(
+        F.count_if(F.col("side") == "s").alias("n_s"), F.count_if(F.col("side") == "t").alias("n_t")
+    )
 
 
 def distinct_check(pair: Pair) -> DataFrame:
+    """FAIL per column whose distinct counts differ, else one PASS row."""
+    passed = {"check_no": 10, "validation": m.DISTINCT, "result": PASS, "detail": m.DISTINCT_MATCHES}
     if not pair.common:
-        row = {"check_no": 10, "validation": m.DISTINCT, "result": PASS, "detail": m.DISTINCT_MATCHES}
-        return fixed_rows(pair.spark, [row])
-    base = pair.spark.range(1).select(
-        F.posexplode(F.array(*[F.lit(c) for c in pair.common])).alias("c", "column")
-    )
-    empty = F.lit(0).cast("long")
-    sides = [base.select("c", empty.alias("s"), empty.alias("t"))]
-    sides.append(distinct_counts(pair.source, pair.common).select("c", F.col("n").alias("s"), empty.alias("t")))
-    sides.append(distinct_counts(pair.target, pair.common).select("c", empty.alias("s"), F.col("n").alias("t")))
-    names = F.array(*[F.lit(c) for c in pair.common])
-    rows = (
-        union_all(sides)
-        .groupBy("c")
-        .agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-        .select(F.col("c").alias("place"), F.get(names, F.col("c")).alias("column"), "s", "t")
-    )
-    row = row_columns(
-        10,
-        m.DISTINCT,
-        FAIL,
-        part=F.col("place"),
-        column=F.col("column"),
-        detail=m.DISTINCT_DIFFERS,
-        source_value=F.col("s"),
-        target_value=F.col("t"),
+        return fixed_rows(pair.spark, [passed])
+    seed = pair.spark.range(1).selectExpr("-1 AS c", "0L AS n_s", "0L AS n_t")
+    names = ", ".join(tx.literal(c) for c in pair.common)
+    # As many rows as there are columns, so they may meet in one window.
+    rows = distinct_counts(pair).unionByName(seed).selectExpr("*", "count_if(n_s <> n_t) OVER () AS found")
+    return rows.where("n_s <> n_t OR (c = -1 AND found = 0)").selectExpr(
+        *row_sql(
+            10,
+            f"'{m.DISTINCT}'",
+            f"CASE WHEN c = -1 THEN '{PASS}' ELSE '{FAIL}' END",
+            part="greatest(c, 0)",
+            column=f"CASE WHEN c = -1 THEN '' ELSE get(array({names}), c) END",
+            detail=f"CASE WHEN c = -1 THEN '{m.DISTINCT_MATCHES}' ELSE '{m.DISTINCT_DIFFERS}' END",
+            source_value="CASE WHEN c = -1 THEN '' ELSE CAST(n_s AS STRING) END",
+            target_value="CASE WHEN c = -1 THEN '' ELSE CAST(n_t AS STRING) END",
+        )
     )
-    passed = row_columns(10, m.DISTINCT, PASS, detail=m.DISTINCT_MATCHES)
-    return _or_passed(rows, F.col("s") != F.col("t"), passed, row)
 
 
 def source_profile(df: DataFrame) -> DataFrame:

@@ -77,22 +77,21 @@ def check_rows(pair: Pair, spec: ValidationSpec) -> DataFrame:
         schema_checks.column_count(pair, spec.strict_columns),
         schema_checks.metadata_types(pair),
         key_checks.duplicates(pair),
-        profile_checks.empty_strings(pair, spec.all_empty_columns),
     ]
+    profile = profile_checks.Profile(pair, ["nulls", "empties", *(["dates"] if spec.regression else [])])
+    frames += [profile.nulls(), profile.empty_strings(spec.all_empty_columns)]
     if pair.keys:
         frames.append(key_checks.key_match(pair))
     by_row = [VALUE]
-    by_column = ["nulls"]
     if spec.regression:
         frames += [
             schema_checks.column_order(pair),
             schema_checks.column_specs(pair),
             profile_checks.distinct_check(pair),
+            profile.date_ranges(),
             key_checks.symmetric_difference(pair),
         ]
         by_row += [CASING, ZERO, SPECIAL, HASH]
-        by_column.append("dates")
-    frames.append(profile_checks.profile_checks(pair, tuple(by_column)))
     frames.append(
         row_checks(
             pair,

@@ -50,7 +50,7 @@ class ValidationSpec:
     # Options of this engine.
     key_mode: str = "strict"  # strict: text never equals a number in keys; coerce: keys compare like values
     subset: bool = True  # reduce the larger side to the smaller side's keys
-    stage_subset: bool = False  # write the reduced side to the shared folder before checking it
+    stage_subset: bool = True  # write a reduced side to the shared folder once, not reduce it in every check
     strict_columns: bool = False  # column_count_check fails on differing column sets
     all_empty_columns: bool = False  # empty_string_check reports every column, not the first per side
     robust_zeros: bool = False  # leading_zero_check strips all leading zeros

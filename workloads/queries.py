@@ -566,9 +566,9 @@ _check(
     "null_check",
     ORDERS_SQL,
     ORDERS_SQL.nulls(),
-    lambda s, d: profile_checks.profile_checks(orders(s, d), ("nulls",)),
+    lambda s, d: profile_checks.Profile(orders(s, d), ["nulls"]).nulls(),
 )
-_check("empty_string", ORDERS_SQL, ORDERS_SQL.empties(), lambda s, d: profile_checks.empty_strings(orders(s, d)))
+_check("empty_string", ORDERS_SQL, ORDERS_SQL.empties(), lambda s, d: profile_checks.Profile(orders(s, d), ["empties"]).empty_strings())
 _check("pk_match", ORDERS_SQL, ORDERS_SQL.key_match(), lambda s, d: key_checks.key_match(orders(s, d)))
 _check("pk_match_composite", LINES_SQL, LINES_SQL.key_match(), lambda s, d: key_checks.key_match(lines(s, d)))
 _check(
@@ -595,7 +595,7 @@ _check(
     "date_range",
     ORDERS_SQL,
     ORDERS_SQL.dates(),
-    lambda s, d: profile_checks.profile_checks(orders(s, d), ("dates",)),
+    lambda s, d: profile_checks.Profile(orders(s, d), ["dates"]).date_ranges(),
 )
 _check(
     "case_sensitivity",
