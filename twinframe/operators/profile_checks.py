@@ -157,20 +157,22 @@ class Profile:
         empty = f"{tx.ident(column)} = ''"
         if pair.keys:
             df = (pair.source, pair.target)[side].where(empty)
-            first = df.select(*pair.shape.columns(df.schema)).orderBy(*pair.shape.order())
+            order = pair.shape.order()
+            first = df.select(*pair.shape.columns(df.schema)).orderBy(*order)
         else:
             df = (pair.positioned_source, pair.positioned_target)[side].where(empty)
-            first = df.select(POSITION).orderBy(POSITION)
+            order = [F.col(POSITION)]
+            first = df.select(POSITION).orderBy(*order)
         return (
             first.limit(m.EMPTY_EXAMPLES)
-            .select("*", pair.row_label().alias("pk"))
+            .select(pair.row_label().alias("pk"), F.row_number().over(Window.orderBy(*order)).alias("i"))
             .select(
                 *row_columns(
                     6,
                     m.EMPTY_STRING,
                     FAIL,
                     part=side * len(pair.common) + place,
-                    example=F.row_number().over(Window.orderBy("pk")),
+                    example=F.col("i"),
                     column=column,
                     pk=F.col("pk"),
                     detail=m.EMPTY_FOUND % (name, count),

@@ -16,6 +16,11 @@ from twinframe.operators.ordinal import POSITION, with_position
 from twinframe.session import stage
 
 
+# Above this many rows under one key, copies are combined inside each task before the shuffle; below it that
+# would only cost another sort of every row.
+HOT_GROUP_ROWS = 10_000
+
+
 @dataclass(frozen=True)
 class KeyStats:
     """Counts over the key table, taken after the larger side was reduced if it was."""
@@ -31,6 +36,7 @@ class KeyStats:
     target_dup_rows: int = 0
     reduced: str | None = None  # side reduced to the other side's keys
     removed_rows: int = 0
+    largest_group: int = 0  # rows of the most frequent key of either side
 
 
 def _comparable(df: DataFrame) -> DataFrame:
@@ -127,6 +133,7 @@ class Pair:
             total(nt, nt > 1).alias("t_dup"),
             total(ns, both & (ns > 1)).alias("s_dup_both"),
             total(nt, both & (nt > 1)).alias("t_dup_both"),
+            F.coalesce(F.max(F.greatest(ns, nt)), F.lit(0)).alias("largest"),
         ).first()
         reduce_target = self.subset and row.s_rows < row.t_rows and row.common > 0
         reduce_source = self.subset and row.s_rows > row.t_rows and row.common > 0
@@ -145,6 +152,7 @@ class Pair:
             reduced="source" if reduce_source else "target" if reduce_target else None,
             removed_rows=(row.s_rows - row.s_rows_both if reduce_source else 0)
             + (row.t_rows - row.t_rows_both if reduce_target else 0),
+            largest_group=row.largest,
         )
 
     @property
@@ -178,13 +186,19 @@ class Pair:
         per common position.
         """
         if self.comparable_by_key:
-            left = self._keyed_side(self.full_source, source_columns, "s", self.stats.source_dup_rows > 0)
-            right = self._keyed_side(self.full_target, target_columns, "t", self.stats.target_dup_rows > 0)
+            source, target = self._for_join("source"), self._for_join("target")
+            left = self._keyed_side(source, source_columns, "s", self.stats.source_dup_rows > 0)
+            right = self._keyed_side(target, target_columns, "t", self.stats.target_dup_rows > 0)
             return left.join(right, self.shape.names, "inner"), [ks.NULL_MASK, *ks.key_names(self.keys)]
         left = self.positioned_source.select(POSITION, *_marked(source_columns, "s"))
         right = self.positioned_target.select(POSITION, *_marked(target_columns, "t"))
         return left.join(right, POSITION, "inner"), [POSITION]
 
+    def _for_join(self, name: str) -> DataFrame:
+        """A side to be joined on the key: the join reduces it anyway, so only a staged reduction is used."""
+        staged = self.stage_subset and self.stats.reduced == name
+        return getattr(self, name if staged else f"full_{name}")
+
     @cached_property
     def positioned_source(self) -> DataFrame:
         return with_position(self.full_source, self.order_by)
@@ -196,7 +210,8 @@ class Pair:
     def _keyed_side(self, df: DataFrame, columns: list[str], mark: str, has_duplicates: bool) -> DataFrame:
         if has_duplicates:
             fields = [F.col(f"row.`{c}`").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
-            return ks.first_per_key(df, self.shape, columns).select(*self.shape.names, *fields)
+            hot = self.stats.largest_group > HOT_GROUP_ROWS
+            return ks.first_per_key(df, self.shape, columns, hot).select(*self.shape.names, *fields)
         # Unique keys cannot be skewed, and the rows go straight into the join.
         return ks.keyed(df, self.shape, *_marked(columns, mark))
 
