@@ -35,13 +35,15 @@ def strip_ws(x: str) -> str:
 
 
 def float_text(x: str) -> str:
-    """Shortest decimal text of a double: positional from 1e-4 up to 1e16, else with a two-digit exponent."""
+    """Shortest decimal text of a double: positional from 1e-4 up to 1e16, else with a two-digit exponent.
+
+    Numbers below 2.3e-308 are spelled as Java does, which may use one digit more.
+    """
     spelled, size = f"CAST({x} AS STRING)", f"abs({x})"
-    # Some Java versions spell a double with 17 digits where 16 identify it.
-    shorter = f"format_string('%.15e', {x})"
-    digits = (
-        f"CASE WHEN length({spelled}) >= 18 AND TRY_CAST({shorter} AS DOUBLE) = {x} THEN {shorter} ELSE {spelled} END"
-    )
+    # Some Java versions spell a double with 17 or 18 digits where 16 or 17 identify it.
+    tries = [f"format_string('%.{places}e', {x})" for places in (15, 16)]
+    shorter = " ".join(f"WHEN TRY_CAST({t} AS DOUBLE) = {x} THEN {t}" for t in tries)
+    digits = f"CASE WHEN length({spelled}) < 18 THEN {spelled} {shorter} ELSE {spelled} END"
     positional = f"regexp_replace(CAST(TRY_CAST({digits} AS DECIMAL(38,20)) AS STRING), r'(\\.[0-9]+?)0+$', '$1')"
     exponent = f"regexp_replace(lower({digits}), r'\\.?0*e', 'e')"
     exponent = f"regexp_replace({exponent}, 'e([0-9])', 'e+$1')"
