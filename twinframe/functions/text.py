@@ -40,8 +40,8 @@ def float_text(x: str) -> str:
     Numbers below 2.3e-308 are spelled as Java does, which may use one digit more.
     """
     spelled, size = f"CAST({x} AS STRING)", f"abs({x})"
-    # Some Java versions spell a double with 17 or 18 digits where 16 or 17 identify it.
-    tries = [f"format_string('%.{places}e', {x})" for places in (15, 16)]
+    # Some Java versions spell a double with more digits than identify it: try fewer first.
+    tries = [f"format_string('%.{places}e', {x})" for places in (13, 14, 15, 16)]
     shorter = " ".join(f"WHEN TRY_CAST({t} AS DOUBLE) = {x} THEN {t}" for t in tries)
     digits = f"CASE WHEN length({spelled}) < 18 THEN {spelled} {shorter} ELSE {spelled} END"
     positional = f"regexp_replace(CAST(TRY_CAST({digits} AS DECIMAL(38,20)) AS STRING), r'(\\.[0-9]+?)0+$', '$1')"
