@@ -16,8 +16,6 @@ from twinframe.sources import xlsx
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".xlsx": "excel"}
 ORIENTS = ("records", "index", "columns", "values")
 _CORRUPT = "_corrupt_record"
-# No cell holds this text, so an empty surplus cell is still seen as a cell.
-_NEVER = "\u0001never\u0001"
 
 
 def detect_format(path: str) -> str:
@@ -73,6 +71,8 @@ def read_csv(
         "multiLine": whole,
         "mode": "PERMISSIVE",
         "nullValue": "",
+        # Lines are parsed whole either way, and only a full parse notices surplus cells.
+        "columnPruning": False,
         "ignoreLeadingWhiteSpace": False,
         "ignoreTrailingWhiteSpace": False,
     }
@@ -84,12 +84,9 @@ def read_csv(
 
 def _reject_surplus(df: DataFrame, columns: list[str], sep: str) -> DataFrame:
     """Short lines are padded with nulls; a line with surplus cells stops the read when it is reached."""
-    parsed = F.from_csv(
-        F.col(_CORRUPT),
-        ", ".join(f"c{i} STRING" for i in range(len(columns) + 1)),
-        {"sep": sep, "quote": '"', "escape": '"', "nullValue": _NEVER, "emptyValue": ""},
-    )
-    surplus = F.col(_CORRUPT).isNotNull() & parsed[f"c{len(columns)}"].isNotNull()
+    unquoted = F.regexp_replace(_CORRUPT, '"[^"]*"', "")
+    separators = (F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))) / len(sep)
+    surplus = F.coalesce(separators >= len(columns), F.lit(False))
     # The first column is named in the message because Spark rejects reads of the corrupt record alone.
     message = F.concat(
         F.lit(f"Expected {len(columns)} fields in line: "),
