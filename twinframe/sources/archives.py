@@ -8,6 +8,7 @@ from io import BytesIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 4096
 
@@ -36,3 +37,12 @@ def rows_of_archives(
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, schema)
+
+
+def table_of_rows(rows: DataFrame) -> DataFrame:
+    """Rows with ``header`` and ``cells`` as a table; a file without some column has nulls there."""
+    layouts = rows.select("header").distinct().collect()  # as many as there are different headers
+    names = list(dict.fromkeys(n for r in layouts for n in r.header if n is not None))
+    return rows.select(
+        *[F.get("cells", F.array_position("header", F.lit(n)).cast("int") - 1).alias(n) for n in names]
+    )

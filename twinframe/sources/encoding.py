@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 UTF8, UTF16, LATIN1, CP1252 = "utf-8", "utf-16", "iso-8859-1", "cp1252"
@@ -55,16 +55,26 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
-def sniff(spark: SparkSession, path: str) -> str:
-    """The one encoding that reads every file under ``path``."""
-    kinds = detect_encoding(spark.read.format("binaryFile").load(path))
-    found = {r.encoding for r in kinds.select("encoding").distinct().collect()}  # at most three values
-    for kind in (LATIN1, UTF16):
-        if kind in found:
-            if kind == UTF16 and UTF8 in found:
-                raise ValueError(f"files under {path} mix encodings: {sorted(found)}")
-            return kind
-    return UTF8
+def text_facts(spark: SparkSession, path: str) -> Row:
+    """What the reader must know about the text files under ``path``, from one pass over their raw lines.
+
+    ``valid``: every line is UTF-8; ``marked``: a line starts with a UTF-16 byte order mark; ``open_quotes``:
+    a line holds an odd number of quotes, that is, a quoted cell spans lines. Lines are read as bytes, in
+    splits, so large files are looked at by many tasks.
+    """
+    lines = spark.read.text(path)
+    return lines.selectExpr(
+        "coalesce(bool_and(is_valid_utf8(value)), true) AS valid",
+        "coalesce(bool_or(hex(substring(CAST(value AS BINARY), 1, 2)) IN ('FFFE', 'FEFF')), false) AS marked",
+        "coalesce(bool_or((octet_length(value) - octet_length(replace(value, '\"', ''))) % 2 = 1), false) "
+        "AS open_quotes",
+    ).first()
+
+
+def encoding_from(facts: Row) -> str:
+    if facts.valid:
+        return UTF8
+    return UTF16 if facts.marked else LATIN1
 
 
 def spark_charset(name: str) -> str:

@@ -54,14 +54,13 @@ def read_csv(
 ) -> DataFrame:
     """Every cell as text; only empty cells are null. A line with more cells than the header is an error.
 
-    ``multiline`` says whether quoted cells hold line breaks; ``auto`` looks for them, which reads the files
-    once. Files with such cells cannot be split between tasks.
+    ``multiline`` says whether quoted cells hold line breaks. Files with such cells cannot be split between
+    tasks, so ``auto`` looks for them; that pass also finds the encoding. Naming both saves it.
     """
-    name = encoding or enc.sniff(spark, path)
+    facts = enc.text_facts(spark, path) if encoding is None or multiline == "auto" else None
+    name = encoding or enc.encoding_from(facts)
     charset = enc.spark_charset(name)
-    whole = charset.startswith("UTF-16")
-    if not whole:
-        whole = _has_open_quotes(spark, path) if multiline == "auto" else bool(multiline)
+    whole = charset.startswith("UTF-16") or (facts.open_quotes if multiline == "auto" else bool(multiline))
     options = {
         "header": True,
         "sep": sep,
@@ -96,12 +95,6 @@ def _reject_surplus(df: DataFrame, columns: list[str], sep: str) -> DataFrame:
     return checked.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def _has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """True when some line holds an odd number of quotes, that is, when a quoted cell spans lines."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFrame:
     if orient not in ORIENTS:
         raise ValueError(f"Unsupported json_orient: {orient}. Supported: {ORIENTS}")

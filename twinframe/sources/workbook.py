@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from twinframe.sources.archives import binary_files, rows_of_archives
+from twinframe.sources.archives import binary_files, rows_of_archives, table_of_rows
 
 # Embedded text members, built-in datasources that are left out, least similarity of a name match.
 TEXT_SUFFIXES = (".csv", ".tsv", ".txt")
@@ -156,13 +156,7 @@ def workbook_rows(files: DataFrame) -> DataFrame:
 
 def workbook_extract(files: DataFrame) -> DataFrame:
     """The embedded rows as a table whose column types are inferred from all values of a column."""
-    rows = workbook_rows(files)
-    layouts = rows.select("header").distinct().collect()  # as many as there are different headers
-    names = list(dict.fromkeys(n for r in layouts for n in r.header))
-    table = rows.select(
-        *[F.get("cells", F.array_position("header", F.lit(n)).cast("int") - 1).alias(n) for n in names]
-    )
-    return infer_types(table)
+    return infer_types(table_of_rows(workbook_rows(files)))
 
 
 def infer_types(table: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from twinframe.sources.archives import binary_files, rows_of_archives
+from twinframe.sources.archives import binary_files, rows_of_archives, table_of_rows
 
 # Fixed values of the file format: namespaces, built-in date formats and the day serial number 0.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -20,22 +19,29 @@ RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships
 BUILTIN_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 DAY_ZERO = datetime(1899, 12, 30)
 
-_SCHEMA = "path string, sheet string, row_no int, cells array<string>"
-_COLUMNS = ["path", "sheet", "row_no", "cells"]
+_SCHEMA = "path string, sheet string, row_no int, header array<string>, cells array<string>"
+_COLUMNS = ["path", "sheet", "row_no", "header", "cells"]
 
 
 def xlsx_rows(files: DataFrame, sheet: int | str = 0) -> DataFrame:
-    """Rows (path, sheet, row_no, cells) of one sheet, by number or name, of every workbook in ``files``."""
+    """Rows of one sheet, by number or name, of every workbook in ``files``.
+
+    The first row of a sheet is its header and travels with every row, so files of different layouts can be
+    told apart without a join.
+    """
 
     def read(path: str, archive: zipfile.ZipFile) -> Iterator[tuple]:
         name, member = _find_sheet(archive, sheet)
         shared, dates = _shared_strings(archive), _date_styles(archive)
+        header = None
         with archive.open(member) as handle:
             for _, element in ElementTree.iterparse(handle):
                 if element.tag == f"{MAIN}row":
                     cells = _cells(element, shared, dates)
-                    if any(c is not None for c in cells):
-                        yield path, name, int(element.get("r", 0)), cells
+                    if header is None and any(c is not None for c in cells):
+                        header = cells
+                    elif any(c is not None for c in cells):
+                        yield path, name, int(element.get("r", 0)), header, cells
                     element.clear()
 
     return rows_of_archives(files, read, _SCHEMA, _COLUMNS)
@@ -47,18 +53,7 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame
 
 def xlsx_table(files: DataFrame, sheet: int | str = 0) -> DataFrame:
     """The sheet as a table: the first row of each file is its header; cells are text, empty cells null."""
-    rows = xlsx_rows(files, sheet)
-    heads = rows.groupBy("path").agg(F.min_by("cells", "row_no").alias("header"), F.min("row_no").alias("head_no"))
-    # One small row per file; the set of distinct headers is as small as the set of layouts.
-    layouts = heads.select("header").distinct().collect()
-    names = list(dict.fromkeys(h for row in layouts for h in row.header if h is not None))
-    body = rows.join(heads, "path").where(F.col("row_no") > F.col("head_no"))
-    return body.select(
-        *[
-            F.get("cells", F.array_position("header", F.lit(n)).cast("int") - 1).alias(n)
-            for n in names
-        ]
-    )
+    return table_of_rows(xlsx_rows(files, sheet))
 
 
 def _find_sheet(archive: zipfile.ZipFile, sheet: int | str) -> tuple[str, str]:
