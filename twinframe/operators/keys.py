@@ -141,9 +141,9 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def semi_join(df: DataFrame, keys_of: DataFrame, shape: KeyShape) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys_of`` (a frame with the shape's normalised columns)."""
-    tagged = df.select(*[F.col(f"`{c}`") for c in df.columns], *shape.columns(df.schema))
+    tagged = df.select(*[F.col(tx.ident(c)) for c in df.columns], *shape.columns(df.schema))
     return tagged.join(keys_of.select(*shape.names), shape.names, "left_semi").select(
-        *[F.col(f"`{c}`") for c in df.columns]
+        *[F.col(tx.ident(c)) for c in df.columns]
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions import types as ty
+from twinframe.functions.text import ident
 from twinframe.session import stage
 
 POSITION = "_pos"
@@ -25,7 +26,7 @@ def with_position(df: DataFrame, order_by: list[str] | None = None) -> DataFrame
     if order_by:
         rest = [f.name for f in df.schema.fields if f.name not in order_by and _sortable(f.dataType)]
         spread = F.rand(17)
-        df = df.orderBy(*[F.col(f"`{c}`") for c in [*order_by, *rest]], spread)
+        df = df.orderBy(*[F.col(ident(c)) for c in [*order_by, *rest]], spread)
         return _positions_in_files(stage(df, "ordered"), numbered=True)
     try:
         return _positions_in_files(df, numbered=False)
@@ -53,5 +54,5 @@ def _positions_in_files(df: DataFrame, numbered: bool) -> DataFrame:
     if len(df.inputFiles()) <= BROADCAST_FILES:
         offsets = F.broadcast(offsets)
     return located.join(offsets, "_file").select(
-        (F.col("_offset") + F.col("_row")).alias(POSITION), *[F.col(f"`{c}`") for c in df.columns]
+        (F.col("_offset") + F.col("_row")).alias(POSITION), *[F.col(ident(c)) for c in df.columns]
     )

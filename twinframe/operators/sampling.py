@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions import types as ty
+from twinframe.functions.text import ident
 from twinframe.operators import keys as ks
 
 
 def limited(df: DataFrame, limit: int, order_by: list[str] | None = None) -> DataFrame:
     """The first ``limit`` rows in key order; without a key, any ``limit`` rows."""
     if order_by:
-        df = df.orderBy(*[F.col(f"`{c}`") for c in order_by])
+        df = df.orderBy(*[F.col(ident(c)) for c in order_by])
     return df.limit(limit)
 
 
@@ -24,7 +25,7 @@ def quick_sample(
     Key columns of one family compare as they are; text against numbers compares by value, as a warehouse
     does with quoted literals.
     """
-    renamed = target.select(*[F.col(f"`{t}`").alias(s) for s, t in zip(source_keys, target_keys)])
+    renamed = target.select(*[F.col(ident(t)).alias(s) for s, t in zip(source_keys, target_keys)])
     alike = all(
         ty.family(source.schema[k].dataType) == ty.family(renamed.schema[k].dataType) for k in source_keys
     )

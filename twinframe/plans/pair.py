@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from twinframe.functions import types as ty
 from twinframe.functions.text import ident, nested_text
@@ -40,21 +41,23 @@ class KeyStats:
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """Maps have no order, so they are carried as sorted JSON text."""
-    if not any(ty.contains_map(f.dataType) for f in df.schema.fields):
+    """Maps have no order, so they are carried as sorted JSON text; untyped nulls become text nulls."""
+
+    def shaped(field):
+        name = ident(field.name)
+        if isinstance(field.dataType, NullType):
+            return F.col(name).cast("string").alias(field.name)
+        if ty.contains_map(field.dataType):
+            return F.expr(nested_text(name, field.dataType)).alias(field.name)
+        return F.col(name)
+
+    if not any(isinstance(f.dataType, NullType) or ty.contains_map(f.dataType) for f in df.schema.fields):
         return df
-    return df.select(
-        *[
-            F.expr(nested_text(ident(f.name), f.dataType)).alias(f.name)
-            if ty.contains_map(f.dataType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    return df.select(*[shaped(f) for f in df.schema.fields])
 
 
 def _marked(columns: list[str], mark: str) -> list:
-    return [F.col(f"`{c}`").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
+    return [F.col(ident(c)).alias(f"{mark}_{i}") for i, c in enumerate(columns)]
 
 
 class Pair:
@@ -209,7 +212,7 @@ class Pair:
 
     def _keyed_side(self, df: DataFrame, columns: list[str], mark: str, has_duplicates: bool) -> DataFrame:
         if has_duplicates:
-            fields = [F.col(f"row.`{c}`").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
+            fields = [F.col(f"row.{ident(c)}").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
             hot = self.stats.largest_group > HOT_GROUP_ROWS
             return ks.first_per_key(df, self.shape, columns, hot).select(*self.shape.names, *fields)
         # Unique keys cannot be skewed, and the rows go straight into the join.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from twinframe.functions.text import ident
+
 UTF8, UTF16, LATIN1, CP1252 = "utf-8", "utf-16", "iso-8859-1", "cp1252"
 
 # Encoding names as users write them, and the character set Spark's reader accepts for each.
@@ -88,4 +90,4 @@ def restore_cp1252(df: DataFrame, name: str) -> DataFrame:
     """Put in the cp1252 characters of columns that were read as iso-8859-1."""
     if name.lower() not in _CP1252_NAMES:
         return df
-    return df.select(*[F.translate(F.col(f"`{c}`"), _AS_LATIN1, _AS_CP1252).alias(c) for c in df.columns])
+    return df.select(*[F.translate(F.col(ident(c)), _AS_LATIN1, _AS_CP1252).alias(c) for c in df.columns])

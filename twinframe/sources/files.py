@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinframe.functions.text import ident
 from twinframe.sources import encoding as enc
 from twinframe.sources import xlsx
 
@@ -89,10 +90,10 @@ def _reject_surplus(df: DataFrame, columns: list[str], sep: str) -> DataFrame:
     # The first column is named in the message because Spark rejects reads of the corrupt record alone.
     message = F.concat(
         F.lit(f"Expected {len(columns)} fields in line: "),
-        F.coalesce(F.col(_CORRUPT), F.col(f"`{columns[0]}`"), F.lit("")),
+        F.coalesce(F.col(_CORRUPT), F.col(ident(columns[0])), F.lit("")),
     )
     checked = df.where(F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-    return checked.select(*[F.col(f"`{c}`") for c in columns])
+    return checked.select(*[F.col(ident(c)) for c in columns])
 
 
 def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFrame:
@@ -134,7 +135,7 @@ def _from_columns(documents: DataFrame) -> DataFrame:
     cells = columns.select("path", "column", F.explode("cells").alias("row_key", "value"))
     # A cell is alone in its (path, row, column), so the aggregate only lines cells up.
     picked = [F.any_value(F.when(F.col("column") == n, F.col("value")), ignoreNulls=True).alias(n) for n in names]
-    return cells.groupBy("path", "row_key").agg(*picked).select(*[F.col(f"`{n}`") for n in names])
+    return cells.groupBy("path", "row_key").agg(*picked).select(*[F.col(ident(n)) for n in names])
 
 
 def _from_values(documents: DataFrame) -> DataFrame:

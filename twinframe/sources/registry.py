@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinframe.functions.text import ident
 from twinframe.operators.align import lower_columns
 from twinframe.operators.sampling import limited
 from twinframe.spec import positive_int
@@ -27,7 +28,7 @@ def project(df: DataFrame, columns: list[str] | None) -> DataFrame:
     if not columns:
         return df
     wanted = {c.lower() for c in columns}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() in wanted])
+    return df.select(*[F.col(ident(c)) for c in df.columns if c.lower() in wanted])
 
 
 def load_source(spark: SparkSession, config: dict[str, Any], order_by: list[str] | None = None) -> DataFrame:

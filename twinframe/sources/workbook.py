@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from twinframe.functions.text import ident
 from twinframe.sources.archives import binary_files, rows_of_archives, table_of_rows
 
 # Embedded text members, built-in datasources that are left out, least similarity of a name match.
@@ -165,7 +166,7 @@ def infer_types(table: DataFrame) -> DataFrame:
     boolean = r"^(True|False|TRUE|FALSE|true|false)$"
     tests = []
     for i, name in enumerate(table.columns):
-        col = F.col(f"`{name}`")
+        col = F.col(ident(name))
         for kind, pattern in (("l", integer), ("d", number), ("b", boolean)):
             tests.append(F.bool_and(col.rlike(pattern)).alias(f"{kind}{i}"))
     if not tests:
@@ -174,7 +175,7 @@ def infer_types(table: DataFrame) -> DataFrame:
     casts = []
     for i, name in enumerate(table.columns):
         kind = next((t for k, t in (("l", "bigint"), ("d", "double"), ("b", "boolean")) if fits[f"{k}{i}"]), None)
-        col = F.col(f"`{name}`")
+        col = F.col(ident(name))
         casts.append((F.trim(col).cast(kind) if kind else col).alias(name))
     return table.select(*casts)
 
