@@ -212,34 +212,37 @@ def _slot(x: str, dtype: T.DataType) -> tuple[str, str]:
     return "s", x
 
 
-def distinct_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Every non-null cell as column number and value, from one scan."""
-    stacked = []
+def _side_distinct(df: DataFrame, columns: list[str], mark: str) -> list[DataFrame]:
+    """Distinct counts of one side: rows ``c`` (column number), ``n_s`` and ``n_t``, one of them 0.
+
+    Columns of one slot are stacked into (column, value) pairs. A columnar scan reads each column once however
+    many slots there are, and pairs of one native type are far cheaper to group than pairs of mixed types.
+    """
+    members: dict[str, list[str]] = {}
     for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
-        value = _distinct_value(tx.ident(name), dtype)
-        slot, value = _slot(value, dtype)
-        cells = ", ".join(
-            f"'{n}', CAST({value if n == slot else 'NULL'} AS {kind})" for n, kind in _SLOTS.items()
-        )
-        stacked.append(f"CASE WHEN {value} IS NOT NULL THEN named_struct('c', {i}, {cells}) END")
-    return df.selectExpr(f"inline(array({', '.join(stacked)}))").where("c IS NOT NULL")
+        slot, value = _slot(_distinct_value(tx.ident(name), dtype), dtype)
+        pair = f"named_struct('c', {i}, 'v', CAST({value} AS {_SLOTS[slot]}))"
+        members.setdefault(slot, []).append(f"CASE WHEN {value} IS NOT NULL THEN {pair} END")
+    counts = [f"{'count(*)' if mark == side else '0L'} AS n_{side}" for side in ("s", "t")]
+    return [
+        df.selectExpr(f"inline(array({', '.join(stacked)}))")
+        .where("c IS NOT NULL")
+        .distinct()
+        .groupBy("c")
+        .agg(*[F.expr(x) for x in counts])
+        for stacked in members.values()
+    ]
 
 
 def distinct_counts(pair: Pair) -> DataFrame:
-    """Exact distinct counts per common column and side, nulls left out: rows ``c``, ``s``, ``t``.
+    """Exact distinct counts per common column and side, nulls left out: rows ``c``, ``n_s``, ``n_t``.
 
-    Both sides are stacked into (side, column, value) and made unique inside each task before the one
-    shuffle, which spreads them by value: neither a frequent value nor one column lands in one task.
+    Pairs are made unique inside each task before the shuffle, which spreads them by value: neither a frequent
+    value nor one column lands in one task.
     """
-    sides = [
-        distinct_pairs(df, pair.common).withColumn("side", F.lit(mark))
-        for mark, df in (("s", pair.source), ("t", pair.target))
-    ]
-    unique = sides[0].unionByName(sides[1]).distinct()
-    return unique.groupBy("c").agg(
-        F.count_if(F.col("side") == "s").alias("n_s"), F.count_if(F.col("side") == "t").alias("n_t")
-    )
+    frames = _side_distinct(pair.source, pair.common, "s") + _side_distinct(pair.target, pair.common, "t")
+    return union_all(frames).groupBy("c").agg(F.sum("n_s").alias("n_s"), F.sum("n_t").alias("n_t"))
 
 
 def distinct_check(pair: Pair) -> DataFrame:
