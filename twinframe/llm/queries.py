@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import quality_classifier, quality_rules, sharding, toxicity
+from twinframe.llm import packing, quality_classifier, quality_rules, sharding, toxicity
 from twinframe.llm.labels import id_crc
 
 MIN_QUALITY = 0.7
@@ -47,6 +47,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(docs, trained_quality(spark, docs, sf_dir), MIN_QUALITY)
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """Vocabulary and rank file of the public byte-level BPE tokenizer, at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """Places of all pieces, and a checksum of each in place of its ids."""
+    pieces = packing.token_pieces(docs, *tokenizer_files())
+    return packing.packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -117,6 +134,7 @@ FROM marked LEFT JOIN verdicts USING (source)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_feistel_shards": op7_feistel_shards,
     "op9_toxic_pairs": op9_toxic_pairs,
     "op10_host_rules": op10_host_rules,
