@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import packing, quality_classifier, quality_rules, sharding, toxicity
+from twinframe.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding, toxicity
 from twinframe.llm.labels import id_crc
 
 MIN_QUALITY = 0.7
@@ -77,6 +77,15 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_texts(table(spark, sf_dir, "documents"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return jaccard_join.one_of_each(docs)
+
+
 def op9_toxic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, training_labels(table(spark, sf_dir, "labels"), "toxic"))
@@ -136,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_feistel_shards": op7_feistel_shards,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxic_pairs": op9_toxic_pairs,
     "op10_host_rules": op10_host_rules,
 }
