@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding, toxicity
+from twinframe.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, toxicity
 from twinframe.llm.labels import id_crc
 
 MIN_QUALITY = 0.7
@@ -64,6 +64,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -144,9 +157,15 @@ FROM marked LEFT JOIN verdicts USING (source)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
+    "op6_benchmark_search": op6_benchmark_search,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxic_pairs": op9_toxic_pairs,
     "op10_host_rules": op10_host_rules,
 }
-ORACLES: dict[str, str] = {"op10_host_rules": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op5_license_scan": license_scan.oracle_sql(),
+    "op6_benchmark_search": decontamination.oracle_sql(),
+    "op10_host_rules": OP10_SQL,
+}
