@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, toxicity
+from twinframe.llm import decontamination, jaccard_join, license_scan, packing, pseudonyms, quality_classifier, quality_rules, sharding, toxicity
 from twinframe.llm.labels import id_crc
 
 MIN_QUALITY = 0.7
@@ -64,6 +64,20 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymised_docs(docs, "n_replaced")
+
+
+def pseudonymised_docs(docs: DataFrame, count_col: str | None = None) -> DataFrame:
+    return pseudonyms.pseudonymised(docs, count_col=count_col)
+
+
+def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms for personal data, and their new length."""
+    return pseudonymised_docs(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
@@ -157,6 +171,7 @@ FROM marked LEFT JOIN verdicts USING (source)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_search": op6_benchmark_search,
     "op7_feistel_shards": op7_feistel_shards,
