@@ -7,13 +7,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import twinframe
 from twinframe.llm import queries
 from twinframe.session import stage
 
+# Tasks carry this code with them, so Python workers need not have it on their path.
+cloudpickle.register_pickle_by_value(twinframe)
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", queries.keep_good),
+    ("n-gram Jaccard join", queries.keep_one_of_each),
+    ("benchmark decontamination", queries.drop_contaminated),
+    ("PII", queries.hide_private),
+    ("best-fit packing", queries.pack),
 ]
 
 #: Model training, MinHash and a keyed permutation have no SQL form; tests hold the rows against a plain version.
