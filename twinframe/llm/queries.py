@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import decontamination, jaccard_join, license_scan, packing, pseudonyms, quality_classifier, quality_rules, sharding, toxicity
+from twinframe.llm import decontamination, jaccard_join, language_model, license_scan, packing, pseudonyms, quality_classifier, quality_rules, sharding, toxicity
 from twinframe.llm.labels import id_crc
 
 MIN_QUALITY = 0.7
@@ -47,6 +47,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(docs, trained_quality(spark, docs, sf_dir), MIN_QUALITY)
 
 
+def op2_gru_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(folds=10, fold=0)
+    scores = language_model.likelihoods(docs, ~held)
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer_files() -> tuple[str, str]:
     """Vocabulary and rank file of the public byte-level BPE tokenizer, at the same place on every machine."""
     import public_tokenizers
@@ -175,6 +182,7 @@ FROM marked LEFT JOIN verdicts USING (source)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
+    "op2_gru_likelihood": op2_gru_likelihood,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_license_scan": op5_license_scan,
