@@ -31,6 +31,8 @@ MIN_TEXTS = 3
 #: Least chi-squared of a term that tells the classes apart (one in a thousand by chance), least share of texts of a partner.
 MIN_GAIN = 10.8
 MIN_SHARE = 0.02
+#: How much more the factors of pairs are held back than the weights of single terms.
+PAIR_DECAY = 5
 
 
 def term_lists(column: pa.Array, powers: Powers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,7 +127,7 @@ def fit(rows: list, model: Model, epochs: int = 15, batch: int = 256, rate: floa
     width, factors = model.v.shape
     lists = [np.frombuffer(r["terms"], dtype=np.int32) for r in rows]
     label = np.array([r["label"] for r in rows], dtype=np.float32)
-    state = [np.float32(model.bias) * np.ones(1, np.float32), model.w, random.normal(0, 0.02, (width, factors)).astype(np.float32)]
+    state = [np.float32(model.bias) * np.ones(1, np.float32), model.w, random.normal(0, 0.1, (width, factors)).astype(np.float32)]
     moments = [(np.zeros_like(s), np.zeros_like(s)) for s in state]
     step, decay = 0, 1 / max(len(lists), 1)  # a normal prior of unit variance on weights
     epochs = max(epochs, -(-600 * batch // max(len(lists), 1)))  # small samples need as many steps
@@ -143,7 +145,7 @@ def fit(rows: list, model: Model, epochs: int = 15, batch: int = 256, rate: floa
             slopes = [
                 error.sum(keepdims=True),
                 weighted.sum(0) + decay * state[1],
-                weighted.T @ sums - state[2] * (weighted * x).sum(0)[:, None] + 20 * decay * state[2],
+                weighted.T @ sums - state[2] * (weighted * x).sum(0)[:, None] + PAIR_DECAY * decay * state[2],
             ]
             step += 1
             for s, g, (m, q) in zip(state, slopes, moments):
@@ -176,7 +178,7 @@ def train(
     terms = np.array([r["term"] for r in chosen], dtype=np.int64).view(np.uint64)
     order = np.argsort(terms)
     found = np.array([r["texts"] for r in chosen], dtype=np.float64)[order]
-    x = (np.log((n + 1) / (found + 1)) / np.log(n + 1)).astype(np.float32)
+    x = np.sqrt(np.log((n + 1) / (found + 1)) / np.log(n + 1)).astype(np.float32)
     empty = Model(bias, terms[order], x, np.zeros(len(terms), np.float32), np.zeros((len(terms), FACTORS), np.float32))
     return fit(indexed(texts, "__label", text_col, empty).collect(), empty)
 
