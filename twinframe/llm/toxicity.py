@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased runs of letters and digits, known by 64-bit hashes. The score is the logistic of
+Terms are lower-cased runs of letters and digits and the beginnings of longer ones, known by 64-bit hashes. The score is the logistic of
 bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j  over the terms present in a text, so two terms that are harmless
 alone can weigh together. x_i falls with how common the term is.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.arrow_text import Powers, letter_bytes, mixed, texts_of
+from twinframe.llm.arrow_text import Powers, letter_bytes, lower_bytes, mixed, texts_of
 from twinframe.llm.labels import bounded, chosen_texts
 from twinframe.session import stage
 
@@ -28,6 +28,8 @@ MAX_LABELLED = 20_000
 MAX_TERMS = 2048
 FACTORS = 8
 MIN_TEXTS = 3
+#: Bytes of the beginnings of longer words that count as terms too, so that inflected words share some.
+STEMS = (4, 5)
 #: Least chi-squared of a term that tells the classes apart (one in a thousand by chance), least share of texts of a partner.
 MIN_GAIN = 10.8
 MIN_SHARE = 0.02
@@ -37,12 +39,19 @@ PAIR_DECAY = 5
 
 def term_lists(column: pa.Array, powers: Powers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each run of texts: its first number, and text number and hash of each distinct term of a text."""
-    letters = letter_bytes()
+    letters, low = letter_bytes(), lower_bytes()
     for texts in texts_of(column):
         words = texts.words(powers, lower=True, member=letters)
-        keys = mixed(words.hash ^ mixed(words.text.astype(np.uint64) + np.uint64(1)))
-        first = np.unique(keys, return_index=True)[1]
-        yield texts.first, len(texts), words.text[first], words.hash[first]
+        sums = texts.prefix_hash(powers, low)
+        of, terms = [words.text], [words.hash]
+        for size in STEMS:
+            long = words.end - words.start > size
+            start = words.start[long]
+            of.append(words.text[long])
+            terms.append(mixed(texts.span_hash(sums, start, start + size, powers) + np.uint64(size)))
+        of, terms = np.concatenate(of), np.concatenate(terms)
+        first = np.unique(mixed(terms ^ mixed(of.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+        yield texts.first, len(texts), of[first], terms[first]
 
 
 @dataclass
