@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from twinframe.llm import decontamination, jaccard_join, license_scan, pseudonyms, quality_classifier, queries
+from twinframe.llm import decontamination, jaccard_join, license_scan, pseudonyms, quality_classifier, queries, windows
 from twinframe.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -79,7 +79,9 @@ def test_components_of_a_path(spark, n):
     assert found == {**{k: 0 for k in range(n + 1)}, 500: 500, 501: 500}
 
 
-def test_benchmark_inside_long_texts(spark):
+@pytest.mark.parametrize("probes", [windows.MAX_PROBES, 0])
+def test_benchmark_inside_long_texts(spark, monkeypatch, probes):
+    monkeypatch.setattr(windows, "MAX_PROBES", probes)
     random.seed(4)
     noise = lambda n: " ".join(f"n{random.randrange(10**6)}" for _ in range(n))
     items = [(i, " ".join(f"i{i}t{k}" for k in range(n))) for i, n in enumerate((5, 6, 9, 14, 30, 59, 200, 700))]
@@ -94,7 +96,9 @@ def test_benchmark_inside_long_texts(spark):
     assert {r.containment for r in found if r.doc_id < 50} == {1.0}
 
 
-def test_search_edges(spark, edges, nothing):
+@pytest.mark.parametrize("probes", [windows.MAX_PROBES, 0])
+def test_search_edges(spark, edges, nothing, monkeypatch, probes):
+    monkeypatch.setattr(windows, "MAX_PROBES", probes)
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "jumps over the lazy dog and then")], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(edges, benchmark).collect()}
     assert found == {(6, 3), (7, 3), (8, 3), (9, 3)}

@@ -25,6 +25,10 @@ WIDTH = 5
 THRESHOLD = 0.8
 MIN_SIMILARITY = 0.28
 BANDS = 43  # (1 - MIN_SIMILARITY) ** BANDS < 1e-6
+#: Distinct minimum shingles that are sent to all tasks as one array (8 bytes each).
+MAX_PROBES = 20_000
+#: Windows that hold the shingle at ``at``.
+WINDOWS_AT = "sequence(greatest(0L, (at - window + stride) div stride), at div stride)"
 
 
 def size_classes(most: int = 1_000_000) -> list[int]:
@@ -78,22 +82,34 @@ def anchors(items: DataFrame) -> DataFrame:
     return rows.select(F.col("band.x").alias("x"), F.col("band.k").alias("k"), "item", "stride", "window")
 
 
-def found_items(
-    texts: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, threshold: float = THRESHOLD
-) -> DataFrame:
-    """``id``, ``item``, ``containment``, ``first_word`` (where the best window begins) for every item found in a text.
+def hits_in_place(texts: DataFrame, probes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``id``, a band at whose minimum shingle the text has one, window number ``no`` and the window's shingles.
 
-    Of equally good windows the first counts. Whether the items' tables are broadcast is left to Spark, which knows their
-    written sizes.
+    All is done in the row of the text: its shingles are intersected with the probes, which come as one array, and windows
+    are cut from it. No text is shuffled or read twice.
     """
-    known = stage(item_table(items, item_col, item_text_col), "items")
-    probes = stage(anchors(known), "anchors")
+    every = probes.agg(F.collect_set("x")).scalar()
+    none = F.expr("cast(array() as array<struct<at: int, x: bigint>>)")
+
+    at = F.filter(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: F.array_contains("known", F.get("shingles", i)))
+    found = F.when(F.size("known") == 0, none).otherwise(F.transform(at, lambda i: F.struct(i.alias("at"), F.get("shingles", i).alias("x"))))
+    marked = hashed(texts, id_col, text_col, "id").select("id", "shingles", F.array_intersect("shingles", every).alias("known"))
     # "outer": else a filter on the array's size is inferred and put below, where it makes the words again for each shingle
+    hits = marked.select("id", "shingles", F.explode_outer(found).alias("h")).where("h.x is not null")
+    by_shingle = probes.groupBy("x").agg(F.collect_list(F.struct("k", "item", "stride", "window")).alias("bands"))
+    met = hits.select("id", "shingles", "h.at", "h.x").join(F.broadcast(by_shingle), "x")
+    bands = met.select("id", "shingles", "at", "x", F.explode("bands").alias("band")).select("id", "shingles", "at", "x", "band.*")
+    near = bands.withColumn("no", F.explode(F.expr(WINDOWS_AT)))
+    held = F.expr("slice(shingles, cast(no * stride + 1 as int), cast(window as int))")
+    return near.select("id", "item", "stride", "no", F.array(F.struct("k", "x")).alias("bands"), held.alias("held"))
+
+
+def hits_by_join(texts: DataFrame, probes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same rows for any number of probes: texts' shingles are joined with them, and texts with hits are read again."""
     places = hashed(texts, id_col, text_col, "id").select("id", F.posexplode_outer("shingles").alias("at", "x")).where("x is not null")
     by_shingle = probes.groupBy("x").agg(F.collect_list(F.struct("k", "item", "stride", "window")).alias("bands"))
     hits = places.join(by_shingle, "x").select("id", "at", "x", F.explode("bands").alias("band")).select("id", "at", "x", "band.*")
-    first = F.expr("greatest(0L, (at - window + stride) div stride)")
-    near = hits.withColumn("no", F.explode(F.sequence(first, F.expr("at div stride"))))
+    near = hits.withColumn("no", F.explode(F.expr(WINDOWS_AT)))
     wanted = near.groupBy("id", "item", "stride", "window", "no").agg(F.collect_set(F.struct("k", "x")).alias("bands"))
     per_text = stage(
         wanted.groupBy("id").agg(F.collect_list(F.struct("item", "stride", "window", "no", "bands")).alias("wanted")), "wanted"
@@ -102,7 +118,20 @@ def found_items(
     source = texts.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     met = source.join(per_text, F.col("__id").eqNullSafe(F.col("id"))).select("id", "wanted", split).select("id", "wanted", hashes.alias("shingles"))
     cut = F.expr("transform(wanted, w -> named_struct('w', w, 'held', slice(shingles, cast(w.no * w.stride + 1 as int), cast(w.window as int))))")
-    windows = met.select("id", F.explode_outer(cut).alias("c")).select("id", "c.w.*", "c.held")
+    return met.select("id", F.explode_outer(cut).alias("c")).select("id", "c.w.*", "c.held")
+
+
+def found_items(
+    texts: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``id``, ``item``, ``containment``, ``first_word`` (where the best window begins) for every item found in a text.
+
+    Of equally good windows the first counts. Up to ``MAX_PROBES`` minimum shingles go to all tasks; more are joined.
+    """
+    known = stage(item_table(items, item_col, item_text_col), "items")
+    probes = stage(anchors(known), "anchors")
+    few = probes.select("x").distinct().count() <= MAX_PROBES
+    windows = (hits_in_place if few else hits_by_join)(texts, probes, id_col, text_col)
     collide = F.expr("exists(bands, b -> array_min(transform(held, y -> xxhash64(y, b.k))) = xxhash64(b.x, b.k))")
     checked = windows.where(collide).join(known.select("item", F.col("shingles").alias("__set"), "n"), "item")
     share = F.size(F.array_intersect("__set", "held")) / F.col("n")
