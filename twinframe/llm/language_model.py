@@ -31,10 +31,10 @@ from twinframe.llm.arrow_text import Powers, Texts, lower_bytes, mixed, texts_of
 from twinframe.llm.labels import bounded
 from twinframe.session import stage
 
-HEAD, CLASS_SIZE, TAIL = 2048, 64, 48
+HEAD, CLASS_SIZE, TAIL = 2048, 64, 32
 #: Tokens whose counts every task holds; counts of others are joined.
 FREQUENT = 65_536
-EMBEDDED, HIDDEN = 16, 24
+EMBEDDED, HIDDEN = 16, 16
 WINDOW, SEGMENT, SIDE_BY_SIDE = 24, 480, 256
 PILOT_TEXTS, PILOT_PASSES = 2000, 2
 SMOOTH = 0.1
@@ -136,7 +136,7 @@ class Network:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def step(net: Network, inward: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,9 +148,16 @@ def step(net: Network, inward: np.ndarray, state: np.ndarray) -> tuple[np.ndarra
     return fresh + keep * (state - fresh), keep, reset, fresh, own[:, 2 * HIDDEN :]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Rows of probabilities. Weights are small and states within 1, so no row has to be shifted against overflow."""
+    x = np.exp(x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the chosen entry of each row's softmax."""
+    return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(1))
 
 
 def class_rows(words: Vocabulary, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -165,23 +172,23 @@ def class_rows(words: Vocabulary, classes: np.ndarray) -> Iterator[tuple[int, np
 def log_likelihood(net: Network, words: Vocabulary, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the class's probability and, for head tokens, of the token's in its class."""
     classes = words.classes(ids)
-    out = log_softmax(states @ net.to_class + net.class_bias)[np.arange(len(ids)), classes]
+    out = log_share(states @ net.to_class + net.class_bias, classes)
     for c, rows in class_rows(words, classes):
-        out[rows] += log_softmax(states[rows] @ net.to_word[c].T + net.word_bias[c])[np.arange(len(rows)), ids[rows] - c * CLASS_SIZE]
+        out[rows] += log_share(states[rows] @ net.to_word[c].T + net.word_bias[c], ids[rows] - c * CLASS_SIZE)
     return out
 
 
 def output_slopes(net: Network, words: Vocabulary, states: np.ndarray, ids: np.ndarray, slopes: Network) -> np.ndarray:
     """Adds the output layers' slopes of the mean loss to ``slopes`` and returns those of the states."""
     n, classes = len(ids), words.classes(ids)
-    error = np.exp(log_softmax(states @ net.to_class + net.class_bias))
+    error = softmax(states @ net.to_class + net.class_bias)
     error[np.arange(n), classes] -= 1
     error /= n
     slopes.to_class += states.T @ error
     slopes.class_bias += error.sum(0)
     back = error @ net.to_class.T
     for c, rows in class_rows(words, classes):
-        error = np.exp(log_softmax(states[rows] @ net.to_word[c].T + net.word_bias[c]))
+        error = softmax(states[rows] @ net.to_word[c].T + net.word_bias[c])
         error[np.arange(len(rows)), ids[rows] - c * CLASS_SIZE] -= 1
         error /= n
         slopes.to_word[c] += error.T @ states[rows]
@@ -201,17 +208,22 @@ def window_slopes(net: Network, words: Vocabulary, ids: np.ndarray, live: np.nda
         before[t] = state
         state, *rest = step(net, inward[t], state)
         kept.append(rest)
-    back = np.zeros((steps, side, HIDDEN), np.float32)
-    back[live] = output_slopes(net, words, before[live], ids[live], slopes)
-    inward_slopes, own_slopes = np.empty((steps, side, 3 * HIDDEN), np.float32), np.empty((steps, side, 3 * HIDDEN), np.float32)
+    if live.all():
+        back = output_slopes(net, words, before.reshape(-1, HIDDEN), ids.ravel(), slopes).reshape(before.shape)
+    else:
+        back = np.zeros((steps, side, HIDDEN), np.float32)
+        back[live] = output_slopes(net, words, before[live], ids[live], slopes)
+    inward_slopes, own_slopes = (np.empty((steps, side, 3 * HIDDEN), np.float32) for _ in range(2))
     carry = np.zeros((side, HIDDEN), np.float32)
     for t in reversed(range(steps)):
         keep, reset, fresh, own = kept[t]
         fresh_slope = carry * (1 - keep) * (1 - fresh**2)
-        keep_slope = carry * (before[t] - fresh) * keep * (1 - keep)
-        reset_slope = fresh_slope * own * reset * (1 - reset)
-        inward_slopes[t] = np.hstack([keep_slope, reset_slope, fresh_slope])
-        own_slopes[t] = np.hstack([keep_slope, reset_slope, fresh_slope * reset])
+        inward, outward = inward_slopes[t], own_slopes[t]
+        inward[:, :HIDDEN] = carry * (before[t] - fresh) * keep * (1 - keep)
+        inward[:, HIDDEN : 2 * HIDDEN] = fresh_slope * own * reset * (1 - reset)
+        inward[:, 2 * HIDDEN :] = fresh_slope
+        outward[:, : 2 * HIDDEN] = inward[:, : 2 * HIDDEN]
+        outward[:, 2 * HIDDEN :] = fresh_slope * reset
         carry = carry * keep + own_slopes[t] @ net.over.T + back[t]
     flat = inward_slopes.reshape(-1, 3 * HIDDEN)
     slopes.over += before.reshape(-1, HIDDEN).T @ own_slopes.reshape(-1, 3 * HIDDEN)
@@ -219,7 +231,8 @@ def window_slopes(net: Network, words: Vocabulary, ids: np.ndarray, live: np.nda
     slopes.bias += flat.sum(0)
     order = np.argsort(ids.ravel(), kind="stable")
     used, first = np.unique(ids.ravel()[order], return_index=True)
-    slopes.embed[used] += np.add.reduceat((flat @ net.into.T)[order], first, axis=0)
+    running = np.cumsum((flat @ net.into.T)[order], axis=0, dtype=np.float64)[np.append(first[1:], len(order)) - 1]
+    slopes.embed[used] += np.diff(running, axis=0, prepend=0)
     return slopes, state
 
 
