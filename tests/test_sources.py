@@ -1,10 +1,10 @@
-import difflib
 import io
 import zipfile
 
 import pandas as pd
 import pytest
 import yaml
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from twinframe import load_source, register_source
@@ -143,6 +143,16 @@ def test_workbook_data_types(spark, tmp_path):
     assert cells(df) == [(1, 1.5, True, "a"), (2, None, False, None)]
 
 
+def distance(a, b):
+    """Edit distance, row by row."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_fuzzy_names_against_brute_force(spark):
     names = ["Sales Orders", "sales order", "Invoices", "Ordres", "Sale", "X", "Sales Ordering 2024", "rders Sales"]
     wanted = ["Sales Order", "invoice", "zzz", "SALES", "Orders", "Invoices", "x"]
@@ -151,11 +161,35 @@ def test_fuzzy_names_against_brute_force(spark):
     )
     got = {r.wanted: r["match"] for r in workbook.fuzzy_name_match(pairs, "g").collect()}
     for w in wanted:
-        scored = [(difflib.SequenceMatcher(None, w.lower(), n.lower()).ratio(), -i, n) for i, n in enumerate(names)]
+        scored = [(1 - distance(w.lower(), n.lower()) / max(len(w), len(n)), -i, n) for i, n in enumerate(names)]
         ratio, _, best = max(scored)
         assert got[w] == (w if w in names else best if ratio > 0.5 else None), w
 
 
+def test_broken_json_is_an_error(spark, tmp_path):
+    for orient, good, bad in (
+        ("index", '{"1": {"a": "x"}}', '{"1": {"a": "x"'),
+        ("values", '[["x"]]', '[["x"], ["y'),
+        ("records", '[{"a": "x"}]', '[{"a": "x"}, {"a": '),
+    ):
+        folder = tmp_path / orient
+        folder.mkdir()
+        (folder / "a.json").write_text(good)
+        assert files.read_json(spark, str(folder), orient).count() == 1
+        (folder / "b.json").write_text(bad)
+        with pytest.raises(PySparkException):
+            files.read_json(spark, str(folder), orient).collect()
+
+
+def test_files_of_a_folder_with_other_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,t\n1,x\n")
+    (tmp_path / "b.csv").write_text("t,id\ny,2\n")
+    assert sorted(cells(files.read_csv(spark, str(tmp_path)))) == [("1", "x"), ("2", "y")]
+    (tmp_path / "c.csv").write_text("id,u\n1,x\n")
+    with pytest.raises(ValueError, match="Columns"):
+        files.read_csv(spark, str(tmp_path))
+
+
 def test_sinks_keep_every_text(spark, tmp_path):
     texts = ['say "x", then', "line\nbreak", "", "plain", "it's", "\\back"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("CAST(i AS STRING) i", "t")

@@ -277,11 +277,19 @@ def test_custom_checks(spark):
         unregister_check("status")
 
 
-def test_sampled_rows_for_text_checks(spark):
-    source = spark.range(300).selectExpr("id", "'a' AS v")
-    target = spark.range(300).selectExpr("id", "IF(id = 200, 'A', 'a') AS v")
-    whole = by_check(validated(source, target, primary_keys="id", regression=True))
-    assert whole["case_sensitivity_check"][0].result == "FAIL"
+def test_row_checks_see_late_rows(spark):
+    source = spark.range(1000).selectExpr("id", "'a' AS v")
+    target = spark.range(1000).selectExpr("id", "IF(id >= 500, 'A', 'a') AS v")
+    found = by_check(validated(source, target, primary_keys="id", regression=True))
+    assert all(found[c][0].result == "FAIL" for c in ("data_validation", "checksum_check", "case_sensitivity_check"))
+    with pytest.raises(TypeError):
+        ValidationSpec(sample_rows=100)
+
+
+def test_copies_of_a_key_are_chosen_by_value(spark):
+    source = spark.createDataFrame([(1, 9), (1, 10), (2, 5)], "id int, v int")
+    target = spark.createDataFrame([(1, "9"), (1, "10"), (2, "5")], "id int, v string")
+    assert [r.result for r in by_check(validated(source, target, primary_keys="id"))["data_validation"]] == ["PASS"]
 
 
 def test_no_common_columns(spark):

@@ -113,17 +113,18 @@ def key_table(source: DataFrame, target: DataFrame, shape: KeyShape) -> DataFram
     return joined.na.fill(0, ["ns", "nt"])
 
 
-def first_per_key(df: DataFrame, shape: KeyShape, columns: list[str], hot: bool = True) -> DataFrame:
-    """Key columns plus the smallest row of ``columns`` per key, as struct ``row``.
+def first_per_key(df: DataFrame, shape: KeyShape, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """Key columns plus the first row of ``columns`` per key, as struct ``row``.
 
-    With ``hot`` the minimum is taken inside each task first, so a key holding most of the rows ships one row
-    per task. Where no key is frequent, rows are shuffled as they are and sorted once instead of twice.
+    Rows are ordered by the SQL expressions ``order``, if given, then by ``columns``. The minimum is taken inside each
+    task first, so a key holding most of the rows ships one row per task.
     """
     row = F.struct(*[F.col(tx.ident(c)) for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
-    rows = keyed(df, shape, row.alias("row"))
-    if not hot:
-        rows = rows.repartition(*shape.names)
-    return rows.groupBy(*shape.names).agg(F.min("row").alias("row"))
+    if not order:
+        return keyed(df, shape, row.alias("row")).groupBy(*shape.names).agg(F.min("row").alias("row"))
+    first = F.struct(F.struct(*[F.expr(x).alias(f"o{i}") for i, x in enumerate(order)]).alias("order"), row.alias("row"))
+    least = keyed(df, shape, first.alias("first")).groupBy(*shape.names).agg(F.min("first").alias("first"))
+    return least.select(*shape.names, F.col("first.row").alias("row"))
 
 
 def dedup_first(df: DataFrame, keys: list[str]) -> DataFrame:

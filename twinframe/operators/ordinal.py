@@ -21,17 +21,36 @@ def with_position(df: DataFrame, order_by: list[str] | None = None) -> DataFrame
 
     With ``order_by`` the rows are sorted by range partitioning and written to the shared folder; ties are
     ordered by the remaining columns, and identical rows are spread by a seeded random number so that a large
-    group of copies is split over tasks. Without it the position is the row order of the input files.
+    group of copies is split over tasks. Without it the position is the row order of the input files, by path; rows
+    that a filter left are numbered without gaps.
     """
     if order_by:
         rest = [f.name for f in df.schema.fields if f.name not in order_by and _sortable(f.dataType)]
         spread = F.rand(17)
         df = df.orderBy(*[F.col(ident(c)) for c in [*order_by, *rest]], spread)
         return _positions_in_files(stage(df, "ordered"), numbered=True)
+    names = df.columns
     try:
-        return _positions_in_files(df, numbered=False)
-    except AnalysisException:  # not a plain file scan: keep the order the rows arrive in
-        return _positions_in_files(stage(df, "arrival"), numbered=True)
+        located = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        if _gapless(located):
+            return _positions_in_files(df, numbered=False)
+        place = ["_file", "_row"]
+    except AnalysisException:
+        try:  # no row numbers: a split's place in its file, and the order of rows inside the split
+            block = F.col("_metadata.file_block_start").alias("_row")
+            located = df.select("*", F.col("_metadata.file_path").alias("_file"), block)
+            located = stage(located.withColumn("_at", F.monotonically_increasing_id()), "located")
+            place = ["_file", "_row", "_at"]
+        except AnalysisException:  # not a plain file scan: keep the order the rows arrive in
+            return _positions_in_files(stage(df, "arrival"), numbered=True)
+    ordered = located.orderBy(*place).select(*[F.col(ident(c)) for c in names])
+    return _positions_in_files(stage(ordered, "ordered"), numbered=True)
+
+
+def _gapless(located: DataFrame) -> bool:
+    """Whether all rows of the files are there: a filter leaves gaps in the row numbers."""
+    sizes = located.groupBy("_file").agg(F.count("*").alias("n"), (F.max("_row") + 1).alias("size"))
+    return sizes.where("n <> size").isEmpty()
 
 
 def _sortable(dtype: T.DataType) -> bool:

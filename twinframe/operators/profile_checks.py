@@ -18,25 +18,54 @@ from twinframe.operators.ordinal import POSITION
 from twinframe.operators.results import FAIL, PASS, fixed_rows, row_columns, row_sql, union_all
 from twinframe.plans.pair import Pair
 
-# How a date inside text may be written, besides the ISO form.
-DATE_LIKE = r"^\s*[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}"
-DATE_PATTERNS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d")
+# How dates inside text may be written: the shape of a value, and its pattern (none: the ISO form). Words
+# are capitalised and dashes around named months are blanks before the pattern is tried. Of forms that read equally many
+# values of a column the first counts, so month and day are taken in this order where every value allows both.
+_TIME = r"([ T][0-9].*)?$"
+DATE_FORMS = (
+    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}" + _TIME, None),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}" + _TIME, "M/d/yyyy[ H:mm[:ss]]"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}" + _TIME, "d/M/yyyy[ H:mm[:ss]]"),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}" + _TIME, "yyyy/M/d[ H:mm[:ss]]"),
+    (r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}" + _TIME, "d.M.yyyy[ H:mm[:ss]]"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}" + _TIME, "d-M-yyyy[ H:mm[:ss]]"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}" + _TIME, "M-d-yyyy[ H:mm[:ss]]"),
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (r"^[0-9]{1,2}[- ][A-Za-z]{3}[- ][0-9]{4}" + _TIME, "d MMM yyyy[ H:mm[:ss]]"),
+    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}" + _TIME, "MMM d, yyyy[ H:mm[:ss]]"),
+)
 
 # Columns profiled by one aggregate; wider tables are profiled in groups so that generated code stays small.
 GROUP_WIDTH = 64
 LONG_TEXT = 64
 
 
-def parsed_date(x: str, dtype: T.DataType) -> str | None:
-    """The value as a timestamp, NULL where it is none; None for types that hold no dates."""
+def parsed_dates(x: str, dtype: T.DataType) -> list[str]:
+    """The value as a timestamp, NULL where it is none, read by each form its type allows; none for other types."""
     kind = ty.family(dtype)
     if kind == ty.DATETIME:
-        return f"CAST({x} AS TIMESTAMP_NTZ)"
+        return [f"CAST({x} AS TIMESTAMP_NTZ)"]
     if kind != ty.STRING:
-        return None
-    tries = [f"TRY_CAST({x} AS TIMESTAMP_NTZ)"]
-    tries += [f"CAST(try_to_timestamp(trim({x}), '{p}') AS TIMESTAMP_NTZ)" for p in DATE_PATTERNS]
-    return f"CASE WHEN {x} RLIKE r'{DATE_LIKE}' THEN coalesce({', '.join(tries)}) END"
+        return []
+
+    def read(shape: str, pattern: str | None) -> str:
+        if pattern is None:
+            value = f"TRY_CAST(trim({x}) AS TIMESTAMP_NTZ)"
+        else:
+            spelled = f"initcap(replace(trim({x}), '-', ' '))" if "MMM" in pattern else f"trim({x})"
+            value = f"CAST(try_to_timestamp({spelled}, '{pattern}') AS TIMESTAMP_NTZ)"
+        return f"CASE WHEN trim({x}) RLIKE r'{shape}' THEN {value} END"
+
+    return [read(*form) for form in DATE_FORMS]
+
+
+def date_bound(x: str, dtype: T.DataType, bound: str) -> str:
+    """Aggregate for the ``low`` or ``high`` date of a column, read by the one form that fits most of its values."""
+    forms = [
+        f"named_struct('n', count({d}), 'place', {-i}, 'low', min({d}), 'high', max({d}))"
+        for i, d in enumerate(parsed_dates(x, dtype))
+    ]
+    return f"array_max(array({', '.join(forms)})).{bound}"
 
 
 STATISTICS = ("nulls", "empties", "lows", "highs")
@@ -52,8 +81,7 @@ def _side_profile(df: DataFrame, columns: list[str], wanted: list[str], dates: l
         if "empties" in wanted and ty.family(dtype) == ty.STRING:
             aggregates[f"empties{i}"] = f"count_if({x} = '')"
         if "dates" in wanted and is_date:
-            day = parsed_date(x, dtype)
-            aggregates |= {f"lows{i}": f"min({day})", f"highs{i}": f"max({day})"}
+            aggregates |= {f"lows{i}": date_bound(x, dtype, "low"), f"highs{i}": date_bound(x, dtype, "high")}
     row = df.selectExpr(*[f"{a} AS {n}" for n, a in aggregates.items()] or ["count(*) AS none"])
 
     def collected(mark: str) -> str:
@@ -69,7 +97,7 @@ def _side_profile(df: DataFrame, columns: list[str], wanted: list[str], dates: l
 
 def _profile_group(pair: Pair, columns: list[str], wanted: list[str]) -> DataFrame:
     """One row holding both sides' arrays."""
-    dates = [all(parsed_date("x", t) for t in pair.types(c)) for c in columns]
+    dates = [all(parsed_dates("x", t) for t in pair.types(c)) for c in columns]
     sides = []
     for mark, df in (("s", pair.source), ("t", pair.target)):
         sides.append(_side_profile(df, columns, wanted, dates).withColumn("side", F.lit(mark)))

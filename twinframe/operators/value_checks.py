@@ -41,12 +41,10 @@ class RowChecks:
         checks: list[int],
         robust_zeros: bool = False,
         checksum_columns: str = "common",
-        sample_rows: int | None = None,
     ) -> None:
         self.pair = pair
         self.checks = checks
         self.robust_zeros = robust_zeros
-        self.sample_rows = sample_rows
         self.columns = pair.common
         self.hash_all = HASH in checks and checksum_columns == "all"
         self.source_columns, self.target_columns = list(pair.common), list(pair.common)
@@ -55,10 +53,7 @@ class RowChecks:
             self.target_columns += [c for c in pair.target_schema.names if c not in pair.common]
 
     def matched(self) -> tuple[DataFrame, list[str]]:
-        rows, names = self.pair.matched(self.source_columns, self.target_columns)
-        if self.sample_rows:
-            rows = rows.orderBy(*names).limit(self.sample_rows)
-        return rows, names
+        return self.pair.matched(self.source_columns, self.target_columns)
 
     def _cells(self) -> list[tuple]:
         """Column pairs that can differ; key columns only where the join compares them by value."""

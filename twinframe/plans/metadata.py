@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.operators.results import union_all
+from twinframe.session import stage
 from twinframe.sources.registry import load_source
 from twinframe.spec import ValidationSpec
 
@@ -76,7 +77,7 @@ def compare_counts(
 
 
 def metadata_compare(spark: SparkSession, specs: list[ValidationSpec]) -> DataFrame:
-    """Compare the counts of every spec's sides; a side that cannot be opened becomes an ERROR row."""
+    """Compare the counts of every spec's sides; a side that cannot be opened or read becomes an ERROR row."""
 
     def opened(config: dict) -> DataFrame | None:
         try:
@@ -84,16 +85,27 @@ def metadata_compare(spark: SparkSession, specs: list[ValidationSpec]) -> DataFr
         except (PySparkException, ValueError, OSError, KeyError):
             return None
 
-    return compare_counts(
-        spark,
-        [
-            (
-                spec.name,
-                str(spec.source.get("path", spec.source.get("table", ""))),
-                opened(spec.source),
-                str(spec.target.get("table", spec.target.get("path", ""))),
-                opened(spec.target),
-            )
-            for spec in specs
-        ],
-    )
+    pairs = [
+        (
+            spec.name,
+            str(spec.source.get("path", spec.source.get("table", ""))),
+            opened(spec.source),
+            str(spec.target.get("table", spec.target.get("path", ""))),
+            opened(spec.target),
+        )
+        for spec in specs
+    ]
+    try:
+        return stage(compare_counts(spark, pairs), "metadata")
+    except PySparkException:  # a side that opens may still fail while it is read: then find out which
+        read = [(name, a, _readable(source), b, _readable(target)) for name, a, source, b, target in pairs]
+        return stage(compare_counts(spark, read), "metadata")
+
+
+def _readable(df: DataFrame | None) -> DataFrame | None:
+    try:
+        if df is not None:
+            df.count()
+        return df
+    except PySparkException:
+        return None

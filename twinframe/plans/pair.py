@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
 
 from twinframe.functions import types as ty
+from twinframe.functions.canon import canon
 from twinframe.functions.text import ident, nested_text
 from twinframe.operators import keys as ks
 from twinframe.operators.align import common_columns
@@ -17,11 +18,6 @@ from twinframe.operators.ordinal import POSITION, with_position
 from twinframe.session import stage
 
 
-# Above this many rows under one key, copies are combined inside each task before the shuffle; below it that
-# would only cost another sort of every row.
-HOT_GROUP_ROWS = 10_000
-
-
 @dataclass(frozen=True)
 class KeyStats:
     """Counts over the key table, taken after the larger side was reduced if it was."""
@@ -37,7 +33,6 @@ class KeyStats:
     target_dup_rows: int = 0
     reduced: str | None = None  # side reduced to the other side's keys
     removed_rows: int = 0
-    largest_group: int = 0  # rows of the most frequent key of either side
 
 
 def _comparable(df: DataFrame) -> DataFrame:
@@ -136,7 +131,6 @@ class Pair:
             total(nt, nt > 1).alias("t_dup"),
             total(ns, both & (ns > 1)).alias("s_dup_both"),
             total(nt, both & (nt > 1)).alias("t_dup_both"),
-            F.coalesce(F.max(F.greatest(ns, nt)), F.lit(0)).alias("largest"),
         ).first()
         reduce_target = self.subset and row.s_rows < row.t_rows and row.common > 0
         reduce_source = self.subset and row.s_rows > row.t_rows and row.common > 0
@@ -155,7 +149,6 @@ class Pair:
             reduced="source" if reduce_source else "target" if reduce_target else None,
             removed_rows=(row.s_rows - row.s_rows_both if reduce_source else 0)
             + (row.t_rows - row.t_rows_both if reduce_target else 0),
-            largest_group=row.largest,
         )
 
     @property
@@ -213,11 +206,17 @@ class Pair:
     def _keyed_side(self, df: DataFrame, columns: list[str], mark: str, has_duplicates: bool) -> DataFrame:
         if has_duplicates:
             fields = [F.col(f"row.{ident(c)}").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
-            hot = self.stats.largest_group > HOT_GROUP_ROWS
-            return ks.first_per_key(df, self.shape, columns, hot).select(*self.shape.names, *fields)
+            return ks.first_per_key(df, self.shape, columns, self._copy_order(df)).select(*self.shape.names, *fields)
         # Unique keys cannot be skewed, and the rows go straight into the join.
         return ks.keyed(df, self.shape, *_marked(columns, mark))
 
+    def _copy_order(self, df: DataFrame) -> list[str] | None:
+        """How copies of a key are ordered: by canonical values where a column has another type on the other side, as
+        the least number and the least text of the same values may stand in different rows."""
+        if all(a == b for a, b in map(self.types, self.common)):
+            return None
+        return [canon(ident(c), df.schema[c].dataType) for c in self.common]
+
     def row_label(self):
         """Text naming a matched row."""
         if self.comparable_by_key:

@@ -98,7 +98,6 @@ def check_rows(pair: Pair, spec: ValidationSpec) -> DataFrame:
             by_row,
             robust_zeros=spec.robust_zeros,
             checksum_columns=spec.checksum_columns,
-            sample_rows=spec.sample_rows,
         )
     )
     for place, (check, regression_only) in enumerate(_custom_checks.values()):

@@ -57,20 +57,26 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
-def text_facts(spark: SparkSession, path: str) -> Row:
+def text_facts(spark: SparkSession, path: str) -> list[Row]:
     """What the reader must know about the text files under ``path``, from one pass over their raw lines.
 
-    ``valid``: every line is UTF-8; ``marked``: a line starts with a UTF-16 byte order mark; ``open_quotes``:
-    a line holds an odd number of quotes, that is, a quoted cell spans lines. Lines are read as bytes, in
-    splits, so large files are looked at by many tasks.
+    One row for all files that are alike in these: ``valid``: every line is UTF-8; ``marked``: a line starts with a UTF-16
+    byte order mark; ``open_quotes``: a line holds an odd number of quotes, that is, a quoted cell spans lines; ``head``:
+    the first line as it stands. ``files`` has their paths, which the reader lists on the driver in any case. Lines are
+    read as bytes, in splits, so large files are looked at by many tasks.
     """
-    lines = spark.read.text(path)
-    return lines.selectExpr(
-        "coalesce(bool_and(is_valid_utf8(value)), true) AS valid",
-        "coalesce(bool_or(hex(substring(CAST(value AS BINARY), 1, 2)) IN ('FFFE', 'FEFF')), false) AS marked",
-        "coalesce(bool_or((octet_length(value) - octet_length(replace(value, '\"', ''))) % 2 = 1), false) "
-        "AS open_quotes",
-    ).first()
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    place = "struct(block, monotonically_increasing_id())"
+    each = lines.selectExpr("*", f"{place} AS place").groupBy("file").agg(
+        F.expr("bool_and(is_valid_utf8(value))").alias("valid"),
+        F.expr("bool_or(hex(substring(CAST(value AS BINARY), 1, 2)) IN ('FFFE', 'FEFF'))").alias("marked"),
+        F.expr("bool_or((octet_length(value) - octet_length(replace(value, '\"', ''))) % 2 = 1)").alias("open_quotes"),
+        F.expr("hex(CAST(min_by(value, place) AS BINARY))").alias("head"),
+    )
+    groups = each.groupBy("valid", "marked", "open_quotes", "head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return groups.orderBy(F.col("files")[0]).collect()
 
 
 def encoding_from(facts: Row) -> str:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from twinframe.sources import xlsx
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".xlsx": "excel"}
 ORIENTS = ("records", "index", "columns", "values")
 _CORRUPT = "_corrupt_record"
+_CELLS = "map<string, map<string, string>>"
 
 
 def detect_format(path: str) -> str:
@@ -56,12 +59,28 @@ def read_csv(
     """Every cell as text; only empty cells are null. A line with more cells than the header is an error.
 
     ``multiline`` says whether quoted cells hold line breaks. Files with such cells cannot be split between
-    tasks, so ``auto`` looks for them; that pass also finds the encoding. Naming both saves it.
+    tasks, so ``auto`` looks for them; that pass also finds the encoding. Naming both saves it, but then all files must
+    have one header. Files of a folder that differ in encoding, such cells or header are read apart and brought together
+    by column name; differing column sets are an error.
     """
-    facts = enc.text_facts(spark, path) if encoding is None or multiline == "auto" else None
-    name = encoding or enc.encoding_from(facts)
+    facts = enc.text_facts(spark, path) if encoding is None or multiline == "auto" else []
+    parts = []
+    for fact in facts or [None]:
+        name = encoding or (enc.encoding_from(fact) if fact else enc.UTF8)
+        whole = bool(fact and fact.open_quotes) if multiline == "auto" else bool(multiline)
+        paths = path if len(facts) < 2 else [unquote(f) for f in fact.files]
+        parts.append((paths, _read_alike(spark, paths, sep, name, whole)))
+    first = parts[0][1]
+    for paths, part in parts[1:]:
+        if sorted(part.columns) != sorted(first.columns):
+            raise ValueError(f"Columns {part.columns} of {paths[0]} are not those of {parts[0][0][0]}: {first.columns}")
+    return reduce(DataFrame.unionByName, [part for _, part in parts])
+
+
+def _read_alike(spark: SparkSession, path: str | list[str], sep: str, name: str, whole: bool) -> DataFrame:
+    """CSV files of one header and encoding; ``whole``: some quoted cell holds a line break."""
     charset = enc.spark_charset(name)
-    whole = charset.startswith("UTF-16") or (facts.open_quotes if multiline == "auto" else bool(multiline))
+    whole = whole or charset.startswith("UTF-16")
     options = {
         "header": True,
         "sep": sep,
@@ -100,13 +119,33 @@ def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFr
     if orient not in ORIENTS:
         raise ValueError(f"Unsupported json_orient: {orient}. Supported: {ORIENTS}")
     if orient == "records":
-        return spark.read.option("multiLine", True).json(path)
+        return _records(spark, path)
     documents = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
     )
     return json_table(documents, orient)
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Objects with their columns in the order of the first object of the first file; what is no JSON is an error."""
+    df = spark.read.options(multiLine=True, mode="FAILFAST").json(path)
+    files = sorted(map(unquote, df.inputFiles()))
+    order = {}
+    if files:  # the parser of keys stops behind the first object
+        head = spark.read.text(files[0], wholetext=True).select(F.regexp_extract("value", r"(?s)^[^{]*(\{.*)", 1).alias("value"))
+        keys = head.select(F.expr("json_object_keys(value)").alias("keys")).first()["keys"]
+        order = {k: i for i, k in enumerate(keys or [])}
+    return df.select(*[F.col(ident(c)) for c in sorted(df.columns, key=lambda c: order.get(c, len(order)))])
+
+
+def _parsed(documents: DataFrame, schema: str) -> DataFrame:
+    """``path`` and ``parsed``; a document that is not of the layout stops the read with its path."""
+    parsed = F.from_json("content", schema)
+    message = F.concat(F.lit("Not JSON of the expected layout: "), F.col("path"))
+    bad = parsed.isNull() & (F.trim("content") != "")
+    return documents.select("path", F.when(bad, F.raise_error(message).cast(schema)).otherwise(parsed).alias("parsed"))
+
+
 def json_table(documents: DataFrame, orient: str) -> DataFrame:
     """Rows of JSON documents (``path``, ``content``) laid out by index, by column or as bare rows.
 
@@ -122,15 +161,13 @@ def _names(cells: DataFrame) -> list[str]:
 
 
 def _from_index(documents: DataFrame) -> DataFrame:
-    parsed = F.from_json("content", "map<string, map<string, string>>")
-    rows = documents.select("path", F.explode(parsed).alias("row_key", "cells"))
+    rows = _parsed(documents, _CELLS).select("path", F.explode("parsed").alias("row_key", "cells"))
     names = _names(rows.select(F.posexplode(F.map_keys("cells")).alias("place", "column")))
     return rows.select(*[F.col("cells")[n].alias(n) for n in names])
 
 
 def _from_columns(documents: DataFrame) -> DataFrame:
-    parsed = F.from_json("content", "map<string, map<string, string>>")
-    columns = documents.select("path", F.posexplode(parsed).alias("place", "column", "cells"))
+    columns = _parsed(documents, _CELLS).select("path", F.posexplode("parsed").alias("place", "column", "cells"))
     names = _names(columns)
     cells = columns.select("path", "column", F.explode("cells").alias("row_key", "value"))
     # A cell is alone in its (path, row, column), so the aggregate only lines cells up.
@@ -139,6 +176,6 @@ def _from_columns(documents: DataFrame) -> DataFrame:
 
 
 def _from_values(documents: DataFrame) -> DataFrame:
-    rows = documents.select(F.explode(F.from_json("content", "array<array<string>>")).alias("cells"))
+    rows = _parsed(documents, "array<array<string>>").select(F.explode("parsed").alias("cells"))
     width = rows.agg(F.coalesce(F.max(F.size("cells")), F.lit(0)).alias("n")).first().n
     return rows.select(*[F.get("cells", F.lit(i)).alias(str(i)) for i in range(width)])

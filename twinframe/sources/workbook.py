@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import difflib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -11,9 +10,8 @@ from typing import Any
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from twinframe.functions.text import ident
 from twinframe.sources.archives import binary_files, rows_of_archives, table_of_rows
@@ -202,12 +200,9 @@ def match_names(catalog: DataFrame, wanted: str) -> DataFrame:
     return best.where("match IS NOT NULL").select("path", F.col("match").alias("datasource_name"))
 
 
-@F.pandas_udf(DoubleType())
-def name_similarity(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp ratio of two names regardless of case."""
-    return pd.Series(
-        [difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(first, second)], dtype=float
-    )
+def name_similarity(a: Column, b: Column) -> Column:
+    """One minus the edit distance over the longer length, regardless of case."""
+    return 1 - F.levenshtein(F.lower(a), F.lower(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
 def fuzzy_name_match(pairs: DataFrame, group: str) -> DataFrame:
@@ -216,14 +211,8 @@ def fuzzy_name_match(pairs: DataFrame, group: str) -> DataFrame:
     Similarity must exceed one half; of equally similar names the earlier one wins. Every candidate belongs
     to one wanted name, so the work grows with the catalog, and the maximum is taken inside tasks first.
     """
-    # A match above one half needs lengths within a factor of three; other names are not scored.
-    a, b = F.length("wanted"), F.length("name")
-    possible = 4 * F.least(a, b) > a + b
-    same = F.col("wanted") == F.col("name")
-    scored = pairs.withColumn(
-        "ratio",
-        F.when(same, F.lit(2.0)).when(possible, name_similarity("wanted", "name")).otherwise(F.lit(0.0)),
-    )
+    wanted, name = F.col("wanted"), F.col("name")
+    scored = pairs.withColumn("ratio", F.when(wanted == name, F.lit(2.0)).otherwise(name_similarity(wanted, name)))
     best = F.max(F.when(F.col("ratio") > LEAST_SIMILARITY, F.struct("ratio", (-F.col("place")).alias("p"), "name")))
     return (
         scored.groupBy(group, "wanted")

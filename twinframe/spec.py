@@ -56,7 +56,6 @@ class ValidationSpec:
     robust_zeros: bool = False  # leading_zero_check strips all leading zeros
     checksum_columns: str = "common"  # common: shared columns in name order; all: each side's own columns
     order_by: list[str] = field(default_factory=list)  # row order of keyless comparison; default file order
-    sample_rows: int | None = None  # checks 12-14: only the first rows in key order
 
     def __post_init__(self) -> None:
         self.primary_keys = [k.lower() for k in parse_keys(self.primary_keys)]
@@ -65,7 +64,6 @@ class ValidationSpec:
         self.source_prefixes_to_strip = _prefixes(self.source_prefixes_to_strip)
         self.target_prefixes_to_strip = _prefixes(self.target_prefixes_to_strip)
         self.quick_sample_pks = positive_int(self.quick_sample_pks, "'quick_sample_pks'")
-        self.sample_rows = positive_int(self.sample_rows, "'sample_rows'")
         self.quick_sample_seed = int(self.quick_sample_seed)
         if self.key_mode not in ("strict", "coerce"):
             raise ValueError("key_mode must be 'strict' or 'coerce'")

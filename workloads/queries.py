@@ -22,6 +22,7 @@ from twinframe.operators import (
 )
 from twinframe.operators.results import RESULT_COLUMNS, public
 from twinframe.plans.metadata import METADATA_COLUMNS, compare_counts
+from twinframe.plans.metadata import metadata_compare as compare_metadata
 from twinframe.plans.pair import Pair
 from twinframe.plans.suite import run_suite
 from twinframe.plans.validate import validate, validate_frames
@@ -281,7 +282,15 @@ def workbook_profile(spark: SparkSession, d: str) -> DataFrame:
     return workbook.workbook_profile(_catalogs(spark, d))
 
 
-@query("fuzzy_name_match")
+@query(
+    "fuzzy_name_match",
+    f"""WITH pairs AS (SELECT p_brand, 'Smal ' || p_brand || ' rngs' AS wanted, p_name AS name, min(p_partkey) AS place
+                     FROM part GROUP BY p_brand, p_name),
+    scored AS (SELECT *, CASE WHEN wanted = name THEN 2.0 ELSE 1 - CAST(levenshtein(lower(wanted), lower(name)) AS DOUBLE)
+                         / greatest(length(wanted), length(name), 1) END AS ratio FROM pairs)
+    SELECT p_brand, wanted, arg_min(name, (-ratio, place)) FILTER (ratio > {workbook.LEAST_SIMILARITY}) AS match
+    FROM scored GROUP BY p_brand, wanted""",
+)
 def fuzzy_name_match(spark: SparkSession, d: str) -> DataFrame:
     """Per part brand the part name most like a misspelled request."""
     pairs_of_brand = derive(
@@ -699,6 +708,153 @@ def data_compare_file_order(spark: SparkSession, d: str) -> DataFrame:
     return public(value_checks.row_checks(Pair(source, table(spark, d, "lineitem")), [value_checks.VALUE]))
 
 
+def _agree(rows: str, columns: int) -> str:
+    """SQL for one row that says that all rows agree."""
+    return (
+        f"SELECT 'data_validation' AS validation, 'PASS' AS result, '' AS \"column\", '' AS pk, "
+        f"'All ' || ({rows}) || ' rows match across {columns} common columns' AS detail, '' AS source_value, '' AS target_value"
+    )
+
+
+def _values(source: DataFrame, target: DataFrame) -> DataFrame:
+    return public(value_checks.row_checks(Pair(source, target), [value_checks.VALUE]))
+
+
+@query("data_compare_csv_order", _agree("SELECT count(*) FROM lineitem", 6))
+def data_compare_csv_order(spark: SparkSession, d: str) -> DataFrame:
+    """One table written twice as CSV, in one order but cut into files differently, compared row by row."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"]
+    rows = table(spark, d, "lineitem").select(*columns)
+    sides = []
+    for parts in (3, 7):
+        path = scratch_path(spark, f"lines-{parts}")
+        sorted_rows = rows.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+        sorted_rows.write.options(header=True, maxRecordsPerFile=5000 * parts).csv(path)
+        sides.append(load_source(spark, {"type": "file", "format": "csv", "path": path}))
+    return _values(*sides)
+
+
+@query("data_compare_filtered_order", _agree("SELECT count(*) FROM lineitem WHERE l_orderkey % 3 = 0", 11))
+def data_compare_filtered_order(spark: SparkSession, d: str) -> DataFrame:
+    """A filtered scan of several files against the same rows written without the others."""
+    rows = table(spark, d, "lineitem")
+    paths = scratch_path(spark, "lines-whole"), scratch_path(spark, "lines-third")
+    for path, part, n in zip(paths, (rows, rows.where("l_orderkey % 3 = 0")), (6, 2)):
+        part.repartitionByRange(n, *rows.columns).sortWithinPartitions(*rows.columns).write.parquet(path)
+    return _values(spark.read.parquet(paths[0]).where("l_orderkey % 3 = 0"), spark.read.parquet(paths[1]))
+
+
+@query(
+    "data_compare_mixed_duplicates",
+    "SELECT 'data_validation' AS validation, 'PASS' AS result, '' AS \"column\", '' AS pk, 'All values match for ' || "
+    "(SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) || ' common records across 11 columns' "
+    "AS detail, '' AS source_value, '' AS target_value",
+)
+def data_compare_mixed_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with repeated keys against themselves with numbers as text: both sides must choose the same copy."""
+    source = table(spark, d, "lineitem")
+    texts = {c: F.col(c).cast("string") for c in ("l_partkey", "l_suppkey")}
+    pair = Pair(source, source.withColumns(texts), LINE_KEYS)
+    return public(value_checks.row_checks(pair, [value_checks.VALUE]))
+
+
+_DATE_FORMS = {
+    "compact": "yyyyMMdd",
+    "named": "dd-MMM-yyyy",
+    "dotted": "dd.MM.yyyy",
+    "dashed": "d-M-yyyy",
+    "slashed": "MM/dd/yyyy",
+    "iso": "yyyy-MM-dd",
+}
+
+
+@query(
+    "date_range_text",
+    " UNION ALL ".join(
+        f"SELECT 'date_range_check' AS validation, 'FAIL' AS result, '{name}' AS \"column\", '' AS pk, "
+        "'Date range mismatch' AS detail, min(a) || ' to ' || max(a) AS source_value, min(b) || ' to ' || max(b) AS target_value "
+        "FROM (SELECT date_trunc('day', o_orderdate) AS a, date_trunc('day', o_orderdate) + INTERVAL 400 DAY AS b FROM orders)"
+        for name in sorted(_DATE_FORMS)
+    ),
+)
+def date_range_text(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates as text in several forms, against dates over a year later in the same forms."""
+    days = [F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 400 DAY")]
+    sides = [
+        table(spark, d, "orders").select(*[F.date_format(day, _DATE_FORMS[c]).alias(c) for c in sorted(_DATE_FORMS)])
+        for day in days
+    ]
+    return public(profile_checks.Profile(Pair(*sides), ["dates"]).date_ranges())
+
+
+_MIXED = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang FROM documents"
+
+
+@query("csv_mixed_folder", _MIXED)
+def csv_mixed_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of UTF-8, UTF-16 and Latin-1 files, some with line breaks in cells, read as one table."""
+    path = scratch_path(spark, "mixed")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string"), "text", "lang")
+    fits = F.encode(F.regexp_replace("text", "[^\\x00-\\xFF]", ""), "ISO-8859-1")
+    latin = (F.decode(fits, "ISO-8859-1") == F.col("text")) & (F.col("doc_id") % 3 == 2)
+    kinds = {"UTF-16": F.col("doc_id") % 3 == 1, "ISO-8859-1": latin}
+    kinds["UTF-8"] = ~kinds["UTF-16"] & ~latin
+    for charset, rows in kinds.items():
+        quoted = {"header": True, "quote": '"', "escape": '"', "quoteAll": True, "encoding": charset}
+        docs.where(rows).write.mode("append").options(**quoted).csv(path)
+    return load_source(spark, {"type": "file", "format": "csv", "path": path})
+
+
+@query("csv_header_orders", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def csv_header_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one folder with their columns in different orders."""
+    path = scratch_path(spark, "headers")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    rows.where("c_custkey % 2 = 0").write.options(header=True).csv(path)
+    rows.where("c_custkey % 2 = 1").select(*reversed(rows.columns)).write.mode("append").options(header=True).csv(path)
+    return load_source(spark, {"type": "file", "format": "csv", "path": path}).select(*rows.columns)
+
+
+@query(
+    "json_key_order",
+    """SELECT column_name AS name, CAST(row_number() OVER (ORDER BY ordinal_position DESC) - 1 AS INTEGER) AS place,
+       (SELECT count(*) FROM supplier) AS n
+       FROM information_schema.columns WHERE table_name = 'supplier'""",
+)
+def json_key_order(spark: SparkSession, d: str) -> DataFrame:
+    """Column order of objects whose keys are not in the order of the alphabet."""
+    path = scratch_path(spark, "objects")
+    rows = table(spark, d, "supplier")
+    several = F.floor(F.col("s_suppkey") / 500)  # the objects of one file
+    objects = F.to_json(F.collect_list(F.struct(*reversed(rows.columns))))
+    rows.groupBy(several).agg(objects.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read = files.read_json(spark, path)
+    names = F.posexplode(F.array(*[F.lit(c) for c in read.columns])).alias("place", "name")
+    return read.agg(F.count("*").alias("n")).select(names, "n").select("name", "place", "n")
+
+
+@query(
+    "metadata_compare_bad_file",
+    """SELECT 'good' AS name, CAST(count(*) AS VARCHAR) AS csv_rows, '2' AS csv_cols, CAST(count(*) AS VARCHAR) AS table_rows,
+       '2' AS table_cols, 'YES' AS rows_match, 'YES' AS cols_match, 'PASSED' AS status FROM customer
+       UNION ALL SELECT 'bad', 'ERROR', 'ERROR', 'N/A', 'N/A', 'ERROR', 'ERROR', 'FAILED'""",
+)
+def metadata_compare_bad_file(spark: SparkSession, d: str) -> DataFrame:
+    """One of two files has a line with more cells than its header, which only shows while it is read."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string"), "c_name")
+    paths = [scratch_path(spark, name) for name in ("good", "bad")]
+    for path in paths:
+        rows.write.options(header=True).csv(path)
+    lines = rows.where("c_custkey % 100 = 0").select(F.concat_ws(",", "c_custkey", "c_name", F.lit("more")).alias("c_custkey,c_name"))
+    lines.write.mode("append").options(header=True, quote="").csv(paths[1])
+    side = {"type": "file", "format": "csv"}
+    specs = [
+        ValidationSpec(name=name, source={**side, "path": path}, target={**side, "path": paths[0]})
+        for name, path in zip(("good", "bad"), paths)
+    ]
+    return compare_metadata(spark, specs).drop("csv_file", "table")
+
+
 # --- Schema checks ---------------------------------------------------------------------------------------
 
 
