@@ -7,6 +7,7 @@ from functools import reduce
 from typing import Any
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,7 +129,10 @@ def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFr
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """Objects with their columns in the order of the first object of the first file; what is no JSON is an error."""
-    df = spark.read.options(multiLine=True, mode="FAILFAST").json(path)
+    try:
+        df = spark.read.options(multiLine=True, mode="FAILFAST").json(path)
+    except Py4JJavaError as error:  # raised while the columns are looked for
+        raise ValueError(f"Not JSON of the expected layout: {path}") from error
     files = sorted(map(unquote, df.inputFiles()))
     order = {}
     if files:  # the parser of keys stops behind the first object
