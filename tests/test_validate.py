@@ -1,8 +1,11 @@
+import os
+
 import pytest
 
 from twinframe import Pair, ValidationSpec, register_check
 from twinframe.operators.ordinal import with_position
-from twinframe.plans.validate import unregister_check, validate_frames
+from twinframe.plans.validate import unregister_check, validate, validate_frames
+from twinframe.session import named_paths
 
 BASE = "id bigint, name string, email string, age int, status string"
 PEOPLE = [(i, f"n{i}", f"n{i}@x", 20 + i, "on") for i in range(1, 6)]
@@ -292,6 +295,19 @@ def test_copies_of_a_key_are_chosen_by_value(spark):
     assert [r.result for r in by_check(validated(source, target, primary_keys="id"))["data_validation"]] == ["PASS"]
 
 
+def test_text_sides_are_parsed_once_and_released(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("id,v\n" + "".join(f"{i},x{i}\n" for i in range(50)))
+    before = named_paths()
+    sides = {s: {"type": "file", "path": f"{tmp_path}/{n}.csv"} for s, n in (("source", "a"), ("target", "b"))}
+    result = validate(spark, {"name": "n", "primary_keys": "id", "regression": True, **sides})
+    assert "FileScan csv" not in result.df._jdf.queryExecution().executedPlan().toString()
+    result = result.materialized()
+    assert not result.failed() and result.staged and set(result.staged) == set(named_paths(before))
+    result.close()
+    assert named_paths(before) == [] and not any(os.path.exists(p) for p in result.staged)
+
+
 def test_no_common_columns(spark):
     source, target = spark.range(3).toDF("a"), spark.range(3).toDF("b")
     found = by_check(validated(source, target, regression=True))

@@ -47,7 +47,9 @@ def main(argv: list[str] | None = None) -> int:
     for path in result.write(args.format):
         print(path)
     result.summary().show(truncate=False)
-    return 1 if result.failed() else 0
+    failed = result.failed()
+    result.close()
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":

@@ -35,6 +35,11 @@ class SuiteResult:
             paths.append(sinks.write_results(self.df, self.results[0].spec.output_dir, "consolidated", fmt))
         return paths
 
+    def close(self) -> None:
+        """Delete what the runs have written to the shared folder."""
+        for result in self.results:
+            result.close()
+
 
 def run_suite(spark: SparkSession, suite: SuiteSpec) -> SuiteResult:
     """Run every validation once; its result rows are kept in the shared folder, so reports rerun nothing."""

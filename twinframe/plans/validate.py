@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +21,8 @@ from twinframe.operators.results import ALL_COLUMNS, FAIL, ORDER_COLUMNS, public
 from twinframe.operators.sampling import quick_sample
 from twinframe.operators.value_checks import CASING, HASH, SPECIAL, VALUE, ZERO, row_checks
 from twinframe.plans.pair import Pair
-from twinframe.session import stage
-from twinframe.sources.registry import load_source
+from twinframe.session import named_paths, release, stage
+from twinframe.sources.registry import is_columnar, load_source
 from twinframe.spec import ValidationSpec
 
 _custom_checks: dict[str, tuple[Callable[[Pair], DataFrame], bool]] = {}
@@ -43,6 +43,7 @@ class ValidationResult:
     rows: DataFrame  # result columns plus the order columns
     pair: Pair
     alignment: Alignment = field(default_factory=Alignment)
+    staged: list[str] = field(default_factory=list)  # folders that the run has written
 
     @property
     def df(self) -> DataFrame:
@@ -58,7 +59,13 @@ class ValidationResult:
 
     def materialized(self) -> ValidationResult:
         """Run once: write the result rows to the shared folder and read them from there on."""
-        return ValidationResult(self.spec, stage(self.rows, "results"), self.pair, self.alignment)
+        before = named_paths()
+        rows = stage(self.rows, "results")
+        return replace(self, rows=rows, staged=[*self.staged, *named_paths(before)])
+
+    def close(self) -> None:
+        """Delete what the run has written to the shared folder; the result rows cannot be read after that."""
+        release(self.pair.spark, self.staged)
 
     def summary(self) -> DataFrame:
         return summaries.run_summary(self.rows)
@@ -111,6 +118,7 @@ def check_rows(pair: Pair, spec: ValidationSpec) -> DataFrame:
 
 def validate_frames(source: DataFrame, target: DataFrame, spec: ValidationSpec) -> ValidationResult:
     """Validate two DataFrames that are already loaded."""
+    before = named_paths()
     keys = spec.primary_keys
     sampled = False
     if spec.quick_sample_pks and str(spec.target.get("type", "table")).lower() == "table":
@@ -134,7 +142,8 @@ def validate_frames(source: DataFrame, target: DataFrame, spec: ValidationSpec)
         order_by=[alignment.target_name(c) for c in spec.order_by],
         already_reduced=sampled,
     )
-    return ValidationResult(spec, check_rows(pair, spec), pair, alignment)
+    rows = check_rows(pair, spec)
+    return ValidationResult(spec, rows, pair, alignment, named_paths(before))
 
 
 def _sampled(source: DataFrame, target: DataFrame, spec: ValidationSpec) -> tuple[DataFrame, DataFrame, bool]:
@@ -154,7 +163,16 @@ def validate(spark: SparkSession, spec: ValidationSpec | dict[str, Any]) -> Vali
     """Load both sides as the spec says and validate them."""
     if isinstance(spec, dict):
         spec = ValidationSpec.from_dict(spec)
-    order = spec.primary_keys
-    return validate_frames(
-        load_source(spark, spec.source, order_by=order), load_source(spark, spec.target, order_by=order), spec
-    )
+    before = named_paths()
+    sides = [_opened(spark, spec, config) for config in (spec.source, spec.target)]
+    result = validate_frames(*sides, spec)
+    return replace(result, staged=named_paths(before))
+
+
+def _opened(spark: SparkSession, spec: ValidationSpec, config: dict[str, Any]) -> DataFrame:
+    """A side as configured. What is not stored by columns is parsed once and kept in the shared folder, as every check
+    reads its own columns; without keys it stays as it is, as its files tell the order of rows."""
+    df = load_source(spark, config, order_by=spec.primary_keys)
+    if not spec.primary_keys or spec.quick_sample_pks or is_columnar(config):
+        return df
+    return stage(df, "side")

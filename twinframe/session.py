@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Folders that this process has named under the shared folder and not released yet.
+_named: list[str] = []
+
 # UTC keeps timestamp text equal on every cluster; AQE sizes and splits shuffle partitions at run time.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,7 +43,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="twinframe-")
         spark.conf.set(CHECKPOINT_DIR, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+def named_paths(since: Iterable[str] = ()) -> list[str]:
+    """Scratch folders not released yet, without those of ``since``."""
+    before = set(since)
+    return [p for p in _named if p not in before]
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch folders. Whatever reads them must be done."""
+    for path in paths:
+        if path in _named:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _named.remove(path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

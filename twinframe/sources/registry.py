@@ -44,6 +44,16 @@ def load_source(spark: SparkSession, config: dict[str, Any], order_by: list[str]
     return limited(df, limit, order if order and len(order) == len(order_by or []) else None)
 
 
+def is_columnar(config: dict[str, Any]) -> bool:
+    """Whether a source reads single columns cheaply and alike each time: Parquet files and catalog tables."""
+    kind = str(config.get("type", "")).lower()
+    if kind == "file":
+        return str(config.get("format") or "").lower() == "parquet" or str(config.get("path", "")).rstrip("/").endswith(".parquet")
+    from twinframe.sources.tables import is_jdbc
+
+    return kind == "table" and not is_jdbc(config)
+
+
 def _register_builtin() -> None:
     from twinframe.sources import files, tables, workbook
 

@@ -43,9 +43,13 @@ def _qualified(schema: str | None, table: str) -> str:
     return ".".join('"{}"'.format(part.replace('"', '""')) for part in (schema, table) if part)
 
 
+def is_jdbc(config: Mapping[str, Any]) -> bool:
+    return any(config.get(k) for k in _CONNECTION_KEYS)
+
+
 def load_table(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     """A JDBC table when connection settings are given, else a table or view of the session's catalog."""
-    if any(config.get(k) for k in _CONNECTION_KEYS):
+    if is_jdbc(config):
         return spark.read.format("jdbc").options(**jdbc_options(config)).load()
     schema, table = config.get("schema"), config["table"]
     return spark.table(f"{schema}.{table}" if schema else table)
