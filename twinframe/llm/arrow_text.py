@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes and texts worked on at once inside a task; a longer single text is worked on alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SLICE_TEXTS = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -59,7 +59,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = max(n + 1, SLICE_BYTES + 1)
+            size = max(n + 1, 2 * SLICE_BYTES)
             self.up = np.full(size, _BASE, dtype=np.uint64)
             self.down = np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
             self.up[0] = self.down[0] = 1
