@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinframe.functions import types as ty
 from twinframe.functions.text import ident
 from twinframe.operators import keys as ks
+from twinframe.session import stage
 
 
 def limited(df: DataFrame, limit: int, order_by: list[str] | None = None) -> DataFrame:
@@ -30,6 +31,6 @@ def quick_sample(
         ty.family(source.schema[k].dataType) == ty.family(renamed.schema[k].dataType) for k in source_keys
     )
     shape = ks.KeyShape.of(source.schema, renamed.schema, source_keys, "strict" if alike else "coerce")
-    sample = ks.sample_keys(source, shape, size, seed)
+    sample = stage(ks.sample_keys(source, shape, size, seed), "sample")  # chosen once, used for both sides
     to_target = ks.KeyShape(list(target_keys), shape.types, shape.mode)
     return ks.semi_join(source, sample, shape), ks.semi_join(target, sample, to_target)
