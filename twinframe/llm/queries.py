@@ -180,6 +180,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM marked LEFT JOIN verdicts USING (source)
 """
 
+EDGE = r"[\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP8_SQL = rf"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+stripped AS (SELECT doc_id, [coalesce(nullif(regexp_replace(regexp_replace(w, '^{EDGE}', ''), '{EDGE}$', ''), ''), w) FOR w IN ws] AS ws FROM lowered),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(
+    [array_to_string(ws[i:i + {jaccard_join.WIDTH - 1}], ' ') FOR i IN range(1, greatest(2, len(ws) - {jaccard_join.WIDTH - 2}))])) AS x
+  FROM stripped WHERE len(ws) > 0),
+classes AS (SELECT x, min(doc_id) AS copy_id, count(*) AS n_copies, len(x) AS n FROM sets GROUP BY x),
+items AS (SELECT copy_id, n, unnest(x) AS item FROM classes),
+pairs AS (
+  SELECT a.copy_id AS a, b.copy_id AS b FROM items a JOIN items b ON a.item = b.item AND a.copy_id < b.copy_id
+  GROUP BY a.copy_id, b.copy_id, a.n, b.n
+  HAVING count(*) >= {jaccard_join.THRESHOLD} * (a.n + b.n - count(*)) - 1e-9),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT DISTINCT a AS id, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+degrees AS (SELECT a AS id, count(*) AS n_links FROM edges GROUP BY a)
+SELECT l.doc_id, coalesce(r.root, c.copy_id, l.doc_id) AS class_id, coalesce(c.copy_id, l.doc_id) AS copy_id,
+  CAST(coalesce(c.n_copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(d.n_links, 0) AS BIGINT) AS n_links
+FROM lowered l LEFT JOIN sets s ON l.doc_id = s.doc_id LEFT JOIN classes c ON s.x = c.x
+LEFT JOIN roots r ON c.copy_id = r.id LEFT JOIN degrees d ON c.copy_id = d.id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op2_gru_likelihood": op2_gru_likelihood,
@@ -195,5 +222,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_license_scan": license_scan.oracle_sql(),
     "op6_benchmark_search": decontamination.oracle_sql(),
+    "op8_jaccard_join": OP8_SQL,
     "op10_host_rules": OP10_SQL,
 }
