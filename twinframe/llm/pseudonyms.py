@@ -30,7 +30,7 @@ _SECRET = "(?i:password|passwd|secret|token|api_?key)"
 
 # The written forms that are looked at. Validation decides whether they are replaced.
 PATTERNS = [
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,32}",
     rf"\b{_SECRET}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"']{{8,}}",
     r"\bAKIA[0-9A-Z]{16}\b",
     r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
