@@ -916,15 +916,21 @@ def metadata_types(spark: SparkSession, d: str) -> DataFrame:
     return public(schema_checks.metadata_types(_bare_pair(spark, d)))
 
 
+_DIGITS = "length(CAST(CAST(floor(max(o_totalprice)) AS BIGINT) AS VARCHAR)) + 2"
+
+
 @query(
     "column_specs",
-    """SELECT 'column_precision_check' AS validation, 'FAIL' AS result, 'o_totalprice' AS "column", '' AS pk,
-    'Precision/Scale mismatch: 12,2 vs 14,3' AS detail, '12,2' AS source_value, '14,3' AS target_value""",
+    f"""SELECT 'column_precision_check' AS validation, 'FAIL' AS result, 'o_totalprice' AS "column", '' AS pk,
+    'Precision/Scale mismatch: ' || p || ',2 vs ' || (p + 2) || ',3' AS detail, p || ',2' AS source_value,
+    (p + 2) || ',3' AS target_value FROM (SELECT {_DIGITS} AS p FROM orders)""",
 )
 def column_specs(spark: SparkSession, d: str) -> DataFrame:
-    source = table(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)"))
-    target = table(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(14,3)"))
-    return public(schema_checks.column_specs(Pair(source, target, ["o_orderkey"], subset=False)))
+    """Prices as decimals just wide enough for the largest one, against wider ones."""
+    rows = table(spark, d, "orders")
+    digits = len(str(int(rows.agg(F.max("o_totalprice")).first()[0]))) + 2
+    sides = [rows.withColumn("o_totalprice", F.col("o_totalprice").cast(t)) for t in (f"decimal({digits},2)", f"decimal({digits + 2},3)")]
+    return public(schema_checks.column_specs(Pair(*sides, ["o_orderkey"], subset=False)))
 
 
 # --- Scalar functions ------------------------------------------------------------------------------------
