@@ -166,6 +166,19 @@ def test_fuzzy_names_against_brute_force(spark):
         assert got[w] == (w if w in names else best if ratio > 0.5 else None), w
 
 
+@pytest.mark.parametrize("system, first", [("", "1900-01-01 12:00:00.500000"), ('<workbookPr date1904="1"/>', "1904-01-03 12:00:00.500000")])
+def test_date_systems_of_workbooks(spark, tmp_path, system, first):
+    sheet = (
+        '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+        '<row r="1"><c r="A1" t="inlineStr"><is><t>d</t></is></c></row>'
+        f'<row r="2"><c r="A2" s="1"><v>{2 + (43200.5 / 86400)!r}</v></c></row></sheetData></worksheet>'
+    )
+    with zipfile.ZipFile(io.BytesIO(xlsx_bytes({"s": sheet}))) as made, zipfile.ZipFile(tmp_path / "a.xlsx", "w") as kept:
+        for name in made.namelist():
+            kept.writestr(name, made.read(name).decode().replace("<sheets>", f"{system}<sheets>"))
+    assert cells(load_source(spark, {"type": "file", "path": str(tmp_path / "a.xlsx")})) == [(first,)]
+
+
 def test_broken_json_is_an_error(spark, tmp_path):
     for orient, good, bad in (
         ("index", '{"1": {"a": "x"}}', '{"1": {"a": "x"'),

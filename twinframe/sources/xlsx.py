@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinframe.sources.archives import binary_files, rows_of_archives, table_of_rows
 
-# Fixed values of the file format: namespaces, built-in date formats and the day serial number 0.
+# Fixed values of the file format: namespaces, built-in date formats and the day serial number 0 of both date systems.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 BUILTIN_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 DAY_ZERO = datetime(1899, 12, 30)
+DAY_ZERO_1904 = datetime(1904, 1, 1)
 
 _SCHEMA = "path string, sheet string, row_no int, header array<string>, cells array<string>"
 _COLUMNS = ["path", "sheet", "row_no", "header", "cells"]
@@ -32,12 +33,12 @@ def xlsx_rows(files: DataFrame, sheet: int | str = 0) -> DataFrame:
 
     def read(path: str, archive: zipfile.ZipFile) -> Iterator[tuple]:
         name, member = _find_sheet(archive, sheet)
-        shared, dates = _shared_strings(archive), _date_styles(archive)
+        shared, dates, zero = _shared_strings(archive), _date_styles(archive), _day_zero(archive)
         header = None
         with archive.open(member) as handle:
             for _, element in ElementTree.iterparse(handle):
                 if element.tag == f"{MAIN}row":
-                    cells = _cells(element, shared, dates)
+                    cells = _cells(element, shared, dates, zero)
                     if header is None and any(c is not None for c in cells):
                         header = cells
                     elif any(c is not None for c in cells):
@@ -68,6 +69,12 @@ def _find_sheet(archive: zipfile.ZipFile, sheet: int | str) -> tuple[str, str]:
     return name, target.lstrip("/") if target.startswith("/") else posixpath.join("xl", target)
 
 
+def _day_zero(archive: zipfile.ZipFile) -> datetime:
+    settings = ElementTree.fromstring(archive.read("xl/workbook.xml")).find(f"{MAIN}workbookPr")
+    since_1904 = settings is not None and settings.get("date1904", "0") in ("1", "true")
+    return DAY_ZERO_1904 if since_1904 else DAY_ZERO
+
+
 def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in archive.namelist():
         return []
@@ -96,16 +103,16 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
-def _cells(row: ElementTree.Element, shared: list[str], dates: set[int]) -> list[str | None]:
+def _cells(row: ElementTree.Element, shared: list[str], dates: set[int], zero: datetime) -> list[str | None]:
     cells: list[str | None] = []
     for cell in row.iter(f"{MAIN}c"):
         place = _column_number(cell.get("r", "")) if cell.get("r") else len(cells)
         cells.extend([None] * (place - len(cells)))
-        cells.append(_cell_text(cell, shared, dates))
+        cells.append(_cell_text(cell, shared, dates, zero))
     return cells
 
 
-def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[int]) -> str | None:
+def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[int], zero: datetime) -> str | None:
     kind, value = cell.get("t", "n"), cell.find(f"{MAIN}v")
     if kind == "inlineStr":
         text = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
@@ -116,8 +123,7 @@ def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[int]) ->
     elif kind == "b":
         text = "True" if value.text == "1" else "False"
     elif kind == "n" and int(cell.get("s", 0)) in dates:
-        moment = DAY_ZERO + timedelta(days=float(value.text))
-        text = str(moment + timedelta(microseconds=500)).split(".")[0]
+        text = str(zero + timedelta(milliseconds=round(float(value.text) * 86_400_000)))
     else:
         text = value.text
     return text or None
