@@ -160,21 +160,23 @@ def log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(1))
 
 
-def class_rows(words: Vocabulary, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each head class with the rows that belong to it."""
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(words.head_classes + 1))
-    for c in range(words.head_classes):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+def by_class(words: Vocabulary, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Rows of head tokens in the order of their classes, and each class's part of these."""
+    rows = np.flatnonzero(classes < words.head_classes)
+    rows = rows[np.argsort(classes[rows].astype(np.int16), kind="stable")]
+    cuts = np.searchsorted(classes[rows], np.arange(words.head_classes + 1))
+    return rows, [(c, slice(cuts[c], cuts[c + 1])) for c in range(words.head_classes) if cuts[c] < cuts[c + 1]]
 
 
 def log_likelihood(net: Network, words: Vocabulary, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the class's probability and, for head tokens, of the token's in its class."""
     classes = words.classes(ids)
     out = log_share(states @ net.to_class + net.class_bias, classes)
-    for c, rows in class_rows(words, classes):
-        out[rows] += log_share(states[rows] @ net.to_word[c].T + net.word_bias[c], ids[rows] - c * CLASS_SIZE)
+    rows, parts = by_class(words, classes)
+    of, place, share = states[rows], ids[rows] % CLASS_SIZE, np.empty(len(rows), out.dtype)
+    for c, part in parts:
+        share[part] = log_share(of[part] @ net.to_word[c].T + net.word_bias[c], place[part])
+    out[rows] += share
     return out
 
 
@@ -187,13 +189,17 @@ def output_slopes(net: Network, words: Vocabulary, states: np.ndarray, ids: np.n
     slopes.to_class += states.T @ error
     slopes.class_bias += error.sum(0)
     back = error @ net.to_class.T
-    for c, rows in class_rows(words, classes):
-        error = softmax(states[rows] @ net.to_word[c].T + net.word_bias[c])
-        error[np.arange(len(rows)), ids[rows] - c * CLASS_SIZE] -= 1
+    rows, parts = by_class(words, classes)
+    of, place = states[rows], ids[rows] % CLASS_SIZE
+    more = np.empty_like(of)
+    for c, part in parts:
+        error = softmax(of[part] @ net.to_word[c].T + net.word_bias[c])
+        error[np.arange(len(error)), place[part]] -= 1
         error /= n
-        slopes.to_word[c] += error.T @ states[rows]
+        slopes.to_word[c] += error.T @ of[part]
         slopes.word_bias[c] += error.sum(0)
-        back[rows] += error @ net.to_word[c]
+        more[part] = error @ net.to_word[c]
+    back[rows] += more
     return back
 
 
