@@ -175,3 +175,10 @@ def test_language_model_edges(spark, edges, nothing):
         assert len(rows) == frame.count() and all(r.score < 0 and r.n_known == r.n_tokens for r in rows)
     empty = language_model.likelihoods(edges, ~everything).collect()
     assert len(empty) == edges.count() and {(r.base_score, r.score, r.n_known, r.train_tokens) for r in empty} == {(0.0, 0.0, 0, 0)}
+
+
+def test_language_model_keeps_its_size():
+    """The state and the classes of other tokens are not cut to save time: held-out scores fall with them."""
+    words = small_vocabulary()
+    net = language_model.Network.first(words)
+    assert net.over.shape == (24, 3 * 24) and len(net.class_bias) == words.head_classes + 48
