@@ -182,3 +182,13 @@ def test_language_model_keeps_its_size():
     words = small_vocabulary()
     net = language_model.Network.first(words)
     assert net.over.shape == (24, 3 * 24) and len(net.class_bias) == words.head_classes + 48
+
+
+def test_head_grows_with_the_corpus(spark):
+    rows = [(k, k % language_model.TAIL, 1 + (k % 1000 == 0)) for k in range(20_000)]
+    words = language_model.vocabulary(spark.createDataFrame(rows, "term long, shape int, n long"))
+    head = words.head
+    assert words.head_counts.sum() >= language_model.COVERED * words.total > words.head_counts[:-1].sum() and head > 2048
+    assert words.class_size**2 >= head and words.head_classes <= words.class_size
+    net = language_model.Network.first(words)
+    assert net.to_word.shape[0] * net.to_word.shape[1] >= head and len(net.embed) == head + language_model.TAIL

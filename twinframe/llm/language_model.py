@@ -1,8 +1,9 @@
 """Log-likelihood of whole texts under a gated recurrent language model, next to a unigram base.
 
 Tokens are runs without white space, A-Z lower-cased, and one end token for each text. Counts of all training tokens, made
-by Spark, give the base and the vocabulary. The ``HEAD`` most frequent tokens are predicted each, in classes of like
-frequency; all others belong to classes by their last two bytes, inside which a token's share is its smoothed count:
+by Spark, give the base and the vocabulary. The most frequent tokens that make up ``COVERED`` of all training tokens (and at
+least ``HEAD`` of them) are predicted each, in about as many classes of like frequency as a class has tokens; all others
+belong to classes by their last two bytes, inside which a token's share is its smoothed count:
 
     P(token | state) = softmax(class | state) * (softmax(token | class, state)  or  (c + 0.1) / (N_class + 0.1 (V_class + 1)))
 
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,11 @@ from twinframe.llm.arrow_text import Powers, Texts, lower_bytes, mixed, texts_of
 from twinframe.llm.labels import bounded
 from twinframe.session import stage
 
+#: Share of the training tokens that are head tokens, so the head grows with the corpus.
+COVERED = 0.75
+#: Fewest head tokens, fewest of them in a class, and classes of all other tokens.
 HEAD, CLASS_SIZE, TAIL = 2048, 64, 48
-#: Tokens whose counts every task holds; counts of others are joined.
+#: Tokens whose counts every task holds, and at least the head; counts of others are joined.
 FREQUENT = 65_536
 EMBEDDED, HIDDEN = 16, 24
 WINDOW, SEGMENT, SIDE_BY_SIDE = 24, 480, 256
@@ -40,6 +46,8 @@ PILOT_TEXTS, PILOT_PASSES = 2000, 2
 SMOOTH = 0.1
 #: Words that one group of texts may hold while it is scored.
 GROUP_TOKENS = 1 << 21
+#: Tokens whose classes are scored at once, and weights that are averaged as one row.
+SCORED_TOKENS, CHUNK = 1 << 14, 4096
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 
 
@@ -71,9 +79,13 @@ class Vocabulary:
     def head(self) -> int:
         return len(self.head_counts)
 
+    @cached_property
+    def class_size(self) -> int:
+        return max(CLASS_SIZE, isqrt(max(self.head - 1, 0)) + 1)
+
     @property
     def head_classes(self) -> int:
-        return -(-self.head // CLASS_SIZE)
+        return -(-self.head // self.class_size)
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the frequent tokens, -1 for others."""
@@ -87,7 +99,7 @@ class Vocabulary:
         return np.where(place >= 0, place, self.head + shape)
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.head, ids // CLASS_SIZE, self.head_classes + ids - self.head)
+        return np.where(ids < self.head, ids // self.class_size, self.head_classes + ids - self.head)
 
 
 @dataclass
@@ -111,14 +123,14 @@ class Network:
         def draw(*shape: int) -> np.ndarray:
             return random.normal(0, 0.1, shape).astype(np.float32)
 
-        pad = words.head_classes * CLASS_SIZE - words.head
-        head = np.concatenate([words.head_counts.astype(np.float64), np.zeros(pad)]).reshape(-1, CLASS_SIZE)
+        pad = words.head_classes * words.class_size - words.head
+        head = np.concatenate([words.head_counts.astype(np.float64), np.zeros(pad)]).reshape(-1, words.class_size)
         by_class = np.concatenate([head.sum(1), words.class_total + 1.0])
         word_bias = np.log(np.maximum(head, 1e-12) / np.maximum(head.sum(1, keepdims=True), 1e-12))
         class_bias = np.log(np.maximum(by_class, 1e-9) / max(by_class.sum(), 1e-9))
         return Network(
             draw(words.head + TAIL, EMBEDDED), draw(EMBEDDED, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32), draw(HIDDEN, 3 * HIDDEN),
-            draw(HIDDEN, len(by_class)) * 0.1, class_bias.astype(np.float32), draw(len(head), CLASS_SIZE, HIDDEN) * 0.1, word_bias.astype(np.float32),
+            draw(HIDDEN, len(by_class)) * 0.1, class_bias.astype(np.float32), draw(len(head), words.class_size, HIDDEN) * 0.1, word_bias.astype(np.float32),
         )
 
     def arrays(self) -> list[np.ndarray]:
@@ -171,9 +183,12 @@ def by_class(words: Vocabulary, classes: np.ndarray) -> tuple[np.ndarray, list[t
 def log_likelihood(net: Network, words: Vocabulary, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of the class's probability and, for head tokens, of the token's in its class."""
     classes = words.classes(ids)
-    out = log_share(states @ net.to_class + net.class_bias, classes)
+    out = np.empty(len(ids), np.result_type(states, net.to_class))
+    for begin in range(0, len(ids), SCORED_TOKENS):
+        part = slice(begin, begin + SCORED_TOKENS)
+        out[part] = log_share(states[part] @ net.to_class + net.class_bias, classes[part])
     rows, parts = by_class(words, classes)
-    of, place, share = states[rows], ids[rows] % CLASS_SIZE, np.empty(len(rows), out.dtype)
+    of, place, share = states[rows], ids[rows] % words.class_size, np.empty(len(rows), out.dtype)
     for c, part in parts:
         share[part] = log_share(of[part] @ net.to_word[c].T + net.word_bias[c], place[part])
     out[rows] += share
@@ -190,7 +205,7 @@ def output_slopes(net: Network, words: Vocabulary, states: np.ndarray, ids: np.n
     slopes.class_bias += error.sum(0)
     back = error @ net.to_class.T
     rows, parts = by_class(words, classes)
-    of, place = states[rows], ids[rows] % CLASS_SIZE
+    of, place = states[rows], ids[rows] % words.class_size
     more = np.empty_like(of)
     for c, part in parts:
         error = softmax(of[part] @ net.to_word[c].T + net.word_bias[c])
@@ -303,12 +318,24 @@ def token_counts(texts: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("term").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
 
 
+def covering(counts: DataFrame) -> int:
+    """Fewest tokens that make up ``COVERED`` of all, from the number of tokens that occur n times."""
+    rows = sorted((r["n"], r["tokens"]) for r in counts.groupBy("n").agg(F.count("*").alias("tokens")).collect())
+    missing, head = COVERED * sum(n * tokens for n, tokens in rows), 0
+    for n, tokens in reversed(rows):
+        if missing <= n * tokens:
+            return head + ceil(missing / n)
+        missing, head = missing - n * tokens, head + tokens
+    return head
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From written ``token_counts``: only the frequent tokens and one row per class come to the driver."""
-    top = counts.orderBy(F.desc("n"), "term").limit(FREQUENT).collect()
+    head = max(HEAD, covering(counts))
+    top = counts.orderBy(F.desc("n"), "term").limit(max(FREQUENT, head)).collect()
     terms = np.array([r["term"] for r in top], dtype=np.int64).view(np.uint64)
     n = np.array([r["n"] for r in top], dtype=np.int64)
-    head = min(HEAD, len(top))
+    head = min(head, len(top))
     class_total, class_distinct = np.zeros(TAIL, dtype=np.int64), np.zeros(TAIL, dtype=np.int64)
     for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         class_total[r["shape"]], class_distinct[r["shape"]] = r["n"], r["v"]
@@ -334,12 +361,12 @@ def pilot(texts: DataFrame, id_col: str, text_col: str, words: Vocabulary) -> Ne
         for batch in batches:
             for part in texts_of(batch.column(0)):
                 ids, bounds = network_ids(part, powers, words)
-                rows = [s.astype(np.uint16).tobytes() for s in segments_of(ids, bounds)]
+                rows = [s.astype(np.int32).tobytes() for s in segments_of(ids, bounds)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
     sample = bounded(texts.select(id_col, text_col), id_col, PILOT_TEXTS, seed=6)
     rows = sample.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "ids binary").collect()
-    segments = [np.frombuffer(r["ids"], dtype=np.uint16).astype(np.int64) for r in rows]
+    segments = [np.frombuffer(r["ids"], dtype=np.int32).astype(np.int64) for r in rows]
     trainer = Trainer(Network.first(words), words, rate=0.01)
     for _ in range(PILOT_PASSES):
         trainer.learn(segments)
@@ -366,15 +393,22 @@ def averaged(texts: DataFrame, text_col: str, words: Vocabulary, start: Network)
             trainer.learn(segments)
             seen += waiting
         if seen:
-            values = trainer.net.flat().astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["tokens", "values"])
-
-    rows = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "tokens long, values array<double>")
-    each = rows.select("tokens", F.posexplode("values").alias("at", "value"))
-    mean = each.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
+            flat = trainer.net.flat().astype(np.float32)
+            chunks = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
+            at = np.arange(len(chunks), dtype=np.int64) * CHUNK
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(chunks), seen)), pa.array(chunks, pa.binary())], names=["at", "tokens", "chunk"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        tokens, total = table.column("tokens").to_numpy(), 0
+        for n, chunk in zip(tokens, table.column("chunk").to_pylist()):
+            total = total + np.frombuffer(chunk, np.float32) * float(n)
+        return pa.table({"at": table.column("at").slice(0, 1), "chunk": pa.array([(total / tokens.sum()).tobytes()], pa.binary())})
+
+    rows = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "at long, tokens long, chunk binary")
     flat = start.flat().astype(np.float64)
-    for r in mean:
-        flat[r["at"]] = r["value"]
+    for r in rows.groupBy("at").applyInArrow(mean, "at long, chunk binary").collect():
+        values = np.frombuffer(r["chunk"], np.float64)
+        flat[r["at"] : r["at"] + len(values)] = values
     return start.filled(flat)
 
 
