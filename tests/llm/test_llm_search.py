@@ -222,3 +222,26 @@ def test_pipeline_stages_keep_columns(spark, edges, tmp_path):
             frame = step(spark, frame, str(tmp_path))
             assert frame.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() >= 0
+
+
+@pytest.mark.parametrize(
+    "before, value, after",
+    [("", "4111 1111 1111 1111", " 12/27"), ("", "4111 1111 1111 1111", " 123"), ("12 ", "4111 1111 1111 1111", ""), ("2024 ", "4111 1111 1111 1111", "")],
+)
+def test_card_beside_other_numbers(spark, before, value, after):
+    (new,) = hidden(spark, [before + value + after])
+    inner = new[len(before) : len(new) - len(after)]
+    assert new == before + inner + after and inner != value and plain.luhn(inner.replace(" ", "")) and len(inner) == len(value)
+
+
+@pytest.mark.parametrize("value, after", [("ES91 2100 0418 4502 0005 1332", " CAD"), ("FR14 2004 1010 0505 0001 3M02 606", ".")])
+def test_iban_beside_words_and_with_letters(spark, value, after):
+    (new,) = hidden(spark, [value + after])
+    flat = new[: len(value)].replace(" ", "")
+    assert new.endswith(after) and len(new) == len(value + after) and new != value + after
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def test_phone_behind_a_card_is_hidden_too(spark):
+    (new,) = hidden(spark, ["4111 1111 1111 1111 212-555-0123"])
+    assert not new.startswith("4111 1111 1111 1111") and not new.endswith("212-555-0123") and len(new) == 32

@@ -6,10 +6,11 @@ alike. Values outside the format are walked over (the network is applied again u
 a bijection, so equal values stay equal in all documents and different ones stay different, and the key can invert it.
 What has no numeric format (e-mail addresses, keys and passwords) gets a keyed hash in its shape.
 
-  card      13 to 19 digits with a Luhn check digit; first digit and grouping stay
+  card      13 to 19 digits with a Luhn check digit; first digit and grouping stay. In a longer run of numbers every stretch
+            of whole groups is tried, those grouped like cards first, and the rest is searched for phones, dates and ssn
   phone     North American numbers by area and exchange rules; others after + with 8 to 15 digits keep the first three
   ssn       3-2-4 digits by the published ranges
-  iban      check digits right and last eight characters digits; these are permuted and the check digits renewed
+  iban      as long as its country's are and check digits right; its last eight digits are permuted, the check digits renewed
   ipv4      four numbers up to 255
   date      1900 to 2099, as year-month-day, or day and month and year by slashes (month first unless the first number is
             above 12) or dots (day first)
@@ -28,6 +29,16 @@ ROUNDS = 10
 WALKS = 64
 _SECRET = "(?i:password|passwd|secret|token|api_?key)"
 
+# Lengths of the countries' account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRIES = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+_IBAN = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
 # The written forms that are looked at. Validation decides whether they are replaced.
 PATTERNS = [
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,32}",
@@ -38,11 +49,16 @@ PATTERNS = [
     r"(?<![\w/.-])\d{1,2}/\d{1,2}/\d{4}(?![\w/-])",
     r"(?<![\w/.-])\d{1,2}\.\d{1,2}\.\d{4}(?![\w/-])",
     r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    rf"\b(?:{_IBAN})\b",
+    rf"\b(?!{_COUNTRIES})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b",
     r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?![\w-])",
-    r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    r"(?<![\w.-])\d[\d -]{11,}\d(?![\w-]|\.\d{1,3}\.|/\d{1,2}/)",
 ]
+#: What the rest of a run of numbers can hold.
+IN_RUN = [p for p in PATTERNS if any(x in p for x in (r"\d{4}-\d{2}-", r"\d{3}-\d{2}-", r"[ .-]\d{4}"))]
+#: Groups as cards have them.
+_CARD_GROUPS = "^([0-9]{13,19}|[0-9]{4}( [0-9]{4}){3}( [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -114,6 +130,37 @@ def card(key: str) -> str:
     return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {luhn_sum('d')} % 10 = 0 THEN {let(new, 'w', refill('m', 'w', '[0-9]'))} ELSE m END")
 
 
+def rest_of_run(key: str, text: str) -> str:
+    """SQL for the numbers beside or without a card, with pseudonyms for other values in them."""
+    pattern = "|".join(IN_RUN).replace("\\", "\\\\")
+    new = f"""transform(regexp_extract_all({text}, '{pattern}', 0), m -> CASE
+      WHEN m rlike '^[0-9]{{4}}-[0-9]{{2}}-' THEN {date(key)} WHEN m rlike '^[0-9]{{3}}-[0-9]{{2}}-' THEN {ssn(key)} ELSE {phone(key)} END)"""
+    return f"array_join(zip_with(split({text}, '{pattern}', -1), {new}, (a, b) -> concat(a, coalesce(b, ''))), '')"
+
+
+def cards(key: str) -> str:
+    """SQL for a run of numbers with pseudonyms for the cards in it: a whole run that is one, then stretches of groups as
+    cards have them, then any; of equal ones the first and longest."""
+    digits = "array_join(slice(g, a, b - a + 1), '')"
+    rank = f"CASE WHEN a = 1 AND b = size(g) THEN 0 WHEN array_join(slice(g, a, b - a + 1), ' ') rlike '{_CARD_GROUPS}' THEN 1 ELSE 2 END"
+    ends = "filter(sequence(a, least(a + 18, size(g))), b -> g[a - 1] <> '' AND g[b - 1] <> '')"
+    each = f"transform({ends}, b -> named_struct('rank', {rank}, 'a', a, 'back', -b, 'd', {digits}))"
+    valid = f"length(x.d) BETWEEN 13 AND 19 AND {luhn_sum('x.d')} % 10 = 0"
+    tried = f"array_sort(filter(flatten(transform(sequence(1, size(g)), a -> {each})), x -> {valid}))"
+    apart = "NOT exists(t, o -> x.a <= -o.back AND -x.back >= o.a)"
+    place = "named_struct('a', x.a, 'back', x.back)"
+    chosen = f"array_sort(aggregate({tried}, cast(array() as array<struct<a: int, back: int>>), (t, x) -> CASE WHEN {apart} THEN array_append(t, {place}) ELSE t END))"
+
+    def before(group: str) -> str:
+        return f"aggregate(slice(g, 1, {group} - 1), 0, (x, y) -> x + length(y) + 1)"
+
+    span = f"transform({chosen}, c -> named_struct('low', {before('c.a')}, 'high', {before('(1 - c.back)')} - 1))"
+    between = rest_of_run(key, "r")
+    piece = f"concat(f.o, {let('substr(run, f.at + 1, c.low - f.at)', 'r', between)}, {let('substr(run, c.low + 1, c.high - c.low)', 'm', card(key))})"
+    built = f"aggregate({span}, named_struct('o', '', 'at', 0), (f, c) -> named_struct('o', {piece}, 'at', c.high), f -> concat(f.o, {let('substr(run, f.at + 1)', 'r', between)}))"
+    return let("m", "run", let("split(run, '[ -]')", "g", built))
+
+
 def phone(key: str) -> str:
     text = "lpad(cast(p as string), 10, '0')"
     valid = f"substr({text}, 1, 1) >= '2' AND substr({text}, 4, 1) >= '2'"
@@ -141,11 +188,16 @@ def ssn(key: str) -> str:
 
 
 def iban(key: str) -> str:
-    last = f"lpad(cast({feistel(key, 'iban', 'right(d, 8)', *halves(8))} as string), 8, '0')"
-    body = f"concat(substr(d, 5, length(d) - 12), {last})"
+    def last(n: int) -> str:
+        kind = "iban" if n == 8 else f"iban{n}"
+        return f"lpad(cast({feistel(key, kind, f'right(r, {n})', *halves(n))} as string), {n}, '0')"
+
+    places = "least(8, length(r))"
+    digits = let("regexp_replace(substr(d, 5), '[^0-9]', '')", "r", f"concat(left(r, length(r) - {places}), coalesce({by_length(range(1, 9), places, last)}, ''))")
+    body = let(digits, "w", refill("substr(d, 5)", "w", "[0-9]"))
     check = let(mod97("concat(q, left(d, 2), '00')"), "z", "lpad(cast(98 - z as string), 2, '0')")
     new = let(body, "q", f"concat(left(d, 2), {check}, q)")
-    right = f"{mod97('concat(substr(d, 5), left(d, 4))')} = 1 AND right(d, 8) rlike '^[0-9]{{8}}$'"
+    right = f"{mod97('concat(substr(d, 5), left(d, 4))')} = 1"
     return let("replace(m, ' ', '')", "d", f"CASE WHEN {right} THEN {let(new, 'w', refill('m', 'w', '[A-Z0-9]'))} ELSE m END")
 
 
@@ -204,7 +256,7 @@ def replacement(key: str) -> str:
       WHEN m rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' THEN {ipv4(key)}
       WHEN m rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}([/.])[0-9]{{1,2}}[/.][0-9]{{4}})$' THEN {date(key)}
       WHEN m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {ssn(key)}
-      WHEN m rlike '^[0-9]' AND length(regexp_replace(m, '[^0-9]', '')) >= 13 THEN {card(key)}
+      WHEN m rlike '^[0-9][0-9 -]*$' AND length(m) >= 13 AND NOT m rlike '^(1[ -])?[0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}$' THEN {cards(key)}
       ELSE {phone(key)} END"""
 
 
