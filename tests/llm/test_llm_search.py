@@ -245,3 +245,12 @@ def test_iban_beside_words_and_with_letters(spark, value, after):
 def test_phone_behind_a_card_is_hidden_too(spark):
     (new,) = hidden(spark, ["4111 1111 1111 1111 212-555-0123"])
     assert not new.startswith("4111 1111 1111 1111") and not new.endswith("212-555-0123") and len(new) == 32
+
+
+def test_phones_with_country_code_and_dates_with_time(spark):
+    odd = [f"+1 ({a:03d}) {b}-7713" for a in (17, 132, 136, 212) for b in ("055", "155", "055")] + ["+1 (017) 555-7713", "+1 (136) 555-7479"]
+    new = hidden(spark, [*odd, "+12125550123", "at 2024-03-05T10:22:00Z"])
+    assert all(a != b and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(odd, new))
+    assert len(set(new[: len(odd)])) == len(set(odd)) and all(n[4] < "2" or n[9] < "2" for n in new[: len(odd)])
+    assert re.fullmatch(r"\+1[2-9]\d\d[2-9]\d{6}", new[-2]) and new[-2] != "+12125550123"
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:22:00Z", new[-1]) and new[-1] != "at 2024-03-05T10:22:00Z"

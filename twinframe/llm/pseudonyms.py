@@ -8,7 +8,8 @@ What has no numeric format (e-mail addresses, keys and passwords) gets a keyed h
 
   card      13 to 19 digits with a Luhn check digit; first digit and grouping stay. In a longer run of numbers every stretch
             of whole groups is tried, those grouped like cards first, and the rest is searched for phones, dates and ssn
-  phone     North American numbers by area and exchange rules; others after + with 8 to 15 digits keep the first three
+  phone     North American numbers by area and exchange rules, with +1 also those outside the rules, among themselves;
+            others after + with 8 to 15 digits keep the first three
   ssn       3-2-4 digits by the published ranges
   iban      as long as its country's are and check digits right; its last eight digits are permuted, the check digits renewed
   ipv4      four numbers up to 255
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Most applications of the network for one value; each format accepts at least half of the values it is walked over.
+#: Most applications of the network for one value; each format accepts at least a third of the values it is walked over.
 WALKS = 64
 _SECRET = "(?i:password|passwd|secret|token|api_?key)"
 
@@ -45,13 +46,14 @@ PATTERNS = [
     rf"\b{_SECRET}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"']{{8,}}",
     r"\bAKIA[0-9A-Z]{16}\b",
     r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
-    r"(?<![\w/.-])\d{4}-\d{2}-\d{2}(?![\w/-])",
+    r"(?<![\w/.-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2}:\d{2})|(?![\w/-]))",
     r"(?<![\w/.-])\d{1,2}/\d{1,2}/\d{4}(?![\w/-])",
     r"(?<![\w/.-])\d{1,2}\.\d{1,2}\.\d{4}(?![\w/-])",
     r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     rf"\b(?:{_IBAN})\b",
     rf"\b(?!{_COUNTRIES})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b",
     r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
+    r"(?<![\w+])\+1\d{10}(?![\w-])",
     r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?![\w-])",
     r"(?<![\w.-])\d[\d -]{11,}\d(?![\w-]|\.\d{1,3}\.|/\d{1,2}/)",
 ]
@@ -163,9 +165,13 @@ def cards(key: str) -> str:
 
 def phone(key: str) -> str:
     text = "lpad(cast(p as string), 10, '0')"
-    valid = f"substr({text}, 1, 1) >= '2' AND substr({text}, 4, 1) >= '2'"
-    ten = f"lpad(cast({walked(key, 'phone', 'right(d, 10)', *halves(10), valid)} as string), 10, '0')"
-    north = let(f"concat(left(d, length(d) - 10), {ten})", "w", refill("m", "w", "[0-9]"))
+    valid = f"(substr({text}, 1, 1) >= '2' AND substr({text}, 4, 1) >= '2')"
+
+    def ten(kind: str, accepted: str) -> str:
+        new = f"lpad(cast({walked(key, kind, 'right(d, 10)', *halves(10), accepted)} as string), 10, '0')"
+        return let(f"concat(left(d, length(d) - 10), {new})", "w", refill("m", "w", "[0-9]"))
+
+    north, outside = ten("phone", valid), ten("phone-other", f"NOT {valid}")
     right = "substr(right(d, 10), 1, 1) >= '2' AND substr(right(d, 10), 4, 1) >= '2'"
 
     def far(n: int) -> str:
@@ -174,7 +180,7 @@ def phone(key: str) -> str:
 
     other = let(by_length(range(8, 16), "length(d)", far), "w", f"CASE WHEN w IS NULL THEN m ELSE {refill('m', 'w', '[0-9]')} END")
     is_far = "m rlike '^[+][2-9]'"
-    return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {is_far} THEN {other} WHEN {right} THEN {north} ELSE m END")
+    return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {is_far} THEN {other} WHEN {right} THEN {north} WHEN m rlike '^[+]1' THEN {outside} ELSE m END")
 
 
 def ssn(key: str) -> str:
