@@ -254,3 +254,18 @@ def test_phones_with_country_code_and_dates_with_time(spark):
     assert len(set(new[: len(odd)])) == len(set(odd)) and all(n[4] < "2" or n[9] < "2" for n in new[: len(odd)])
     assert re.fullmatch(r"\+1[2-9]\d\d[2-9]\d{6}", new[-2]) and new[-2] != "+12125550123"
     assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:22:00Z", new[-1]) and new[-1] != "at 2024-03-05T10:22:00Z"
+
+
+def test_licenses_keep_versions_and_variants_apart(spark):
+    said = {
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0"},
+        "This work is licensed under the GNU Affero General Public License, version 3.": {"AGPL-3.0"},
+        "Licensed under CC BY 4.0.": {"CC-BY-4.0"},
+        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0"},
+        "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0"},
+        **{f"x {text} y": {name} for name, text in license_scan.TEMPLATES},
+    }
+    found = license_scan.licenses(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
+    got = [{r.license for r in found if r.doc_id == k} for k in range(len(said))]
+    assert got == list(said.values())

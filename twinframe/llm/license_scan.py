@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from twinframe.llm.windows import THRESHOLD, found_items, search_sql
 
-# License identifiers with published notices, one notice each.
+# License identifiers with notices. A version or variant stands in so many of a template's shingles that no
+# other one's text reaches the threshold.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -27,7 +28,7 @@ TEMPLATES = [
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
         "to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU General Public License, version 3."),
     ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     (
@@ -50,6 +51,16 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("GPL-2.0", "GNU General Public License, version 2."),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1."),
+    ("EPL-2.0", "Eclipse Public License, version 2.0."),
+    ("CC-BY-4.0", "under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "under CC BY-NC-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
 
