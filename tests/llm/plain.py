@@ -120,10 +120,11 @@ def pseudonym_card(key, old):
 def pseudonym_phone(key, old):
     digits = re.sub(r"\D", "", old)
     value = int(digits[-10:])
+    inside = digits[-10] >= "2" and digits[-7] >= "2"  # by area and exchange rules; others are permuted among themselves
     while True:
-        value = feistel(key, "phone", value, 10**5, 10**5)
+        value = feistel(key, "phone" if inside else "phone-other", value, 10**5, 10**5)
         text = str(value).zfill(10)
-        if text[0] >= "2" and text[3] >= "2":
+        if (text[0] >= "2" and text[3] >= "2") == inside:
             return refill(old, digits[:-10] + text)
 
 
@@ -158,7 +159,7 @@ def pseudonymised(text, key="pseudonym-key-1"):
         (r"\b(?i:password|passwd|secret|token|api_?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"']{8,}", pseudonym_secret),
         (r"\bAKIA[0-9A-Z]{16}\b", lambda k, m: "AKIA" + hashlib.sha256(f"{k}|akia|{m}".encode()).hexdigest()[:16].upper()),
         (r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", pseudonym_ip),
-        (r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}(?![\w-])", pseudonym_phone),
+        (r"\+1 \(\d{3}\) \d{3}-\d{4}(?![\w-])", pseudonym_phone),
         (r"(?<![\w.-])\d{16}(?![\w-])", lambda k, m: pseudonym_card(k, m) if luhn(m) else m),
     ]
     whole = "|".join(f"({p})" for p, _ in rules)

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.llm import decontamination, jaccard_join, language_model, license_scan, packing, pseudonyms, quality_classifier, quality_rules, sharding, toxicity
+from twinframe.llm.chat_queries import OP12_SQL, op12_chat_format
 from twinframe.llm.labels import id_crc
+from twinframe.llm.lexical_queries import OP13_SQL, op13_ball_tree_search
+from twinframe.llm.merkle_queries import OP11_SQL, op11_merkle_manifest
 
 MIN_QUALITY = 0.7
 MIN_TOXICITY = 0.3
@@ -218,10 +221,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxic_pairs": op9_toxic_pairs,
     "op10_host_rules": op10_host_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_chat_format": op12_chat_format,
+    "op13_ball_tree_search": op13_ball_tree_search,
 }
 ORACLES: dict[str, str] = {
     "op5_license_scan": license_scan.oracle_sql(),
     "op6_benchmark_search": decontamination.oracle_sql(),
     "op8_jaccard_join": OP8_SQL,
     "op10_host_rules": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_chat_format": OP12_SQL,
+    "op13_ball_tree_search": OP13_SQL,
 }
