@@ -108,11 +108,16 @@ def best_of(vectors: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]
         exact = ball_tree.Sparse(part.bounds, part.terms, impact * weight[part.terms])
         root = ball_tree.tree(ball_tree.Sparse(part.bounds, part.terms, impact * root_weight[part.terms]), len(weight))
         query, repeats = np.zeros(len(weight)), np.zeros(len(weight), dtype=np.int64)
+        leaves: dict[int, tuple[ball_tree.Sparse, pa.Array]] = {}  # by first row
         for (_, terms, counts), top in zip(queries, best):
             query[terms], repeats[terms] = counts * root_weight[terms], counts
 
             def visit(rows: np.ndarray, top: Best = top) -> None:
-                top.add(exact.rows(rows).dot(repeats), keys.take(pa.array(rows)))
+                first = int(rows[0])
+                if first not in leaves:
+                    leaves[first] = exact.rows(rows), keys.take(pa.array(rows))
+                part, own = leaves[first]
+                top.add(part.dot(repeats), own)
 
             ball_tree.search(root, query, top.least, visit)
             query[terms], repeats[terms] = 0, 0
