@@ -269,3 +269,40 @@ def test_licenses_keep_versions_and_variants_apart(spark):
     found = license_scan.licenses(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
     got = [{r.license for r in found if r.doc_id == k} for k in range(len(said))]
     assert got == list(said.values())
+
+
+def test_components_of_random_graphs(spark):
+    """Stars, cliques of chains and long paths of rising, falling and mixed numbers, against a plain union."""
+    draw = random.Random(6)
+    edges = [(k, k + 1) for k in range(300)] + [(10_000 - k, 9_999 - k) for k in range(300)] + [(20_000, 20_001 + k) for k in range(200)]
+    numbers = draw.sample(range(30_000, 40_000), 400)
+    edges += list(zip(numbers, numbers[1:200])) + [(draw.choice(numbers[200:]), draw.choice(numbers[200:])) for _ in range(150)] + [(7, 7), (1, 0), (50_000, 50_000)]
+    parent = {n: n for e in edges for n in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert found == {n: root(n) for n in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Null and repeated ids: only the contaminated row goes, and of near copies one stays, whatever ids they have."""
+    item = " ".join(f"item{i}" for i in range(20))
+    own = [" ".join(f"{name}{i}" for i in range(60)) for name in ("ant", "bee", "cow")]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    schema = "doc_id long, text string"
+    rows = [(None, f"{own[0]} {item} end"), (None, own[1]), (None, own[2]), (5, own[0]), (5, f"{own[2]} {item}")]
+    left = decontamination.clean(spark.createDataFrame(rows, schema), benchmark)
+    assert sorted(left.collect(), key=str) == sorted([r for r in rows if item not in r[1]], key=str)
+    near = [f"{own[0]} more", own[0], f"{own[1]} more", own[1], own[2], f"{own[2]} more", f"{own[2]} less"]
+    ids = [None, None, None, 4, 4, 9, None]
+    kept = [r.text for r in jaccard_join.one_of_each(spark.createDataFrame(list(zip(ids, near)), schema)).collect()]
+    assert sorted(t[:3] for t in kept) == ["ant", "bee", "cow"] and near[2] in kept and near[6] in kept

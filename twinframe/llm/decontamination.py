@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.llm.windows import THRESHOLD, found_items, search_sql
+from twinframe.session import stage
 
 
 def contaminated(
@@ -25,10 +26,12 @@ def contaminated(
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "containment", "first_word")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item, columns as they were."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` that hold no benchmark item, columns as they were. Rows are told apart by a key of their own, so a
+    clean row stays whatever row shares its id."""
+    keyed = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    bad = contaminated(keyed, benchmark, "__row", text_col, **options).select("__row").distinct()
+    return keyed.join(bad, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle_sql() -> str:

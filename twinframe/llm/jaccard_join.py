@@ -39,6 +39,7 @@ TOLERANCE = 1e-6
 BLOCK = 256
 #: Small components are dealt into this many groups for each group of ``BLOCK`` texts they would fill.
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_ROW = "__row"
 
 
 def multipliers(n: int = ROWS * BANDS) -> np.ndarray:
@@ -255,8 +256,7 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, classes: DataFra
     """``node``, ``links`` and ``component`` of every class with a link."""
     exploded = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last")
-    edges = exploded.join(buckets, "bucket").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
-    grouped = components(edges.distinct())
+    grouped = components(_joined(exploded.join(buckets, "bucket").select("node", "center")))
     sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     small = F.col("blocks") == 1
@@ -278,6 +278,15 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, classes: DataFra
     return totals.join(final, "node")
 
 
+def _joined(memberships: DataFrame) -> DataFrame:
+    """Edges with the same components as those between every node and its centers: one from each node to the least of its
+    centers, and one from that to each of the others, which the nodes of a group share."""
+    centers = memberships.groupBy("node").agg(F.collect_set("center").alias("centers"))  # at most BANDS
+    least = F.array_min("centers")
+    ends = centers.select(least.alias("a"), F.explode(F.array_append("centers", F.col("node"))).alias("b"))
+    return ends.where("a <> b").distinct()
+
+
 def units(grouped: DataFrame) -> int:
     """Groups for small components: about ``BLOCK`` texts each."""
     return max(1, -(-grouped.count() // BLOCK))
@@ -312,8 +321,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, one of each class of similar texts: that with the least id. Rows without words all stay, but for
-    repeated rows (same id and text), of which one stays."""
-    kept = similar_texts(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col).distinct()
-    same = docs[id_col].eqNullSafe(kept[id_col])
-    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
+    """Rows of ``docs``, one of each class of similar texts: that with the least id (null first), of equal ids any one. Rows
+    without words all stay. Classes are found by a key of the rows, so a null or repeated id does not bring different texts
+    together, nor does it part similar ones."""
+    keyed = stage(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    classes = similar_texts(keyed, _ROW, text_col).select(_ROW, "class_id")
+    named = keyed.select(F.col(_ROW).alias("row"), F.col(id_col).alias("id")).join(classes, F.col("row") == F.col(_ROW))
+    kept = named.groupBy("class_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return keyed.join(kept, F.col(_ROW) == F.col("row"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

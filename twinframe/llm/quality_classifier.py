@@ -165,8 +165,19 @@ def accepted(docs: DataFrame, model: Model | None, least: float, text_col: str =
     return docs.where(score(F.col(text_col).cast("string")) >= least)
 
 
-def _matrix(rows: list) -> np.ndarray:
-    return np.stack([np.frombuffer(r["row"], dtype=np.float16) for r in rows]).astype(np.float32)
+def _matrix(rows: DataFrame, order: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The collected feature rows and, if named, the boolean column ``order``, whose false rows come first. They come as
+    Arrow batches, which the JVM and Python hold as bytes, not as an object for each row."""
+    table = rows.select("row", *([order] if order else [])).toArrow()
+    flags = np.array(table.column(order).to_pylist(), dtype=bool) if order else np.zeros(len(table), dtype=bool)
+    matrix, places = np.empty((len(flags), WIDTH), dtype=np.float32), np.empty(len(flags), dtype=np.int64)
+    places[np.argsort(flags, kind="stable")] = np.arange(len(flags))
+    at = 0
+    for batch in table.column("row").chunks:
+        part = np.frombuffer(b"".join(batch.to_pylist()), dtype=np.float16).reshape(-1, WIDTH)
+        matrix[places[at : at + len(part)]] = part
+        at += len(part)
+    return matrix, np.sort(flags)
 
 
 def estimated_prior(docs: DataFrame, held: np.ndarray, model: Model, id_col: str, text_col: str) -> float:
@@ -193,12 +204,13 @@ def train(
     """The model for ``docs``, with trusted ``positives`` given as a table of distinct ids; None without positives."""
     ids = bounded(positives.select(id_col), id_col, max_positives, seed=1)
     half = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(4)) == 0
-    known = feature_rows(chosen_texts(docs, ids, id_col), text_col, id_col).withColumn("held", half).collect()
-    other = feature_rows(bounded(docs.select(id_col, text_col), id_col, max_unlabelled, seed=2), text_col, id_col).collect()
-    fitted = [r for r in known if not r["held"]] or known
-    if not known or not other:
+    known, is_held = _matrix(feature_rows(chosen_texts(docs, ids, id_col), text_col, id_col).withColumn("held", half), "held")
+    if not len(known):
         return None
-    positive, unlabelled = _matrix(fitted), _matrix(other)
-    held = _matrix([r for r in known if r["held"]] or known)
+    unlabelled, _ = _matrix(feature_rows(bounded(docs.select(id_col, text_col), id_col, max_unlabelled, seed=2), text_col, id_col))
+    if not len(unlabelled):
+        return None
+    n = int((~is_held).sum())
+    positive, held = known[:n] if n else known, known[n:] if n < len(known) else known
     prior = estimated_prior(docs, held, fit(positive, unlabelled, None, steps=100), id_col, text_col)
-    return fit(np.vstack([positive, held]), unlabelled, prior)
+    return fit(known, unlabelled, prior)
