@@ -68,18 +68,30 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def prf(key: str, kind: str, step: str, half: str, modulus: int) -> str:
+def prf(key: str, kind: str, step: str, half: str, modulus: str) -> str:
     """A number below ``modulus`` that depends on the key, the kind of value, the round and the other half."""
-    digest = f"sha2(concat('{key}', '|{kind}|', {step}, '|', {half}), 256)"
-    return f"cast(conv(substr({digest}, 1, 15), 16, 10) as bigint) % {modulus}L"
+    digest = f"sha2(concat('{key}|', {kind}, '|', {step}, '|', {half}), 256)"
+    return f"cast(conv(substr({digest}, 1, 15), 16, 10) as bigint) % {modulus}"
+
+
+def permuted(key: str, kind: str, value: str, high: str, low: str) -> str:
+    """SQL that permutes the numbers below ``high * low``, all given as SQL: the halves in turn are shifted by a function of
+    the other."""
+    even = f"named_struct('a', (s.a + {prf(key, kind, 'i', 's.b', high)}) % {high}, 'b', s.b)"
+    odd = f"named_struct('a', s.a, 'b', (s.b + {prf(key, kind, 'i', 's.a', low)}) % {low})"
+    start = f"named_struct('a', cast({value} as bigint) div {low}, 'b', cast({value} as bigint) % {low})"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> CASE WHEN i % 2 = 0 THEN {even} ELSE {odd} END, s -> s.a * {low} + s.b)"
 
 
 def feistel(key: str, kind: str, value: str, high: int, low: int) -> str:
-    """SQL that permutes the numbers below ``high * low``: the halves in turn are shifted by a function of the other."""
-    even = f"named_struct('a', (s.a + {prf(key, kind, 'i', 's.b', high)}) % {high}L, 'b', s.b)"
-    odd = f"named_struct('a', s.a, 'b', (s.b + {prf(key, kind, 'i', 's.a', low)}) % {low}L)"
-    start = f"named_struct('a', cast({value} as bigint) div {low}L, 'b', cast({value} as bigint) % {low}L)"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> CASE WHEN i % 2 = 0 THEN {even} ELSE {odd} END, s -> s.a * {low}L + s.b)"
+    return permuted(key, f"'{kind}'", value, f"{high}L", f"{low}L")
+
+
+def digits_permuted(key: str, kind: str, digits: str, n: str) -> str:
+    """SQL that permutes the strings of ``n`` digits; ``kind`` and ``n`` are SQL, so one expression serves all lengths."""
+    new = permuted(key, "kind", digits, "high", "low")
+    bound = let(f"cast(rpad('1', {n} - {n} div 2 + 1, '0') as bigint)", "high", let(f"cast(rpad('1', {n} div 2 + 1, '0') as bigint)", "low", new))
+    return let(kind, "kind", f"lpad(cast({bound} as string), {n}, '0')")
 
 
 def walked(key: str, kind: str, value: str, high: int, low: int, valid: str) -> str:
@@ -95,11 +107,6 @@ def halves(digits: int) -> tuple[int, int]:
     return 10 ** (digits - digits // 2), 10 ** (digits // 2)
 
 
-def by_length(lengths: range, length: str, sql) -> str:
-    """One branch for each number of digits, as a network's halves are fixed."""
-    return "CASE " + " ".join(f"WHEN {length} = {n} THEN {sql(n)}" for n in lengths) + " END"
-
-
 def refill(old: str, new: str, places: str) -> str:
     """SQL for ``old`` with the characters of ``new`` at its ``places``, all others as they were."""
     return (
@@ -122,14 +129,11 @@ def mod97(text: str) -> str:
 
 
 def card(key: str) -> str:
-    def permuted(n: int) -> str:
-        inner = f"substr(d, 2, {n - 2})"
-        body = f"concat(left(d, 1), lpad(cast({feistel(key, f'card{n}', inner, *halves(n - 2))} as string), {n - 2}, '0'))"
-        check = let(luhn_sum("concat(q, '0')"), "z", "cast((10 - z % 10) % 10 as string)")
-        return let(body, "q", f"concat(q, {check})")
-
-    new = by_length(range(13, 20), "length(d)", permuted)
-    return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {luhn_sum('d')} % 10 = 0 THEN {let(new, 'w', refill('m', 'w', '[0-9]'))} ELSE m END")
+    inner = digits_permuted(key, "concat('card', length(d))", "substr(d, 2, length(d) - 2)", "(length(d) - 2)")
+    check = let(luhn_sum("concat(q, '0')"), "z", "cast((10 - z % 10) % 10 as string)")
+    new = let(f"concat(left(d, 1), {inner})", "q", f"concat(q, {check})")
+    valid = f"length(d) BETWEEN 13 AND 19 AND {luhn_sum('d')} % 10 = 0"
+    return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {valid} THEN {let(new, 'w', refill('m', 'w', '[0-9]'))} ELSE m END")
 
 
 def rest_of_run(key: str, text: str) -> str:
@@ -156,10 +160,12 @@ def cards(key: str) -> str:
     def before(group: str) -> str:
         return f"aggregate(slice(g, 1, {group} - 1), 0, (x, y) -> x + length(y) + 1)"
 
-    span = f"transform({chosen}, c -> named_struct('low', {before('c.a')}, 'high', {before('(1 - c.back)')} - 1))"
-    between = rest_of_run(key, "r")
-    piece = f"concat(f.o, {let('substr(run, f.at + 1, c.low - f.at)', 'r', between)}, {let('substr(run, c.low + 1, c.high - c.low)', 'm', card(key))})"
-    built = f"aggregate({span}, named_struct('o', '', 'at', 0), (f, c) -> named_struct('o', {piece}, 'at', c.high), f -> concat(f.o, {let('substr(run, f.at + 1)', 'r', between)}))"
+    # the end of the run is one more place without a card, so what lies between is written once
+    end = "array(named_struct('low', length(run), 'high', length(run)))"
+    span = f"concat(transform({chosen}, c -> named_struct('low', {before('c.a')}, 'high', {before('(1 - c.back)')} - 1)), {end})"
+    between = let("substr(run, f.at + 1, c.low - f.at)", "r", rest_of_run(key, "r"))
+    piece = f"concat(f.o, {between}, {let('substr(run, c.low + 1, c.high - c.low)', 'm', card(key))})"
+    built = f"aggregate({span}, named_struct('o', '', 'at', 0), (f, c) -> named_struct('o', {piece}, 'at', c.high), f -> f.o)"
     return let("m", "run", let("split(run, '[ -]')", "g", built))
 
 
@@ -174,11 +180,8 @@ def phone(key: str) -> str:
     north, outside = ten("phone", valid), ten("phone-other", f"NOT {valid}")
     right = "substr(right(d, 10), 1, 1) >= '2' AND substr(right(d, 10), 4, 1) >= '2'"
 
-    def far(n: int) -> str:
-        rest = feistel(key, f"phone{n}", f"right(d, {n - 3})", *halves(n - 3))
-        return f"concat(left(d, 3), lpad(cast({rest} as string), {n - 3}, '0'))"
-
-    other = let(by_length(range(8, 16), "length(d)", far), "w", f"CASE WHEN w IS NULL THEN m ELSE {refill('m', 'w', '[0-9]')} END")
+    far = digits_permuted(key, "concat('phone', length(d))", "right(d, length(d) - 3)", "(length(d) - 3)")
+    other = f"CASE WHEN length(d) BETWEEN 8 AND 15 THEN {let(f'concat(left(d, 3), {far})', 'w', refill('m', 'w', '[0-9]'))} ELSE m END"
     is_far = "m rlike '^[+][2-9]'"
     return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {is_far} THEN {other} WHEN {right} THEN {north} WHEN m rlike '^[+]1' THEN {outside} ELSE m END")
 
@@ -194,12 +197,9 @@ def ssn(key: str) -> str:
 
 
 def iban(key: str) -> str:
-    def last(n: int) -> str:
-        kind = "iban" if n == 8 else f"iban{n}"
-        return f"lpad(cast({feistel(key, kind, f'right(r, {n})', *halves(n))} as string), {n}, '0')"
-
-    places = "least(8, length(r))"
-    digits = let("regexp_replace(substr(d, 5), '[^0-9]', '')", "r", f"concat(left(r, length(r) - {places}), coalesce({by_length(range(1, 9), places, last)}, ''))")
+    last = digits_permuted(key, "CASE WHEN n = 8 THEN 'iban' ELSE concat('iban', n) END", "right(r, n)", "n")
+    tail = let("least(8, length(r))", "n", f"concat(left(r, length(r) - n), CASE WHEN n > 0 THEN {last} ELSE '' END)")
+    digits = let("regexp_replace(substr(d, 5), '[^0-9]', '')", "r", tail)
     body = let(digits, "w", refill("substr(d, 5)", "w", "[0-9]"))
     check = let(mod97("concat(q, left(d, 2), '00')"), "z", "lpad(cast(98 - z as string), 2, '0')")
     new = let(body, "q", f"concat(left(d, 2), {check}, q)")
