@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,8 +94,9 @@ def spark_charset(name: str) -> str:
     return charset
 
 
-def restore_cp1252(df: DataFrame, name: str) -> DataFrame:
-    """Put in the cp1252 characters of columns that were read as iso-8859-1."""
+def restore_cp1252(df: DataFrame, name: str, others: Collection[str] = ()) -> DataFrame:
+    """Put in the cp1252 characters of columns that were read as iso-8859-1, all but ``others``."""
     if name.lower() not in _CP1252_NAMES:
         return df
-    return df.select(*[F.translate(F.col(ident(c)), _AS_LATIN1, _AS_CP1252).alias(c) for c in df.columns])
+    text = [c for c in df.columns if c not in others]
+    return df.select(*[F.translate(F.col(ident(c)), _AS_LATIN1, _AS_CP1252).alias(c) for c in text], *(F.col(ident(c)) for c in others))

@@ -8,18 +8,21 @@ from typing import Any
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions.text import ident
+from twinframe.session import stage
 from twinframe.sources import encoding as enc
-from twinframe.sources import xlsx
+from twinframe.sources import json_blocks, xlsx
 
 # Format by file suffix. Other suffixes need an explicit ``format``.
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".xlsx": "excel"}
 ORIENTS = ("records", "index", "columns", "values")
 _CORRUPT = "_corrupt_record"
+_PLACE = ("_file_of_row", "_split_of_row", "_place_of_row")
 _CELLS = "map<string, map<string, string>>"
 
 
@@ -70,16 +73,22 @@ def read_csv(
         name = encoding or (enc.encoding_from(fact) if fact else enc.UTF8)
         whole = bool(fact and fact.open_quotes) if multiline == "auto" else bool(multiline)
         paths = path if len(facts) < 2 else [unquote(f) for f in fact.files]
-        parts.append((paths, _read_alike(spark, paths, sep, name, whole)))
+        parts.append((paths, _read_alike(spark, paths, sep, name, whole, placed=len(facts) > 1)))
     first = parts[0][1]
     for paths, part in parts[1:]:
         if sorted(part.columns) != sorted(first.columns):
             raise ValueError(f"Columns {part.columns} of {paths[0]} are not those of {parts[0][0][0]}: {first.columns}")
-    return reduce(DataFrame.unionByName, [part for _, part in parts])
+    if len(parts) == 1:
+        return first
+    # a union has no row order of its own: rows are written once by file, split and place, which numbers them for good
+    union = reduce(DataFrame.unionByName, [part for _, part in parts])
+    ordered = union.orderBy(*(F.col(ident(c)) for c in _PLACE))
+    return stage(ordered.drop(*_PLACE), "csv-folder")
 
 
-def _read_alike(spark: SparkSession, path: str | list[str], sep: str, name: str, whole: bool) -> DataFrame:
-    """CSV files of one header and encoding; ``whole``: some quoted cell holds a line break."""
+def _read_alike(spark: SparkSession, path: str | list[str], sep: str, name: str, whole: bool, placed: bool = False) -> DataFrame:
+    """CSV files of one header and encoding; ``whole``: some quoted cell holds a line break; ``placed``: with the file, the
+    split and the place in it of every row."""
     charset = enc.spark_charset(name)
     whole = whole or charset.startswith("UTF-16")
     options = {
@@ -99,10 +108,15 @@ def _read_alike(spark: SparkSession, path: str | list[str], sep: str, name: str,
     columns = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _CORRUPT]])
     df = spark.read.options(**options, columnNameOfCorruptRecord=_CORRUPT).schema(schema).csv(path)
-    return enc.restore_cp1252(_reject_surplus(df, columns, sep), name)
+    hidden = []
+    if placed:
+        places = ("_metadata.file_path", "_metadata.file_block_start")
+        df = df.select("*", *(F.col(p).alias(c) for p, c in zip(places, _PLACE))).withColumn(_PLACE[2], F.monotonically_increasing_id())
+        hidden = list(_PLACE)
+    return enc.restore_cp1252(_reject_surplus(df, columns, sep, hidden), name, hidden)
 
 
-def _reject_surplus(df: DataFrame, columns: list[str], sep: str) -> DataFrame:
+def _reject_surplus(df: DataFrame, columns: list[str], sep: str, hidden: list[str]) -> DataFrame:
     """Short lines are padded with nulls; a line with surplus cells stops the read when it is reached."""
     unquoted = F.regexp_replace(_CORRUPT, '"[^"]*"', "")
     separators = (F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit("")))) / len(sep)
@@ -113,7 +127,7 @@ def _reject_surplus(df: DataFrame, columns: list[str], sep: str) -> DataFrame:
         F.coalesce(F.col(_CORRUPT), F.col(ident(columns[0])), F.lit("")),
     )
     checked = df.where(F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-    return checked.select(*[F.col(ident(c)) for c in columns])
+    return checked.select(*[F.col(ident(c)) for c in [*columns, *hidden]])
 
 
 def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFrame:
@@ -128,17 +142,24 @@ def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFr
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """Objects with their columns in the order of the first object of the first file; what is no JSON is an error."""
+    """Objects with their columns in the order of the first object of the first file; what is no JSON is an error.
+
+    Objects may stand on lines of their own, follow each other in any other way or be the items of one array; files are
+    read in splits whichever it is. Files that are not in UTF-8 hold one object or array and are read by a task each.
+    """
     try:
-        df = spark.read.options(multiLine=True, mode="FAILFAST").json(path)
-    except Py4JJavaError as error:  # raised while the columns are looked for
+        lines = json_blocks.object_lines(spark, path)
+        reader = spark.read.options(mode="FAILFAST", multiLine=lines is None)
+        df = reader.json(path if lines is None else lines)
+    except (Py4JJavaError, PySparkException) as error:  # raised while objects or columns are looked for
         raise ValueError(f"Not JSON of the expected layout: {path}") from error
     files = sorted(map(unquote, df.inputFiles()))
     order = {}
     if files:  # the parser of keys stops behind the first object
-        head = spark.read.text(files[0], wholetext=True).select(F.regexp_extract("value", r"(?s)^[^{]*(\{.*)", 1).alias("value"))
-        keys = head.select(F.expr("json_object_keys(value)").alias("keys")).first()["keys"]
-        order = {k: i for i, k in enumerate(keys or [])}
+        text = spark.read.text(files[0], wholetext=lines is None).where("value rlike '[{]'")
+        head = text.select(F.regexp_extract("value", r"(?s)^[^{]*(\{.*)", 1).alias("value"))
+        row = head.select(F.expr("json_object_keys(value)").alias("keys")).first()
+        order = {k: i for i, k in enumerate((row and row["keys"]) or [])}
     return df.select(*[F.col(ident(c)) for c in sorted(df.columns, key=lambda c: order.get(c, len(order)))])
 
 
