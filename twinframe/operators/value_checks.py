@@ -6,7 +6,7 @@ are then counted per check and column, and the first few per check and column ar
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from twinframe.operators import messages as m
 from twinframe.operators.ordinal import POSITION
 from twinframe.operators.results import FAIL, INFO, PASS, SKIP, fixed_rows, row_sql
 from twinframe.plans.pair import Pair
+from twinframe.session import stage
 
 VALUE, CASING, ZERO, SPECIAL, HASH = 7, 12, 13, 14, 15
 CHECK_NAMES = {VALUE: m.DATA, CASING: m.CASE, ZERO: m.LEADING_ZERO, SPECIAL: m.SPECIAL_CHAR, HASH: m.CHECKSUM}
@@ -80,15 +81,23 @@ class RowChecks:
             self._hash("t", self.target_columns, pair.full_target.schema, pair.target_schema.names),
         )
 
+    @cached_property
+    def _differing(self) -> tuple[DataFrame, list[str]]:
+        """Matched rows that some cell tells apart, and their names. They are written once: counts and examples read them,
+        so the sides are joined a single time. Rows equal in every cell, most as a rule, are not written."""
+        rows, names = self.matched()
+        flags = [cells.may_differ(*p[1:]) for p in self._cells()]
+        if self.hash_all:
+            flags.append(" <> ".join(self._hashes()))
+        return stage(rows.where(" OR ".join(flags) or "false"), "differing"), names
+
     def findings(self, texts: bool) -> tuple[DataFrame, list[str]]:
         """One row per finding: row names, check ``f``, column number ``c`` and the two cells ``sv``, ``tv``.
 
-        Rows equal in every cell are dropped first. What is left is taken apart into differing cells, and the
-        checks look at cells, not at columns.
+        Differing rows are taken apart into differing cells, and the checks look at cells, not at columns.
         """
-        rows, names = self.matched()
+        rows, names = self._differing
         pairs = self._cells()
-        flags = [cells.may_differ(*p[1:]) for p in pairs]
         parts = [cells.differing_cell(*p) for p in pairs]
         if HASH in self.checks:
             s_hash, t_hash = self._hashes() if texts or self.hash_all else ("''", "''")
@@ -96,11 +105,9 @@ class RowChecks:
             differs = f"{s_hash} <> {t_hash}" if self.hash_all else " OR ".join(spelled) or "false"
             row = f"named_struct('c', {ROW_LEVEL}, 'sv', {s_hash}, 'tv', {t_hash})"
             parts.append(f"CASE WHEN {differs} THEN {row} END")
-            if self.hash_all:
-                flags.append(differs)
         if not parts:
-            parts, flags = ["CAST(NULL AS STRUCT<c: INT, sv: STRING, tv: STRING>)"], ["false"]
-        taken = rows.where(" OR ".join(flags)).selectExpr(*names, f"inline(array({', '.join(parts)}))")
+            parts = ["CAST(NULL AS STRUCT<c: INT, sv: STRING, tv: STRING>)"]
+        taken = rows.selectExpr(*names, f"inline(array({', '.join(parts)}))")
         tests = ", ".join(f"CASE WHEN {test} THEN {check} END" for check, test in self._tests())
         found = self._described(taken.where("c IS NOT NULL"))
         return found.selectExpr(*names, f"explode(array({tests})) AS f", "c", "sv", "tv").where("f IS NOT NULL"), names

@@ -17,6 +17,9 @@ from twinframe.operators.align import common_columns
 from twinframe.operators.ordinal import POSITION, with_position
 from twinframe.session import stage
 
+# Above this share of rows with repeated keys, parting them from the others costs more than it saves.
+REPEATED_SHARE = 0.1
+
 
 @dataclass(frozen=True)
 class KeyStats:
@@ -103,7 +106,8 @@ class Pair:
 
     @cached_property
     def full_key_table(self) -> DataFrame:
-        return ks.key_table(self.full_source, self.full_target, self.shape)
+        """Written once: the counts that plan a run, the duplicate and key checks and the split of repeated keys read it."""
+        return stage(ks.key_table(self.full_source, self.full_target, self.shape), "keys")
 
     @cached_property
     def stats(self) -> KeyStats:
@@ -183,8 +187,9 @@ class Pair:
         """
         if self.comparable_by_key:
             source, target = self._for_join("source"), self._for_join("target")
-            left = self._keyed_side(source, source_columns, "s", self.stats.source_dup_rows > 0)
-            right = self._keyed_side(target, target_columns, "t", self.stats.target_dup_rows > 0)
+            stats = self.stats
+            left = self._keyed_side(source, source_columns, "s", stats.source_dup_rows, stats.source_rows)
+            right = self._keyed_side(target, target_columns, "t", stats.target_dup_rows, stats.target_rows)
             return left.join(right, self.shape.names, "inner"), [ks.NULL_MASK, *ks.key_names(self.keys)]
         left = self.positioned_source.select(POSITION, *_marked(source_columns, "s"))
         right = self.positioned_target.select(POSITION, *_marked(target_columns, "t"))
@@ -203,12 +208,20 @@ class Pair:
     def positioned_target(self) -> DataFrame:
         return with_position(self.full_target, self.order_by)
 
-    def _keyed_side(self, df: DataFrame, columns: list[str], mark: str, has_duplicates: bool) -> DataFrame:
-        if has_duplicates:
-            fields = [F.col(f"row.{ident(c)}").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
+    def _keyed_side(self, df: DataFrame, columns: list[str], mark: str, repeated_rows: int, rows: int) -> DataFrame:
+        """One row per key. Rows of unique keys cannot be skewed and go straight into the join; only rows of repeated keys
+        are aggregated to the first of each key. If those are many, all rows are, as parting them would cost a shuffle."""
+        if not repeated_rows:
+            return ks.keyed(df, self.shape, *_marked(columns, mark))
+        fields = [F.col(f"row.{ident(c)}").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
+        if repeated_rows > REPEATED_SHARE * rows:
             return ks.first_per_key(df, self.shape, columns, self._copy_order(df)).select(*self.shape.names, *fields)
-        # Unique keys cannot be skewed, and the rows go straight into the join.
-        return ks.keyed(df, self.shape, *_marked(columns, mark))
+        names = self.shape.names
+        repeated = self.full_key_table.where(f"n{mark} > 1").select(*names)
+        unique = ks.keyed(df, self.shape, *_marked(columns, mark)).join(repeated, names, "left_anti")
+        copies = ks.semi_join(df, repeated, self.shape)
+        first = ks.first_per_key(copies, self.shape, columns, self._copy_order(df)).select(*names, *fields)
+        return unique.unionByName(first)
 
     def _copy_order(self, df: DataFrame) -> list[str] | None:
         """How copies of a key are ordered: by canonical values where a column has another type on the other side, as

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from twinframe.session import scratch_path, stage
 
-_STRING = r'(?s)"(?:[^"\\]++|\\.)*+(?:"|$)'
+_ESCAPE, _STRING = r"(?s)\\.", r'"[^"]*+(?:"|$)'
 # Sizes of packed files do not tell whether a brace ends them; there the depth has to.
 _PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst)$"
 _BEFORE, _SO_FAR = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
@@ -48,8 +48,9 @@ def _number(text: Column, marks: str) -> Column:
 
 def with_numbers(rows: DataFrame) -> DataFrame:
     """Fragments with what each does to the state, and what of its text the layouts are told by."""
-    quotes = _number(F.regexp_replace("value", r"(?s)\\.", ""), '"')
-    outside = [F.regexp_replace(F.concat(F.lit(begin), F.col("value")), _STRING, "") for begin in ("", '"')]
+    bare = F.regexp_replace("value", _ESCAPE, "")  # escapes stand in strings only
+    quotes = _number(bare, '"')
+    outside = [F.regexp_replace(F.concat(F.lit(begin), bare), _STRING, "") for begin in ("", '"')]
     depth = [_number(text, "{[") - _number(text, "]}") for text in outside]
     return rows.withColumns(
         {
@@ -59,7 +60,7 @@ def with_numbers(rows: DataFrame) -> DataFrame:
             "depth1": depth[1],
             "head": F.regexp_extract("value", r"(?s)^[\x{FEFF}\s]*(.?)", 1),
             "fresh": F.col("value").rlike(r"^[ \t\r]*\n\s*\S"),
-            "broken": F.col("value").rlike(r"\S[^\n]*\n"),
+            "broken": F.contains(F.regexp_replace("value", r"^\s+", ""), F.lit("\n")),
             "wide": F.contains("value", F.lit("\0")),
         }
     )

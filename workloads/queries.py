@@ -231,6 +231,42 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
     return load_source(spark, {"type": "file", "format": "json", "path": path}).select("event_id", "event_type", "props")
 
 
+_DOCUMENT_OBJECTS = "SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, text || '}' || lang AS \"in\" FROM documents"
+
+
+def _document_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as JSON objects with an object inside; texts hold line breaks, quotes and, at the end, a brace."""
+    inner = F.struct(F.length("text").cast("long").alias("n"), F.concat("text", F.lit("}"), "lang").alias("in"))
+    return table(spark, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text", inner.alias("deep"))).alias("value"))
+
+
+def _read_objects(spark: SparkSession, path: str) -> DataFrame:
+    rows = load_source(spark, {"type": "file", "format": "json", "path": path})
+    return rows.select("doc_id", "text", F.col("deep.n").alias("n"), F.col("deep.in").alias("in"))
+
+
+@query("json_lines", _DOCUMENT_OBJECTS)
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One object on each line, in several files; the reader splits them."""
+    path = scratch_path(spark, "documents-lines")
+    _document_objects(spark, d).select("value").write.text(path)
+    return _read_objects(spark, path)
+
+
+@query("json_large_array", _DOCUMENT_OBJECTS)
+def json_large_array(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays of 500 documents, each in a file without line breaks, which several tasks can read."""
+    path = scratch_path(spark, "documents-arrays")
+    objects = _document_objects(spark, d).withColumn("part", F.floor(F.col("doc_id") / 500))
+    ends = objects.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    opening = F.when(F.col("doc_id") == F.col("low"), "[").otherwise("")
+    closing = F.when(F.col("doc_id") == F.col("high"), "]").otherwise(",")
+    items = objects.join(ends, "part").select("part", "doc_id", F.concat(opening, "value", closing).alias("value"))
+    placed = items.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value")
+    placed.write.partitionBy("part").option("lineSep", " ").text(path)
+    return _read_objects(spark, path)
+
+
 @query(
     "xlsx_rows",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal, "
@@ -805,6 +841,20 @@ def csv_mixed_folder(spark: SparkSession, d: str) -> DataFrame:
     return load_source(spark, {"type": "file", "format": "csv", "path": path})
 
 
+@query("data_compare_mixed_order", _agree("SELECT count(*) FROM customer", 5))
+def data_compare_mixed_order(spark: SparkSession, d: str) -> DataFrame:
+    """A folder in which the middle file has its columns in another order, against the same rows with one header, by place."""
+    path, rows = scratch_path(spark, "customers-mixed"), table(spark, d, "customer")
+    cut = rows.agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b")).first()
+    third = (cut.b - cut.a) // 3 + 1
+    for name, k in (("a", 0), ("b", 1), ("c", 2)):
+        part = rows.where(F.col("c_custkey").between(cut.a + k * third, cut.a + (k + 1) * third - 1)).orderBy("c_custkey")
+        part.select(*(reversed(rows.columns) if name == "b" else rows.columns)).write.options(header=True).csv(f"{path}/mixed/{name}")
+    rows.orderBy("c_custkey").write.options(header=True).csv(f"{path}/plain")
+    sides = [load_source(spark, {"type": "file", "format": "csv", "path": f"{path}/{p}"}) for p in ("mixed/*", "plain")]
+    return public(value_checks.row_checks(Pair(*sides), [value_checks.VALUE]))
+
+
 @query("csv_header_orders", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
 def csv_header_orders(spark: SparkSession, d: str) -> DataFrame:
     """Files of one folder with their columns in different orders."""
