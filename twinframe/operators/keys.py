@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from twinframe.functions import canon as cn
 from twinframe.functions import text as tx
 from twinframe.functions import types as ty
+from twinframe.operators.selection import first_rows
 
 NULL_MASK = "_kn"
 _TAGGED = T.NullType()  # marks a key compared by canonical text
@@ -165,7 +166,7 @@ def sample_keys(df: DataFrame, shape: KeyShape, size: int, seed: int) -> DataFra
         for n, t in zip(key_names(shape.keys), shape.types)
     ]
     token = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
-    return distinct_keys(df, shape).orderBy(token, *shape.order()).limit(size)
+    return first_rows(distinct_keys(df, shape), [token, *shape.order()], size)
 
 
 def key_set_ops(source: DataFrame, target: DataFrame, keys: list[str], mode: str = "strict") -> DataFrame:

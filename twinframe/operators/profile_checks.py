@@ -1,7 +1,8 @@
 """Per-column statistics of both sides: nulls, empty strings, date ranges and distinct values.
 
 Each side is scanned once for nulls, empty strings and date ranges. The statistics of all columns travel as
-arrays in one row, so the two sides meet without a join, and one row per column comes back.
+arrays in one row, so the two sides meet without a join, and one row per column comes back. Only text columns in which
+both sides hold values that look like dates are read again, to try the forms of dates.
 """
 
 from __future__ import annotations
@@ -35,44 +36,52 @@ DATE_FORMS = (
     (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}" + _TIME, "MMM d, yyyy[ H:mm[:ss]]"),
 )
 
+# How a value of any of these forms begins: one look tells cells that hold no date.
+DATE_START = r"^([0-9]{1,4}[-/. ][0-9A-Za-z]{1,3}[-/. ][0-9]|[0-9]{8}|[A-Za-z]{3} [0-9]{1,2}, )"
+
 # Columns profiled by one aggregate; wider tables are profiled in groups so that generated code stays small.
-GROUP_WIDTH = 64
+GROUP_WIDTH, DATE_GROUP_WIDTH = 64, 8
 LONG_TEXT = 64
 
 
-def parsed_dates(x: str, dtype: T.DataType) -> list[str]:
-    """The value as a timestamp, NULL where it is none, read by each form its type allows; none for other types."""
-    kind = ty.family(dtype)
-    if kind == ty.DATETIME:
-        return [f"CAST({x} AS TIMESTAMP_NTZ)"]
-    if kind != ty.STRING:
-        return []
-
-    def read(shape: str, pattern: str | None) -> str:
-        if pattern is None:
-            value = f"TRY_CAST(trim({x}) AS TIMESTAMP_NTZ)"
-        else:
-            spelled = f"initcap(replace(trim({x}), '-', ' '))" if "MMM" in pattern else f"trim({x})"
-            value = f"CAST(try_to_timestamp({spelled}, '{pattern}') AS TIMESTAMP_NTZ)"
-        return f"CASE WHEN trim({x}) RLIKE r'{shape}' THEN {value} END"
+def _may_be_date(x: str) -> str:
+    return f"substring(trim({x}), 1, 12) RLIKE r'{DATE_START}'"
 
-    return [read(*form) for form in DATE_FORMS]
 
+def _read_date(x: str, shape: str, pattern: str | None) -> str:
+    if pattern is None:
+        value = f"TRY_CAST(trim({x}) AS TIMESTAMP_NTZ)"
+    else:
+        spelled = f"initcap(replace(trim({x}), '-', ' '))" if "MMM" in pattern else f"trim({x})"
+        value = f"CAST(try_to_timestamp({spelled}, '{pattern}') AS TIMESTAMP_NTZ)"
+    return f"CASE WHEN trim({x}) RLIKE r'{shape}' THEN {value} END"
 
-def date_bound(x: str, dtype: T.DataType, bound: str) -> str:
-    """Aggregate for the ``low`` or ``high`` date of a column, read by the one form that fits most of its values."""
-    forms = [
-        f"named_struct('n', count({d}), 'place', {-i}, 'low', min({d}), 'high', max({d}))"
-        for i, d in enumerate(parsed_dates(x, dtype))
-    ]
-    return f"array_max(array({', '.join(forms)})).{bound}"
+
+def _text_date_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, ``forms``: per column and form how many values it reads, and the first and last date."""
+    forms = range(len(DATE_FORMS))
+    readings, aggregates, cells = [], [], []
+    for i, x in enumerate(map(tx.ident, columns)):
+        read = ", ".join(_read_date(x, *form) for form in DATE_FORMS)
+        readings.append(f"CASE WHEN {_may_be_date(x)} THEN array({read}) END AS r{i}")
+        for k in forms:
+            value = f"get(r{i}, {k})"
+            aggregates += [f"count({value}) AS n{i}_{k}", f"min({value}) AS low{i}_{k}", f"max({value}) AS high{i}_{k}"]
+        bounds = (f"{tx.timestamp_text(f'low{i}_{k}')} AS low, {tx.timestamp_text(f'high{i}_{k}')} AS high" for k in forms)
+        cells.append("array(" + ", ".join(f"struct(n{i}_{k} AS n, {b})" for k, b in zip(forms, bounds)) + ")")
+    return df.selectExpr(*readings).selectExpr(*aggregates).selectExpr(f"array({', '.join(cells)}) AS forms")
+
+
+def _best_form(own: list, other: list | None):
+    """The form that reads most values; of equal ones the one that reads more of the other side, then the first."""
+    return own[max(range(len(own)), key=lambda k: (own[k].n, other[k].n if other else 0, -k))]
 
 
-STATISTICS = ("nulls", "empties", "lows", "highs")
+STATISTICS = ("nulls", "empties", "dated", "lows", "highs")
 
 
 def _side_profile(df: DataFrame, columns: list[str], wanted: list[str], dates: list[bool]) -> DataFrame:
-    """One row: an array per statistic, in the order of ``columns``."""
+    """One row: an array per statistic, in the order of ``columns``. ``dated`` counts text cells that may be dates."""
     aggregates = {}
     for i, (name, is_date) in enumerate(zip(columns, dates)):
         dtype, x = df.schema[name].dataType, tx.ident(name)
@@ -81,7 +90,11 @@ def _side_profile(df: DataFrame, columns: list[str], wanted: list[str], dates: l
         if "empties" in wanted and ty.family(dtype) == ty.STRING:
             aggregates[f"empties{i}"] = f"count_if({x} = '')"
         if "dates" in wanted and is_date:
-            aggregates |= {f"lows{i}": date_bound(x, dtype, "low"), f"highs{i}": date_bound(x, dtype, "high")}
+            if ty.family(dtype) == ty.STRING:
+                aggregates[f"dated{i}"] = f"count_if({_may_be_date(x)})"
+            else:
+                date = f"CAST({x} AS TIMESTAMP_NTZ)"
+                aggregates |= {f"lows{i}": f"min({date})", f"highs{i}": f"max({date})"}
     row = df.selectExpr(*[f"{a} AS {n}" for n, a in aggregates.items()] or ["count(*) AS none"])
 
     def collected(mark: str) -> str:
@@ -97,7 +110,7 @@ def _side_profile(df: DataFrame, columns: list[str], wanted: list[str], dates: l
 
 def _profile_group(pair: Pair, columns: list[str], wanted: list[str]) -> DataFrame:
     """One row holding both sides' arrays."""
-    dates = [all(parsed_dates("x", t) for t in pair.types(c)) for c in columns]
+    dates = [all(ty.family(t) in (ty.DATETIME, ty.STRING) for t in pair.types(c)) for c in columns]
     sides = []
     for mark, df in (("s", pair.source), ("t", pair.target)):
         sides.append(_side_profile(df, columns, wanted, dates).withColumn("side", F.lit(mark)))
@@ -110,7 +123,7 @@ def _profile_group(pair: Pair, columns: list[str], wanted: list[str]) -> DataFra
 
 
 def column_profile(pair: Pair, wanted: list[str]) -> DataFrame:
-    """One row per common column: place, column, and nulls, empties, lows and highs of both sides."""
+    """One row per common column: place, column, and the statistics of both sides."""
     frames = []
     for start in range(0, len(pair.common), GROUP_WIDTH):
         group = pair.common[start : start + GROUP_WIDTH]
@@ -129,6 +142,33 @@ class Profile:
         self.pair = pair
         # As many rows as there are common columns.
         self.rows = column_profile(pair, wanted).orderBy("place").collect() if pair.common else []
+        self.ranges = self._date_ranges() if "dates" in wanted else {}
+
+    def _date_ranges(self) -> dict[str, tuple]:
+        """First and last date of both sides for columns where both hold some.
+
+        Text is read a second time, where both sides may hold dates; one form is chosen for each side's column, and where
+        several read it equally well the other side decides.
+        """
+        typed = {r.column: ((r.s_lows, r.s_highs), (r.t_lows, r.t_highs)) for r in self.rows}
+        both = [r.column for r in self.rows if (r.s_lows or r.s_dated) and (r.t_lows or r.t_dated)]
+        found: dict[tuple[int, str], list] = {}
+        for side, df in enumerate((self.pair.source, self.pair.target)):
+            texts = [c for c in both if ty.family(df.schema[c].dataType) == ty.STRING]
+            groups = [texts[k : k + DATE_GROUP_WIDTH] for k in range(0, len(texts), DATE_GROUP_WIDTH)]
+            for group in groups:
+                forms = _text_date_bounds(df, group).first().forms
+                found |= {(side, c): own for c, own in zip(group, forms)}
+        ranges = {}
+        for column in both:
+            bounds = []
+            for side in (0, 1):
+                own, other = (found.get((k, column)) for k in (side, 1 - side))
+                best = _best_form(own, other) if own else None
+                bounds += [best.low, best.high] if best else typed[column][side]
+            if bounds[0] and bounds[2]:
+                ranges[column] = tuple(bounds)
+        return ranges
 
     def nulls(self) -> DataFrame:
         found = [
@@ -150,19 +190,20 @@ class Profile:
 
     def date_ranges(self) -> DataFrame:
         """Columns where both sides hold dates and the first or last date differs."""
+        differing = [(r.place, r.column, self.ranges[r.column]) for r in self.rows if r.column in self.ranges]
         found = [
             {
                 "check_no": 11,
-                "part": r.place,
+                "part": place,
                 "validation": m.DATE_RANGE,
                 "result": FAIL,
-                "column": r.column,
+                "column": column,
                 "detail": m.DATES_DIFFER,
-                "source_value": m.DATE_RANGE_TEXT % (r.s_lows, r.s_highs),
-                "target_value": m.DATE_RANGE_TEXT % (r.t_lows, r.t_highs),
+                "source_value": m.DATE_RANGE_TEXT % dates[:2],
+                "target_value": m.DATE_RANGE_TEXT % dates[2:],
             }
-            for r in self.rows
-            if r.s_lows and r.t_lows and (r.s_lows, r.s_highs) != (r.t_lows, r.t_highs)
+            for place, column, dates in differing
+            if dates[:2] != dates[2:]
         ]
         passed = {"check_no": 11, "validation": m.DATE_RANGE, "result": PASS, "detail": m.DATES_MATCH}
         return fixed_rows(self.pair.spark, found or [passed])

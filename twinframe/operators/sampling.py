@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from twinframe.functions import types as ty
 from twinframe.functions.text import ident
 from twinframe.operators import keys as ks
+from twinframe.operators.selection import first_rows
 from twinframe.session import stage
 
 
 def limited(df: DataFrame, limit: int, order_by: list[str] | None = None) -> DataFrame:
     """The first ``limit`` rows in key order; without a key, any ``limit`` rows."""
-    if order_by:
-        df = df.orderBy(*[F.col(ident(c)) for c in order_by])
-    return df.limit(limit)
+    return first_rows(df, [F.col(ident(c)) for c in order_by or []], limit)
 
 
 def quick_sample(

@@ -17,6 +17,7 @@ from twinframe.operators import (
     profile_checks,
     sampling,
     schema_checks,
+    selection,
     summaries,
     value_checks,
 )
@@ -365,6 +366,20 @@ def target_limit(spark: SparkSession, d: str) -> DataFrame:
     return load_source(spark, config, order_by=["o_orderkey"])
 
 
+_HALF_LINES = "SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem"
+
+
+@query(
+    "target_limit_half",
+    f"{_HALF_LINES} ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT (SELECT count(*) // 2 FROM lineitem)",
+)
+def target_limit_half(spark: SparkSession, d: str) -> DataFrame:
+    """The first half of the lines by ship date: no task sees more than a range of them."""
+    lineitem = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")]
+    return selection.first_rows(lineitem, order, lineitem.count() // 2, few=0)
+
+
 @query(
     "pk_pushdown",
     "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem "
@@ -823,6 +838,22 @@ def date_range_text(spark: SparkSession, d: str) -> DataFrame:
     return public(profile_checks.Profile(Pair(*sides), ["dates"]).date_ranges())
 
 
+@query(
+    "date_range_ambiguous",
+    "SELECT 'date_range_check' AS validation, 'FAIL' AS result, 'day' AS \"column\", '' AS pk, 'Date range mismatch' AS detail, "
+    "min(a) || ' to ' || max(a) AS source_value, min(b) || ' to ' || max(b) AS target_value FROM (SELECT "
+    "CASE WHEN day(o_orderdate) <= 12 THEN date_trunc('day', o_orderdate) END AS a, "
+    "date_trunc('day', o_orderdate) + INTERVAL 400 DAY AS b FROM orders)",
+)
+def date_range_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """A side where every date reads as day or month first, against one that allows only day first."""
+    orders_table = table(spark, d, "orders")
+    early = orders_table.where("day(o_orderdate) <= 12").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"))
+    later = F.col("o_orderdate") + F.expr("INTERVAL 400 DAY")
+    late = orders_table.select(F.date_format(later, "dd/MM/yyyy").alias("day"))
+    return public(profile_checks.Profile(Pair(early, late), ["dates"]).date_ranges())
+
+
 _MIXED = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang FROM documents"
 
 
