@@ -23,24 +23,25 @@ from twinframe.plans.pair import Pair
 # are capitalised and dashes around named months are blanks before the pattern is tried. Of forms that read equally many
 # values of a column the first counts, so month and day are taken in this order where every value allows both.
 _TIME = r"([ T][0-9].*)?$"
+_MONTH, _DAY = "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"  # failing to parse costs far more than not to match
 DATE_FORMS = (
     (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}" + _TIME, None),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}" + _TIME, "M/d/yyyy[ H:mm[:ss]]"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}" + _TIME, "d/M/yyyy[ H:mm[:ss]]"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}" + _TIME, "yyyy/M/d[ H:mm[:ss]]"),
-    (r"^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}" + _TIME, "d.M.yyyy[ H:mm[:ss]]"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}" + _TIME, "d-M-yyyy[ H:mm[:ss]]"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}" + _TIME, "M-d-yyyy[ H:mm[:ss]]"),
-    (r"^[0-9]{8}$", "yyyyMMdd"),
-    (r"^[0-9]{1,2}[- ][A-Za-z]{3}[- ][0-9]{4}" + _TIME, "d MMM yyyy[ H:mm[:ss]]"),
-    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}" + _TIME, "MMM d, yyyy[ H:mm[:ss]]"),
+    (f"^{_MONTH}/{_DAY}/[0-9]{{4}}" + _TIME, "M/d/yyyy[ H:mm[:ss]]"),
+    (f"^{_DAY}/{_MONTH}/[0-9]{{4}}" + _TIME, "d/M/yyyy[ H:mm[:ss]]"),
+    (f"^[0-9]{{4}}/{_MONTH}/{_DAY}" + _TIME, "yyyy/M/d[ H:mm[:ss]]"),
+    (f"^{_DAY}[.]{_MONTH}[.][0-9]{{4}}" + _TIME, "d.M.yyyy[ H:mm[:ss]]"),
+    (f"^{_DAY}-{_MONTH}-[0-9]{{4}}" + _TIME, "d-M-yyyy[ H:mm[:ss]]"),
+    (f"^{_MONTH}-{_DAY}-[0-9]{{4}}" + _TIME, "M-d-yyyy[ H:mm[:ss]]"),
+    (r"^[0-9]{4}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])$", "yyyyMMdd"),
+    (f"^{_DAY}[- ][A-Za-z]{{3}}[- ][0-9]{{4}}" + _TIME, "d MMM yyyy[ H:mm[:ss]]"),
+    (f"^[A-Za-z]{{3}} {_DAY}, [0-9]{{4}}" + _TIME, "MMM d, yyyy[ H:mm[:ss]]"),
 )
 
 # How a value of any of these forms begins: one look tells cells that hold no date.
 DATE_START = r"^([0-9]{1,4}[-/. ][0-9A-Za-z]{1,3}[-/. ][0-9]|[0-9]{8}|[A-Za-z]{3} [0-9]{1,2}, )"
 
 # Columns profiled by one aggregate; wider tables are profiled in groups so that generated code stays small.
-GROUP_WIDTH, DATE_GROUP_WIDTH = 64, 8
+GROUP_WIDTH, DATE_GROUP_WIDTH = 64, 3
 LONG_TEXT = 64
 
 
@@ -314,16 +315,22 @@ def distinct_counts(pair: Pair) -> DataFrame:
     return union_all(frames).groupBy("c").agg(F.sum("n_s").alias("n_s"), F.sum("n_t").alias("n_t"))
 
 
-def distinct_check(pair: Pair) -> DataFrame:
-    """FAIL per column whose distinct counts differ, else one PASS row."""
+def distinct_check(pair: Pair, estimate: bool = False) -> DataFrame:
+    """FAIL per column whose distinct counts differ, else one PASS row.
+
+    With ``estimate`` the counts are estimated, and they differ if they do so by more than four standard errors of both.
+    """
+    counted, differ = (distinct_counts, "n_s <> n_t")
+    if estimate:
+        counted, differ = distinct_estimates, f"abs(n_s - n_t) > {4 * SKETCH_ERROR} * sqrt(1D * n_s * n_s + 1D * n_t * n_t)"
     passed = {"check_no": 10, "validation": m.DISTINCT, "result": PASS, "detail": m.DISTINCT_MATCHES}
     if not pair.common:
         return fixed_rows(pair.spark, [passed])
     seed = pair.spark.range(1).selectExpr("-1 AS c", "0L AS n_s", "0L AS n_t")
     names = ", ".join(tx.literal(c) for c in pair.common)
     # As many rows as there are columns, so they may meet in one window.
-    rows = distinct_counts(pair).unionByName(seed).selectExpr("*", "count_if(n_s <> n_t) OVER () AS found")
-    return rows.where("n_s <> n_t OR (c = -1 AND found = 0)").selectExpr(
+    rows = counted(pair).unionByName(seed).selectExpr("*", f"count_if({differ}) OVER () AS found")
+    return rows.where(f"{differ} OR (c = -1 AND found = 0)").selectExpr(
         *row_sql(
             10,
             f"'{m.DISTINCT}'",
@@ -337,6 +344,31 @@ def distinct_check(pair: Pair) -> DataFrame:
     )
 
 
+#: Logarithm of the number of registers of a distinct-count sketch, and the standard error that follows from it.
+SKETCH_SIZE = 14
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_SIZE / 2)
+
+
+def distinct_estimates(pair: Pair, size: int = SKETCH_SIZE) -> DataFrame:
+    """Estimated distinct counts per common column and side: rows ``c``, ``n_s`` and ``n_t`` as ``distinct_counts`` has them.
+
+    One sketch per column and task, of at most ``2 ** size`` bytes, is all that is shuffled; sketches merge, so the
+    estimate does not depend on how rows are spread. Its relative standard error is ``SKETCH_ERROR`` at the given size.
+    """
+    frames = []
+    for mark, df in (("s", pair.source), ("t", pair.target)):
+        for start in range(0, len(pair.common), GROUP_WIDTH):
+            cells = []
+            for i, name in enumerate(pair.common[start : start + GROUP_WIDTH], start):
+                value = _distinct_value(tx.ident(name), df.schema[name].dataType)
+                slot, value = _slot(value, df.schema[name].dataType)
+                value = f"CAST({value} AS STRING)" if slot in "dt" else value
+                cells.append(f"struct({i} AS c, coalesce(hll_sketch_estimate(hll_sketch_agg({value}, {size})), 0L) AS n)")
+            rows = df.selectExpr(f"array({', '.join(cells)}) AS cells").selectExpr("inline(cells)")
+            frames.append(rows.selectExpr("c", *[f"{'n' if mark == side else '0L'} AS n_{side}" for side in ("s", "t")]))
+    return union_all(frames).groupBy("c").agg(F.sum("n_s").alias("n_s"), F.sum("n_t").alias("n_t"))
+
+
 def source_profile(df: DataFrame) -> DataFrame:
     """One row per column: name, type, null count, and the frame's row and column counts."""
     columns = df.columns

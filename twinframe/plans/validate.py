@@ -18,11 +18,13 @@ from twinframe.operators.align import (
     target_key_candidates,
 )
 from twinframe.operators.results import ALL_COLUMNS, FAIL, ORDER_COLUMNS, public, union_all
-from twinframe.operators.sampling import quick_sample
+from twinframe.operators.sampling import quick_sample, sampled_keys
 from twinframe.operators.value_checks import CASING, HASH, SPECIAL, VALUE, ZERO, row_checks
 from twinframe.plans.pair import Pair
 from twinframe.session import named_paths, release, stage
+from twinframe.sources.pushdown import key_predicates, key_values
 from twinframe.sources.registry import is_columnar, load_source
+from twinframe.sources.tables import is_jdbc, load_table
 from twinframe.spec import ValidationSpec
 
 _custom_checks: dict[str, tuple[Callable[[Pair], DataFrame], bool]] = {}
@@ -94,7 +96,7 @@ def check_rows(pair: Pair, spec: ValidationSpec) -> DataFrame:
         frames += [
             schema_checks.column_order(pair),
             schema_checks.column_specs(pair),
-            profile_checks.distinct_check(pair),
+            profile_checks.distinct_check(pair, spec.distinct == "estimate"),
             profile.date_ranges(),
             key_checks.symmetric_difference(pair),
         ]
@@ -165,10 +167,33 @@ def validate(spark: SparkSession, spec: ValidationSpec | dict[str, Any]) -> Vali
         spec = ValidationSpec.from_dict(spec)
     before = named_paths()
     sides = [_opened(spark, spec, config) for config in (spec.source, spec.target)]
+    if spec.quick_sample_pks and is_jdbc(spec.target):
+        sides[1] = _read_by_keys(spark, spec, *sides)
     result = validate_frames(*sides, spec)
     return replace(result, staged=named_paths(before))
 
 
+def _read_by_keys(spark: SparkSession, spec: ValidationSpec, source: DataFrame, target: DataFrame) -> DataFrame:
+    """A JDBC target of which only rows of the sampled keys are asked for, one chunk of keys a partition.
+
+    The keys are the ones that ``quick_sample`` takes, as many as the spec says. The database may find more rows (its
+    comparison of texts may ignore case or blanks), so the sides are still restricted by the sample afterwards.
+    """
+    keys = spec.primary_keys
+    if not keys or not set(keys).issubset(source.columns) or spec.target.get("limit", spec.target.get("row_limit")):
+        return target
+    target_keys = pick_target_keys(target_key_candidates(keys, spec.column_mapping, spec.source_prefixes_to_strip), target.columns)
+    if target_keys is None:
+        return target
+    shape, sample = sampled_keys(source, target, keys, target_keys, spec.quick_sample_pks, spec.quick_sample_seed)
+    values = key_values(sample, shape, [target.schema[k].dataType for k in target_keys])
+    if values is None:
+        return target
+    written = {c.lower(): c for c in load_table(spark, spec.target).columns}
+    predicates = key_predicates([written[k] for k in target_keys], values)
+    return load_source(spark, {**spec.target, "predicates": predicates}, order_by=keys)
+
+
 def _opened(spark: SparkSession, spec: ValidationSpec, config: dict[str, Any]) -> DataFrame:
     """A side as configured. What is not stored by columns is parsed once and kept in the shared folder, as every check
     reads its own columns; without keys it stays as it is, as its files tell the order of rows."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from twinframe.sources.environments import URL_TEMPLATE, connection_settings
 
 _CONNECTION_KEYS = ("environment", "host", "url")
+DEFAULT_PARTITIONS = 32
 # Reading a large table over one connection is slow; these settings split the read by a numeric column.
 _SPLIT_OPTIONS = {
     "partition_column": "partitionColumn",
@@ -47,9 +48,34 @@ def is_jdbc(config: Mapping[str, Any]) -> bool:
     return any(config.get(k) for k in _CONNECTION_KEYS)
 
 
+def learned_bounds(options: Mapping[str, str], first: Callable[[dict[str, str]], Sequence[Any]]) -> dict[str, str]:
+    """``options`` with the bounds of a split read completed: least and greatest value from one aggregate in the database.
+
+    ``first`` reads the first row with the options it gets. An empty column is read over one connection.
+    """
+    column = options.get("partitionColumn")
+    if not column or {"lowerBound", "upperBound"} <= set(options):
+        return dict(options)
+    split = ("partitionColumn", "lowerBound", "upperBound", "numPartitions", "dbtable")
+    rest = {k: v for k, v in options.items() if k not in split}
+    name = _qualified(None, column)
+    low, high = first({**rest, "query": f"SELECT min({name}) AS low, max({name}) AS high FROM {options['dbtable']}"})
+    if low is None:
+        return {**rest, "dbtable": options["dbtable"]}
+    return {"numPartitions": str(DEFAULT_PARTITIONS), **options, "lowerBound": str(low), "upperBound": str(high)}
+
+
 def load_table(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
-    """A JDBC table when connection settings are given, else a table or view of the session's catalog."""
+    """A JDBC table when connection settings are given, else a table or view of the session's catalog.
+
+    ``predicates`` in the settings of a JDBC table are read as one partition each.
+    """
     if is_jdbc(config):
-        return spark.read.format("jdbc").options(**jdbc_options(config)).load()
+        options = jdbc_options(config)
+        if config.get("predicates"):
+            properties = {k: v for k, v in options.items() if k in ("user", "password", "driver", "fetchsize")}
+            return spark.read.jdbc(options["url"], options["dbtable"], predicates=config["predicates"], properties=properties)
+        options = learned_bounds(options, lambda o: spark.read.format("jdbc").options(**o).load().first())
+        return spark.read.format("jdbc").options(**options).load()
     schema, table = config.get("schema"), config["table"]
     return spark.table(f"{schema}.{table}" if schema else table)

@@ -55,6 +55,7 @@ class ValidationSpec:
     all_empty_columns: bool = False  # empty_string_check reports every column, not the first per side
     robust_zeros: bool = False  # leading_zero_check strips all leading zeros
     checksum_columns: str = "common"  # common: shared columns in name order; all: each side's own columns
+    distinct: str = "exact"  # estimate: distinct counts by sketches, which shuffle no values
     order_by: list[str] = field(default_factory=list)  # row order of keyless comparison; default file order
 
     def __post_init__(self) -> None:
@@ -69,6 +70,8 @@ class ValidationSpec:
             raise ValueError("key_mode must be 'strict' or 'coerce'")
         if self.checksum_columns not in ("common", "all"):
             raise ValueError("checksum_columns must be 'common' or 'all'")
+        if self.distinct not in ("exact", "estimate"):
+            raise ValueError("distinct must be 'exact' or 'estimate'")
 
     @property
     def fuzzy_alignment(self) -> bool:

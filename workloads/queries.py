@@ -651,6 +651,22 @@ _check(
 )
 _check("distinct_count", LINES_SQL, LINES_SQL.distinct(), lambda s, d: profile_checks.distinct_check(lines(s, d)))
 _check("distinct_count_text", DOCS_SQL, DOCS_SQL.distinct(), lambda s, d: profile_checks.distinct_check(docs(s, d)))
+@query(
+    "distinct_estimate",
+    "SELECT unnest(['l_orderkey', 'l_linenumber', 'l_extendedprice', 'l_returnflag', 'l_shipdate']) AS \"column\", "
+    "unnest([count(DISTINCT l_orderkey), count(DISTINCT l_linenumber), count(DISTINCT l_extendedprice), "
+    "count(DISTINCT l_returnflag), count(DISTINCT l_shipdate)]) AS exact, true AS within FROM lineitem",
+)
+def distinct_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """Exact distinct counts, and whether the estimates of a side lie within four standard errors of them."""
+    lineitem = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    pair = Pair(lineitem, lineitem.limit(0))
+    names = F.array(*[F.lit(c) for c in pair.common])
+    both = profile_checks.distinct_counts(pair).select("c", F.col("n_s").alias("exact")).join(profile_checks.distinct_estimates(pair), "c")
+    near = F.abs(F.col("n_s") - F.col("exact")) <= 4 * profile_checks.SKETCH_ERROR * F.col("exact")
+    return both.select(F.get(names, F.col("c")).alias("column"), "exact", near.alias("within"))
+
+
 _check(
     "date_range",
     ORDERS_SQL,
