@@ -46,8 +46,9 @@ PILOT_TEXTS, PILOT_PASSES = 2000, 2
 SMOOTH = 0.1
 #: Words that one group of texts may hold while it is scored.
 GROUP_TOKENS = 1 << 21
-#: Tokens whose classes are scored at once, and weights that are averaged as one row.
-SCORED_TOKENS, CHUNK = 1 << 14, 4096
+#: Tokens whose classes are worked on at once and weights that are moved at once (both stay in a processor's cache), and
+#: weights that are averaged as one row.
+AT_ONCE, MOVED, CHUNK = 512, 1 << 14, 4096
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 
 
@@ -160,16 +161,19 @@ def step(net: Network, inward: np.ndarray, state: np.ndarray) -> tuple[np.ndarra
     return fresh + keep * (state - fresh), keep, reset, fresh, own[:, 2 * HIDDEN :]
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """Rows of probabilities. Weights are small and states within 1, so no row has to be shifted against overflow."""
-    x = np.exp(x)
-    x /= x.sum(1, keepdims=True)
+def softmax(x: np.ndarray, shrink: float = 1.0) -> np.ndarray:
+    """Rows of probabilities times ``shrink``, written over ``x``. Weights are small and states within 1, so no row has to be
+    shifted against overflow."""
+    np.exp(x, out=x)
+    x *= (shrink / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     return x
 
 
 def log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log of the chosen entry of each row's softmax."""
-    return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(1))
+    """Log of the chosen entry of each row's softmax; ``x`` is written over."""
+    own = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def by_class(words: Vocabulary, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -184,8 +188,8 @@ def log_likelihood(net: Network, words: Vocabulary, states: np.ndarray, ids: np.
     """Natural log of the class's probability and, for head tokens, of the token's in its class."""
     classes = words.classes(ids)
     out = np.empty(len(ids), np.result_type(states, net.to_class))
-    for begin in range(0, len(ids), SCORED_TOKENS):
-        part = slice(begin, begin + SCORED_TOKENS)
+    for begin in range(0, len(ids), AT_ONCE):
+        part = slice(begin, begin + AT_ONCE)
         out[part] = log_share(states[part] @ net.to_class + net.class_bias, classes[part])
     rows, parts = by_class(words, classes)
     of, place, share = states[rows], ids[rows] % words.class_size, np.empty(len(rows), out.dtype)
@@ -198,21 +202,28 @@ def log_likelihood(net: Network, words: Vocabulary, states: np.ndarray, ids: np.
 def output_slopes(net: Network, words: Vocabulary, states: np.ndarray, ids: np.ndarray, slopes: Network) -> np.ndarray:
     """Adds the output layers' slopes of the mean loss to ``slopes`` and returns those of the states."""
     n, classes = len(ids), words.classes(ids)
-    error = softmax(states @ net.to_class + net.class_bias)
-    error[np.arange(n), classes] -= 1
-    error /= n
-    slopes.to_class += states.T @ error
-    slopes.class_bias += error.sum(0)
-    back = error @ net.to_class.T
+    back = np.empty_like(states)
+
+    def errors(of: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        x = of @ weights
+        x += bias
+        x = softmax(x, 1 / n)
+        x[np.arange(len(x)), chosen] -= 1 / n
+        return x
+
+    for begin in range(0, n, AT_ONCE):
+        part = slice(begin, begin + AT_ONCE)
+        error = errors(states[part], net.to_class, net.class_bias, classes[part])
+        slopes.to_class += states[part].T @ error
+        slopes.class_bias += np.ones(len(error), error.dtype) @ error
+        back[part] = error @ net.to_class.T
     rows, parts = by_class(words, classes)
     of, place = states[rows], ids[rows] % words.class_size
     more = np.empty_like(of)
     for c, part in parts:
-        error = softmax(of[part] @ net.to_word[c].T + net.word_bias[c])
-        error[np.arange(len(error)), place[part]] -= 1
-        error /= n
+        error = errors(of[part], net.to_word[c].T, net.word_bias[c], place[part])
         slopes.to_word[c] += error.T @ of[part]
-        slopes.word_bias[c] += error.sum(0)
+        slopes.word_bias[c] += np.ones(len(error), error.dtype) @ error
         more[part] = error @ net.to_word[c]
     back[rows] += more
     return back
@@ -288,13 +299,26 @@ class Trainer:
     def _move(self, slopes: Network) -> None:
         arrays, changes = self.net.arrays(), slopes.arrays()
         self.moments = self.moments or [(np.zeros_like(a), np.zeros_like(a)) for a in arrays]
-        norm = np.sqrt(sum(float((g**2).sum()) for g in changes))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in changes))
         self.steps += 1
-        for a, g, (m, q) in zip(arrays, changes, self.moments):
-            g = g * min(1.0, 1.0 / (norm + 1e-9))
-            m += 0.1 * (g - m)
-            q += 0.005 * (g * g - q)
-            a -= self.rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(q / (1 - 0.995**self.steps)) + 1e-6)
+        shrink, ahead, wide = min(1.0, 1.0 / (norm + 1e-9)), self.rate / (1 - 0.9**self.steps), 1 / np.sqrt(1 - 0.995**self.steps)
+        for whole in zip(arrays, changes, *zip(*self.moments)):
+            flat = [x.reshape(-1) for x in whole]
+            for begin in range(0, len(flat[0]), MOVED):
+                a, g, m, q = (x[begin : begin + MOVED] for x in flat)
+                g *= shrink
+                m *= 0.9
+                m += 0.1 * g
+                g *= g
+                g *= 0.005
+                q *= 0.995
+                q += g
+                np.sqrt(q, out=g)
+                g *= wide
+                g += 1e-6
+                np.divide(m, g, out=g)
+                g *= ahead
+                a -= g
 
 
 def segments_of(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
