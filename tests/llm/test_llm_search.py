@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import plain
 import pytest
@@ -109,6 +110,36 @@ def test_search_edges(spark, edges, nothing, monkeypatch, probes):
     assert license_scan.licenses(edges).count() == 0 and license_scan.licenses(nothing).count() == 0
 
 
+@pytest.mark.parametrize("probes", [windows.MAX_PROBES, 0])
+def test_short_items(spark, monkeypatch, probes):
+    """Items of one to four words, next to a long one, in Spark and in SQL."""
+    monkeypatch.setattr(windows, "MAX_PROBES", probes)
+    items = [(1, "Alpha beta GAMMA delta"), (2, "beta"), (3, "one two"), (4, " ... "), (5, None), (6, "a b c d e f"), (3, "six"), (7, "beta")]
+    docs = [
+        (1, "x alpha, beta gamma delta y beta"), (2, "alpha beta gamma"), (3, "one one two two one two"), (4, ""), (5, None),
+        (6, "six a b c d e f two one"), (6, "six a b c d e f two one"), (None, "one-two"), (8, "w " * 600 + "one two"),
+    ]
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = [tuple(r) for r in decontamination.contaminated(texts, benchmark).collect()]
+    assert sorted(found, key=str) == sorted(
+        [(1, 1, 1.0, 1), (1, 2, 1.0, 2), (1, 7, 1.0, 2), (2, 2, 1.0, 1), (2, 7, 1.0, 1), (3, 3, 1.0, 1), (6, 3, 1.0, 0), (6, 6, 1.0, 0), (None, 3, 1.0, 0), (8, 3, 1.0, 600)],
+        key=str,
+    )
+    connection = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        connection.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        connection.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert sorted(connection.execute(decontamination.oracle_sql()).fetchall(), key=str) == sorted(found, key=str)
+    kept = decontamination.clean(texts, benchmark.where("item_id = 3")).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 2, 4, 5]
+
+
+def test_size_classes_have_no_end():
+    bounds = windows.size_classes()
+    assert bounds[:6] == [1, 2, 3, 5, 8, 12] and bounds[-1] >= 2**31 - 1
+
+
 def test_licenses(spark):
     texts = [f"some code here {text} and more words after it" for _, text in license_scan.TEMPLATES]
     found = license_scan.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()

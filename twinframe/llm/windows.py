@@ -10,8 +10,9 @@ this is so: texts' shingles are joined with these minimum shingles, and only for
 values computed and compared, which gives the same collisions as computing all. Colliding windows are verified by the exact
 share of the item's shingles that they hold.
 
-Words are runs of letters and digits, lower-cased; a shingle is five in a row. Items of fewer words have no shingle and are
-not found. Null texts have no words. Results are per id: repeated rows give the same result once.
+Words are runs of letters and digits, lower-cased; a shingle is five in a row. An item of fewer words is one shingle of all
+of them, and found where a text has these words in a row; its minimum is that shingle, so no other hash has to agree. Items
+without words are not found. Null texts have no words. Results are per id: repeated rows give the same result once.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ MAX_PROBES = 20_000
 WINDOWS_AT = "sequence(greatest(0L, (at - window + stride) div stride), at div stride)"
 
 
-def size_classes(most: int = 1_000_000) -> list[int]:
-    """Upper bounds of the size classes, each half as large again as the one before."""
+def size_classes(most: int = 1 << 31) -> list[int]:
+    """Upper bounds of the size classes, each half as large again as the one before, up to the longest array there can be."""
     bounds = [1]
     while bounds[-1] < most:
         bounds.append(-(-3 * bounds[-1] // 2))
@@ -43,19 +44,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(text_col: str) -> tuple[Column, Column]:
+def shingles(text_col: str, width: int = WIDTH) -> tuple[Column, Column]:
     """The words of a text under a name of their own, and the hashes of its shingles in order, from these."""
     hashes = F.expr(
-        f"CASE WHEN size(__words) >= {WIDTH} THEN transform(sequence(0, size(__words) - {WIDTH}), i -> xxhash64("
-        + ", ".join(f"__words[i + {k}]" for k in range(WIDTH))
+        f"CASE WHEN size(__words) >= {width} THEN transform(sequence(0, size(__words) - {width}), i -> xxhash64("
+        + ", ".join(f"__words[i + {k}]" for k in range(width))
         + ")) ELSE cast(array() as array<bigint>) END"
     )
     return words(F.col(text_col)).alias("__words"), hashes
 
 
-def hashed(texts: DataFrame, id_col: str, text_col: str, id_name: str) -> DataFrame:
+def hashed(texts: DataFrame, id_col: str, text_col: str, id_name: str, width: int = WIDTH) -> DataFrame:
     """``id_name`` and ``shingles`` of every text."""
-    split, hashes = shingles(text_col)
+    split, hashes = shingles(text_col, width)
     return texts.select(F.col(id_col).alias(id_name), split).select(id_name, hashes.alias("shingles"))
 
 
@@ -121,6 +122,31 @@ def hits_by_join(texts: DataFrame, probes: DataFrame, id_col: str, text_col: str
     return met.select("id", F.explode_outer(cut).alias("c")).select("id", "c.w.*", "c.held")
 
 
+def short_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``item``, ``width`` and ``x`` of every item of fewer words than a shingle has: number and hash of its words."""
+    split = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("__words"))
+    hashes = [f"WHEN size(__words) = {w} THEN xxhash64({', '.join(f'__words[{k}]' for k in range(w))})" for w in range(1, WIDTH)]
+    rows = split.where(F.size("__words").between(1, WIDTH - 1))
+    return rows.select("item", F.size("__words").alias("width"), F.expr(f"CASE {' '.join(hashes)} END").alias("x")).distinct()
+
+
+def short_hits(texts: DataFrame, short: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
+    """``id``, ``item``, ``containment`` and ``back`` (the place, negative) of short items, a frame for each width."""
+    frames = []
+    for r in short.groupBy("width").agg(F.count_distinct("x").alias("probes")).collect():
+        probes = short.where(F.col("width") == r["width"])
+        runs = hashed(texts, id_col, text_col, "id", r["width"])
+        if r["probes"] <= MAX_PROBES:  # as in hits_in_place: only what is found leaves the text's row
+            known = F.array_intersect("shingles", probes.agg(F.collect_set("x")).scalar())
+            first = F.transform("known", lambda x: F.struct(x.alias("x"), (F.array_position("shingles", x) - 1).alias("at")))
+            places = runs.withColumn("known", known).select("id", F.explode_outer(first).alias("h")).where("h.x is not null").select("id", "h.*")
+        else:
+            places = runs.select("id", F.posexplode_outer("shingles").alias("at", "x")).where("x is not null")
+        met = places.join(probes, "x")
+        frames.append(met.groupBy("id", "item").agg(F.lit(1.0).alias("containment"), (-F.min("at")).cast("long").alias("back")))
+    return frames
+
+
 def found_items(
     texts: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -136,7 +162,10 @@ def found_items(
     checked = windows.where(collide).join(known.select("item", F.col("shingles").alias("__set"), "n"), "item")
     share = F.size(F.array_intersect("__set", "held")) / F.col("n")
     good = checked.withColumn("containment", share).where(F.col("containment") >= threshold - 1e-9)
-    best = good.groupBy("id", "item").agg(F.max(F.struct("containment", (-F.col("no") * F.col("stride")).alias("back"))).alias("best"))
+    places = good.select("id", "item", "containment", (-F.col("no") * F.col("stride")).alias("back"))
+    for more in short_hits(texts, stage(short_items(items, item_col, item_text_col), "short-items"), id_col, text_col):
+        places = places.unionByName(more)
+    best = places.groupBy("id", "item").agg(F.max(F.struct("containment", "back")).alias("best"))
     return best.select("id", "item", F.col("best.containment").alias("containment"), (-F.col("best.back")).alias("first_word"))
 
 
@@ -163,6 +192,11 @@ hits AS (
   SELECT id, item, n, stride, x, unnest(range(greatest(0, (pos - win + stride) // stride), pos // stride + 1)) AS no
   FROM doc_shingles JOIN sets USING (x) JOIN sizes USING (item)),
 shares AS (
-  SELECT id, item, CAST(count(DISTINCT x) AS DOUBLE) / n AS containment, no * stride AS first_word FROM hits GROUP BY id, item, n, stride, no)
+  SELECT id, item, CAST(count(DISTINCT x) AS DOUBLE) / n AS containment, no * stride AS first_word FROM hits GROUP BY id, item, n, stride, no
+  UNION ALL
+  SELECT id, item, 1.0, i - 1
+  FROM (SELECT id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i
+        FROM doc_words JOIN (SELECT DISTINCT len(ws) AS width FROM item_words WHERE len(ws) BETWEEN 1 AND {WIDTH - 1}) ON len(ws) >= width) AS d
+  JOIN item_words AS s ON len(s.ws) = d.width AND s.ws = d.ws[d.i:d.i + d.width - 1])
 SELECT id, item, max(containment) AS containment, CAST(arg_min(first_word, (-containment, first_word)) AS BIGINT) AS first_word
 FROM shares WHERE containment >= {THRESHOLD} - 1e-9 GROUP BY id, item"""
