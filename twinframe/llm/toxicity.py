@@ -4,8 +4,9 @@ Terms are lower-cased runs of letters and digits and the beginnings of longer on
 bias + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j  over the terms present in a text, so two terms that are harmless
 alone can weigh together. x_i falls with how common the term is.
 
-Terms are counted over all labelled training texts of a bounded sample (``max_labelled``); the model keeps the
-``max_terms`` terms that tell the classes apart best together with the most common ones, as partners of interactions.
+Terms are counted over all labelled training texts of a bounded sample (``max_labelled``); the model has every term that
+tells the classes apart (``MIN_GAIN``), and every common one (``MIN_SHARE``) as a partner of interactions. A text's mean number of
+terms over ``MIN_SHARE`` bounds the common ones; there is no other limit to their number.
 Null and empty texts score the bias alone. Without labels of both classes every score is the share of toxic labels, or 0.
 Repeated rows are scored each. Only the id, text and label columns are read, so other columns cannot clash.
 """
@@ -25,14 +26,13 @@ from twinframe.llm.labels import bounded, chosen_texts
 from twinframe.session import stage
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 2048
 FACTORS = 8
 MIN_TEXTS = 3
 #: Bytes of the beginnings of longer words that count as terms too, so that inflected words share some.
 STEMS = (4, 5)
 #: Least chi-squared of a term that tells the classes apart (one in a thousand by chance), least share of texts of a partner.
 MIN_GAIN = 10.8
-MIN_SHARE = 0.02
+MIN_SHARE = 0.2
 #: How much more the factors of pairs are held back than the weights of single terms.
 PAIR_DECAY = 5
 
@@ -102,15 +102,13 @@ def term_counts(texts: DataFrame, label_col: str, text_col: str) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
 
 
-def chosen_terms(counts: DataFrame, n: int, n_toxic: int, max_terms: int) -> list:
-    """Half the terms by how surely they tell the classes apart (chi-squared), half by how common they are."""
+def chosen_terms(counts: DataFrame, n: int, n_toxic: int) -> list:
+    """Terms that surely tell the classes apart (chi-squared) or are common."""
     a, t = F.col("toxic").cast("double"), F.col("texts").cast("double")
     expected = t * n_toxic / n
     spread = expected * (1 - F.lit(n_toxic / n)) * (1 - t / n) + 1e-9
-    useful = counts.where(F.col("texts") >= MIN_TEXTS).withColumn("gain", (a - expected) ** 2 / spread)
-    telling = useful.where(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "term").limit(max_terms // 2)
-    common = useful.where(F.col("texts") >= MIN_SHARE * n).orderBy(F.desc("texts"), "term").limit(max_terms // 2)
-    return telling.union(common).distinct().collect()
+    telling = (a - expected) ** 2 / spread >= MIN_GAIN
+    return counts.where((F.col("texts") >= MIN_TEXTS) & (telling | (F.col("texts") >= MIN_SHARE * n))).collect()
 
 
 def indexed(texts: DataFrame, label_col: str, text_col: str, model: Model) -> DataFrame:
@@ -171,7 +169,6 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
     max_labelled: int = MAX_LABELLED,
-    max_terms: int = MAX_TERMS,
 ) -> Model:
     """The model from ``labels`` (distinct ids with 0 or 1 in ``label_col``)."""
     ids = bounded(labels.select(id_col, F.col(label_col).alias("__label")), id_col, max_labelled, seed=4)
@@ -183,7 +180,7 @@ def train(
     bias = float(np.log(share / (1 - share)))
     if not 0 < n_toxic < n:
         return Model(bias, np.zeros(0, dtype=np.uint64), none, none, np.zeros((0, FACTORS), np.float32))
-    chosen = chosen_terms(term_counts(texts, "__label", text_col), n, n_toxic, max_terms)
+    chosen = chosen_terms(term_counts(texts, "__label", text_col), n, n_toxic)
     terms = np.array([r["term"] for r in chosen], dtype=np.int64).view(np.uint64)
     order = np.argsort(terms)
     found = np.array([r["texts"] for r in chosen], dtype=np.float64)[order]
