@@ -25,7 +25,7 @@ def first_rows(df: DataFrame, order: list[Column], n: int, few: int = FEW) -> Da
     Fewer rows than ``n`` are all kept. ``df`` is read up to three times and has to give the same rows each time.
     """
     if n <= few:
-        return df.orderBy(*order).limit(n)
+        return (df.orderBy(*order) if order else df).limit(n)
     if not order:
         return _first_positions(df, n)
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])

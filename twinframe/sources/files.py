@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions.text import ident
-from twinframe.session import stage
+from twinframe.session import named_paths, release, stage
 from twinframe.sources import encoding as enc
-from twinframe.sources import json_blocks, xlsx
+from twinframe.sources import csv_blocks, json_blocks, xlsx
 
 # Format by file suffix. Other suffixes need an explicit ``format``.
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".xlsx": "excel"}
@@ -62,11 +62,13 @@ def read_csv(
 ) -> DataFrame:
     """Every cell as text; only empty cells are null. A line with more cells than the header is an error.
 
-    ``multiline`` says whether quoted cells hold line breaks. Files with such cells cannot be split between
-    tasks, so ``auto`` looks for them; that pass also finds the encoding. Naming both saves it, but then all files must
-    have one header. Files of a folder that differ in encoding, such cells or header are read apart and brought together
+    ``multiline`` says whether quoted cells hold line breaks. Records of files with such cells are put together from lines
+    and written once to the shared folder, so ``auto`` looks for them; that pass also finds the encoding. Naming both saves
+    it, but then all files must have one header. Only UTF-16, separators of several characters and lines that end in bare
+    carriage returns are left to one task a file. Files of a folder that differ in encoding, such cells or header are read apart and brought together
     by column name; differing column sets are an error.
     """
+    earlier = named_paths()
     facts = enc.text_facts(spark, path) if encoding is None or multiline == "auto" else []
     parts = []
     for fact in facts or [None]:
@@ -79,11 +81,14 @@ def read_csv(
         if sorted(part.columns) != sorted(first.columns):
             raise ValueError(f"Columns {part.columns} of {paths[0]} are not those of {parts[0][0][0]}: {first.columns}")
     if len(parts) == 1:
+        release(spark, named_paths(earlier)[:-1])  # the last one has the rows
         return first
     # a union has no row order of its own: rows are written once by file, split and place, which numbers them for good
     union = reduce(DataFrame.unionByName, [part for _, part in parts])
     ordered = union.orderBy(*(F.col(ident(c)) for c in _PLACE))
-    return stage(ordered.drop(*_PLACE), "csv-folder")
+    rows = stage(ordered.drop(*_PLACE), "csv-folder")
+    release(spark, named_paths(earlier)[:-1])
+    return rows
 
 
 def _read_alike(spark: SparkSession, path: str | list[str], sep: str, name: str, whole: bool, placed: bool = False) -> DataFrame:
@@ -107,7 +112,12 @@ def _read_alike(spark: SparkSession, path: str | list[str], sep: str, name: str,
     }
     columns = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _CORRUPT]])
-    df = spark.read.options(**options, columnNameOfCorruptRecord=_CORRUPT).schema(schema).csv(path)
+    options["columnNameOfCorruptRecord"] = _CORRUPT
+    splits = whole and len(sep) == 1 and not charset.startswith("UTF-16")
+    records = csv_blocks.records(spark, path, sep, charset) if splits else None
+    if records is not None:
+        return _from_records(records, schema, options, name, placed)
+    df = spark.read.options(**options).schema(schema).csv(path)
     hidden = []
     if placed:
         places = ("_metadata.file_path", "_metadata.file_block_start")
@@ -116,6 +126,18 @@ def _read_alike(spark: SparkSession, path: str | list[str], sep: str, name: str,
     return enc.restore_cp1252(_reject_surplus(df, columns, sep, hidden), name, hidden)
 
 
+def _from_records(records: DataFrame, schema: T.StructType, options: dict[str, Any], name: str, placed: bool) -> DataFrame:
+    """Rows of ``csv_blocks.records`` without headers; written in their order, unless they go to the rows of other files."""
+    texts = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items() if k not in ("header", "encoding")}
+    places = (F.col("file"), F.col("record"), F.lit(0).cast("long"))
+    parsed = records.where("record > 1").select(F.from_csv("value", schema.toDDL(), texts).alias("r"), *(p.alias(c) for p, c in zip(places, _PLACE)))
+    hidden = list(_PLACE) if placed else []
+    df = parsed.select("r.*", *(F.col(c) for c in hidden))
+    columns = [f.name for f in schema.fields if f.name != _CORRUPT]
+    rows = enc.restore_cp1252(_reject_surplus(df, columns, options["sep"], hidden), name, hidden)
+    return rows if placed else stage(rows, "csv-records")
+
+
 def _reject_surplus(df: DataFrame, columns: list[str], sep: str, hidden: list[str]) -> DataFrame:
     """Short lines are padded with nulls; a line with surplus cells stops the read when it is reached."""
     unquoted = F.regexp_replace(_CORRUPT, '"[^"]*"', "")
