@@ -17,3 +17,18 @@ def views():
 def test_query(spark, views, name):
     verdict, _, _ = check_queries.compare(spark, views, SF, name)
     assert verdict.startswith("ok"), verdict
+
+
+def test_json_arrays_stay_whole(spark, tmp_path):
+    """A join that turns into a broadcast at run time must not deal the rows of one array to several files."""
+    texts = spark.range(0, 3000, 1, 6).selectExpr("id AS doc_id", "repeat(concat('a}', id), 20) AS text", "'en' AS lang", "'s' AS source")
+    texts.unionByName(texts.where("doc_id % 100 = 0")).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        rows = QUERIES["json_large_array"](spark, str(tmp_path)).select("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert sorted(r.doc_id for r in rows) == sorted([*range(3000), *range(0, 3000, 100)])

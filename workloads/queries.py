@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions import canon as cn
@@ -259,11 +259,11 @@ def json_large_array(spark: SparkSession, d: str) -> DataFrame:
     """Arrays of 500 documents, each in a file without line breaks, which several tasks can read."""
     path = scratch_path(spark, "documents-arrays")
     objects = _document_objects(spark, d).withColumn("part", F.floor(F.col("doc_id") / 500))
-    ends = objects.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    opening = F.when(F.col("doc_id") == F.col("low"), "[").otherwise("")
-    closing = F.when(F.col("doc_id") == F.col("high"), "]").otherwise(",")
-    items = objects.join(ends, "part").select("part", "doc_id", F.concat(opening, "value", closing).alias("value"))
-    placed = items.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value")
+    # a window keeps the rows of a file in one task and in order; a repartition before a join may be read by map task
+    in_file = Window.partitionBy("part").orderBy("doc_id")
+    opening = F.when(F.row_number().over(in_file) == 1, "[").otherwise("")
+    closing = F.when(F.lead(F.lit(1)).over(in_file).isNull(), "]").otherwise(",")
+    placed = objects.select("part", F.concat(opening, "value", closing).alias("value"))
     placed.write.partitionBy("part").option("lineSep", " ").text(path)
     return _read_objects(spark, path)
 
