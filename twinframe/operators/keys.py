@@ -109,9 +109,13 @@ def key_counts(df: DataFrame, shape: KeyShape, count_name: str) -> DataFrame:
 
 
 def key_table(source: DataFrame, target: DataFrame, shape: KeyShape) -> DataFrame:
-    """One row per key of either side with its row count on each side, 0 where absent."""
-    joined = key_counts(source, shape, "ns").join(key_counts(target, shape, "nt"), shape.names, "full_outer")
-    return joined.na.fill(0, ["ns", "nt"])
+    """One row per key of either side with its row count on each side, 0 where absent.
+
+    Both sides go through one aggregate: joining two aggregates would keep two hash tables and two sorts in a task.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = keyed(source, shape, one.alias("ns"), none.alias("nt")).unionByName(keyed(target, shape, none.alias("ns"), one.alias("nt")))
+    return both.groupBy(*shape.names).agg(F.sum("ns").alias("ns"), F.sum("nt").alias("nt"))
 
 
 def first_per_key(df: DataFrame, shape: KeyShape, columns: list[str], order: list[str] | None = None) -> DataFrame:
@@ -153,6 +157,13 @@ def distinct_keys(df: DataFrame, shape: KeyShape) -> DataFrame:
     return keyed(df, shape).distinct()
 
 
+def keep_keys(df: DataFrame, keys_of: DataFrame, shape: KeyShape) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``keys_of``, which has every key once. Unlike a semi join, which goes below a union,
+    the join then runs once however many parts ``df`` is put together from."""
+    tagged = df.select(*[F.col(tx.ident(c)) for c in df.columns], *shape.columns(df.schema))
+    return tagged.join(keys_of.select(*shape.names), shape.names, "inner").select(*[F.col(tx.ident(c)) for c in df.columns])
+
+
 def restrict_to_keys(df: DataFrame, other: DataFrame, keys: list[str], mode: str = "strict") -> DataFrame:
     """Push a key set into a scan: rows of ``df`` whose key occurs in ``other``; nulls match nulls."""
     shape = KeyShape.of(df.schema, other.schema, keys, mode)

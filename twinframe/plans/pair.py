@@ -167,16 +167,16 @@ class Pair:
 
     @cached_property
     def source(self) -> DataFrame:
-        return self._side("source", self.full_source, self.full_target)
+        return self._side("source", self.full_source)
 
     @cached_property
     def target(self) -> DataFrame:
-        return self._side("target", self.full_target, self.full_source)
+        return self._side("target", self.full_target)
 
-    def _side(self, name: str, own: DataFrame, other: DataFrame) -> DataFrame:
+    def _side(self, name: str, own: DataFrame) -> DataFrame:
         if self.stats.reduced != name:
             return own
-        reduced = ks.semi_join(own, ks.distinct_keys(other, self.shape), self.shape)
+        reduced = ks.keep_keys(own, self.full_key_table.where("ns > 0 AND nt > 0"), self.shape)
         return stage(reduced, f"{name}-subset") if self.stage_subset else reduced
 
     def matched(self, source_columns: list[str], target_columns: list[str]) -> tuple[DataFrame, list[str]]:
