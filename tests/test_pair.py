@@ -1,6 +1,9 @@
 """Plans of a pair: how often sides are joined, and where rows of repeated keys are combined."""
 
+from pyspark.sql import functions as F
+
 from twinframe.operators import keys as ks
+from twinframe.plans import pair as pairs
 from twinframe.plans.pair import Pair
 
 
@@ -23,3 +26,16 @@ def test_key_table_is_one_aggregate(spark):
     table = ks.key_table(source, target, shape)
     assert "Join " not in plan(table)
     assert sorted(tuple(r) for r in table.collect()) == [(0, 1, 1, 0), (1, 0, 2, 1), (3, 0, 0, 1)]
+
+
+def test_copies_are_combined_in_tasks_only_for_frequent_keys(spark, monkeypatch):
+    source = spark.range(400).select((F.col("id") % 90).alias("k"), (F.col("id") * 7 % 13).cast("double").alias("v"), F.col("id").alias("w"))
+    target = source.withColumn("v", F.col("v").cast("string"))
+    found = []
+    for many in (1, 10_000):
+        monkeypatch.setattr(pairs, "MANY_COPIES", many)
+        rows, _ = Pair(source, target, ["k"]).matched(["k", "v", "w"], ["k", "v", "w"])
+        found.append(("RepartitionByExpression" in plan(rows), sorted(tuple(r) for r in rows.collect())))
+    assert [f[0] for f in found] == [False, True]
+    assert found[0][1] == found[1][1] and len(found[0][1]) == 90
+    assert all(float(r[3]) == float(r[6]) for r in found[0][1])

@@ -118,17 +118,26 @@ def key_table(source: DataFrame, target: DataFrame, shape: KeyShape) -> DataFram
     return both.groupBy(*shape.names).agg(F.sum("ns").alias("ns"), F.sum("nt").alias("nt"))
 
 
-def first_per_key(df: DataFrame, shape: KeyShape, columns: list[str], order: list[str] | None = None) -> DataFrame:
+def first_per_key(
+    df: DataFrame, shape: KeyShape, columns: list[str], order: list[str] | None = None, combine: bool = True
+) -> DataFrame:
     """Key columns plus the first row of ``columns`` per key, as struct ``row``.
 
-    Rows are ordered by the SQL expressions ``order``, if given, then by ``columns``. The minimum is taken inside each
-    task first, so a key holding most of the rows ships one row per task.
+    Rows are ordered by the SQL expressions ``order``, if given, then by ``columns``. With ``combine`` the minimum is taken
+    inside each task first, so a key holding most of the rows ships one row per task. Without it rows are shuffled as they
+    are, which saves sorting them before and shipping what they are ordered by; no key may hold many rows then.
     """
+    if not combine:
+        used = [F.col(tx.ident(c)) for c in (df.columns if order else columns)]
+        names = [F.col(n) for n in shape.names]
+        df = df.select(*shape.columns(df.schema), *used).repartition(*names)
+    else:
+        names = shape.columns(df.schema)
     row = F.struct(*[F.col(tx.ident(c)) for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
     if not order:
-        return keyed(df, shape, row.alias("row")).groupBy(*shape.names).agg(F.min("row").alias("row"))
+        return df.select(*names, row.alias("row")).groupBy(*shape.names).agg(F.min("row").alias("row"))
     first = F.struct(F.struct(*[F.expr(x).alias(f"o{i}") for i, x in enumerate(order)]).alias("order"), row.alias("row"))
-    least = keyed(df, shape, first.alias("first")).groupBy(*shape.names).agg(F.min("first").alias("first"))
+    least = df.select(*names, first.alias("first")).groupBy(*shape.names).agg(F.min("first").alias("first"))
     return least.select(*shape.names, F.col("first.row").alias("row"))
 
 

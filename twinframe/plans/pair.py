@@ -19,6 +19,8 @@ from twinframe.session import stage
 
 # Above this share of rows with repeated keys, parting them from the others costs more than it saves.
 REPEATED_SHARE = 0.1
+# Up to this many rows of each key, rows are shuffled without combining those of a key inside each task first.
+MANY_COPIES = 10_000
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,7 @@ class KeyStats:
     target_only: int = 0
     source_dup_rows: int = 0
     target_dup_rows: int = 0
+    most_copies: int = 0  # rows of the most frequent key of a side
     reduced: str | None = None  # side reduced to the other side's keys
     removed_rows: int = 0
 
@@ -135,6 +138,7 @@ class Pair:
             total(nt, nt > 1).alias("t_dup"),
             total(ns, both & (ns > 1)).alias("s_dup_both"),
             total(nt, both & (nt > 1)).alias("t_dup_both"),
+            F.coalesce(F.max(F.greatest(ns, nt)), F.lit(0)).alias("most"),
         ).first()
         reduce_target = self.subset and row.s_rows < row.t_rows and row.common > 0
         reduce_source = self.subset and row.s_rows > row.t_rows and row.common > 0
@@ -150,6 +154,7 @@ class Pair:
             target_only=t_only,
             source_dup_rows=row.s_dup_both if reduce_source else row.s_dup,
             target_dup_rows=row.t_dup_both if reduce_target else row.t_dup,
+            most_copies=row.most,
             reduced="source" if reduce_source else "target" if reduce_target else None,
             removed_rows=(row.s_rows - row.s_rows_both if reduce_source else 0)
             + (row.t_rows - row.t_rows_both if reduce_target else 0),
@@ -215,7 +220,9 @@ class Pair:
             return ks.keyed(df, self.shape, *_marked(columns, mark))
         fields = [F.col(f"row.{ident(c)}").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
         if repeated_rows > REPEATED_SHARE * rows:
-            return ks.first_per_key(df, self.shape, columns, self._copy_order(df)).select(*self.shape.names, *fields)
+            combine = self.stats.most_copies > MANY_COPIES
+            first = ks.first_per_key(df, self.shape, columns, self._copy_order(df), combine)
+            return first.select(*self.shape.names, *fields)
         names = self.shape.names
         repeated = self.full_key_table.where(f"n{mark} > 1").select(*names)
         unique = ks.keyed(df, self.shape, *_marked(columns, mark)).join(repeated, names, "left_anti")
