@@ -3,6 +3,8 @@
 import pytest
 
 import check_queries
+from twinframe.session import named_paths
+from workloads import queries
 from workloads.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,13 @@ def test_json_arrays_stay_whole(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert sorted(r.doc_id for r in rows) == sorted([*range(3000), *range(0, 3000, 100)])
+
+
+@pytest.mark.parametrize(("name", "label"), [("data_compare_csv_order", "lines-3-"), ("data_compare_filtered_order", "lines-third-")])
+def test_larger_tables_are_sorted_in_more_parts(spark, monkeypatch, name, label):
+    monkeypatch.setattr(queries, "SORTED_ROWS", 700, raising=False)
+    before = named_paths()
+    assert [r.result for r in QUERIES[name](spark, SF).collect()] == ["PASS"]
+    folder = next(p for p in named_paths(before) if label in p)
+    parts = spark.read.text(folder) if "csv" in name else spark.read.parquet(folder)
+    assert parts.selectExpr("regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS part").distinct().count() > 5

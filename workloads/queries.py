@@ -787,6 +787,14 @@ def _values(source: DataFrame, target: DataFrame) -> DataFrame:
     return public(value_checks.row_checks(Pair(source, target), [value_checks.VALUE]))
 
 
+#: Rows for which a table is sorted in a given few partitions; larger tables get that many more.
+SORTED_ROWS = 4_000_000
+
+
+def _parts(rows: DataFrame, few: int) -> int:
+    return few * max(1, -(-rows.count() // SORTED_ROWS))
+
+
 @query("data_compare_csv_order", _agree("SELECT count(*) FROM lineitem", 6))
 def data_compare_csv_order(spark: SparkSession, d: str) -> DataFrame:
     """One table written twice as CSV, in one order but cut into files differently, compared row by row."""
@@ -795,7 +803,7 @@ def data_compare_csv_order(spark: SparkSession, d: str) -> DataFrame:
     sides = []
     for parts in (3, 7):
         path = scratch_path(spark, f"lines-{parts}")
-        sorted_rows = rows.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+        sorted_rows = rows.repartitionByRange(_parts(rows, parts), *columns).sortWithinPartitions(*columns)
         sorted_rows.write.options(header=True, maxRecordsPerFile=5000 * parts).csv(path)
         sides.append(load_source(spark, {"type": "file", "format": "csv", "path": path}))
     return _values(*sides)
@@ -807,7 +815,7 @@ def data_compare_filtered_order(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
     paths = scratch_path(spark, "lines-whole"), scratch_path(spark, "lines-third")
     for path, part, n in zip(paths, (rows, rows.where("l_orderkey % 3 = 0")), (6, 2)):
-        part.repartitionByRange(n, *rows.columns).sortWithinPartitions(*rows.columns).write.parquet(path)
+        part.repartitionByRange(_parts(rows, n), *rows.columns).sortWithinPartitions(*rows.columns).write.parquet(path)
     return _values(spark.read.parquet(paths[0]).where("l_orderkey % 3 = 0"), spark.read.parquet(paths[1]))
 
 
