@@ -217,6 +217,13 @@ def test_pseudonym_edges(edges, nothing):
         pseudonyms.pseudonymised(edges, key="it's")
 
 
+def test_pseudonyms_need_no_long_sql(edges, monkeypatch):
+    parsed = []
+    monkeypatch.setattr(pseudonyms.F, "expr", lambda text, expr=F.expr: parsed.append(text) or expr(text))
+    pseudonyms.pseudonymised(edges)
+    assert sum(map(len, parsed)) < 1000  # the parser keeps some 50 MB in the driver for 20,000 characters
+
+
 def plain_pipeline(spark, sf_dir):
     """The stages after the classifier, which the test gets from its model and plain feature rows."""
     import pyarrow as pa

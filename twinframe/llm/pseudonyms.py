@@ -17,11 +17,16 @@ What has no numeric format (e-mail addresses, keys and passwords) gets a keyed h
             above 12) or dots (day first)
 
 Null texts stay null, empty ones empty; texts without such values stay as they are. The key stands in query plans, which
-spark.redaction.string.regex can hide.
+spark.redaction.string.regex can hide. Expressions are columns, not SQL text: the parser would keep some 55 MB in the driver
+for a text of their length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,207 +68,309 @@ IN_RUN = [p for p in PATTERNS if any(x in p for x in (r"\d{4}-\d{2}-", r"\d{3}-\
 _CARD_GROUPS = "^([0-9]{13,19}|[0-9]{4}( [0-9]{4}){3}( [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
 
 
-def let(value: str, name: str, body: str) -> str:
-    """SQL for ``body`` with ``name`` for ``value``, evaluated once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+def fn(name: str, *args: Column | str | int) -> Column:
+    """A built-in function; what is not a column is a literal."""
+    return F.call_function(name, *(x if isinstance(x, Column) else F.lit(x) for x in args))
+
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
-def prf(key: str, kind: str, step: str, half: str, modulus: str) -> str:
+
+def prf(key: str, kind: Column, step: Column, half: Column, modulus: Column) -> Column:
     """A number below ``modulus`` that depends on the key, the kind of value, the round and the other half."""
-    digest = f"sha2(concat('{key}|', {kind}, '|', {step}, '|', {half}), 256)"
-    return f"cast(conv(substr({digest}, 1, 15), 16, 10) as bigint) % {modulus}"
+    digest = F.sha2(F.concat(F.lit(f"{key}|"), kind, F.lit("|"), step, F.lit("|"), half), 256)
+    return F.conv(fn("substr", digest, 1, 15), 16, 10).cast("bigint") % modulus
 
 
-def permuted(key: str, kind: str, value: str, high: str, low: str) -> str:
-    """SQL that permutes the numbers below ``high * low``, all given as SQL: the halves in turn are shifted by a function of
-    the other."""
-    even = f"named_struct('a', (s.a + {prf(key, kind, 'i', 's.b', high)}) % {high}, 'b', s.b)"
-    odd = f"named_struct('a', s.a, 'b', (s.b + {prf(key, kind, 'i', 's.a', low)}) % {low})"
-    start = f"named_struct('a', cast({value} as bigint) div {low}, 'b', cast({value} as bigint) % {low})"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, i) -> CASE WHEN i % 2 = 0 THEN {even} ELSE {odd} END, s -> s.a * {low} + s.b)"
+def permuted(key: str, kind: Column, value: Column, high: Column, low: Column) -> Column:
+    """Permutes the numbers below ``high * low``: the halves in turn are shifted by a function of the other."""
 
+    def shifted(s: Column, i: Column) -> Column:
+        bound = F.when(i % 2 == 0, high).otherwise(low)  # the halves change places, and do so an even number of times
+        return fn("named_struct", "a", s["b"], "b", (s["a"] + prf(key, kind, i, s["b"], bound)) % bound)
 
-def feistel(key: str, kind: str, value: str, high: int, low: int) -> str:
-    return permuted(key, f"'{kind}'", value, f"{high}L", f"{low}L")
+    number = value.cast("bigint")
+    start = fn("named_struct", "a", fn("div", number, low), "b", number % low)
+    return F.aggregate(fn("sequence", 0, ROUNDS - 1), start, shifted, lambda s: s["a"] * low + s["b"])
 
 
-def digits_permuted(key: str, kind: str, digits: str, n: str) -> str:
-    """SQL that permutes the strings of ``n`` digits; ``kind`` and ``n`` are SQL, so one expression serves all lengths."""
-    new = permuted(key, "kind", digits, "high", "low")
-    bound = let(f"cast(rpad('1', {n} - {n} div 2 + 1, '0') as bigint)", "high", let(f"cast(rpad('1', {n} div 2 + 1, '0') as bigint)", "low", new))
-    return let(kind, "kind", f"lpad(cast({bound} as string), {n}, '0')")
+def feistel(key: str, kind: Column, value: Column, high: int, low: int) -> Column:
+    return permuted(key, kind, value, F.lit(high).cast("bigint"), F.lit(low).cast("bigint"))
 
 
-def walked(key: str, kind: str, value: str, high: int, low: int, valid: str) -> str:
-    """SQL that permutes the values for which ``valid`` (about ``p``) holds."""
-    once = let(feistel(key, kind, "t.v", high, low), "p", f"named_struct('v', p, 'done', {valid})")
-    return (
-        f"aggregate(sequence(1, {WALKS}), named_struct('v', cast({value} as bigint), 'done', false), "
-        f"(t, n) -> CASE WHEN t.done THEN t ELSE {once} END, t -> t.v)"
-    )
+def digits_permuted(key: str, kind: Column, digits: Column, n: Column) -> Column:
+    """Permutes the strings of ``n`` digits; ``kind`` and ``n`` are columns, so one expression serves all lengths."""
+
+    def power(digits: Column) -> Column:
+        return fn("rpad", "1", digits + 1, "0").cast("bigint")
+
+    def new(kind: Column) -> Column:
+        half = fn("div", n, 2).cast("int")
+        bound = let(power(n - half), lambda high: let(power(half), lambda low: permuted(key, kind, digits, high, low)))
+        return fn("lpad", bound.cast("string"), n, "0")
+
+    return let(kind, new)
+
+
+def walked(key: str, kind: Column, value: Column, high: int, low: int, valid: Callable[[Column], Column]) -> Column:
+    """Permutes the values for which ``valid`` (of a column) holds."""
+
+    def once(t: Column, _: Column) -> Column:
+        found = let(feistel(key, kind, t["v"], high, low), lambda p: fn("named_struct", "v", p, "done", valid(p)))
+        return F.when(t["done"], t).otherwise(found)
+
+    start = fn("named_struct", "v", value.cast("bigint"), "done", F.lit(False))
+    return F.aggregate(fn("sequence", 1, WALKS), start, once, lambda t: t["v"])
 
 
 def halves(digits: int) -> tuple[int, int]:
     return 10 ** (digits - digits // 2), 10 ** (digits // 2)
 
 
-def refill(old: str, new: str, places: str) -> str:
-    """SQL for ``old`` with the characters of ``new`` at its ``places``, all others as they were."""
-    return (
-        f"aggregate(split({old}, ''), named_struct('o', '', 'k', 1), (f, c) -> CASE WHEN c rlike '^{places}$' "
-        f"THEN named_struct('o', concat(f.o, substr({new}, f.k, 1)), 'k', f.k + 1) "
-        f"ELSE named_struct('o', concat(f.o, c), 'k', f.k) END, f -> f.o)"
-    )
+def refill(old: Column, new: Column, places: str) -> Column:
+    """``old`` with the characters of ``new`` at its ``places``, all others as they were."""
+
+    def filled(f: Column, c: Column) -> Column:
+        taken = fn("named_struct", "o", F.concat(f["o"], fn("substr", new, f["k"], 1)), "k", f["k"] + 1)
+        return F.when(c.rlike(f"^{places}$"), taken).otherwise(fn("named_struct", "o", F.concat(f["o"], c), "k", f["k"]))
+
+    return F.aggregate(fn("split", old, ""), fn("named_struct", "o", "", "k", 1), filled, lambda f: f["o"])
+
+
+def refilled(old: Column, new: Column, places: str) -> Column:
+    return let(new, lambda w: refill(old, w, places))
+
+
+def luhn_sum(digits: Column) -> Column:
+    """The Luhn sum of a string of digits whose last one is the check digit."""
+
+    def share(c: Column, i: Column) -> Column:
+        n = c.cast("int")
+        return F.when(i % 2 == 0, n).when(n > 4, n * 2 - 9).otherwise(n * 2)
+
+    return F.aggregate(F.transform(F.reverse(fn("split", digits, "")), share), F.lit(0), lambda x, y: x + y)
+
+
+def mod97(text: Column) -> Column:
+    """Remainder by 97 of a text of digits and capital letters, letters as 10 to 35."""
+
+    def on(r: Column, c: Column) -> Column:
+        return F.when(c.rlike("^[A-Z]$"), (r * 100 + F.ascii(c) - 55) % 97).otherwise((r * 10 + c.cast("int")) % 97)
+
+    return F.aggregate(fn("split", text, ""), F.lit(0), on)
+
 
+def card(key: str, m: Column) -> Column:
+    def by_digits(d: Column) -> Column:
+        inner = digits_permuted(key, F.concat(F.lit("card"), F.length(d)), fn("substr", d, 2, F.length(d) - 2), F.length(d) - 2)
 
-def luhn_sum(digits: str) -> str:
-    """SQL for the Luhn sum of a string of digits whose last one is the check digit."""
-    double = "(CASE WHEN cast(c as int) > 4 THEN 2 * cast(c as int) - 9 ELSE 2 * cast(c as int) END)"
-    return f"aggregate(transform(reverse(split({digits}, '')), (c, i) -> CASE WHEN i % 2 = 0 THEN cast(c as int) ELSE {double} END), 0, (x, y) -> x + y)"
+        def checked(q: Column) -> Column:
+            check = let(luhn_sum(F.concat(q, F.lit("0"))), lambda z: ((10 - z % 10) % 10).cast("string"))
+            return F.concat(q, check)
 
+        new = let(F.concat(fn("left", d, 1), inner), checked)
+        valid = F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+        return F.when(valid, refilled(m, new, "[0-9]")).otherwise(m)
 
-def mod97(text: str) -> str:
-    """SQL for the remainder by 97 of a text of digits and capital letters, letters as 10 to 35."""
-    letter = "CASE WHEN c rlike '^[A-Z]$' THEN (r * 100 + ascii(c) - 55) % 97 ELSE (r * 10 + cast(c as int)) % 97 END"
-    return f"aggregate(split({text}, ''), 0, (r, c) -> {letter})"
+    return let(fn("regexp_replace", m, "[^0-9]", ""), by_digits)
 
 
-def card(key: str) -> str:
-    inner = digits_permuted(key, "concat('card', length(d))", "substr(d, 2, length(d) - 2)", "(length(d) - 2)")
-    check = let(luhn_sum("concat(q, '0')"), "z", "cast((10 - z % 10) % 10 as string)")
-    new = let(f"concat(left(d, 1), {inner})", "q", f"concat(q, {check})")
-    valid = f"length(d) BETWEEN 13 AND 19 AND {luhn_sum('d')} % 10 = 0"
-    return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {valid} THEN {let(new, 'w', refill('m', 'w', '[0-9]'))} ELSE m END")
+def rest_of_run(key: str, text: Column) -> Column:
+    """The numbers beside or without a card, with pseudonyms for other values in them."""
+    pattern = "|".join(IN_RUN)
 
+    def one(m: Column) -> Column:
+        return F.when(m.rlike("^[0-9]{4}-[0-9]{2}-"), date(key, m)).when(m.rlike("^[0-9]{3}-[0-9]{2}-"), ssn(key, m)).otherwise(phone(key, m))
 
-def rest_of_run(key: str, text: str) -> str:
-    """SQL for the numbers beside or without a card, with pseudonyms for other values in them."""
-    pattern = "|".join(IN_RUN).replace("\\", "\\\\")
-    new = f"""transform(regexp_extract_all({text}, '{pattern}', 0), m -> CASE
-      WHEN m rlike '^[0-9]{{4}}-[0-9]{{2}}-' THEN {date(key)} WHEN m rlike '^[0-9]{{3}}-[0-9]{{2}}-' THEN {ssn(key)} ELSE {phone(key)} END)"""
-    return f"array_join(zip_with(split({text}, '{pattern}', -1), {new}, (a, b) -> concat(a, coalesce(b, ''))), '')"
+    new = F.transform(fn("regexp_extract_all", text, pattern, 0), one)
+    return F.array_join(F.zip_with(fn("split", text, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def cards(key: str) -> str:
-    """SQL for a run of numbers with pseudonyms for the cards in it: a whole run that is one, then stretches of groups as
-    cards have them, then any; of equal ones the first and longest."""
-    digits = "array_join(slice(g, a, b - a + 1), '')"
-    rank = f"CASE WHEN a = 1 AND b = size(g) THEN 0 WHEN array_join(slice(g, a, b - a + 1), ' ') rlike '{_CARD_GROUPS}' THEN 1 ELSE 2 END"
-    ends = "filter(sequence(a, least(a + 18, size(g))), b -> g[a - 1] <> '' AND g[b - 1] <> '')"
-    each = f"transform({ends}, b -> named_struct('rank', {rank}, 'a', a, 'back', -b, 'd', {digits}))"
-    valid = f"length(x.d) BETWEEN 13 AND 19 AND {luhn_sum('x.d')} % 10 = 0"
-    tried = f"array_sort(filter(flatten(transform(sequence(1, size(g)), a -> {each})), x -> {valid}))"
-    apart = "NOT exists(t, o -> x.a <= -o.back AND -x.back >= o.a)"
-    place = "named_struct('a', x.a, 'back', x.back)"
-    chosen = f"array_sort(aggregate({tried}, cast(array() as array<struct<a: int, back: int>>), (t, x) -> CASE WHEN {apart} THEN array_append(t, {place}) ELSE t END))"
+def cards(key: str, m: Column) -> Column:
+    """A run of numbers with pseudonyms for the cards in it: a whole run that is one, then stretches of groups as cards have
+    them, then any; of equal ones the first and longest."""
 
-    def before(group: str) -> str:
-        return f"aggregate(slice(g, 1, {group} - 1), 0, (x, y) -> x + length(y) + 1)"
+    def by_groups(run: Column, g: Column) -> Column:
+        def tries(a: Column) -> Column:
+            def one(b: Column) -> Column:
+                groups = fn("slice", g, a, b - a + 1)
+                rank = F.when((a == 1) & (b == F.size(g)), 0).when(F.array_join(groups, " ").rlike(_CARD_GROUPS), 1).otherwise(2)
+                return fn("named_struct", "rank", rank, "a", a, "back", -b, "d", F.array_join(groups, ""))
 
-    # the end of the run is one more place without a card, so what lies between is written once
-    end = "array(named_struct('low', length(run), 'high', length(run)))"
-    span = f"concat(transform({chosen}, c -> named_struct('low', {before('c.a')}, 'high', {before('(1 - c.back)')} - 1)), {end})"
-    between = let("substr(run, f.at + 1, c.low - f.at)", "r", rest_of_run(key, "r"))
-    piece = f"concat(f.o, {between}, {let('substr(run, c.low + 1, c.high - c.low)', 'm', card(key))})"
-    built = f"aggregate({span}, named_struct('o', '', 'at', 0), (f, c) -> named_struct('o', {piece}, 'at', c.high), f -> f.o)"
-    return let("m", "run", let("split(run, '[ -]')", "g", built))
+            ends = fn("sequence", a, F.least(a + 18, F.size(g)))
+            return F.transform(F.filter(ends, lambda b: (g[a - 1] != "") & (g[b - 1] != "")), one)
 
+        def valid(x: Column) -> Column:
+            return F.length(x["d"]).between(13, 19) & (luhn_sum(x["d"]) % 10 == 0)
 
-def phone(key: str) -> str:
-    text = "lpad(cast(p as string), 10, '0')"
-    valid = f"(substr({text}, 1, 1) >= '2' AND substr({text}, 4, 1) >= '2')"
+        def choose(t: Column, x: Column) -> Column:
+            apart = ~F.exists(t, lambda o: (x["a"] <= -o["back"]) & (-x["back"] >= o["a"]))
+            return F.when(apart, F.array_append(t, fn("named_struct", "a", x["a"], "back", x["back"]))).otherwise(t)
 
-    def ten(kind: str, accepted: str) -> str:
-        new = f"lpad(cast({walked(key, kind, 'right(d, 10)', *halves(10), accepted)} as string), 10, '0')"
-        return let(f"concat(left(d, length(d) - 10), {new})", "w", refill("m", "w", "[0-9]"))
+        def before(group: Column) -> Column:
+            return F.aggregate(fn("slice", g, 1, group - 1), F.lit(0), lambda x, y: x + F.length(y) + 1)
 
-    north, outside = ten("phone", valid), ten("phone-other", f"NOT {valid}")
-    right = "substr(right(d, 10), 1, 1) >= '2' AND substr(right(d, 10), 4, 1) >= '2'"
+        def build(f: Column, c: Column) -> Column:
+            between = let(fn("substr", run, f["at"] + 1, c["low"] - f["at"]), lambda r: rest_of_run(key, r))
+            found = let(fn("substr", run, c["low"] + 1, c["high"] - c["low"]), lambda m: card(key, m))
+            return fn("named_struct", "o", F.concat(f["o"], between, found), "at", c["high"])
 
-    far = digits_permuted(key, "concat('phone', length(d))", "right(d, length(d) - 3)", "(length(d) - 3)")
-    other = f"CASE WHEN length(d) BETWEEN 8 AND 15 THEN {let(f'concat(left(d, 3), {far})', 'w', refill('m', 'w', '[0-9]'))} ELSE m END"
-    is_far = "m rlike '^[+][2-9]'"
-    return let("regexp_replace(m, '[^0-9]', '')", "d", f"CASE WHEN {is_far} THEN {other} WHEN {right} THEN {north} WHEN m rlike '^[+]1' THEN {outside} ELSE m END")
+        tried = fn("array_sort", F.filter(F.flatten(F.transform(fn("sequence", 1, F.size(g)), tries)), valid))
+        chosen = fn("array_sort", F.aggregate(tried, F.array().cast("array<struct<a: int, back: int>>"), choose))
+        # the end of the run is one more place without a card, so what lies between is written once
+        end = F.array(fn("named_struct", "low", F.length(run), "high", F.length(run)))
+        places = F.transform(chosen, lambda c: fn("named_struct", "low", before(c["a"]), "high", before(1 - c["back"]) - 1))
+        return F.aggregate(F.concat(places, end), fn("named_struct", "o", "", "at", 0), build, lambda f: f["o"])
 
+    return let(m, lambda run: let(fn("split", run, "[ -]"), lambda g: by_groups(run, g)))
 
-def ssn(key: str) -> str:
-    def valid(t: str) -> str:
-        return (
-            f"left({t}, 3) NOT IN ('000', '666') AND left({t}, 1) <> '9' AND substr({t}, 4, 2) <> '00' AND right({t}, 4) <> '0000'"
-        )
 
-    new = f"lpad(cast({walked(key, 'ssn', 'd', *halves(9), valid("lpad(cast(p as string), 9, '0')"))} as string), 9, '0')"
-    return let("replace(m, '-', '')", "d", f"CASE WHEN {valid('d')} THEN {let(new, 'w', refill('m', 'w', '[0-9]'))} ELSE m END")
+def phone(key: str, m: Column) -> Column:
+    def valid(p: Column) -> Column:
+        text = fn("lpad", p.cast("string"), 10, "0")
+        return (fn("substr", text, 1, 1) >= "2") & (fn("substr", text, 4, 1) >= "2")
 
+    def by_digits(d: Column) -> Column:
+        last = fn("right", d, 10)
 
-def iban(key: str) -> str:
-    last = digits_permuted(key, "CASE WHEN n = 8 THEN 'iban' ELSE concat('iban', n) END", "right(r, n)", "n")
-    tail = let("least(8, length(r))", "n", f"concat(left(r, length(r) - n), CASE WHEN n > 0 THEN {last} ELSE '' END)")
-    digits = let("regexp_replace(substr(d, 5), '[^0-9]', '')", "r", tail)
-    body = let(digits, "w", refill("substr(d, 5)", "w", "[0-9]"))
-    check = let(mod97("concat(q, left(d, 2), '00')"), "z", "lpad(cast(98 - z as string), 2, '0')")
-    new = let(body, "q", f"concat(left(d, 2), {check}, q)")
-    right = f"{mod97('concat(substr(d, 5), left(d, 4))')} = 1"
-    return let("replace(m, ' ', '')", "d", f"CASE WHEN {right} THEN {let(new, 'w', refill('m', 'w', '[A-Z0-9]'))} ELSE m END")
+        right = (fn("substr", last, 1, 1) >= "2") & (fn("substr", last, 4, 1) >= "2")
 
+        def ten(rules: Column) -> Column:
+            """Numbers by the rules among themselves, and so those outside them."""
+            kind = F.when(rules, F.lit("phone")).otherwise("phone-other")
+            new = fn("lpad", walked(key, kind, last, *halves(10), lambda p: valid(p) == rules).cast("string"), 10, "0")
+            return refilled(m, F.concat(fn("left", d, F.length(d) - 10), new), "[0-9]")
 
-def ipv4(key: str) -> str:
-    number = "aggregate(d, 0L, (x, y) -> x * 256 + cast(y as bigint))"
-    new = feistel(key, "ipv4", number, 1 << 16, 1 << 16)
-    dotted = let(new, "w", "concat_ws('.', w div 16777216, w div 65536 % 256, w div 256 % 256, w % 256)")
-    return let("split(m, '[.]')", "d", f"CASE WHEN forall(d, y -> cast(y as int) <= 255) THEN {dotted} ELSE m END")
+        far = digits_permuted(key, F.concat(F.lit("phone"), F.length(d)), fn("right", d, F.length(d) - 3), F.length(d) - 3)
+        other = F.when(F.length(d).between(8, 15), refilled(m, F.concat(fn("left", d, 3), far), "[0-9]")).otherwise(m)
+        north = let(right, lambda rules: F.when(rules | m.rlike("^[+]1"), ten(rules)).otherwise(m))
+        return F.when(m.rlike("^[+][2-9]"), other).otherwise(north)
 
+    return let(fn("regexp_replace", m, "[^0-9]", ""), by_digits)
 
-def date(key: str) -> str:
+
+def ssn(key: str, m: Column) -> Column:
+    def valid(t: Column) -> Column:
+        first = ~fn("left", t, 3).isin("000", "666") & (fn("left", t, 1) != "9")
+        return first & (fn("substr", t, 4, 2) != "00") & (fn("right", t, 4) != "0000")
+
+    def nine(p: Column) -> Column:
+        return fn("lpad", p.cast("string"), 9, "0")
+
+    def by_digits(d: Column) -> Column:
+        new = nine(walked(key, F.lit("ssn"), d, *halves(9), lambda p: valid(nine(p))))
+        return F.when(valid(d), refilled(m, new, "[0-9]")).otherwise(m)
+
+    return let(fn("replace", m, "-", ""), by_digits)
+
+
+def iban(key: str, m: Column) -> Column:
+    def tail(r: Column, n: Column) -> Column:
+        kind = F.when(n == 8, F.lit("iban")).otherwise(F.concat(F.lit("iban"), n))
+        last = F.when(n > 0, digits_permuted(key, kind, fn("right", r, n), n)).otherwise("")
+        return F.concat(fn("left", r, F.length(r) - n), last)
+
+    def by_text(d: Column) -> Column:
+        account = fn("substr", d, 5)
+        digits = let(fn("regexp_replace", account, "[^0-9]", ""), lambda r: let(F.least(F.lit(8), F.length(r)), lambda n: tail(r, n)))
+
+        def checked(q: Column) -> Column:
+            sum_ = mod97(F.concat(q, fn("left", d, 2), F.lit("00")))
+            check = let(sum_, lambda z: fn("lpad", (98 - z).cast("string"), 2, "0"))
+            return F.concat(fn("left", d, 2), check, q)
+
+        new = let(refilled(account, digits, "[0-9]"), checked)
+        right = mod97(F.concat(account, fn("left", d, 4))) == 1
+        return F.when(right, refilled(m, new, "[A-Z0-9]")).otherwise(m)
+
+    return let(fn("replace", m, " ", ""), by_text)
+
+
+def ipv4(key: str, m: Column) -> Column:
+    def by_parts(d: Column) -> Column:
+        number = F.aggregate(d, F.lit(0).cast("bigint"), lambda x, y: x * 256 + y.cast("bigint"))
+        parts = [1 << 24, 1 << 16, 1 << 8]
+        new = feistel(key, F.lit("ipv4"), number, 1 << 16, 1 << 16)
+        dotted = let(new, lambda w: fn("concat_ws", ".", *((fn("div", w, p) % 256).cast("string") for p in parts), (w % 256).cast("string")))
+        return F.when(F.forall(d, lambda y: y.cast("int") <= 255), dotted).otherwise(m)
+
+    return let(fn("split", m, "[.]"), by_parts)
+
+
+def date(key: str, m: Column) -> Column:
     """Dates become days since 1900, so a date written in two ways gets the same pseudonym."""
     days = 73049  # from 1900-01-01 to 2099-12-31
-    part = "split(m, '[-/.]')"
-    swap = f"contains(m, '.') OR cast({part}[0] as int) > 12"
+    first = F.lit("1900-01-01").cast("date")
+    part = fn("split", m, "[-/.]")
+    swap = F.contains(m, F.lit(".")) | (part[0].cast("int") > 12)
+    is_iso = m.rlike("^[0-9]{4}-")
+
+    def two(x: Column) -> Column:
+        return fn("lpad", x, 2, "0")
+
     iso = (
-        f"CASE WHEN m rlike '^[0-9]{{4}}-' THEN m WHEN {swap} THEN concat_ws('-', {part}[2], lpad({part}[1], 2, '0'), lpad({part}[0], 2, '0')) "
-        f"ELSE concat_ws('-', {part}[2], lpad({part}[0], 2, '0'), lpad({part}[1], 2, '0')) END"
+        F.when(is_iso, m)
+        .when(swap, fn("concat_ws", "-", part[2], two(part[1]), two(part[0])))
+        .otherwise(fn("concat_ws", "-", part[2], two(part[0]), two(part[1])))
     )
-    new = f"date_add(date'1900-01-01', cast({walked(key, 'date', "datediff(d, date'1900-01-01')", 300, 300, f'p < {days}')} as int))"
-    wide = "m rlike '^[0-9]{2}[/.][0-9]{2}[/.]'"
-    day, month = (f"CASE WHEN {wide} THEN lpad(cast({f}(w) as string), 2, '0') ELSE cast({f}(w) as string) END" for f in ("day", "month"))
-    mark = "CASE WHEN contains(m, '/') THEN '/' ELSE '.' END"
-    written = (
-        f"CASE WHEN m rlike '^[0-9]{{4}}-' THEN cast(w as string) WHEN {swap} THEN concat_ws({mark}, {day}, {month}, cast(year(w) as string)) "
-        f"ELSE concat_ws({mark}, {month}, {day}, cast(year(w) as string)) END"
-    )
-    inside = "d IS NOT NULL AND year(d) BETWEEN 1900 AND 2099"
-    return let(f"try_cast({iso} as date)", "d", f"CASE WHEN {inside} THEN {let(new, 'w', written)} ELSE m END")
 
+    def written(w: Column) -> Column:
+        wide = m.rlike("^[0-9]{2}[/.][0-9]{2}[/.]")
+        day, month = (F.when(wide, two(x.cast("string"))).otherwise(x.cast("string")) for x in (F.day(w), F.month(w)))
+        mark, year = F.when(F.contains(m, F.lit("/")), F.lit("/")).otherwise("."), F.year(w).cast("string")
+        numbers = F.when(swap, fn("concat_ws", mark, day, month, year)).otherwise(fn("concat_ws", mark, month, day, year))
+        return F.when(is_iso, w.cast("string")).otherwise(numbers)
+
+    def by_day(d: Column) -> Column:
+        place = walked(key, F.lit("date"), F.datediff(d, first), 300, 300, lambda p: p < days)
+        inside = d.isNotNull() & F.year(d).between(1900, 2099)
+        return F.when(inside, let(fn("date_add", first, place.cast("int")), written)).otherwise(m)
+
+    return let(iso.try_cast("date"), by_day)
 
-def letters(key: str, kind: str, value: str, n: int) -> str:
-    return f"translate(left(sha2(concat('{key}', '|{kind}|', {value}), 256), {n}), '0123456789', 'ghijklmnop')"
 
+def letters(key: str, kind: str, value: Column, n: int) -> Column:
+    return fn("translate", fn("left", F.sha2(F.concat(F.lit(f"{key}|{kind}|"), value), 256), n), "0123456789", "ghijklmnop")
 
-def email(key: str) -> str:
-    parts = "split(lower(m), '@')"
-    domain = f"concat({letters(key, 'domain', f'{parts}[1]', 8)}, '.', regexp_extract(m, '[^.]+$', 0))"
-    return f"concat({letters(key, 'email', 'lower(m)', 12)}, '@', {domain})"
 
+def email(key: str, m: Column) -> Column:
+    host = fn("split", F.lower(m), "@")[1]
+    domain = F.concat(letters(key, "domain", host, 8), F.lit("."), fn("regexp_extract", m, "[^.]+$", 0))
+    return F.concat(letters(key, "email", F.lower(m), 12), F.lit("@"), domain)
 
-def secret(key: str) -> str:
-    value = "regexp_replace(m, '^[A-Za-z_]+[^A-Za-z0-9]{0,3}[=:][^A-Za-z0-9]{0,4}', '')"
-    digest = f"sha2(concat('{key}', '|secret|', v), 256)"
-    long = f"rpad({digest}, length(v), {digest})"
-    return let(value, "v", f"concat(left(m, length(m) - length(v)), {long})")
+
+def secret(key: str, m: Column) -> Column:
+    def hidden(v: Column) -> Column:
+        digest = F.sha2(F.concat(F.lit(f"{key}|secret|"), v), 256)
+        return F.concat(fn("left", m, F.length(m) - F.length(v)), fn("rpad", digest, F.length(v), digest))
+
+    return let(fn("regexp_replace", m, "^[A-Za-z_]+[^A-Za-z0-9]{0,3}[=:][^A-Za-z0-9]{0,4}", ""), hidden)
+
+
+def replacement(key: str, m: Column) -> Column:
+    """The pseudonym of a found value ``m``, by the form it has."""
+    code = F.upper(fn("left", F.sha2(F.concat(F.lit(f"{key}|akia|"), m), 256), 16))
+    is_date = m.rlike("^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}[/.][0-9]{4})$")
+    is_phone = m.rlike("^(1[ -])?[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}$")
+    return (
+        F.when(m.rlike(f"^{_SECRET}[^A-Za-z0-9@]"), secret(key, m))
+        .when(F.contains(m, F.lit("@")), email(key, m))
+        .when(m.rlike("^AKIA"), F.concat(F.lit("AKIA"), code))
+        .when(m.rlike("^[A-Z]"), iban(key, m))
+        .when(m.rlike("^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$"), ipv4(key, m))
+        .when(is_date, date(key, m))
+        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn(key, m))
+        .when(m.rlike("^[0-9][0-9 -]*$") & (F.length(m) >= 13) & ~is_phone, cards(key, m))
+        .otherwise(phone(key, m))
+    )
 
 
-def replacement(key: str) -> str:
-    """SQL for the pseudonym of a found value ``m``, by the form it has."""
-    return f"""CASE
-      WHEN m rlike '^{_SECRET}[^A-Za-z0-9@]' THEN {secret(key)}
-      WHEN contains(m, '@') THEN {email(key)}
-      WHEN m rlike '^AKIA' THEN concat('AKIA', upper(left(sha2(concat('{key}', '|akia|', m), 256), 16)))
-      WHEN m rlike '^[A-Z]' THEN {iban(key)}
-      WHEN m rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' THEN {ipv4(key)}
-      WHEN m rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}([/.])[0-9]{{1,2}}[/.][0-9]{{4}})$' THEN {date(key)}
-      WHEN m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {ssn(key)}
-      WHEN m rlike '^[0-9][0-9 -]*$' AND length(m) >= 13 AND NOT m rlike '^(1[ -])?[0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}$' THEN {cards(key)}
-      ELSE {phone(key)} END"""
+@lru_cache(maxsize=8)
+def replacements(context: SparkContext, key: str) -> Column:
+    """Pseudonyms of all values in ``__found``. Thousands of calls build this expression, so a context keeps it."""
+    return F.transform("__found", lambda m: replacement(key, m))
 
 
 def found_values(text: Column) -> Column:
@@ -283,7 +390,7 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = "pseudonym
     likely = text.rlike(rf"[0-9@]|{_SECRET}")
     none = F.expr("cast(array() as array<string>)")
     found = docs.withColumn("__found", F.when(likely, found_values(text)).otherwise(none))
-    changed = found.withColumn("__new", F.expr(f"transform(__found, m -> {replacement(key)})"))
+    changed = found.withColumn("__new", replacements(docs.sparkSession.sparkContext, key))
     rest = F.split(text, "|".join(PATTERNS), -1)
     joined = F.array_join(F.zip_with(rest, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = {text_col: F.when(F.size("__found") > 0, joined).otherwise(text)}
