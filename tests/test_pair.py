@@ -39,3 +39,27 @@ def test_copies_are_combined_in_tasks_only_for_frequent_keys(spark, monkeypatch)
     assert [f[0] for f in found] == [False, True]
     assert found[0][1] == found[1][1] and len(found[0][1]) == 90
     assert all(float(r[3]) == float(r[6]) for r in found[0][1])
+
+
+def test_reduction_finds_differing_rows_without_a_second_join(spark):
+    source = spark.range(60).selectExpr("id % 40 AS k", "IF(id % 9 = 0, NULL, id % 5) AS v", "CAST(id AS STRING) AS w")
+    source = source.unionByName(source.where("k < 3"))  # equal copies
+    target = source.where("k <> 7").selectExpr("k", "IF(k % 4 = 0, v + 1, v) AS v", "IF(k % 6 = 0, NULL, w) AS w")
+    for sides in ((source, target), (target, source)):
+        pair, old = (Pair(*sides, ["k"], stage_subset=staged) for staged in (True, False))
+        rows, names = pair.differing()
+        assert old.differing() is None and "Join " not in plan(rows)
+        wanted, _ = old.matched(pair.common, pair.common)
+        wanted = wanted.where("NOT (s_1 <=> t_1 AND s_2 <=> t_2)")
+        got = sorted(map(str, rows.select(wanted.columns).collect()))
+        assert got == sorted(map(str, wanted.collect())) and len(got) > 10
+        assert rows.select(names).distinct().count() == len(got)
+        kept = pair.source if pair.stats.reduced == "source" else pair.target
+        assert sorted(map(str, kept.collect())) == sorted(map(str, source.where("k <> 7").collect()))
+
+
+def test_rows_by_key_go_to_more_parts_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(ks, "PART_ROWS", 10)
+    source = spark.range(200).selectExpr("id AS k", "id % 3 AS v")
+    assert ks.by_key(source, ["k"], 200).rdd.getNumPartitions() == 20
+    assert "RepartitionByExpression" in plan(ks.by_key(source, ["k"]))

@@ -4,6 +4,7 @@ import pytest
 
 from twinframe import Pair, ValidationSpec, register_check
 from twinframe.operators.ordinal import with_position
+from twinframe.operators.value_checks import HASH, VALUE, RowChecks
 from twinframe.plans.validate import unregister_check, validate, validate_frames
 from twinframe.session import named_paths
 
@@ -340,3 +341,30 @@ def test_reduced_side_without_staging_gives_the_same_rows(spark):
     options = {"primary_keys": "id", "regression": True}
     staged = validated(source, target, **options).ordered().collect()
     assert staged == validated(source, target, stage_subset=False, **options).ordered().collect()
+
+
+def test_reduced_side_with_copies_and_other_types_gives_the_same_rows_staged_and_not(spark):
+    source = spark.sql(
+        "SELECT IF(id % 31 = 0, NULL, id % 80) AS id, id % 5 AS a, IF(id % 4 = 0, 'Zé', concat('0', id % 6)) AS b,"
+        " CAST(id % 3 AS DOUBLE) AS d, timestamp_micros(id * 86400000000) AS t, id % 2 = 0 AS `_other` FROM range(150)"
+    )
+    target = source.where("id IS NULL OR id > 9").selectExpr(
+        "id", "IF(id % 7 = 0, 'x', CAST(a AS STRING)) AS a", "IF(id % 3 = 0, lower(b), replace(b, '0', '')) AS b",
+        "IF(id % 8 = 0, NULL, d) AS d", "IF(id % 9 = 0, t + INTERVAL 1 DAY, t) AS t", "`_other` AND id % 10 <> 0 AS `_other`",
+    )
+    for sides in ((source, target), (target, source)):
+        for columns in ("common", "all"):
+            options = {"primary_keys": "id", "regression": True, "checksum_columns": columns}
+            staged = validated(*sides, **options).ordered().collect()
+            assert staged == validated(*sides, stage_subset=False, **options).ordered().collect()
+            assert {"data_validation", "checksum_check"} <= {r.validation for r in staged if r.result == "FAIL"}
+
+
+def test_rows_are_hashed_only_for_examples(spark):
+    source, target = spark.range(50).selectExpr("id", "id AS a"), spark.range(50).selectExpr("id", "id + 1 AS a")
+    checks = RowChecks(Pair(source, target, ["id"]), [VALUE, HASH])
+    found, _ = checks.findings
+    assert found.groupBy("f").count().orderBy("f").collect() == [(VALUE, 50), (HASH, 50)]
+    assert found.where(f"f = {HASH} AND sv <> ''").isEmpty()
+    shown = checks.report().where("validation = 'checksum_check' AND pk <> ''").orderBy("example").collect()
+    assert [r.pk for r in shown] == [f"id={i}" for i in range(5)] and all(r.source_value != r.target_value for r in shown)

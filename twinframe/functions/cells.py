@@ -26,6 +26,8 @@ INT, FLOAT, DECIMAL, BOOL, STRING, BYTES, DATE, TIME, NESTED = (
     "nested",
 )
 TEXT_KINDS = (STRING, BYTES, NESTED)
+#: Kinds whose cells, where both sides have it and they may differ, do so whatever their spelling, and are no texts.
+DIFFER_AS_THEY_ARE = (INT, FLOAT, BOOL, DATE, TIME)
 
 
 def kind_of(dtype: T.DataType) -> str:

@@ -7,8 +7,9 @@ with plain equality, and grouping, semi joins and joins on the key all share one
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,8 @@ from twinframe.functions import types as ty
 from twinframe.operators.selection import first_rows
 
 NULL_MASK = "_kn"
+#: Rows of a shuffle partition by key, from which on there are more partitions than the session's.
+PART_ROWS = 2_000_000
 _TAGGED = T.NullType()  # marks a key compared by canonical text
 
 
@@ -118,22 +121,33 @@ def key_table(source: DataFrame, target: DataFrame, shape: KeyShape) -> DataFram
     return both.groupBy(*shape.names).agg(F.sum("ns").alias("ns"), F.sum("nt").alias("nt"))
 
 
+def by_key(df: DataFrame, names: list[str], rows: int = 0) -> DataFrame:
+    """Rows shuffled by key, with ``rows`` that many to more partitions than usual, so that what a task sorts stays small."""
+    parts = ceil(rows / PART_ROWS)
+    keys = [F.col(n) for n in names]
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(parts, *keys)
+    return df.repartition(*keys)
+
+
 def first_per_key(
-    df: DataFrame, shape: KeyShape, columns: list[str], order: list[str] | None = None, combine: bool = True
+    df: DataFrame, shape: KeyShape, columns: list[str], order: list[str] | None = None, combine: bool = True, rows: int = 0
 ) -> DataFrame:
     """Key columns plus the first row of ``columns`` per key, as struct ``row``.
 
     Rows are ordered by the SQL expressions ``order``, if given, then by ``columns``. With ``combine`` the minimum is taken
     inside each task first, so a key holding most of the rows ships one row per task. Without it rows are shuffled as they
-    are, which saves sorting them before and shipping what they are ordered by; no key may hold many rows then.
+    are, which saves sorting them before and shipping what they are ordered by; no key may hold many rows then. ``rows``
+    is then the number of rows of ``df``, or of a larger frame that the result is joined with.
     """
-    if not combine:
-        used = [F.col(tx.ident(c)) for c in (df.columns if order else columns)]
-        names = [F.col(n) for n in shape.names]
-        df = df.select(*shape.columns(df.schema), *used).repartition(*names)
-    else:
-        names = shape.columns(df.schema)
     row = F.struct(*[F.col(tx.ident(c)) for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+    if not combine:  # numbered, not aggregated: an aggregate would go over the shuffled rows twice
+        used = [F.col(tx.ident(c)) for c in (df.columns if order else columns)]
+        df = by_key(df.select(*shape.columns(df.schema), *used), shape.names, rows)
+        by = [*map(F.expr, order or []), *[F.col(tx.ident(c)) for c in columns]] or shape.order()
+        place = F.row_number().over(Window.partitionBy(*shape.names).orderBy(*by))
+        return df.select(*shape.names, row.alias("row"), place.alias("_place")).where("_place = 1").drop("_place")
+    names = shape.columns(df.schema)
     if not order:
         return df.select(*names, row.alias("row")).groupBy(*shape.names).agg(F.min("row").alias("row"))
     first = F.struct(F.struct(*[F.expr(x).alias(f"o{i}") for i, x in enumerate(order)]).alias("order"), row.alias("row"))

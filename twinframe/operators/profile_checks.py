@@ -40,13 +40,16 @@ DATE_FORMS = (
 # How a value of any of these forms begins: one look tells cells that hold no date.
 DATE_START = r"^([0-9]{1,4}[-/. ][0-9A-Za-z]{1,3}[-/. ][0-9]|[0-9]{8}|[A-Za-z]{3} [0-9]{1,2}, )"
 
+SHORTEST_START = 5
+
 # Columns profiled by one aggregate; wider tables are profiled in groups so that generated code stays small.
 GROUP_WIDTH, DATE_GROUP_WIDTH = 64, 3
 LONG_TEXT = 64
 
 
 def _may_be_date(x: str) -> str:
-    return f"substring(trim({x}), 1, 12) RLIKE r'{DATE_START}'"
+    # No date begins with fewer characters than the shortest beginning, so short texts need no pattern.
+    return f"(octet_length({x}) >= {SHORTEST_START} AND substring(trim({x}), 1, 12) RLIKE r'{DATE_START}')"
 
 
 def _read_date(x: str, shape: str, pattern: str | None) -> str:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
 
+from twinframe.functions import cells
 from twinframe.functions import types as ty
 from twinframe.functions.canon import canon
 from twinframe.functions.text import ident, nested_text
@@ -107,6 +108,11 @@ class Pair:
     def types(self, column: str):
         return self.full_source.schema[column].dataType, self.full_target.schema[column].dataType
 
+    def cells(self) -> list[tuple]:
+        """Column pairs that can differ; key columns only where the join compares them by value."""
+        skipped = self.keys if self.shape and self.shape.mode == "strict" else []
+        return [(i, f"s_{i}", f"t_{i}", *self.types(c)) for i, c in enumerate(self.common) if c not in skipped]
+
     @cached_property
     def full_key_table(self) -> DataFrame:
         """Written once: the counts that plan a run, the duplicate and key checks and the split of repeated keys read it."""
@@ -181,9 +187,59 @@ class Pair:
     def _side(self, name: str, own: DataFrame) -> DataFrame:
         if self.stats.reduced != name:
             return own
+        if self._met is not None:
+            return self._met.drop(self._other)
         reduced = ks.keep_keys(own, self.full_key_table.where("ns > 0 AND nt > 0"), self.shape)
         return stage(reduced, f"{name}-subset") if self.stage_subset else reduced
 
+    @property
+    def _other(self) -> str:
+        """Name of the column of ``_met`` beside those of the reduced side."""
+        taken, name = self.full_source.columns + self.full_target.columns, "_other"
+        while name in taken:
+            name += "_"
+        return name
+
+    @cached_property
+    def _met(self) -> DataFrame | None:
+        """The reduced side, written once, with the other side's first row of the key in ``_other`` where a row is the first
+        of its key and some cell may differ. So one join both reduces the side and compares the rows.
+
+        ``None`` if no side is reduced, the reduced side is not staged, most of its rows go (what remains is then cheaper to
+        find by keys alone), or a key has so many rows that no task should see all of them.
+        """
+        stats = self.stats
+        if not self.stage_subset or not stats.reduced or stats.most_copies > MANY_COPIES:
+            return None
+        sides = [
+            ("s", self.full_source, stats.source_dup_rows, stats.source_rows),
+            ("t", self.full_target, stats.target_dup_rows, stats.target_rows),
+        ]
+        (mark, own, repeated, kept), (other, df, *counts) = sides if stats.reduced == "source" else sides[::-1]
+        if stats.removed_rows > kept:
+            return None
+        held = {c: f"o_{i}" for i, c in enumerate(own.columns)}
+        rows = ks.keyed(own, self.shape, *[F.col(ident(c)).alias(o) for c, o in held.items()])
+        named = {f"{mark}_{i}": held[c] for i, c in enumerate(self.common)}
+        flags = [cells.may_differ(named.get(s, s), named.get(t, t), *types) for _, s, t, *types in self.cells()]
+        chosen = F.expr(" OR ".join(flags) or "false")
+        if repeated:  # numbered before the join, which then needs no other order of the rows
+            order = [F.expr(x) for x in self._copy_order(own, held) or []] + [F.col(held[c]) for c in self.common]
+            place = F.row_number().over(Window.partitionBy(*self.shape.names).orderBy(*order))
+            rows = ks.by_key(rows, self.shape.names, max(stats.source_rows, stats.target_rows)).withColumn("_place", place)
+            chosen &= F.col("_place") == 1
+        rows = rows.join(self._keyed_side(df, self.common, other, *counts), self.shape.names)
+        met = F.when(chosen, F.struct(*[f"{other}_{i}" for i in range(len(self.common))])).alias(self._other)
+        return stage(rows.select(*[F.col(o).alias(c) for c, o in held.items()], met), f"{stats.reduced}-subset")
+
+    def differing(self) -> tuple[DataFrame, list[str]] | None:
+        """The rows of ``matched`` over the common columns in which some cell may differ, where the reduction has found them."""
+        if not self.comparable_by_key or self._met is None:
+            return None
+        found = self._met.where(F.col(self._other).isNotNull())
+        own = _marked(self.common, self.stats.reduced[0])
+        return ks.keyed(found, self.shape, *own, F.col(f"{self._other}.*")), [ks.NULL_MASK, *ks.key_names(self.keys)]
+
     def matched(self, source_columns: list[str], target_columns: list[str]) -> tuple[DataFrame, list[str]]:
         """Rows of both sides brought together, and the names identifying them.
 
@@ -221,7 +277,8 @@ class Pair:
         fields = [F.col(f"row.{ident(c)}").alias(f"{mark}_{i}") for i, c in enumerate(columns)]
         if repeated_rows > REPEATED_SHARE * rows:
             combine = self.stats.most_copies > MANY_COPIES
-            first = ks.first_per_key(df, self.shape, columns, self._copy_order(df), combine)
+            most = max(self.stats.source_rows, self.stats.target_rows)
+            first = ks.first_per_key(df, self.shape, columns, self._copy_order(df), combine, most)
             return first.select(*self.shape.names, *fields)
         names = self.shape.names
         repeated = self.full_key_table.where(f"n{mark} > 1").select(*names)
@@ -230,12 +287,13 @@ class Pair:
         first = ks.first_per_key(copies, self.shape, columns, self._copy_order(df)).select(*names, *fields)
         return unique.unionByName(first)
 
-    def _copy_order(self, df: DataFrame) -> list[str] | None:
+    def _copy_order(self, df: DataFrame, held: dict[str, str] | None = None) -> list[str] | None:
         """How copies of a key are ordered: by canonical values where a column has another type on the other side, as
-        the least number and the least text of the same values may stand in different rows."""
+        the least number and the least text of the same values may stand in different rows. ``held`` gives columns
+        that have other names by now."""
         if all(a == b for a, b in map(self.types, self.common)):
             return None
-        return [canon(ident(c), df.schema[c].dataType) for c in self.common]
+        return [canon(held[c] if held else ident(c), df.schema[c].dataType) for c in self.common]
 
     def row_label(self):
         """Text naming a matched row."""
