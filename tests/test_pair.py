@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from twinframe.operators import keys as ks
+from twinframe.operators.profile_checks import distinct_counts
 from twinframe.plans import pair as pairs
 from twinframe.plans.pair import Pair
 
@@ -63,3 +64,14 @@ def test_rows_by_key_go_to_more_parts_as_they_grow(spark, monkeypatch):
     source = spark.range(200).selectExpr("id AS k", "id % 3 AS v")
     assert ks.by_key(source, ["k"], 200).rdd.getNumPartitions() == 20
     assert "RepartitionByExpression" in plan(ks.by_key(source, ["k"]))
+
+
+def test_distinct_whole_number_keys_are_counted_in_the_key_table(spark):
+    source = spark.range(90).selectExpr("IF(id % 8 = 0, NULL, id % 30) AS k", "CAST(id % 7 AS INT) AS j", "CAST(id % 4 AS STRING) AS v")
+    target = source.where("k > 5 OR j = 2").selectExpr("CAST(k AS INT) AS k", "j", "v").unionByName(spark.sql("SELECT 77 AS k, 1 AS j, 'x' AS v"))
+    for subset in (True, False):
+        pair = Pair(source, target, ["k", "j"], subset=subset)
+        counts = distinct_counts(pair)
+        wanted = [(i, *[df.select(c).dropna().distinct().count() for df in (pair.source, pair.target)]) for i, c in enumerate(pair.common)]
+        assert sorted(tuple(r) for r in counts.collect()) == wanted and any(s != t for _, s, t in wanted)
+        assert "max(s" in plan(counts)

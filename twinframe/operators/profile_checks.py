@@ -15,6 +15,7 @@ from twinframe.functions import canon as cn
 from twinframe.functions import text as tx
 from twinframe.functions import types as ty
 from twinframe.operators import messages as m
+from twinframe.operators.keys import NULL_MASK
 from twinframe.operators.ordinal import POSITION
 from twinframe.operators.results import FAIL, PASS, fixed_rows, row_columns, row_sql, union_all
 from twinframe.plans.pair import Pair
@@ -285,14 +286,14 @@ def _slot(x: str, dtype: T.DataType) -> tuple[str, str]:
     return "s", x
 
 
-def _side_distinct(df: DataFrame, columns: list[str], mark: str) -> list[DataFrame]:
+def _side_distinct(df: DataFrame, columns: dict[int, str], mark: str) -> list[DataFrame]:
     """Distinct counts of one side: rows ``c`` (column number), ``n_s`` and ``n_t``, one of them 0.
 
     Columns of one slot are stacked into (column, value) pairs. A columnar scan reads each column once however
     many slots there are, and pairs of one native type are far cheaper to group than pairs of mixed types.
     """
     members: dict[str, list[str]] = {}
-    for i, name in enumerate(columns):
+    for i, name in columns.items():
         dtype = df.schema[name].dataType
         slot, value = _slot(_distinct_value(tx.ident(name), dtype), dtype)
         pair = f"named_struct('c', {i}, 'v', CAST({value} AS {_SLOTS[slot]}))"
@@ -308,13 +309,27 @@ def _side_distinct(df: DataFrame, columns: list[str], mark: str) -> list[DataFra
     ]
 
 
+def _key_distinct(pair: Pair, columns: dict[int, int]) -> DataFrame:
+    """Distinct counts of both sides for key columns (column number: place in the key), from the key table: it has fewer
+    rows than the sides, and one look at a value serves both."""
+    stacked = [f"named_struct('c', {c}, 'v', CASE WHEN ({NULL_MASK} & {1 << i}) = 0 THEN _k{i} END)" for c, i in columns.items()]
+    values = pair.key_table.selectExpr("ns > 0 AS s", "nt > 0 AS t", f"inline(array({', '.join(stacked)}))").where("v IS NOT NULL")
+    once = values.groupBy("c", "v").agg(F.max("s").alias("s"), F.max("t").alias("t"))
+    return once.groupBy("c").agg(F.count_if("s").alias("n_s"), F.count_if("t").alias("n_t"))
+
+
 def distinct_counts(pair: Pair) -> DataFrame:
     """Exact distinct counts per common column and side, nulls left out: rows ``c``, ``n_s``, ``n_t``.
 
     Pairs are made unique inside each task before the shuffle, which spreads them by value: neither a frequent
     value nor one column lands in one task.
     """
-    frames = _side_distinct(pair.source, pair.common, "s") + _side_distinct(pair.target, pair.common, "t")
+    # Whole-number keys stand in the key table as they are.
+    whole = {k for k, t in zip(pair.keys, pair.shape.types) if isinstance(t, T.LongType)} if pair.shape else set()
+    by_key = {c: pair.keys.index(name) for c, name in enumerate(pair.common) if name in whole}
+    others = {c: name for c, name in enumerate(pair.common) if name not in whole}
+    frames = _side_distinct(pair.source, others, "s") + _side_distinct(pair.target, others, "t")
+    frames += [_key_distinct(pair, by_key)] if by_key else []
     return union_all(frames).groupBy("c").agg(F.sum("n_s").alias("n_s"), F.sum("n_t").alias("n_t"))
 
 
