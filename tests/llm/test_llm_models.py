@@ -192,3 +192,43 @@ def test_head_grows_with_the_corpus(spark):
     assert words.class_size**2 >= head and words.head_classes <= words.class_size
     net = language_model.Network.first(words)
     assert net.to_word.shape[0] * net.to_word.shape[1] >= head and len(net.embed) == head + language_model.TAIL
+
+
+def test_few_outputs_for_each_token(monkeypatch):
+    """Tokens of a corpus come with unequal counts: their groups must cost less than classes of equal size."""
+    counts = np.sort((1e6 / np.arange(1, 20_001)).astype(np.int64))[::-1]
+    total = int(counts.sum())
+    tail = np.zeros(language_model.TAIL, dtype=np.int64)
+    words = language_model.Vocabulary(np.zeros(0, np.uint64), counts[:0], counts[:0], counts, total, len(counts), tail, tail)
+    net = language_model.Network.first(words)
+    outputs = np.zeros(words.head)
+    for level in words.levels:
+        size = np.repeat(np.diff(level.starts), np.diff(level.edges[level.starts]))
+        outputs += size[: words.head]
+    assert (outputs * counts).sum() / total < 0.6 * 2 * np.sqrt(words.head)
+    ids = np.random.default_rng(1).choice(words.head, 3000, p=counts / total)
+    states = np.random.default_rng(2).normal(0, 0.5, (3000, language_model.HIDDEN)).astype(np.float32)
+    whole = language_model.log_likelihood(net, words, states, ids)
+    monkeypatch.setattr(language_model, "AT_ONCE", 500)
+    assert language_model.log_likelihood(net, words, states, ids) == pytest.approx(whole, abs=1e-4)
+    inputs = np.arange(words.head + language_model.TAIL)
+    every = language_model.log_likelihood(net, words, np.repeat(states[:1], len(inputs), 0), inputs)
+    assert np.exp(every.astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_look_up_of_hashes_that_share_their_first_bits():
+    terms = np.array([3, 5, 1 << 44, (1 << 44) + 7, (1 << 63) + 1, (1 << 64) - 2], dtype=np.uint64)
+    n = np.ones(6, dtype=np.int64)
+    words = language_model.Vocabulary(terms, n, np.arange(6), n, 6, 6, n, n)
+    asked = np.array([0, 3, 4, 5, 6, 1 << 44, (1 << 44) + 1, (1 << 44) + 7, (1 << 44) + 8, 1 << 63, (1 << 63) + 1, (1 << 64) - 2, (1 << 64) - 1], dtype=np.uint64)
+    assert words.look_up(asked).tolist() == [-1, 0, -1, 1, -1, 2, -1, 3, -1, -1, 4, 5, -1]
+
+
+def test_outputs_of_many_windows_at_once_change_no_score(monkeypatch):
+    words = small_vocabulary()
+    net = language_model.Network.first(words)
+    ids = np.random.default_rng(6).choice([0, 1, 2, 3, 4, 8], 400)
+    bounds = np.array([0, 1, 130, 130, 331, 400])
+    whole = language_model.document_scores(net, words, ids, bounds)
+    monkeypatch.setattr(language_model, "SCORED", 0)
+    assert language_model.document_scores(net, words, ids, bounds) == pytest.approx(whole, rel=1e-6)

@@ -2,12 +2,15 @@
 
 Tokens are runs without white space, A-Z lower-cased, and one end token for each text. Counts of all training tokens, made
 by Spark, give the base and the vocabulary. The most frequent tokens that make up ``COVERED`` of all training tokens (and at
-least ``HEAD`` of them) are predicted each, in about as many classes of like frequency as a class has tokens; all others
-belong to classes by their last two bytes, inside which a token's share is its smoothed count:
+least ``HEAD`` of them) are predicted each: their class, their group in it, and the token in its group, all of like
+frequency. All others belong to classes by their last two bytes, which are one more group; inside such a class a token's
+share is its smoothed count:
 
-    P(token | state) = softmax(class | state) * (softmax(token | class, state)  or  (c + 0.1) / (N_class + 0.1 (V_class + 1)))
+    P(token | state) = softmax(class | state) * softmax(group | class, state) * softmax(token | group, state)
+          or, for all others,  softmax(others | state) * softmax(class | state) * (c + 0.1) / (N_class + 0.1 (V_class + 1))
 
-So any token has a probability, unknown ones that of a token never seen in their class.
+So any token has a probability, unknown ones that of a token never seen in their class. Frequent tokens are in small groups:
+with groups per token in proportion to the root of its count, fewest outputs are worked out for a token of the text.
 
 The network is trained in numpy by truncated backpropagation: a first time on a bounded sample (``PILOT_TEXTS``) on the
 driver, then by every task on all training texts it reads, from the same start, and Spark averages the tasks' weights by
@@ -23,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from math import ceil, isqrt
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from twinframe.session import stage
 
 #: Share of the training tokens that are head tokens, so the head grows with the corpus.
 COVERED = 0.75
-#: Fewest head tokens, fewest of them in a class, and classes of all other tokens.
+#: Fewest head tokens, fewest of them in a group on average, and classes of all other tokens.
 HEAD, CLASS_SIZE, TAIL = 2048, 64, 48
 #: Tokens whose counts every task holds, and at least the head; counts of others are joined.
 FREQUENT = 65_536
@@ -46,9 +49,11 @@ PILOT_TEXTS, PILOT_PASSES = 2000, 2
 SMOOTH = 0.1
 #: Words that one group of texts may hold while it is scored.
 GROUP_TOKENS = 1 << 21
-#: Tokens whose classes are worked on at once and weights that are moved at once (both stay in a processor's cache), and
-#: weights that are averaged as one row.
-AT_ONCE, MOVED, CHUNK = 512, 1 << 14, 4096
+#: Words whose outputs are worked out at once while they are scored.
+SCORED = 1 << 16
+#: Outputs that are worked out at once and weights that are moved at once (both stay in a processor's cache), and weights that
+#: are averaged as one row.
+AT_ONCE, MOVED, CHUNK = 1 << 16, 1 << 14, 4096
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 
 
@@ -63,6 +68,38 @@ def tokens(texts: Texts, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.insert(words.hash, ends, END), np.insert(shape, ends, 0), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
+def like_frequency(shares: np.ndarray, wanted: float) -> np.ndarray:
+    """First of each of about ``wanted`` runs of ``shares`` (and their end), whose sums of roots are alike."""
+    roots = np.cumsum(np.sqrt(shares))
+    n = max(1, round(wanted))
+    cuts = np.searchsorted(roots, roots[-1] * np.arange(1, n) / n, side="right") if len(roots) else []
+    return np.unique(np.concatenate([[0], cuts, [len(shares)]]).astype(np.int64))
+
+
+@dataclass
+class Level:
+    """One choice on the way to a token. Members stand for runs of network inputs and belong to groups, one of which the level
+    before has chosen. ``edges``: first input of each member, ``starts``: first member of each group, both with an end."""
+
+    edges: np.ndarray
+    starts: np.ndarray
+
+    @cached_property
+    def member_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+
+    def parts(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """For ascending inputs: places in their groups, and the members and rows of each group that has rows."""
+        cuts = np.searchsorted(ids, self.edges[self.starts])
+        place = self.member_of[ids[: cuts[-1]]] - np.repeat(self.starts[:-1], np.diff(cuts))
+        parts, starts, used = [], self.starts.tolist(), np.flatnonzero(np.diff(cuts)).tolist()
+        cuts = cuts.tolist()
+        for k in used:
+            rows = max(1, AT_ONCE // (starts[k + 1] - starts[k]))
+            parts += [(slice(starts[k], starts[k + 1]), slice(at, min(at + rows, cuts[k + 1]))) for at in range(cuts[k], cuts[k + 1], rows)]
+        return place, parts
+
+
 @dataclass
 class Vocabulary:
     """Counts that all tasks hold: sorted hashes of frequent tokens with counts and places in the head (-1: none)."""
@@ -81,40 +118,83 @@ class Vocabulary:
         return len(self.head_counts)
 
     @cached_property
-    def class_size(self) -> int:
-        return max(CLASS_SIZE, isqrt(max(self.head - 1, 0)) + 1)
+    def levels(self) -> list[Level]:
+        """Classes; groups of each class, and classes of all other tokens; head tokens of each group. With c groups, a token
+        costs c outputs and those of its group, about r / c on average, r the squared sum of the roots of the shares."""
+        shares, tail = self.head_counts / max(self.total, 1), self.head + np.arange(TAIL + 1)
+        groups = like_frequency(shares, min(np.sqrt(shares).sum(), -(-self.head // CLASS_SIZE)))
+        of_groups = np.add.reduceat(shares, groups[:-1]) if self.head else shares
+        classes = like_frequency(of_groups, np.sqrt(of_groups).sum())
+        return [
+            Level(np.append(groups[classes], tail[-1]), np.array([0, len(classes)])),
+            Level(np.concatenate([groups[:-1], tail]), np.append(classes, classes[-1] + TAIL)),
+            Level(np.arange(self.head + 1), groups),
+        ]
 
     @property
     def head_classes(self) -> int:
-        return -(-self.head // self.class_size)
+        return len(self.levels[0].edges) - 2
+
+    @property
+    def class_size(self) -> int:
+        """Head tokens of the largest class."""
+        return int(np.diff(self.levels[0].edges[:-1]).max(initial=0))
+
+    def ascending(self, ids: np.ndarray) -> np.ndarray:
+        """Order of network inputs; numpy sorts numbers of two bytes by digits, in their old order if equal."""
+        small = self.head + TAIL <= 1 << 16
+        return np.argsort(ids.astype(np.uint16 if small else np.int32), kind="stable" if small else None)
+
+    @cached_property
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent tokens' hashes with an end, and the first of them at or after each value of a hash's first 20 bits."""
+        firsts = np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)
+        return np.append(self.terms, np.uint64(2**64 - 1)), np.searchsorted(self.terms, firsts)
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the frequent tokens, -1 for others."""
-        at = np.searchsorted(self.terms, hashes)
-        at[at == len(self.terms)] = 0
-        return np.where(self.terms[at] == hashes, at, -1) if len(self.terms) else np.full(len(hashes), -1)
+        terms, first = self.buckets
+        at = first[hashes >> np.uint64(44)]
+        low = np.flatnonzero(terms[at] < hashes)
+        while len(low):
+            at[low] += 1
+            low = low[terms[at[low]] < hashes[low]]
+        return np.where((terms[at] == hashes) & (at < len(self.terms)), at, -1)
 
     def ids(self, at: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """Network inputs: head tokens first, then a class of last bytes for all others."""
         place = np.where(at >= 0, self.place[np.maximum(at, 0)], -1) if len(self.terms) else at
         return np.where(place >= 0, place, self.head + shape)
 
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.head, ids // self.class_size, self.head_classes + ids - self.head)
-
 
 @dataclass
 class Network:
+    """Weights. Those of the outputs hold the bias as one more input, the last, which is 1."""
+
     embed: np.ndarray
     into: np.ndarray
     bias: np.ndarray
     over: np.ndarray
     to_class: np.ndarray
-    class_bias: np.ndarray
+    to_group: np.ndarray
     to_word: np.ndarray
-    word_bias: np.ndarray
 
-    NAMES = ("embed", "into", "bias", "over", "to_class", "class_bias", "to_word", "word_bias")
+    NAMES = ("embed", "into", "bias", "over", "to_class", "to_group", "to_word")
+
+    @property
+    def outputs(self) -> list[np.ndarray]:
+        """By level, a row for each member."""
+        return [self.to_class, self.to_group, self.to_word]
+
+    @property
+    def class_bias(self) -> np.ndarray:
+        """Of each class of head tokens, then of each class of other tokens."""
+        return np.concatenate([self.to_class[:-1, HIDDEN], self.to_group[-TAIL:, HIDDEN]])
+
+    @property
+    def word_bias(self) -> np.ndarray:
+        """Of each head token, as one row."""
+        return self.to_word[None, :, HIDDEN]
 
     @staticmethod
     def first(words: Vocabulary) -> Network:
@@ -124,19 +204,23 @@ class Network:
         def draw(*shape: int) -> np.ndarray:
             return random.normal(0, 0.1, shape).astype(np.float32)
 
-        pad = words.head_classes * words.class_size - words.head
-        head = np.concatenate([words.head_counts.astype(np.float64), np.zeros(pad)]).reshape(-1, words.class_size)
-        by_class = np.concatenate([head.sum(1), words.class_total + 1.0])
-        word_bias = np.log(np.maximum(head, 1e-12) / np.maximum(head.sum(1, keepdims=True), 1e-12))
-        class_bias = np.log(np.maximum(by_class, 1e-9) / max(by_class.sum(), 1e-9))
-        return Network(
+        net = Network(
             draw(words.head + TAIL, EMBEDDED), draw(EMBEDDED, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32), draw(HIDDEN, 3 * HIDDEN),
-            draw(HIDDEN, len(by_class)) * 0.1, class_bias.astype(np.float32), draw(len(head), words.class_size, HIDDEN) * 0.1, word_bias.astype(np.float32),
+            *(draw(len(level.edges) - 1, HIDDEN + 1) for level in words.levels),
         )
+        counts = np.concatenate([np.maximum(words.head_counts.astype(np.float64), 1e-12), words.class_total + 1.0])
+        for level, weights in zip(words.levels, net.outputs):
+            member = np.add.reduceat(counts, level.edges[:-1]) if len(weights) else np.zeros(0)
+            group = np.add.reduceat(member, level.starts[:-1]) if len(weights) else member
+            weights[:, HIDDEN] = np.log(member / np.repeat(group, np.diff(level.starts)))
+        return net
 
     def arrays(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
+    def zeros(self) -> Network:
+        return Network(*(np.zeros_like(a) for a in self.arrays()))
+
     def copy(self) -> Network:
         return Network(*(a.copy() for a in self.arrays()))
 
@@ -149,137 +233,152 @@ class Network:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def step(net: Network, inward: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-    """New states from the inputs' share of the gates, and what the backward step needs."""
-    own = state @ net.over
-    gates = sigmoid(inward[:, : 2 * HIDDEN] + own[:, : 2 * HIDDEN])
-    keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    fresh = np.tanh(inward[:, 2 * HIDDEN :] + reset * own[:, 2 * HIDDEN :])
-    return fresh + keep * (state - fresh), keep, reset, fresh, own[:, 2 * HIDDEN :]
+    """Written over ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def softmax(x: np.ndarray, shrink: float = 1.0) -> np.ndarray:
-    """Rows of probabilities times ``shrink``, written over ``x``. Weights are small and states within 1, so no row has to be
-    shifted against overflow."""
+def tanh(x: np.ndarray) -> np.ndarray:
+    """Written over ``x``; by ``exp``, which numpy has several times faster than its own ``tanh``."""
+    x *= 2
     np.exp(x, out=x)
-    x *= (shrink / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
     return x
 
 
+def step(net: Network, inward: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+    """New states from the inputs' share of the gates, and what the backward step needs. Arrays have a row for each text; in
+    memory a number of all texts lies together, so that each gate is one block."""
+    own, inward, state = net.over.T @ state.T, inward.T, state.T
+    gates, last = own[: 2 * HIDDEN], own[2 * HIDDEN :]
+    gates += inward[: 2 * HIDDEN]
+    sigmoid(gates)
+    keep, reset = gates[:HIDDEN], gates[HIDDEN:]
+    fresh = reset * last
+    fresh += inward[2 * HIDDEN :]
+    tanh(fresh)
+    new = state - fresh
+    new *= keep
+    new += fresh
+    return new.T, keep.T, reset.T, fresh.T, last.T
+
+
+def with_one(states: np.ndarray) -> np.ndarray:
+    """One more number of each row, 1, for the bias."""
+    wide = np.ones((len(states), HIDDEN + 1), states.dtype)
+    wide[:, :HIDDEN] = states
+    return wide
+
+
 def log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log of the chosen entry of each row's softmax; ``x`` is written over."""
+    """Log of the chosen entry of each row's softmax; ``x`` is written over. Weights are small and states within 1, so no row
+    has to be shifted against overflow."""
     own = x[np.arange(len(x)), chosen]
     np.exp(x, out=x)
     return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
-def by_class(words: Vocabulary, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """Rows of head tokens in the order of their classes, and each class's part of these."""
-    rows = np.flatnonzero(classes < words.head_classes)
-    rows = rows[np.argsort(classes[rows].astype(np.int16), kind="stable")]
-    cuts = np.searchsorted(classes[rows], np.arange(words.head_classes + 1))
-    return rows, [(c, slice(cuts[c], cuts[c + 1])) for c in range(words.head_classes) if cuts[c] < cuts[c + 1]]
-
-
 def log_likelihood(net: Network, words: Vocabulary, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural log of the class's probability and, for head tokens, of the token's in its class."""
-    classes = words.classes(ids)
-    out = np.empty(len(ids), np.result_type(states, net.to_class))
-    for begin in range(0, len(ids), AT_ONCE):
-        part = slice(begin, begin + AT_ONCE)
-        out[part] = log_share(states[part] @ net.to_class + net.class_bias, classes[part])
-    rows, parts = by_class(words, classes)
-    of, place, share = states[rows], ids[rows] % words.class_size, np.empty(len(rows), out.dtype)
-    for c, part in parts:
-        share[part] = log_share(of[part] @ net.to_word[c].T + net.word_bias[c], place[part])
-    out[rows] += share
+    """Natural log of the probability of the token, or of the class of other tokens."""
+    order = words.ascending(ids)
+    states, ids = with_one(states[order]), ids[order]
+    shares, out = np.zeros(len(ids), np.result_type(states, net.to_class)), np.empty(len(ids), np.result_type(states, net.to_class))
+    for level, weights in zip(words.levels, net.outputs):
+        place, parts = level.parts(ids)
+        for members, part in parts:
+            shares[part] += log_share(states[part] @ weights[members].T, place[part])
+    out[order] = shares
     return out
 
 
 def output_slopes(net: Network, words: Vocabulary, states: np.ndarray, ids: np.ndarray, slopes: Network) -> np.ndarray:
-    """Adds the output layers' slopes of the mean loss to ``slopes`` and returns those of the states."""
-    n, classes = len(ids), words.classes(ids)
-    back = np.empty_like(states)
-
-    def errors(of: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        x = of @ weights
-        x += bias
-        x = softmax(x, 1 / n)
-        x[np.arange(len(x)), chosen] -= 1 / n
-        return x
-
-    for begin in range(0, n, AT_ONCE):
-        part = slice(begin, begin + AT_ONCE)
-        error = errors(states[part], net.to_class, net.class_bias, classes[part])
-        slopes.to_class += states[part].T @ error
-        slopes.class_bias += np.ones(len(error), error.dtype) @ error
-        back[part] = error @ net.to_class.T
-    rows, parts = by_class(words, classes)
-    of, place = states[rows], ids[rows] % words.class_size
-    more = np.empty_like(of)
-    for c, part in parts:
-        error = errors(of[part], net.to_word[c].T, net.word_bias[c], place[part])
-        slopes.to_word[c] += error.T @ of[part]
-        slopes.word_bias[c] += np.ones(len(error), error.dtype) @ error
-        more[part] = error @ net.to_word[c]
-    back[rows] += more
-    return back
-
-
-def window_slopes(net: Network, words: Vocabulary, ids: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[Network, np.ndarray]:
-    """Slopes over one window (``ids``: steps by texts, ``live``: which of them are tokens), and the states after it."""
-    steps, side = ids.shape
-    slopes = Network(*(np.zeros_like(a) for a in net.arrays()))
+    """Adds the output layers' slopes of the mean loss to ``slopes`` and returns those of the states; ``ids`` are ascending."""
+    n, states, kind = len(ids), with_one(states), net.to_class.dtype
+    back, row = np.zeros((n, HIDDEN + 1), kind), np.arange(n)
+    ones = np.ones(max(int(np.diff(level.starts).max(initial=0)) for level in words.levels), kind)
+    for level, weights, change in zip(words.levels, net.outputs, slopes.outputs):
+        place, parts = level.parts(ids)
+        for members, part in parts:
+            of, out = states[part], weights[members]
+            x = of @ out.T
+            np.exp(x, out=x)
+            total = x @ ones[: x.shape[1]]
+            total *= n
+            x /= total[:, None]
+            x.reshape(-1)[row[: len(x)] * x.shape[1] + place[part]] -= 1 / n
+            change[members] += x.T @ of
+            back[part] += x @ out
+    return back[:, :HIDDEN]
+
+
+def window_slopes(
+    net: Network, words: Vocabulary, ids: np.ndarray, live: np.ndarray, state: np.ndarray, slopes: Network | None = None
+) -> tuple[Network, np.ndarray]:
+    """Slopes over one window (``ids``: steps by texts, ``live``: which of them are tokens), and the states after it.
+    ``slopes`` are zeros to write them to."""
+    (steps, side), kind = ids.shape, net.over.dtype
+    slopes = slopes or net.zeros()
     inputs = net.embed[ids]
-    inward = inputs @ net.into + net.bias
-    before, kept = np.empty((steps, side, HIDDEN), np.float32), []
+    inward = np.matmul(net.into.T, inputs.transpose(0, 2, 1))
+    inward += net.bias[:, None]
+    before, kept = np.empty((steps, HIDDEN, side), kind), []
     for t in range(steps):
-        before[t] = state
-        state, *rest = step(net, inward[t], state)
-        kept.append(rest)
-    if live.all():
-        back = output_slopes(net, words, before.reshape(-1, HIDDEN), ids.ravel(), slopes).reshape(before.shape)
-    else:
-        back = np.zeros((steps, side, HIDDEN), np.float32)
-        back[live] = output_slopes(net, words, before[live], ids[live], slopes)
-    inward_slopes, own_slopes = (np.empty((steps, side, 3 * HIDDEN), np.float32) for _ in range(2))
-    carry = np.zeros((side, HIDDEN), np.float32)
+        before[t] = state.T
+        state, *rest = step(net, inward[t].T, state)
+        kept.append([x.T for x in rest])
+    at = np.flatnonzero(live)
+    at = at[words.ascending(ids.ravel()[at])]
+    sorted_ids, back = ids.ravel()[at], np.zeros((steps * side, HIDDEN), kind)
+    back[at] = output_slopes(net, words, before.transpose(0, 2, 1).reshape(-1, HIDDEN)[at], sorted_ids, slopes)
+    back = np.ascontiguousarray(back.reshape(steps, side, HIDDEN).transpose(0, 2, 1))
+    gate_slopes, fresh_slopes = np.empty((steps, 3 * HIDDEN, side), kind), np.empty((steps, HIDDEN, side), kind)
+    carry = np.zeros((HIDDEN, side), kind)
     for t in reversed(range(steps)):
         keep, reset, fresh, own = kept[t]
-        fresh_slope = carry * (1 - keep) * (1 - fresh**2)
-        inward, outward = inward_slopes[t], own_slopes[t]
-        inward[:, :HIDDEN] = carry * (before[t] - fresh) * keep * (1 - keep)
-        inward[:, HIDDEN : 2 * HIDDEN] = fresh_slope * own * reset * (1 - reset)
-        inward[:, 2 * HIDDEN :] = fresh_slope
-        outward[:, : 2 * HIDDEN] = inward[:, : 2 * HIDDEN]
-        outward[:, 2 * HIDDEN :] = fresh_slope * reset
-        carry = carry * keep + own_slopes[t] @ net.over.T + back[t]
-    flat = inward_slopes.reshape(-1, 3 * HIDDEN)
-    slopes.over += before.reshape(-1, HIDDEN).T @ own_slopes.reshape(-1, 3 * HIDDEN)
-    slopes.into += inputs.reshape(-1, EMBEDDED).T @ flat
-    slopes.bias += flat.sum(0)
-    order = np.argsort(ids.ravel(), kind="stable")
-    used, first = np.unique(ids.ravel()[order], return_index=True)
-    running = np.cumsum((flat @ net.into.T)[order], axis=0, dtype=np.float64)[np.append(first[1:], len(order)) - 1]
-    slopes.embed[used] += np.diff(running, axis=0, prepend=0)
+        of_keep, of_reset, of_own = (gate_slopes[t, k : k + HIDDEN] for k in (0, HIDDEN, 2 * HIDDEN))
+        of_fresh = fresh_slopes[t]
+        lose = 1 - keep
+        lose *= carry
+        np.multiply(fresh, fresh, out=of_fresh)
+        np.subtract(1, of_fresh, out=of_fresh)
+        of_fresh *= lose
+        np.subtract(before[t], fresh, out=of_keep)
+        of_keep *= keep
+        of_keep *= lose
+        np.multiply(of_fresh, reset, out=of_own)
+        np.subtract(1, reset, out=of_reset)
+        of_reset *= of_own
+        of_reset *= own
+        carry *= keep
+        carry += net.over @ gate_slopes[t]
+        carry += back[t]
+    slopes.over += np.matmul(before, gate_slopes.transpose(0, 2, 1)).sum(0)
+    gate_slopes[:, 2 * HIDDEN :] = fresh_slopes
+    by_text = gate_slopes.transpose(0, 2, 1)
+    slopes.into += np.matmul(inputs.transpose(0, 2, 1), by_text).sum(0)
+    slopes.bias += gate_slopes.sum((0, 2))
+    first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+    slopes.embed[sorted_ids[first]] = np.add.reduceat(np.matmul(by_text, net.into.T).reshape(-1, EMBEDDED)[at], first, axis=0)
     return slopes, state
 
 
 @dataclass
 class Trainer:
-    """Adam over windows; weights of ``net`` are changed in place."""
+    """Adam over windows; weights of ``net`` are changed in place. ``spare`` holds slopes, moments and squares' moments."""
 
     net: Network
     words: Vocabulary
     rate: float
     steps: int = 0
-    moments: list = field(default_factory=list)
+    spare: list[Network] = field(default_factory=list)
 
     def learn(self, segments: list[np.ndarray]) -> None:
         """One pass over segments of token ids, those of like length side by side."""
+        self.spare = self.spare or [self.net.zeros() for _ in range(3)]
         order = sorted(range(len(segments)), key=lambda k: -len(segments[k]))
         groups = [order[k : k + SIDE_BY_SIDE] for k in range(0, len(order), SIDE_BY_SIDE)]
         for g in np.random.default_rng(5).permutation(len(groups)):
@@ -293,32 +392,33 @@ class Trainer:
                 running = int((sizes > begin).sum())
                 part = ids[begin : begin + WINDOW, :running]
                 live = np.arange(begin, begin + len(part))[:, None] < sizes[:running]
-                slopes, state = window_slopes(self.net, self.words, part, live, state[:running])
-                self._move(slopes)
+                _, state = window_slopes(self.net, self.words, part, live, state[:running], self.spare[0])
+                self._move()
 
-    def _move(self, slopes: Network) -> None:
-        arrays, changes = self.net.arrays(), slopes.arrays()
-        self.moments = self.moments or [(np.zeros_like(a), np.zeros_like(a)) for a in arrays]
-        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in changes))
+    def _move(self) -> None:
+        """One step by the slopes, which become zeros again. Moments are kept as plain sums of g and g * g: their factors 0.1
+        and 0.005 go into the step."""
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in self.spare[0].arrays()))
         self.steps += 1
-        shrink, ahead, wide = min(1.0, 1.0 / (norm + 1e-9)), self.rate / (1 - 0.9**self.steps), 1 / np.sqrt(1 - 0.995**self.steps)
-        for whole in zip(arrays, changes, *zip(*self.moments)):
+        wide = np.sqrt(0.005 / (1 - 0.995**self.steps))
+        shrink, least, ahead = min(1.0, 1.0 / (norm + 1e-9)), 1e-6 / wide, 0.1 * self.rate / (1 - 0.9**self.steps) / wide
+        for whole in zip(*(n.arrays() for n in (self.net, *self.spare))):
             flat = [x.reshape(-1) for x in whole]
             for begin in range(0, len(flat[0]), MOVED):
                 a, g, m, q = (x[begin : begin + MOVED] for x in flat)
-                g *= shrink
+                if shrink < 1:
+                    g *= shrink
                 m *= 0.9
-                m += 0.1 * g
+                m += g
                 g *= g
-                g *= 0.005
                 q *= 0.995
                 q += g
                 np.sqrt(q, out=g)
-                g *= wide
-                g += 1e-6
+                g += least
                 np.divide(m, g, out=g)
                 g *= ahead
                 a -= g
+                g.fill(0)
 
 
 def segments_of(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -442,21 +542,24 @@ def document_scores(net: Network, words: Vocabulary, ids: np.ndarray, bounds: np
     order = np.argsort(-sizes, kind="stable")
     begin, size = bounds[:-1][order], sizes[order]
     inward = net.embed @ net.into + net.bias
-    state = np.zeros((len(order), HIDDEN), np.float32)
-    out = np.zeros(len(order))
+    state = np.zeros((HIDDEN, len(order)), np.float32).T
+    out, shorter, waiting = np.zeros(len(order)), -size, []
     for at in range(0, int(size.max(initial=0)), WINDOW):
-        running = int(np.searchsorted(-size, -at, side="left"))
-        state = state[:running]
-        states, found, whose = [], [], []
-        for t in range(at, min(at + WINDOW, int(size[0]))):
-            live = int(np.searchsorted(-size[:running], -t, side="left"))
-            token = ids[begin[:live] + t]
-            states.append(state[:live])
-            found.append(token)
-            whose.append(np.arange(live))
-            state = step(net, inward[token], state[:live])[0]
-        whose = np.concatenate(whose)
-        out[:running] += np.bincount(whose, log_likelihood(net, words, np.concatenate(states), np.concatenate(found)), minlength=running)
+        times = np.arange(at, min(at + WINDOW, int(size[0])))
+        live = np.searchsorted(shorter, -times, side="left")
+        cuts = np.concatenate([[0], np.cumsum(live)])
+        whose = np.arange(cuts[-1]) - np.repeat(cuts[:-1], live)
+        found = ids[begin[whose] + np.repeat(times, live)]
+        states = np.empty((len(found), HIDDEN), np.float32)
+        for n, first, end in zip(live.tolist(), cuts.tolist(), cuts[1:].tolist()):
+            state = state[:n]
+            states[first:end] = state
+            state = step(net, inward[found[first:end]], state)[0]
+        waiting.append((whose, states, found))
+        if sum(len(w[0]) for w in waiting) > SCORED or at + WINDOW >= size[0]:
+            whose, states, found = (np.concatenate(x) for x in zip(*waiting))
+            out += np.bincount(whose, log_likelihood(net, words, states, found), minlength=len(out))
+            waiting = []
     scores = np.empty(len(order))
     scores[order] = out
     return scores
