@@ -44,3 +44,13 @@ def test_larger_tables_are_sorted_in_more_parts(spark, monkeypatch, name, label)
     folder = next(p for p in named_paths(before) if label in p)
     parts = spark.read.text(folder) if "csv" in name else spark.read.parquet(folder)
     assert parts.selectExpr("regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS part").distinct().count() > 5
+
+
+def test_csv_order_keeps_little_on_disk(spark):
+    """The CSV files are packed, and their rows are not sorted once more to be numbered."""
+    before = named_paths()
+    assert [r.result for r in QUERIES["data_compare_csv_order"](spark, SF).collect()] == ["PASS"]
+    made = named_paths(before)
+    assert not [p for p in made if "/ordered-" in p]
+    names = {r.n for p in made if "/lines-" in p for r in spark.read.text(p).selectExpr("_metadata.file_name AS n").distinct().collect()}
+    assert names and all(n.endswith(".csv.gz") for n in names)

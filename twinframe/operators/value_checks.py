@@ -53,8 +53,8 @@ class RowChecks:
             self.source_columns += [c for c in pair.source_schema.names if c not in pair.common]
             self.target_columns += [c for c in pair.target_schema.names if c not in pair.common]
 
-    def matched(self) -> tuple[DataFrame, list[str]]:
-        return self.pair.matched(self.source_columns, self.target_columns)
+    def matched(self, between: tuple[int, int] | None = None) -> tuple[DataFrame, list[str]]:
+        return self.pair.matched(self.source_columns, self.target_columns, between)
 
     def _hash(self, mark: str, names: list[str], schema: T.StructType, own: list[str]) -> str:
         """Row hash written over an array of cells, so that its code does not grow with the columns."""
@@ -77,15 +77,18 @@ class RowChecks:
     @cached_property
     def _differing(self) -> tuple[DataFrame, list[str]]:
         """Matched rows that some cell tells apart, and their names. They are written once: counts and examples read them,
-        so the sides are joined a single time. Rows equal in every cell, most as a rule, are not written."""
+        so the sides are joined a single time, rows without keys by ranges of positions. Rows equal in every cell, most as
+        a rule, are not written."""
         found = None if self.hash_all else self.pair.differing()
-        if found is None:
-            rows, names = self.matched()
-            flags = [cells.may_differ(*p[1:]) for p in self.pair.cells()]
-            if self.hash_all:
-                flags.append(" <> ".join(self._hashes()))
-            found = rows.where(" OR ".join(flags) or "false"), names
-        return stage(found[0], "differing"), found[1]
+        if found is not None:
+            return stage(found[0], "differing"), found[1]
+        flags = [cells.may_differ(*p[1:]) for p in self.pair.cells()]
+        if self.hash_all:
+            flags.append(" <> ".join(self._hashes()))
+        slices = [None] if self.pair.comparable_by_key else self.pair.slices()
+        found = [self.matched(between if len(slices) > 1 else None) for between in slices]
+        frames = (rows.where(" OR ".join(flags) or "false") for rows, _ in found)
+        return stage(next(frames), "differing", *frames), found[0][1]
 
     def _row_differs(self) -> str:
         """Whether the hashes of a row's sides differ; told by the texts that go into them where that is cheaper."""

@@ -15,13 +15,15 @@ from twinframe.functions.canon import canon
 from twinframe.functions.text import ident, nested_text
 from twinframe.operators import keys as ks
 from twinframe.operators.align import common_columns
-from twinframe.operators.ordinal import POSITION, with_position
+from twinframe.operators.ordinal import POSITION, Positions, positions
 from twinframe.session import stage
 
 # Above this share of rows with repeated keys, parting them from the others costs more than it saves.
 REPEATED_SHARE = 0.1
 # Up to this many rows of each key, rows are shuffled without combining those of a key inside each task first.
 MANY_COPIES = 10_000
+# Rows without keys are brought together in so many ranges of positions at most, of so many rows of a side at least.
+SLICES, SLICE_ROWS = 16, 10_000_000
 
 
 @dataclass(frozen=True)
@@ -126,7 +128,9 @@ class Pair:
         de-duplication before the join.
         """
         if not self.comparable_by_key:
-            return KeyStats(self.full_source.count(), self.full_target.count())
+            # Where positions are known, the rows are counted and text need not be read once more.
+            known = [self.__dict__.get(f"{side}_positions", getattr(self, f"full_{side}").count) for side in ("source", "target")]
+            return KeyStats(*(k.count if isinstance(k, Positions) else k() for k in known))
         both, ns, nt = (F.col("ns") > 0) & (F.col("nt") > 0), F.col("ns"), F.col("nt")
 
         def total(value, when=F.lit(True)):
@@ -240,11 +244,22 @@ class Pair:
         own = _marked(self.common, self.stats.reduced[0])
         return ks.keyed(found, self.shape, *own, F.col(f"{self._other}.*")), [ks.NULL_MASK, *ks.key_names(self.keys)]
 
-    def matched(self, source_columns: list[str], target_columns: list[str]) -> tuple[DataFrame, list[str]]:
+    def slices(self) -> list[tuple[int, int]]:
+        """Ranges of positions that are brought together one after the other, so that only the rows of one lie shuffled on
+        disk at a time. There are not more than files or splits on a side, as a slice reads these whole."""
+        sides = self.source_positions, self.target_positions
+        rows = min(side.count for side in sides)
+        n = max(1, min(SLICES, -(-rows // SLICE_ROWS), *(side.parts for side in sides)))
+        cuts = [rows * i // n for i in range(n + 1)]
+        return list(zip(cuts, cuts[1:]))
+
+    def matched(
+        self, source_columns: list[str], target_columns: list[str], between: tuple[int, int] | None = None
+    ) -> tuple[DataFrame, list[str]]:
         """Rows of both sides brought together, and the names identifying them.
 
         Columns come out as ``s_<i>`` and ``t_<i>``. With keys, one row per common key; otherwise one row
-        per common position.
+        per common position, of a range of them if ``between`` is given.
         """
         if self.comparable_by_key:
             source, target = self._for_join("source"), self._for_join("target")
@@ -252,8 +267,10 @@ class Pair:
             left = self._keyed_side(source, source_columns, "s", stats.source_dup_rows, stats.source_rows)
             right = self._keyed_side(target, target_columns, "t", stats.target_dup_rows, stats.target_rows)
             return left.join(right, self.shape.names, "inner"), [ks.NULL_MASK, *ks.key_names(self.keys)]
-        left = self.positioned_source.select(POSITION, *_marked(source_columns, "s"))
-        right = self.positioned_target.select(POSITION, *_marked(target_columns, "t"))
+        sides = self.source_positions, self.target_positions
+        left, right = [side.between(*between) if between else side.rows for side in sides]
+        left = left.select(POSITION, *_marked(source_columns, "s"))
+        right = right.select(POSITION, *_marked(target_columns, "t"))
         return left.join(right, POSITION, "inner"), [POSITION]
 
     def _for_join(self, name: str) -> DataFrame:
@@ -262,12 +279,20 @@ class Pair:
         return getattr(self, name if staged else f"full_{name}")
 
     @cached_property
-    def positioned_source(self) -> DataFrame:
-        return with_position(self.full_source, self.order_by)
+    def source_positions(self) -> Positions:
+        return positions(self.full_source, self.order_by)
 
     @cached_property
+    def target_positions(self) -> Positions:
+        return positions(self.full_target, self.order_by)
+
+    @property
+    def positioned_source(self) -> DataFrame:
+        return self.source_positions.rows
+
+    @property
     def positioned_target(self) -> DataFrame:
-        return with_position(self.full_target, self.order_by)
+        return self.target_positions.rows
 
     def _keyed_side(self, df: DataFrame, columns: list[str], mark: str, repeated_rows: int, rows: int) -> DataFrame:
         """One row per key. Rows of unique keys cannot be skewed and go straight into the join; only rows of repeated keys

@@ -27,7 +27,7 @@ from twinframe.plans.metadata import metadata_compare as compare_metadata
 from twinframe.plans.pair import Pair
 from twinframe.plans.suite import run_suite
 from twinframe.plans.validate import validate, validate_frames
-from twinframe.session import scratch_path
+from twinframe.session import scratch_path, shuffles_released
 from twinframe.sources import encoding, files, sinks, workbook, xlsx
 from twinframe.sources.registry import load_source
 from twinframe.spec import SuiteSpec, ValidationSpec
@@ -804,7 +804,8 @@ def data_compare_csv_order(spark: SparkSession, d: str) -> DataFrame:
     for parts in (3, 7):
         path = scratch_path(spark, f"lines-{parts}")
         sorted_rows = rows.repartitionByRange(_parts(rows, parts), *columns).sortWithinPartitions(*columns)
-        sorted_rows.write.options(header=True, maxRecordsPerFile=5000 * parts).csv(path)
+        with shuffles_released(spark):  # many small files, each read whole, so they may be packed
+            sorted_rows.write.options(header=True, maxRecordsPerFile=5000 * parts, compression="gzip").csv(path)
         sides.append(load_source(spark, {"type": "file", "format": "csv", "path": path}))
     return _values(*sides)
 
